@@ -4,7 +4,7 @@ classification of a record needs no shuffle and no Python."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import schema as S
@@ -75,34 +75,60 @@ def stderr_lines(stderr: ColumnOrName) -> Column:
     )
 
 
-def error_struct(line: Column, stderr: Column) -> Column:
-    """One classified error (the ``LEAN_ERROR`` struct) for one stripped line."""
-    cat = classify_line(line)
+def _error_struct(line: Column, category: Column, stderr: Column) -> Column:
     return F.struct(
-        cat.alias("category"),
+        category.alias("category"),
         line.alias("message"),
         line_number(line).alias("line_number"),
         F.lit(S.SEVERITY_ERROR).alias("severity"),
-        fix_suggestions(cat, line).alias("suggested_fixes"),
+        fix_suggestions(category, line).alias("suggested_fixes"),
         stderr.alias("original_stderr"),
     )
 
 
-def classify_stderr(stderr: ColumnOrName) -> Column:
-    """ARRAY<STRUCT> of classified errors, one per non-blank line; empty for
-    a blank stderr."""
-    s = _c(stderr)
-    return F.transform(stderr_lines(s), lambda ln: error_struct(ln, s))
+# The DataFrame-level forms below compute in stages (lines, then categories,
+# then structs) so that each line is matched against the pattern list once:
+# Catalyst keeps a projection separate when merging it would duplicate an
+# expensive expression, and each stage references the previous one's column.
 
 
-def primary_error(stderr: ColumnOrName) -> Column:
-    """The first error of the most important category, or null."""
-    s = _c(stderr)
+def with_error_arrays(df: DataFrame, stderr: str = "stderr", prefix: str = "_e") -> DataFrame:
+    """Adds ``<prefix>_lines`` and ``<prefix>_cats`` (aligned arrays)."""
+    lines = f"{prefix}_lines"
+    return df.withColumn(lines, stderr_lines(F.col(stderr))).withColumn(
+        f"{prefix}_cats", F.transform(F.col(lines), classify_line)
+    )
+
+
+def with_classified(df: DataFrame, stderr: str = "stderr", out: str = "errors") -> DataFrame:
+    """Adds ``out``: ARRAY<LEAN_ERROR> with one struct per non-blank line."""
+    staged = with_error_arrays(df, stderr)
+    zipped = F.arrays_zip(F.col("_e_lines").alias("line"), F.col("_e_cats").alias("category"))
+    return staged.withColumn(
+        out, F.transform(zipped, lambda z: _error_struct(z["line"], z["category"], F.col(stderr)))
+    ).drop("_e_lines", "_e_cats")
+
+
+def with_primary_error(df: DataFrame, stderr: str = "stderr", out: str = "primary_error") -> DataFrame:
+    """Adds ``out``: the first error of the most important category (null
+    for a blank stderr)."""
+    staged = with_error_arrays(df, stderr)
     keyed = F.transform(
-        stderr_lines(s),
-        lambda ln, i: F.struct(
-            priority(classify_line(ln)).alias("prio"), i.alias("pos"), ln.alias("line")
+        F.arrays_zip(F.col("_e_lines").alias("line"), F.col("_e_cats").alias("category")),
+        lambda z, i: F.struct(
+            priority(z["category"]).alias("prio"), i.alias("pos"), z["line"].alias("line"),
+            z["category"].alias("category"),
         ),
     )
-    best = F.array_min(keyed)
-    return F.when(F.size(keyed) > 0, error_struct(best["line"], s))
+    best = staged.withColumn("_e_best", F.array_min(keyed))
+    b = F.col("_e_best")
+    return best.withColumn(
+        out, F.when(b.isNotNull(), _error_struct(b["line"], b["category"], F.col(stderr)))
+    ).drop("_e_lines", "_e_cats", "_e_best")
+
+
+def classify_stderr(stderr: ColumnOrName) -> Column:
+    """Column form of ``with_classified`` (evaluates the patterns more than
+    once per line; prefer the DataFrame form on large inputs)."""
+    s = _c(stderr)
+    return F.transform(stderr_lines(s), lambda ln: _error_struct(ln, classify_line(ln), s))

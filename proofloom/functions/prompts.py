@@ -55,16 +55,17 @@ def repair_stub(statement: ColumnOrName) -> Column:
 
 
 def prompt_repair(category: ColumnOrName, message: ColumnOrName, original_code: ColumnOrName) -> Column:
-    """Template by category, filled with identifier, code and message, stripped."""
+    """Template by category (one map lookup), filled with identifier, code
+    and message, stripped."""
     cat = _c(category)
     msg = _c(message)
+    templates = F.create_map(*[x for c, t in S.REPAIR_TEMPLATES.items() for x in (F.lit(c), F.lit(t))])
+    template = F.coalesce(F.element_at(templates, cat), F.lit(S.REPAIR_TEMPLATES[S.OTHER]))
     ident = F.when(cat == S.UNKNOWN_IDENTIFIER, F.coalesce(quoted_name(msg), F.lit(""))).otherwise(F.lit(""))
-    expr = None
-    for name, template in S.REPAIR_TEMPLATES.items():
-        filled = fill(template, identifier=ident, original_code=_c(original_code), error_message=msg)
-        expr = (F.when if expr is None else expr.when)(cat == name, filled)
-    other = fill(S.REPAIR_TEMPLATES[S.OTHER], identifier=ident, original_code=_c(original_code), error_message=msg)
-    return py_strip(expr.otherwise(other))
+    out = F.replace(template, F.lit("{identifier}"), ident)
+    out = F.replace(out, F.lit("{original_code}"), F.coalesce(_c(original_code), F.lit("")))
+    out = F.replace(out, F.lit("{error_message}"), F.coalesce(msg, F.lit("")))
+    return py_strip(out)
 
 
 def parse_steps_text(text: ColumnOrName) -> Column:

@@ -163,7 +163,7 @@ def dedent(x: ColumnOrName) -> Column:
     the non-blank lines (spaces and tabs), blank lines become empty."""
     lines = F.split(_c(x), "\n", -1)
     # Lines that hold only spaces/tabs are normalised to '' and ignored.
-    normal = F.transform(lines, lambda ln: F.when(ln.rlike(r"^[ \t]*$"), F.lit("")).otherwise(ln))
+    normal = F.transform(lines, lambda ln: F.when(ln.rlike(r"^[ \t]*\z"), F.lit("")).otherwise(ln))
     margins = F.transform(
         F.filter(normal, lambda ln: ln != ""), lambda ln: F.regexp_extract(ln, r"^([ \t]*)", 1)
     )

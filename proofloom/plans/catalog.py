@@ -6,6 +6,7 @@ import importlib
 
 SECTIONS = [
     "catalog_results",
+    "catalog_text",
 ]
 
 
