@@ -7,6 +7,7 @@ import importlib
 SECTIONS = [
     "catalog_results",
     "catalog_text",
+    "catalog_items",
 ]
 
 
