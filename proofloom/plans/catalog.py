@@ -8,6 +8,7 @@ SECTIONS = [
     "catalog_results",
     "catalog_text",
     "catalog_items",
+    "catalog_io",
 ]
 
 
