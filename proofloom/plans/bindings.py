@@ -21,7 +21,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-NL = F.lit("\n")
+def _nl():
+    return F.lit("\n")
 
 
 def items_v(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,7 +41,7 @@ def items_v(spark: SparkSession, sf_dir: str) -> DataFrame:
         doc.alias("doc_id"),
         F.col("source").alias("topic"),
         F.col("lang"),
-        F.split_part(text, NL, F.lit(1)).alias("statement"),
+        F.split_part(text, _nl(), F.lit(1)).alias("statement"),
         steps_text.alias("steps_text"),
         F.concat(prefix, body, tail).alias("theorem"),
     ).withColumn("steps", F.split(F.col("steps_text"), "\n", -1)).withColumn(
@@ -78,9 +79,9 @@ def stderr_v(spark: SparkSession, sf_dir: str) -> DataFrame:
         )
         .when(
             F.col("event_type") == "click",
-            F.concat(F.lit("c.lean:3:4: error: type mismatch"), NL, F.lit("  c.lean:9:1: error: unexpected token")),
+            F.concat(F.lit("c.lean:3:4: error: type mismatch"), _nl(), F.lit("  c.lean:9:1: error: unexpected token")),
         )
-        .when(F.col("event_type") == "purchase", F.concat(F.lit("error: unsolved goals"), NL, NL, F.lit("note: see above")))
+        .when(F.col("event_type") == "purchase", F.concat(F.lit("error: unsolved goals"), _nl(), _nl(), F.lit("note: see above")))
         .when(
             F.col("event_type") == "signup",
             F.when(eid % 2 == 0, F.lit("failed to prove termination")).otherwise(F.lit("mysterious failure")),
@@ -102,9 +103,9 @@ def responses_v(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = F.col("text")
     fence = F.lit("```")
     response = (
-        F.when(k == 0, F.concat(F.lit("Sure:"), NL, fence, F.lit("lean"), NL, F.lit("theorem t : "), t, F.lit(" := by simp"), NL, fence, NL, F.lit("done")))
-        .when(k == 1, F.concat(fence, NL, F.lit("lemma l (a : Nat) := "), t, NL, fence))
-        .when(k == 2, F.concat(F.lit("Lean: no"), NL, F.lit("Lean:"), NL, F.lit("theorem t (a : "), t, NL, NL, F.lit("hope it helps")))
+        F.when(k == 0, F.concat(F.lit("Sure:"), _nl(), fence, F.lit("lean"), _nl(), F.lit("theorem t : "), t, F.lit(" := by simp"), _nl(), fence, _nl(), F.lit("done")))
+        .when(k == 1, F.concat(fence, _nl(), F.lit("lemma l (a : Nat) := "), t, _nl(), fence))
+        .when(k == 2, F.concat(F.lit("Lean: no"), _nl(), F.lit("Lean:"), _nl(), F.lit("theorem t (a : "), t, _nl(), _nl(), F.lit("hope it helps")))
         .when(k == 3, F.concat(F.lit("  "), t, F.lit("  ")))
         .otherwise(F.lit(""))
     )

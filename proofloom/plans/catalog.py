@@ -9,6 +9,7 @@ SECTIONS = [
     "catalog_text",
     "catalog_items",
     "catalog_io",
+    "catalog_rounds",
 ]
 
 
