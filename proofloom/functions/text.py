@@ -28,8 +28,12 @@ def py_strip(x: ColumnOrName) -> Column:
 
 
 def collapse_ws(x: ColumnOrName) -> Column:
-    """``" ".join(s.split())``: runs of whitespace become one space, ends trimmed."""
-    return F.btrim(F.regexp_replace(_c(x), f"[{S.WS_CLASS}]+", " "), F.lit(" "))
+    """``" ".join(s.split())``: runs of whitespace become one space, ends trimmed.
+
+    Every whitespace code point is first mapped to a space by ``translate``
+    (a per-character table lookup), which leaves a much simpler regex."""
+    spaced = F.translate(_c(x), S.WS_CHARS, " " * len(S.WS_CHARS))
+    return F.btrim(F.regexp_replace(spaced, " {2,}", " "), F.lit(" "))
 
 
 def is_blank(x: ColumnOrName) -> Column:
@@ -111,9 +115,16 @@ def has_body(x: ColumnOrName) -> Column:
     return _c(x).rlike(BODY)
 
 
+ALLOWED_RUN = rf"[\x00-\x7F{S.WS_CLASS}{_ALLOWED_CLASS}]+"
+
+
 def suspicious_chars(x: ColumnOrName) -> Column:
-    """Distinct non-ASCII, non-space characters outside the allow list, sorted."""
-    return F.array_sort(F.array_distinct(F.regexp_extract_all(_c(x), F.lit(SUSPICIOUS_CHAR), 1)))
+    """Distinct non-ASCII, non-space characters outside the allow list, sorted.
+
+    Runs of acceptable characters are deleted first (one fast pass), so the
+    per-character extraction only sees the few remaining characters."""
+    rest = F.regexp_replace(_c(x), ALLOWED_RUN, "")
+    return F.array_sort(F.array_distinct(F.regexp_extract_all(rest, F.lit("(?s)(.)"), 1)))
 
 
 def odd_quotes(x: ColumnOrName) -> Column:

@@ -28,7 +28,12 @@ def duplicate_content_items(items: DataFrame, text: str, id_col: str = "id") ->
 
     Repeated hashes come from a partial/final aggregate; the members are
     found by a left-semi join, which AQE can split when one hash is hot."""
-    hashed = with_hash(items, text)
+    # Null texts cannot repeat anything; dropping them first makes the key
+    # non-nullable, so no inferred ``isnotnull(hash)`` filter re-evaluates
+    # the hash below the projection.
+    hashed = items.where(F.col(text).isNotNull()).withColumn(
+        "hash", F.coalesce(normalized_hash(F.col(text)), F.lit(""))
+    )
     repeated = hashed.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).select("hash")
     return hashed.join(repeated, "hash", "left_semi")
 
