@@ -87,12 +87,19 @@ def sample_preview(items: DataFrame, n: int, seq: str = "seq") -> DataFrame:
 
 
 def item_struct(df: DataFrame) -> Column:
-    """Nested item record (id, topic, english{statement, steps}, lean{imports, theorem})."""
+    """Nested item record (id, topic, english{statement, steps}, lean{imports,
+    theorem}) from either nested (``english``/``lean``) or flat columns."""
+    if "english" in df.columns and "lean" in df.columns:
+        english, imports, theorem = F.col("english"), F.col("lean.imports"), F.col("lean.theorem")
+    else:
+        english = F.struct(F.col("statement"), F.col("steps"))
+        imports = F.col("imports") if "imports" in df.columns else F.lit(None)
+        theorem = F.col("theorem")
     return F.struct(
         F.col("id"),
         F.col("topic"),
-        F.struct(F.col("statement"), F.col("steps")).alias("english"),
-        F.struct(F.coalesce(F.col("imports"), F.array().cast("array<string>")).alias("imports"), F.col("theorem")).alias("lean"),
+        english.alias("english"),
+        F.struct(F.coalesce(imports, F.array().cast("array<string>")).alias("imports"), theorem.alias("theorem")).alias("lean"),
     )
 
 
