@@ -1,0 +1,6 @@
+"""Structured Streaming forms of the map-only jobs (the reference itself has
+no unbounded source)."""
+
+from .incremental import stream_error_lines
+
+__all__ = ["stream_error_lines"]

@@ -1,0 +1,38 @@
+"""Incremental classification of checker output arriving as JSON-lines files.
+
+Classification is map-only (a native expression per row), so the stream
+needs no state: each micro-batch reads the new files, classifies every
+non-blank stderr line, and appends to a parquet table.  Progress and
+exactly-once output are tracked by the sink's checkpoint folder, which must
+live on the shared file system (for example under ``spark.checkpoint.dir``).
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import SparkSession
+from pyspark.sql.streaming import StreamingQuery
+
+from ..operators.classify import error_lines
+
+CHECKER_OUTPUT = "item_id string, attempt int, beam_index int, seq long, stderr string"
+
+
+def stream_error_lines(
+    spark: SparkSession,
+    in_dir: str,
+    out_dir: str,
+    checkpoint: str,
+    *,
+    schema: str = CHECKER_OUTPUT,
+    available_now: bool = False,
+    max_files_per_trigger: int | None = None,
+) -> StreamingQuery:
+    """Start a stream: new JSON-lines files in ``in_dir`` -> classified error
+    lines appended to parquet at ``out_dir``."""
+    reader = spark.readStream.schema(schema)
+    if max_files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
+    lines = error_lines(reader.json(in_dir)).drop("stderr")
+    writer = lines.writeStream.format("parquet").option("path", out_dir).option("checkpointLocation", checkpoint).outputMode("append")
+    writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="10 seconds")
+    return writer.start()

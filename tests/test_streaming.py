@@ -1,0 +1,23 @@
+"""The classification job as a file stream."""
+
+import json
+import os
+
+from proofloom import schema as S
+from proofloom.streaming import stream_error_lines
+
+
+def test_stream_classifies_new_files(spark, tmp_dir):
+    src = os.path.join(tmp_dir, "in")
+    os.makedirs(src)
+    rows = [
+        {"item_id": "a", "attempt": 1, "beam_index": 0, "seq": 0, "stderr": "c.lean:1:1: error: type mismatch\nnote: x"},
+        {"item_id": "b", "attempt": 1, "beam_index": 0, "seq": 1, "stderr": ""},
+    ]
+    with open(os.path.join(src, "part1.json"), "w") as f:
+        f.write("\n".join(json.dumps(r) for r in rows))
+    out, ckpt = os.path.join(tmp_dir, "out"), os.path.join(tmp_dir, "ckpt")
+    q = stream_error_lines(spark, src, out, ckpt, available_now=True)
+    q.awaitTermination(120)
+    got = sorted((r.item_id, r.pos, r.category) for r in spark.read.parquet(out).collect())
+    assert got == [("a", 0, S.TYPE_MISMATCH), ("a", 1, S.OTHER)]
