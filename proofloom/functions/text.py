@@ -7,7 +7,7 @@ so they stay inside whole-stage codegen and never leave the JVM.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import schema as S
@@ -169,39 +169,76 @@ def cut_with_ellipsis(x: ColumnOrName, n: int) -> Column:
     return F.when(F.length(c) > n, F.concat(F.substring(c, 1, n), F.lit("..."))).otherwise(c)
 
 
-def dedent(x: ColumnOrName) -> Column:
-    """``textwrap.dedent``: remove the longest common leading blank prefix of
-    the non-blank lines (spaces and tabs), blank lines become empty."""
-    lines = F.split(_c(x), "\n", -1)
-    # Lines that hold only spaces/tabs are normalised to '' and ignored.
-    normal = F.transform(lines, lambda ln: F.when(ln.rlike(r"^[ \t]*\z"), F.lit("")).otherwise(ln))
+def _margin_len(lines: Column) -> Column:
+    """Length of the longest common leading blank prefix (spaces and tabs) of
+    the non-blank lines of an already normalised line array."""
     margins = F.transform(
-        F.filter(normal, lambda ln: ln != ""), lambda ln: F.regexp_extract(ln, r"^([ \t]*)", 1)
+        F.filter(lines, lambda ln: ln != ""), lambda ln: F.regexp_extract(ln, r"^([ \t]*)", 1)
     )
-    # Longest common prefix of the margins: the margins are sorted, and the
-    # common prefix of first and last is the common prefix of all.
+    # The common prefix of the sorted first and last margin is the common
+    # prefix of all margins.
     srt = F.array_sort(margins)
     first = F.element_at(srt, 1)
     last = F.element_at(srt, -1)
     idx = F.sequence(F.lit(1), F.least(F.length(first), F.length(last)))
     same = F.transform(idx, lambda i: first.substr(i, F.lit(1)) == last.substr(i, F.lit(1)))
     mismatch = F.array_position(same, F.lit(False))
-    common_len = F.when(F.size(srt) == 0, F.lit(0)).otherwise(
+    return F.when(F.size(srt) == 0, F.lit(0)).otherwise(
         F.when(mismatch == 0, F.least(F.length(first), F.length(last))).otherwise(mismatch - 1)
     )
-    out = F.transform(
-        normal, lambda ln: F.when(ln == "", ln).otherwise(ln.substr(common_len + 1, F.lit(1 << 30)))
+
+
+def _normal_lines(x: ColumnOrName) -> Column:
+    """Lines split on LF, lines of only spaces/tabs emptied."""
+    return F.transform(
+        F.split(_c(x), "\n", -1), lambda ln: F.when(ln.rlike(r"^[ \t]*\z"), F.lit("")).otherwise(ln)
     )
-    return F.array_join(out, "\n")
 
 
-def render_module(code: ColumnOrName, imports: ColumnOrName) -> Column:
-    """A checker input file: ``import X`` lines (the default import when the
-    list is empty or null), a blank line, then the dedented, stripped code."""
-    imps = F.coalesce(_c(imports), F.array().cast("array<string>"))
+def _cut_lines(lines: Column, margin: Column) -> Column:
+    """Join the lines and drop the first ``margin`` characters of each line.
+    Every non-blank line starts with the common margin and blank lines are
+    empty, so one multi-line regex does it (``d``: only LF ends a line) --
+    no per-line lambda, which would re-evaluate ``margin`` for every line."""
+    text = F.array_join(lines, "\n")
+    pattern = F.concat(F.lit("(?md)^[ \t]{"), margin.cast("string"), F.lit("}"))
+    return F.when(margin == 0, text).otherwise(F.regexp_replace(text, pattern, F.lit("")))
+
+
+def dedent(x: ColumnOrName) -> Column:
+    """``textwrap.dedent``: remove the longest common leading blank prefix of
+    the non-blank lines; lines of only spaces/tabs become empty."""
+    lines = _normal_lines(x)
+    return _cut_lines(lines, _margin_len(lines))
+
+
+def with_dedented(df: DataFrame, col: str, out: str) -> DataFrame:
+    """``textwrap.dedent`` in stages: lines, then the margin length, then the
+    cut -- each a separate projection, so the margin is computed once per row."""
+    return (
+        df.withColumn("_dd_lines", _normal_lines(F.col(col)))
+        .withColumn("_dd_margin", _margin_len(F.col("_dd_lines")))
+        .withColumn(out, _cut_lines(F.col("_dd_lines"), F.col("_dd_margin")))
+        .drop("_dd_lines", "_dd_margin")
+    )
+
+
+def _module(imports: Column, body: Column) -> Column:
+    imps = F.coalesce(imports, F.array().cast("array<string>"))
     imps = F.when(F.size(imps) == 0, F.array(F.lit(S.DEFAULT_IMPORT))).otherwise(imps)
     header = F.array_join(F.transform(imps, lambda i: F.concat(F.lit("import "), i)), "\n")
-    body = py_strip(dedent(code))
     return F.concat(
         F.when(body == "", header).otherwise(F.concat(header, F.lit("\n\n"), body)), F.lit("\n")
     )
+
+
+def render_module(code: ColumnOrName, imports: ColumnOrName) -> Column:
+    """A checker input file: ``import X`` lines (the default import when the
+    list is empty or null), a blank line, then the dedented, stripped code."""
+    return _module(_c(imports), py_strip(dedent(code)))
+
+
+def with_rendered_module(df: DataFrame, code: str, imports: str, out: str = "module") -> DataFrame:
+    """Staged ``render_module`` for long code texts."""
+    staged = with_dedented(df, code, "_rm_body").withColumn("_rm_body", py_strip(F.col("_rm_body")))
+    return staged.withColumn(out, _module(F.col(imports), F.col("_rm_body"))).drop("_rm_body")

@@ -92,7 +92,7 @@ def q_prompt_repair(spark: SparkSession, sf: str) -> DataFrame:
 
 def q_render_module(spark: SparkSession, sf: str) -> DataFrame:
     it = items_v(spark, sf)
-    return it.select("id", TX.render_module("theorem", "imports").alias("module"))
+    return TX.with_rendered_module(it.select("id", "theorem", "imports"), "theorem", "imports").select("id", "module")
 
 
 def q_content_key(spark: SparkSession, sf: str) -> DataFrame:

@@ -104,3 +104,16 @@ def test_render_module(spark):
     assert got[0] == f"import {S.DEFAULT_IMPORT}\n\ntheorem a := 1\n  b\n"
     assert got[1] == "import Mathlib.Data\n\nx\n"
     assert got[2] == f"import {S.DEFAULT_IMPORT}\n"
+    staged = [r.module for r in TX.with_rendered_module(df, "c", "imps").collect()]
+    assert staged == got
+
+
+def test_dedent_matches_textwrap(spark):
+    import textwrap
+
+    cases = ["\t a\n\t b", "  a\n\tb", "    x\n\n      y\n    z", "  \n  a\n   b\n  ", "no margin\n  b", " \t a\n \t\tb\n \t c", "a\r\n  b"]
+    df = spark.createDataFrame([(i, c) for i, c in enumerate(cases)], "i int, c string")
+    got = {r.i: r.d for r in TX.with_dedented(df, "c", "d").collect()}
+    single = {r.i: r.d for r in df.select("i", TX.dedent("c").alias("d")).collect()}
+    for i, c in enumerate(cases):
+        assert got[i] == textwrap.dedent(c) == single[i], (i, c)
