@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import ColumnOrName, _c, cut_with_ellipsis, py_strip
+from .stages import where_computed
 
 MIN_STEP_CHARS = 5
 ID_SEPARATORS = "_-."
@@ -57,8 +58,8 @@ def quarantine(items: DataFrame, id_col: str = "id", steps: str = "steps", theor
     projection, two filters; cache or write the input when it is expensive."""
     tagged = items.withColumn("violations", violations(id_col, steps, theorem))
     return (
-        tagged.where(F.size("violations") == 0).drop("violations"),
-        tagged.where(F.size("violations") > 0),
+        where_computed(tagged, F.size("violations") == 0).drop("violations"),
+        where_computed(tagged, F.size("violations") > 0),
     )
 
 

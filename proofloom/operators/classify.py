@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import errors as ER
+from .stages import where_computed
 
 
 def error_lines(df: DataFrame, stderr: str = "stderr") -> DataFrame:
@@ -40,7 +41,7 @@ def errors_encountered(df: DataFrame, stderr: str = "stderr", failed: Column | N
     """Primary errors of failing checks with a non-blank stderr, one row each,
     keeping the order keys of the input (attempt, beam/seq) for ordering."""
     rows = df if failed is None else df.where(failed)
-    return with_primary_error(rows, stderr).where(F.col("primary_error").isNotNull())
+    return where_computed(with_primary_error(rows, stderr), F.col("primary_error").isNotNull())
 
 
 def error_context(

@@ -51,6 +51,9 @@ def stop_at_first_success(records: DataFrame, item: str = "item_id") -> DataFram
     """Drop every record after an item's first passing record.
 
     Adds ``first_ok`` (null for items that never pass)."""
+    # Both sides read the same (null-free) records, so their scans and
+    # exchanges are identical and Spark reuses one for the other.
+    records = records.where(F.col(item).isNotNull())
     firsts = first_success(records, item)
     joined = records.join(firsts, on=item, how="left")
     return joined.where(F.col("first_ok").isNull() | (record_key() <= F.col("first_ok")))

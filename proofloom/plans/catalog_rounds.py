@@ -16,6 +16,7 @@ from ..operators import memo as MM
 from ..operators import replies as RP
 from ..operators import results as R
 from ..operators import rounds as RD
+from ..operators.stages import where_computed
 from ..operators.stubs import raising_checker_factory, stub_checker_factory, stub_model_factory
 from . import duck as D
 from .bindings import items_v, records_v, responses_v, stderr_v, with_views
@@ -117,13 +118,13 @@ def q_memo_stats(spark, sf):
 def _reply_records(spark, sf):
     c = RP.candidates_from_replies(responses_v(spark, sf)).withColumn("content_key", TX.content_key("code"))
     c = c.withColumn("checkable", F.col("is_valid") & (TX.py_strip("code") != ""))
-    verdicts = B.check_batch(MM.work_list(c.where("checkable"), "content_key", None, ["code"]), stub_checker_factory)
+    verdicts = B.check_batch(MM.work_list(where_computed(c, F.col("checkable")), "content_key", None, ["code"]), stub_checker_factory)
     return c, verdicts
 
 
 def q_check_batch(spark, sf):
     c, v = _reply_records(spark, sf)
-    return c.where("checkable").join(v, "content_key").select("conv_id", "turn", "ok", "stderr")
+    return where_computed(c, F.col("checkable")).join(v, "content_key").select("conv_id", "turn", "ok", "stderr")
 
 
 def q_skip_invalid(spark, sf):

@@ -12,6 +12,7 @@ from ..functions import prompts as PR
 from ..functions import text as TX
 from ..operators import classify as CL
 from ..operators import replies as RP
+from ..operators.stages import where_computed
 from ..operators.rounds import RetrySchedule, schedule_column
 from . import duck as D
 from .bindings import items_v, records_v, responses_v, stderr_v, table, with_views
@@ -84,7 +85,7 @@ def q_prompt_initial(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def q_prompt_repair(spark: SparkSession, sf: str) -> DataFrame:
-    s = CL.with_primary_error(stderr_v(spark, sf)).where(F.col("primary_error").isNotNull())
+    s = where_computed(CL.with_primary_error(stderr_v(spark, sf)), F.col("primary_error").isNotNull())
     stub = PR.repair_stub(F.concat(F.lit("item "), F.col("item_id").cast("string")))
     p = PR.prompt_repair(F.col("primary_error.category"), F.col("primary_error.message"), stub)
     return s.select("event_id", p.alias("prompt"))

@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from .. import schema as S
 from ..operators.checks import violations
+from ..operators.stages import where_computed
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -133,7 +134,7 @@ def scan_strict(spark: SparkSession, path: str) -> DataFrame:
     top-1 ordered limit, not a collect."""
     checked = scan_checked(spark, path)
     first_bad = (
-        checked.where(F.size("reasons") > 0)
+        where_computed(checked, F.size("reasons") > 0)
         .select("file", "line_number", "reasons")
         .orderBy("file", "line_number")
         .limit(1)
@@ -148,7 +149,7 @@ def scan_strict(spark: SparkSession, path: str) -> DataFrame:
 
 def scan_corrupt(spark: SparkSession, path: str) -> DataFrame:
     """The lines a strict load would reject, with all reasons."""
-    return scan_checked(spark, path).where(F.size("reasons") > 0).select(
+    return where_computed(scan_checked(spark, path), F.size("reasons") > 0).select(
         "file", "line_number", "value", "id", "reasons"
     )
 
