@@ -126,27 +126,30 @@ def exact_quantiles(
     return out
 
 
+def _pick(counts: DataFrame, ranks: dict[int, float], offset: int) -> None:
+    """Values at the wanted ranks of a (v, c) frame whose smallest value has
+    global rank ``offset``.  Called on at most ``limit`` distinct values, and
+    only the rows holding a wanted rank reach the driver."""
+    from pyspark.sql import Window
+
+    w = Window.orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    cum = counts.select("v", "c", F.sum("c").over(w).alias("cum"))
+    cond = None
+    for r in ranks:
+        term = (F.col("cum") - F.col("c") <= r - offset) & (F.col("cum") > r - offset)
+        cond = term if cond is None else (cond | term)
+    for row in cum.where(cond).collect():
+        for r in ranks:
+            if row["cum"] - row["c"] <= r - offset < row["cum"]:
+                ranks[r] = row["v"]
+
+
 def _resolve_ranks(counts: DataFrame, ranks: dict[int, float], buckets: int, limit: int, offset: int) -> None:
     """Fill ``ranks`` (0-based global rank -> value) from a (v, c) frame whose
     smallest value has global rank ``offset``."""
     n_distinct = counts.count()
     if n_distinct <= limit:
-        from pyspark.sql import Window
-
-        w = Window.orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        # Bounded by ``limit`` rows: a single ordered partition is fine here.
-        cum = counts.select("v", "c", F.sum("c").over(w).alias("cum"))
-        wanted = [r for r in ranks]
-        cond = None
-        for r in wanted:
-            local = r - offset
-            term = (F.col("cum") - F.col("c") <= local) & (F.col("cum") > local)
-            cond = term if cond is None else (cond | term)
-        for row in cum.where(cond).collect():
-            for r in wanted:
-                local = r - offset
-                if row["cum"] - row["c"] <= local < row["cum"]:
-                    ranks[r] = row["v"]
+        _pick(counts, ranks, offset)
         return
     cuts = counts.agg(
         F.percentile_approx("v", [i / buckets for i in range(1, buckets)], 10 * buckets)
@@ -166,19 +169,8 @@ def _resolve_ranks(counts: DataFrame, ranks: dict[int, float], buckets: int, lim
             sub = {r: 0.0 for r in inside}
             sub_counts = labelled.where(F.col("b") == b).select("v", "c")
             if len(cuts) <= 1 or sub_counts.count() >= n_distinct:
-                _resolve_small(sub_counts, sub, start)
+                _pick(sub_counts, sub, start)  # cannot split further
             else:
                 _resolve_ranks(sub_counts, sub, buckets, limit, start)
             ranks.update(sub)
         start += tot
-
-
-def _resolve_small(counts: DataFrame, ranks: dict[int, float], offset: int) -> None:
-    from pyspark.sql import Window
-
-    w = Window.orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    cum = counts.select("v", "c", F.sum("c").over(w).alias("cum"))
-    for row in cum.collect():
-        for r in ranks:
-            if row["cum"] - row["c"] <= r - offset < row["cum"]:
-                ranks[r] = row["v"]

@@ -42,7 +42,9 @@ def reply_quality(candidates: DataFrame, attempt: str = "attempt") -> DataFrame:
         .groupBy(attempt, "error")
         .agg(F.count(F.lit(1)).alias("error_count"))
     )
-    return per_error.join(F.broadcast(per_attempt), attempt, "right").select(
+    # both sides have one row per attempt (or attempt x message); AQE
+    # broadcasts them at run time when they are small
+    return per_error.join(per_attempt, attempt, "right").select(
         attempt, F.coalesce("error", F.lit("")).alias("error"),
         F.coalesce("error_count", F.lit(0)).alias("error_count"), "replies", "valid_share",
     )

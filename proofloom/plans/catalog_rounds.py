@@ -170,6 +170,22 @@ def q_run_error(spark, sf):
     return ev.select("item_id", "success", "attempts", "candidate_total", "run_error")
 
 
+def q_run_evaluation(spark, sf):
+    """The whole harness over the accepted items of ``items_v``, loaded from
+    JSONL (strict), with the stub model and checker."""
+    from ..operators.checks import quarantine
+    from ..operators.evaluate import run_evaluation
+    from ..session import scratch_path
+    from ..sources.sinks import sink_jsonl
+
+    ok, _ = quarantine(items_v(spark, sf))
+    path = scratch_path(spark, "evaluation_items")
+    sink_jsonl(ok, path)
+    rep = run_evaluation(spark, path, stub_model_factory, stub_checker_factory, schedule=SCHED, model=MODEL)
+    m = rep.metrics
+    return m.select(*[F.round(c, 6).alias(c) if c not in ("total_items", "success_count") else c for c in m.columns])
+
+
 QUERIES = {
     "schedule_table": q_schedule_table,
     "slot_expand": q_slot_expand,
@@ -186,6 +202,7 @@ QUERIES = {
     "pending_items": q_pending_items,
     "retry_rounds": q_retry_rounds,
     "run_error": q_run_error,
+    "run_evaluation": q_run_evaluation,
 }
 
 # ---------------------------------------------------------------------------

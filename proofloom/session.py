@@ -15,6 +15,10 @@ CLUSTER_DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Split a skewed join partition even when the split needs an extra
+    # shuffle after it: the aggregate that follows our "first success" join
+    # then pre-aggregates the pieces of a hot item before that shuffle.
+    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     # A broadcast is only ever planned for inputs whose size is checked by us

@@ -136,3 +136,32 @@ def test_memo_stats(spark):
     assert s.hits + s.misses == s.requests
     e = MM.memo_stats(req.limit(0), "k").first()
     assert e.hit_rate == 0.0
+
+
+def test_run_evaluation(spark, tmp_dir):
+    import json
+    import os
+
+    from proofloom.operators.evaluate import run_evaluation
+
+    path = os.path.join(tmp_dir, "items.jsonl")
+    with open(path, "w") as f:
+        for i, s in enumerate(STATEMENTS[:20]):
+            f.write(json.dumps({"id": f"it_{i}", "topic": "t", "english": {"statement": s, "steps": ["step one here"]},
+                                "lean": {"theorem": "theorem x : True := trivial"}}) + "\n")
+    rep = run_evaluation(spark, path, stub_model_factory, stub_checker_factory, pass_k=(5, 1, 1), limit=12)
+    m = rep.metrics.first()
+    items = rep.items.collect()
+    assert rep.pass_k == (1, 5) and m.total_items == 12 == len(items)
+    assert m.success_count == sum(r.success for r in items)
+    assert m.pass_at_5 >= m.pass_at_1 and m.compile_rate_at_1 == m.pass_at_1
+    for r in items:
+        assert (r.final_code is not None) == r.success
+    out = os.path.join(tmp_dir, "report")
+    rep.write(out)
+    assert spark.read.json(f"{out}/summary").first().config.max_attempts == 5
+    assert spark.read.text(f"{out}/items").count() == 12
+    empty = os.path.join(tmp_dir, "empty.jsonl")
+    open(empty, "w").close()
+    with pytest.raises(ValueError, match="empty"):
+        run_evaluation(spark, empty, stub_model_factory, stub_checker_factory)
