@@ -21,6 +21,9 @@ from .. import schema as S
 from .results import normalize_pass_k
 
 
+AUTO_DISTINCT_LIMIT = 1_000_000
+
+
 def _zero(c: Column) -> Column:
     return F.coalesce(c, F.lit(0.0)).cast("double")
 
@@ -68,10 +71,15 @@ def compute_metrics(
     """One row: total_items, success_count, success_rate, pass_at_<k>...,
     compile_rate_at_1, attempts mean/median/p90, time mean/median/p90.
     Zeros on empty input."""
+    if quantiles == "auto":
+        # one cheap pass decides: Spark's ``percentile`` keeps a value->count
+        # map of all distinct times in the final task
+        distinct = item_eval.agg(F.approx_count_distinct("total_time")).first()[0] or 0
+        quantiles = "distributed" if distinct > AUTO_DISTINCT_LIMIT else "exact"
     if quantiles == "exact":
         return item_eval.agg(*metric_columns(pass_k))
     if quantiles != "distributed":
-        raise ValueError("quantiles must be 'exact' or 'distributed'")
+        raise ValueError("quantiles must be 'exact', 'distributed' or 'auto'")
     base = item_eval.agg(*metric_columns(pass_k, time_quantiles=False))
     med, p90 = exact_quantiles(item_eval, "total_time", (0.5, 0.9))
     return base.select("*", F.lit(med).cast("double").alias("time_median"), F.lit(p90).cast("double").alias("time_p90"))
