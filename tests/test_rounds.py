@@ -165,3 +165,15 @@ def test_run_evaluation(spark, tmp_dir):
     open(empty, "w").close()
     with pytest.raises(ValueError, match="empty"):
         run_evaluation(spark, empty, stub_model_factory, stub_checker_factory)
+
+
+def test_no_memo_repeats_calls(spark, tmp_dir):
+    sched = RD.RetrySchedule.with_overrides(max_attempts=1)
+    memo = f"{tmp_dir}/memo"
+    a = RD.retry_rounds(spark, _items(spark), stub_model_factory, stub_checker_factory, sched, memo_dir=memo, work_dir=f"{tmp_dir}/a")
+    b = RD.retry_rounds(spark, _items(spark), stub_model_factory, stub_checker_factory, sched, memo_dir=memo,
+                        work_dir=f"{tmp_dir}/b", use_memo=False)
+    ca, cb = a.call_counts().first(), b.call_counts().first()
+    assert cb.generation_calls == ca.generation_calls and cb.check_calls == ca.check_calls
+    key = ["item_id", "attempt", "beam_index", "compiled", "compile_ok"]
+    assert sorted(map(tuple, a.records.select(key).collect())) == sorted(map(tuple, b.records.select(key).collect()))
