@@ -63,9 +63,10 @@ def success_metadata(records: DataFrame, item: str = "item_id") -> DataFrame:
     """Per item: 1-based rank of the first passing record in record order and
     its attempt; null for both when nothing passed."""
     kept = stop_at_first_success(records, item)
+    first_attempt = F.max(F.col("first_ok.attempt"))
     return kept.groupBy(item).agg(
-        F.when(F.max(F.col("first_ok")).isNotNull(), F.count(F.lit(1))).cast("int").alias("success_rank"),
-        F.max(F.col("first_ok.attempt")).cast("int").alias("success_attempt"),
+        F.when(first_attempt.isNotNull(), F.count(F.lit(1))).cast("int").alias("success_rank"),
+        first_attempt.cast("int").alias("success_attempt"),
     )
 
 
@@ -116,10 +117,13 @@ def item_evaluation(
     """
     ks = normalize_pass_k(pass_k)
     kept = stop_at_first_success(records, item)
+    # ``first_ok`` is constant per item; its int field keeps the aggregate
+    # hash-based (a struct buffer would force a sort-based aggregate)
+    first_attempt = F.max(F.col("first_ok.attempt"))
     aggs = [
-        F.max(F.col("first_ok")).isNotNull().alias("success"),
-        F.when(F.max(F.col("first_ok")).isNotNull(), F.count(F.lit(1))).cast("int").alias("success_rank"),
-        F.max(F.col("first_ok.attempt")).cast("int").alias("success_attempt"),
+        first_attempt.isNotNull().alias("success"),
+        F.when(first_attempt.isNotNull(), F.count(F.lit(1))).cast("int").alias("success_rank"),
+        first_attempt.cast("int").alias("success_attempt"),
         F.sum("generation_time").cast("double").alias("total_time"),
         F.count(F.lit(1)).alias("candidate_total"),
     ]

@@ -34,7 +34,8 @@ def _round_items(spark, sf):
 def q_schedule_table(spark, sf):
     counts = records_v(spark, sf).groupBy("attempt").agg(F.count(F.lit(1)).alias("n_records"))
     sched = RD.schedule_table(spark, SCHED)  # one row per attempt
-    return F.broadcast(sched).join(counts, "attempt", "left").select(
+    # the per-attempt counts are a tiny aggregate; AQE broadcasts them
+    return sched.join(counts, "attempt", "left").select(
         "attempt", "beam_size", "temperature", "max_tokens", F.coalesce("n_records", F.lit(0)).alias("n_records")
     )
 
