@@ -21,8 +21,9 @@ CLUSTER_DEFAULTS = {
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
-    # A broadcast is only ever planned for inputs whose size is checked by us
-    # (see ``plans.sizing``) or by Catalyst's statistics against this bound.
+    # Explicit broadcasts are only of inputs whose size is fixed by
+    # configuration (the retry schedule, a one-row cut); everything else is
+    # broadcast by AQE only when its measured size is under this bound.
     "spark.sql.autoBroadcastJoinThreshold": str(32 * 1024 * 1024),
 }
 
