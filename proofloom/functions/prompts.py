@@ -30,11 +30,13 @@ def joined_steps(steps: ColumnOrName, empty_text: str | None = None) -> Column:
 
 
 def fill(template: str, **values: Column) -> Column:
-    """Replace each ``{name}`` of a literal template by a column (all occurrences)."""
-    out = F.lit(template)
-    for name, col in values.items():
-        out = F.replace(out, F.lit("{" + name + "}"), F.coalesce(col, F.lit("")))
-    return out
+    """Fill the ``{name}`` placeholders of a literal template in one pass
+    (values are inserted verbatim, like ``str.format``)."""
+    fmt = template.replace("%", "%%")
+    names = list(values)
+    for i, name in enumerate(names, start=1):
+        fmt = fmt.replace("{" + name + "}", f"%{i}$s")
+    return F.format_string(fmt, *[F.coalesce(values[n], F.lit("")) for n in names])
 
 
 def prompt_full(statement: ColumnOrName, steps: ColumnOrName, template: str = DEFAULT_FULL_TEMPLATE) -> Column:
@@ -54,18 +56,28 @@ def repair_stub(statement: ColumnOrName) -> Column:
     return F.concat(F.lit(S.REPAIR_STUB_HEAD), F.coalesce(_c(statement), F.lit("")), F.lit(S.REPAIR_STUB_TAIL))
 
 
+def _printf_template(template: str) -> str:
+    """A ``{name}`` template as a positional printf format (one pass, values
+    inserted verbatim, like ``str.format``)."""
+    out = template.replace("%", "%%")
+    for i, name in enumerate(("identifier", "original_code", "error_message"), start=1):
+        out = out.replace("{" + name + "}", f"%{i}$s")
+    return out
+
+
 def prompt_repair(category: ColumnOrName, message: ColumnOrName, original_code: ColumnOrName) -> Column:
-    """Template by category (one map lookup), filled with identifier, code
-    and message, stripped."""
+    """Template by category, filled with identifier, code and message in one
+    pass, stripped.  Only the branch of the row's category is evaluated."""
     cat = _c(category)
-    msg = _c(message)
-    templates = F.create_map(*[x for c, t in S.REPAIR_TEMPLATES.items() for x in (F.lit(c), F.lit(t))])
-    template = F.coalesce(F.element_at(templates, cat), F.lit(S.REPAIR_TEMPLATES[S.OTHER]))
+    msg = F.coalesce(_c(message), F.lit(""))
+    code = F.coalesce(_c(original_code), F.lit(""))
     ident = F.when(cat == S.UNKNOWN_IDENTIFIER, F.coalesce(quoted_name(msg), F.lit(""))).otherwise(F.lit(""))
-    out = F.replace(template, F.lit("{identifier}"), ident)
-    out = F.replace(out, F.lit("{original_code}"), F.coalesce(_c(original_code), F.lit("")))
-    out = F.replace(out, F.lit("{error_message}"), F.coalesce(msg, F.lit("")))
-    return py_strip(out)
+    expr = None
+    for name, template in S.REPAIR_TEMPLATES.items():
+        filled = F.format_string(_printf_template(template), ident, code, msg)
+        expr = (F.when if expr is None else expr.when)(cat == name, filled)
+    other = F.format_string(_printf_template(S.REPAIR_TEMPLATES[S.OTHER]), ident, code, msg)
+    return py_strip(expr.otherwise(other))
 
 
 def parse_steps_text(text: ColumnOrName) -> Column:

@@ -103,3 +103,11 @@ def test_repair_prompt(spark):
     want0 = S.REPAIR_TEMPLATES[S.UNKNOWN_IDENTIFIER].format(identifier="Foo", original_code="CODE", error_message="unknown identifier 'Foo'").strip()
     want1 = S.REPAIR_TEMPLATES[S.OTHER].format(identifier="", original_code="CODE", error_message="boom").strip()
     assert rows[0].p == want0 and rows[1].p == want1
+
+
+def test_repair_prompt_inserts_values_verbatim(spark):
+    msg = "type mismatch {original_code} 100%"
+    df = spark.createDataFrame([(S.TYPE_MISMATCH, msg, "code {error_message}")], "c string, m string, k string")
+    got = df.select(PR.prompt_repair("c", "m", "k")).first()[0]
+    want = S.REPAIR_TEMPLATES[S.TYPE_MISMATCH].format(identifier="", original_code="code {error_message}", error_message=msg).strip()
+    assert got == want
