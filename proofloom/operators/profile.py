@@ -71,18 +71,24 @@ def topic_distribution_by_file(items: DataFrame, file: str = "file", topic: str
     return df.groupingSets([[f, t], [t], []], f, t).agg(F.count(F.lit(1)).alias("n"))
 
 
-def cross_file_duplicates(pooled: DataFrame, text: str = "text", file: str = "file") -> DataFrame:
-    """Content repeated over pooled files: hash, items, distinct files.
-    The file set per hash is bounded by the number of input files."""
-    return (
-        with_hash(pooled, text)
-        .groupBy("hash")
-        .agg(
-            F.count(F.lit(1)).alias("n_items"),
-            F.array_join(F.array_sort(F.collect_set(F.col(file))), ",").alias("files"),
+def cross_file_duplicates(pooled: DataFrame, text: str = "text", file: str = "file", id_col: str = "id") -> DataFrame:
+    """Ids and content repeated over pooled files: ``kind`` ('id' or
+    'content'), ``key`` (the id, or the normalized hash), the number of
+    items and the distinct files.  Two partial/final aggregates; the file
+    set per key is bounded by the number of input files."""
+
+    def repeated(key: Column, kind: str) -> DataFrame:
+        return (
+            pooled.groupBy(key.alias("key"))
+            .agg(
+                F.count(F.lit(1)).alias("n_items"),
+                F.array_join(F.array_sort(F.collect_set(F.col(file))), ",").alias("files"),
+            )
+            .where(F.col("n_items") > 1)
+            .select(F.lit(kind).alias("kind"), "key", "n_items", "files")
         )
-        .where(F.col("n_items") > 1)
-    )
+
+    return repeated(F.col(id_col).cast("string"), "id").unionByName(repeated(normalized_hash(F.col(text)), "content"))
 
 
 def cross_file_pairs(pooled: DataFrame, left_file: str, right_file: str, text: str = "text", id_col: str = "id", file: str = "file") -> DataFrame:

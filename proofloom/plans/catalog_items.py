@@ -314,9 +314,12 @@ SELECT id, hash FROM h WHERE hash IN (SELECT hash FROM h GROUP BY hash HAVING co
     "topic_distribution": "SELECT source AS topic, count(*) AS n FROM documents GROUP BY source",
     "topic_distribution_by_file": "SELECT lang AS file, source AS topic, count(*) AS n FROM documents GROUP BY GROUPING SETS ((lang, source), (source), ())",
     "cross_file_duplicates": f"""
-WITH p AS (SELECT text, 'documents' AS file FROM documents UNION ALL SELECT text, 'benchmark' AS file FROM benchmark)
-SELECT {D.sha16(D.collapse('text'))} AS hash, count(*) AS n_items, array_to_string(list_sort(list_distinct(list(file))), ',') AS files
-FROM p GROUP BY 1 HAVING count(*) > 1""",
+WITH p AS (SELECT doc_id AS id, text, 'documents' AS file FROM documents UNION ALL SELECT item_id AS id, text, 'benchmark' AS file FROM benchmark)
+SELECT 'id' AS kind, CAST(id AS VARCHAR) AS key, count(*) AS n_items, array_to_string(list_sort(list_distinct(list(file))), ',') AS files
+FROM p GROUP BY id HAVING count(*) > 1
+UNION ALL
+SELECT 'content' AS kind, {D.sha16(D.collapse('text'))} AS key, count(*) AS n_items, array_to_string(list_sort(list_distinct(list(file))), ',') AS files
+FROM p GROUP BY 2 HAVING count(*) > 1""",
     "length_profile": with_views(
         "SELECT count(*) AS total_items, count(DISTINCT topic) AS n_topics, round(avg(length(statement)), 6) AS avg_statement_length, "
         "round(avg(length(theorem)), 6) AS avg_theorem_length FROM items_v",

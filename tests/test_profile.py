@@ -65,3 +65,15 @@ def test_grouping_sets(spark):
     df = spark.createDataFrame([("f1", "a"), ("f1", "b"), ("f2", "a")], "file string, topic string")
     rows = {(r.file, r.topic): r.n for r in PF.topic_distribution_by_file(df).collect()}
     assert rows == {("f1", "a"): 1, ("f1", "b"): 1, ("f2", "a"): 1, (None, "a"): 2, (None, "b"): 1, (None, None): 3}
+
+
+def test_cross_file_duplicates(spark):
+    pooled = spark.createDataFrame(
+        [(1, "a  b", "f1"), (2, "c", "f1"), (1, "z", "f2"), (3, "a b", "f2"), (4, "c", "f1")],
+        "id int, text string, file string",
+    )
+    rows = {(r.kind, r.key): (r.n_items, r.files) for r in PF.cross_file_duplicates(pooled).collect()}
+    assert rows[("id", "1")] == (2, "f1,f2")
+    assert rows[("content", norm_hash("a b"))] == (2, "f1,f2")
+    assert rows[("content", norm_hash("c"))] == (2, "f1")
+    assert len(rows) == 3
