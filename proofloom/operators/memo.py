@@ -43,6 +43,19 @@ def with_memo_flag(requests: DataFrame, key: str, memo: DataFrame | None, out: s
     return requests.join(known, key, "left").withColumn(out, F.coalesce(F.col(out), F.lit(False)))
 
 
+def mark_repeats(requests: DataFrame, key: str, order: list[str], out: str = "from_memo") -> DataFrame:
+    """Within one run: the first request of a key (in ``order``) is a miss,
+    every later request of the same key a hit.  The first request per key
+    comes from a partial/final aggregate joined back on the key (AQE splits
+    a hot key on the request side)."""
+    first = requests.groupBy(key).agg(F.min(F.struct(*[F.col(c) for c in order])).alias("_first"))
+    return (
+        requests.join(first, key)
+        .withColumn(out, F.struct(*[F.col(c) for c in order]) != F.col("_first"))
+        .drop("_first")
+    )
+
+
 def memo_stats(requests: DataFrame, key: str, memo: DataFrame | None = None, prefix: str = "") -> DataFrame:
     """One row: requests, hits, misses, hit_rate (0.0 with no requests),
     memo size before and after.  misses = distinct requested keys not yet in

@@ -61,13 +61,27 @@ def q_scan_corrupt(spark, sf):
     return SRC.scan_corrupt(spark, path).select("id", F.array_join("reasons", " | ").alias("reasons"))
 
 
+def _benchmark_items(spark, sf):
+    """Held-out passages of ``benchmark`` as items of their own file."""
+    b = table(spark, sf, "benchmark")
+    return b.select(
+        F.concat(F.lit("bench_"), F.col("item_id").cast("string")).alias("id"),
+        F.lit("benchmark").alias("topic"),
+        F.split_part(F.col("text"), F.lit("\n"), F.lit(1)).alias("statement"),
+        F.split(F.col("text"), "\n", -1).alias("steps"),
+        F.array().cast("array<string>").alias("imports"),
+        F.concat(F.lit("theorem "), F.col("text")).alias("theorem"),
+    )
+
+
 def q_scan_union_files(spark, sf):
-    it = items_v(spark, sf)
-    a, b = scratch_path(spark, "union_a"), scratch_path(spark, "union_b")
-    SNK.sink_jsonl(it.where(F.col("doc_id") % 2 == 0), a)
-    SNK.sink_jsonl(it.where(F.col("doc_id") % 2 == 1), b)
+    """Two item files -- the documents' items and the benchmark's -- read in
+    one multi-path scan, tagged by file."""
+    a, b = scratch_path(spark, "union_documents"), scratch_path(spark, "union_benchmark")
+    SNK.sink_jsonl(items_v(spark, sf), a)
+    SNK.sink_jsonl(_benchmark_items(spark, sf), b)
     df = SRC.scan_union_files(spark, [a, b])
-    return df.select("id", "topic")
+    return df.select("id", "topic", F.col("file").startswith("part-").alias("tagged"))
 
 
 def q_sink_jsonl(spark, sf):
@@ -142,7 +156,11 @@ SELECT x.id, x.topic FROM x JOIN se ON se.doc_id = x.doc_id
 WHERE se.steps_error IS NULL AND x.te IS NULL AND x.ie IS NULL"""
     ),
     "scan_items": with_views(_IT + "SELECT id, topic, statement, CAST(len(steps) AS INT) AS n_steps, theorem FROM it", "items_v"),
-    "scan_union_files": with_views("SELECT id, topic FROM items_v", "items_v"),
+    "scan_union_files": with_views(
+        "SELECT id, topic, true AS tagged FROM items_v "
+        "UNION ALL SELECT 'bench_' || CAST(item_id AS VARCHAR) AS id, 'benchmark' AS topic, true AS tagged FROM benchmark",
+        "items_v",
+    ),
     "sink_jsonl": "SELECT count(*) AS n_rows, count(DISTINCT doc_id) AS n_ids, sum(n_chars) AS sum_chars, "
                   "CAST(sum(length(text)) AS BIGINT) AS sum_length FROM documents",
     "sink_splits": _ITEM_ORACLES["split_summary"].replace(

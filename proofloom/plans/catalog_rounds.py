@@ -87,31 +87,33 @@ def _requests(spark, sf):
     return r.withColumn("gen_key", key).withColumn("content_key", TX.content_key("code"))
 
 
+ORDER = ["item_id", "attempt", "beam_index"]
+
+
 def q_memo_generation(spark, sf):
+    """Generation requests of all records; a key seen earlier in the run is
+    served from the memo."""
     req = _requests(spark, sf)
-    memo = req.where(F.col("item_id") % 2 == 0).select("gen_key")
-    todo = req.where(F.col("item_id") % 2 == 1)
-    return MM.with_memo_flag(todo, "gen_key", memo).select("item_id", "attempt", "beam_index", "gen_key", "from_memo")
+    return MM.mark_repeats(req, "gen_key", ORDER).select(*ORDER, "gen_key", "from_memo")
 
 
 def q_memo_check(spark, sf):
+    """Check requests of all records: each distinct code is checked once
+    (work list), every request gets its verdict; repeats come from the memo."""
     req = _requests(spark, sf)
-    prior = req.where(F.col("item_id") % 2 == 0)
-    memo = B.check_batch(MM.work_list(prior, "content_key", None, ["code"]), stub_checker_factory)
-    todo = req.where(F.col("item_id") % 2 == 1)
-    fresh = B.check_batch(MM.work_list(todo, "content_key", memo, ["code"]), stub_checker_factory)
-    verdicts = memo.select("content_key", "ok").unionByName(fresh.select("content_key", "ok"))
-    flagged = MM.with_memo_flag(todo, "content_key", memo)
-    return flagged.join(verdicts, "content_key", "left").select("item_id", "attempt", "beam_index", "content_key", "from_memo", "ok")
+    verdicts = B.check_batch(MM.work_list(req, "content_key", None, ["code"]), stub_checker_factory)
+    flagged = MM.mark_repeats(req, "content_key", ORDER)
+    return flagged.join(verdicts.select("content_key", "ok"), "content_key", "left").select(
+        *ORDER, "content_key", "from_memo", "ok"
+    )
 
 
 def q_memo_stats(spark, sf):
-    req = _requests(spark, sf)
-    prior, todo = req.where(F.col("item_id") % 2 == 0), req.where(F.col("item_id") % 2 == 1)
-    g = MM.memo_stats(todo, "gen_key", prior.select("gen_key"), prefix="generation_")
-    c = MM.memo_stats(todo, "content_key", prior.select("content_key"), prefix="check_")
     from ..operators.profile import one_row
 
+    req = _requests(spark, sf)
+    g = MM.memo_stats(req, "gen_key", None, prefix="generation_")
+    c = MM.memo_stats(req, "content_key", None, prefix="check_")
     out = one_row(g, c)
     return out.select(*[F.round(x, 6).alias(x) if x.endswith("hit_rate") else x for x in out.columns])
 
@@ -239,8 +241,6 @@ def _gen_sql(where: str, beams: str = "(VALUES (1, 1, 0.3)) t(attempt, beam_size
 _REQ = """
 , req AS (SELECT item_id, attempt, beam_index, code,
   {gk} AS gen_key, {ck} AS content_key FROM records_v)
-, prior AS (SELECT * FROM req WHERE item_id % 2 = 0)
-, todo AS (SELECT * FROM req WHERE item_id % 2 = 1)
 """.replace(
     "{gk}",
     D.sha16("code")
@@ -294,23 +294,24 @@ FROM sl LEFT JOIN ctx ON ctx.item_id = sl.item_id AND ctx.attempt = sl.attempt""
         "(VALUES (1, 3, 0.5)) t(attempt, beam_size, temperature)",
     ),
     "memo_generation": with_views(
-        _REQ + "SELECT item_id, attempt, beam_index, gen_key, gen_key IN (SELECT gen_key FROM prior) AS from_memo FROM todo", "records_v"
+        _REQ + "SELECT item_id, attempt, beam_index, gen_key, "
+        "row_number() OVER (PARTITION BY gen_key ORDER BY item_id, attempt, beam_index) > 1 AS from_memo FROM req",
+        "records_v",
     ),
     "memo_check": with_views(
-        _REQ + f"SELECT item_id, attempt, beam_index, content_key, content_key IN (SELECT content_key FROM prior) AS from_memo, {D.stub_ok('code')} AS ok FROM todo",
+        _REQ + "SELECT item_id, attempt, beam_index, content_key, "
+        f"row_number() OVER (PARTITION BY content_key ORDER BY item_id, attempt, beam_index) > 1 AS from_memo, {D.stub_ok('code')} AS ok FROM req",
         "records_v",
     ),
     "memo_stats": with_views(
         _REQ
         + """
-, gm AS (SELECT count(*) AS r, (SELECT count(DISTINCT gen_key) FROM todo WHERE gen_key NOT IN (SELECT gen_key FROM prior)) AS m,
-                (SELECT count(DISTINCT gen_key) FROM prior) AS b FROM todo)
-, cm AS (SELECT count(*) AS r, (SELECT count(DISTINCT content_key) FROM todo WHERE content_key NOT IN (SELECT content_key FROM prior)) AS m,
-                (SELECT count(DISTINCT content_key) FROM prior) AS b FROM todo)
+, gm AS (SELECT count(*) AS r, count(DISTINCT gen_key) AS m FROM req)
+, cm AS (SELECT count(*) AS r, count(DISTINCT content_key) AS m FROM req)
 SELECT gm.r AS generation_requests, gm.r - gm.m AS generation_hits, gm.m AS generation_misses,
-  round(coalesce(CAST(gm.r - gm.m AS DOUBLE) / nullif(gm.r, 0), 0.0), 6) AS generation_hit_rate, gm.b AS generation_size_before, gm.b + gm.m AS generation_size_after,
+  round(coalesce(CAST(gm.r - gm.m AS DOUBLE) / nullif(gm.r, 0), 0.0), 6) AS generation_hit_rate, 0 AS generation_size_before, gm.m AS generation_size_after,
   cm.r AS check_requests, cm.r - cm.m AS check_hits, cm.m AS check_misses,
-  round(coalesce(CAST(cm.r - cm.m AS DOUBLE) / nullif(cm.r, 0), 0.0), 6) AS check_hit_rate, cm.b AS check_size_before, cm.b + cm.m AS check_size_after
+  round(coalesce(CAST(cm.r - cm.m AS DOUBLE) / nullif(cm.r, 0), 0.0), 6) AS check_hit_rate, 0 AS check_size_before, cm.m AS check_size_after
 FROM gm, cm""",
         "records_v",
     ),
