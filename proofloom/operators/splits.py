@@ -5,11 +5,12 @@ and independent of partitioning (the exact Python shuffle order is not a
 goal; determinism and quotas are).
 
 Skew: a per-topic window would put a hot topic in one task.  Instead each
-item falls in a (topic, bucket) cell, the bucket being a prefix of its
-order hash; per-cell counts (partial/final aggregate, at most
-``16**bucket_chars`` rows per topic) give each cell's starting rank, and
-items are ranked only inside their cell.  Since the bucket is a prefix of
-the order key, cell order then in-cell order is the global topic order.
+distinct id falls in a (topic, bucket) cell, the bucket being a prefix of
+its order hash; per-cell counts (at most ``16**bucket_chars`` rows per
+topic) give each cell's starting rank, and ids are ranked only inside their
+cell.  Since the bucket is a prefix of the order key, cell order then
+in-cell order is the global topic order.  Copies of one id are numbered in
+salted windows (see ``assign_splits``).
 """
 
 from __future__ import annotations
@@ -60,27 +61,58 @@ def assign_splits(
     id_col: str = "id",
     topic: str = "topic",
     bucket_chars: int = 3,
+    salts: int = 64,
 ) -> DataFrame:
-    """Adds ``split`` (train/dev/test) and ``topic_rank`` (1-based)."""
+    """Adds ``split`` (train/dev/test) and ``topic_rank`` (1-based).
+
+    1. Rows are tagged at the scan with a row id and a salt (deterministic
+       because the scan's partitioning is).
+    2. One row per distinct (topic, key, id) with its copy count: a partial
+       aggregate, so copies of one id collapse map-side.
+    3. Groups are ranked inside (topic, hash-prefix) cells and offset by the
+       cells before them -- windows over distinct ids and over cells only.
+    4. Rows take their group's start rank (an equi-join AQE can split).
+    5. Copies of one id (rare) are numbered inside (group, salt) windows
+       offset by the salts before them, so even an id repeated in a third
+       of all rows is numbered by ``salts`` tasks.
+    """
     check_ratios(train_ratio, dev_ratio, test_ratio)
-    keyed = items.withColumn("_key", shuffle_key(F.col(id_col), seed)).withColumn(
-        "_bucket", F.substring("_key", 1, bucket_chars)
+    gkey = [topic, "_bucket", "_key", id_col]
+    keyed = (
+        items.withColumn("_rid", F.monotonically_increasing_id())
+        .withColumn("_salt", F.pmod(F.xxhash64("_rid"), F.lit(salts)))
+        .withColumn("_key", shuffle_key(F.col(id_col), seed))
+        .withColumn("_bucket", F.substring("_key", 1, bucket_chars))
     )
-    cells = keyed.groupBy(topic, "_bucket").agg(F.count(F.lit(1)).alias("_cnt"))
+    groups = keyed.groupBy(*gkey).agg(F.count(F.lit(1)).alias("_gn"))
+    cells = groups.groupBy(topic, "_bucket").agg(F.sum("_gn").alias("_cn"))
     # at most 16**bucket_chars rows per topic: a bounded window
     wt = Window.partitionBy(topic).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = cells.select(
+    cells = cells.select(
         topic, "_bucket",
-        F.coalesce(F.sum("_cnt").over(wt), F.lit(0)).alias("_offset"),
-        F.sum("_cnt").over(Window.partitionBy(topic)).alias("_n"),
+        F.coalesce(F.sum("_cn").over(wt), F.lit(0)).alias("_coff"),
+        F.sum("_cn").over(Window.partitionBy(topic)).alias("_n"),
     )
-    wc = Window.partitionBy(topic, "_bucket").orderBy("_key", id_col)
-    ranked = keyed.withColumn("_local", F.row_number().over(wc)).join(offsets, [topic, "_bucket"])
-    rank = F.col("_offset") + F.col("_local")
+    wg = Window.partitionBy(topic, "_bucket").orderBy("_key", id_col).rowsBetween(Window.unboundedPreceding, -1)
+    starts = groups.withColumn("_gstart", F.coalesce(F.sum("_gn").over(wg), F.lit(0))).join(cells, [topic, "_bucket"])
+    rows = keyed.join(starts.select(*gkey, "_gn", "_gstart", "_coff", "_n"), gkey)
+
+    singles = rows.where(F.col("_gn") == 1).withColumn("_idx", F.lit(0).cast("long"))
+    copies = rows.where(F.col("_gn") > 1)
+    per_salt = copies.groupBy(*gkey, "_salt").agg(F.count(F.lit(1)).alias("_sn"))
+    ws = Window.partitionBy(*gkey).orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)  # <= salts rows
+    salt_off = per_salt.select(*gkey, "_salt", F.coalesce(F.sum("_sn").over(ws), F.lit(0)).alias("_soff"))
+    wr = Window.partitionBy(*gkey, "_salt").orderBy("_rid")
+    copies = copies.join(salt_off, [*gkey, "_salt"]).withColumn(
+        "_idx", F.col("_soff") + F.row_number().over(wr) - 1
+    ).drop("_soff")
+
+    ranked = singles.unionByName(copies)
+    rank = F.col("_coff") + F.col("_gstart") + F.col("_idx") + 1
     n_train, n_dev = quotas(F.col("_n"), train_ratio, dev_ratio)
     split = F.when(rank <= n_train, F.lit(TRAIN)).when(rank <= n_train + n_dev, F.lit(DEV)).otherwise(F.lit(TEST))
     return ranked.withColumn("topic_rank", rank).withColumn("split", split).drop(
-        "_key", "_bucket", "_local", "_offset", "_n"
+        "_rid", "_salt", "_key", "_bucket", "_gn", "_gstart", "_coff", "_n", "_idx"
     )
 
 

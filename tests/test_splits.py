@@ -57,3 +57,17 @@ def test_ratio_check(spark):
 def test_quota_uses_doubles(spark):
     q = {r.topic: r for r in SP.split_quotas(_items(spark, {"t": 100}), 0.29, 0.21, 0.5).collect()}
     assert q["t"].n_train == int(100 * 0.29) == 28
+
+
+def test_hot_copies_of_one_id(spark):
+    rows = [("dup", "t")] * 2000 + [(f"u{i}", "t") for i in range(1000)]
+    df = SP.assign_splits(spark.createDataFrame(rows, "id string, topic string"), salts=8)
+    got = df.collect()
+    assert sorted(r.topic_rank for r in got) == list(range(1, 3001))
+    counts = {}
+    for r in got:
+        counts[r.split] = counts.get(r.split, 0) + 1
+    assert counts == {"train": 1800, "dev": 600, "test": 600}
+    # the copies occupy one contiguous block of ranks
+    dup = sorted(r.topic_rank for r in got if r.id == "dup")
+    assert dup == list(range(dup[0], dup[0] + 2000))
