@@ -74,12 +74,28 @@ def scan_numbered(spark: SparkSession, path: str) -> DataFrame:
     # one row per file block: a bounded window
     w = Window.partitionBy("file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     starts = blocks.select("file", "_block", "_rid0", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_before"))
-    # ``starts`` has one row per block; AQE broadcasts it when it is small
+    # ``starts`` has one row per file block.  Its size is bounded before any
+    # job runs: blocks <= input files + scan partitions.  Broadcasting it
+    # keeps the lines from being shuffled; past the cap AQE decides.
+    if _block_rows_bound(raw) * BLOCK_ROW_BYTES <= MAX_BLOCK_TABLE_BYTES:
+        starts = F.broadcast(starts)
     return raw.join(starts, ["file", "_block"]).select(
         "file", (F.col("_before") + (F.col("_rid") - F.col("_rid0")) + 1).alias("line_number"), "value"
     )
 
 
+BLOCK_ROW_BYTES = 512  # path + three longs, generously
+MAX_BLOCK_TABLE_BYTES = 256 * 1024 * 1024
+
+
+def _block_rows_bound(raw: DataFrame) -> int:
+    """Upper bound of (file, block) pairs of a file scan, from planning only."""
+    try:
+        return len(raw.inputFiles()) + raw.rdd.getNumPartitions()
+    except Exception:  # noqa: BLE001 -- unknown: let AQE decide
+        return MAX_BLOCK_TABLE_BYTES
+
+
 def _type_reasons(v: Column) -> list[Column]:
     """Strict types through VARIANT: Spark's JSON reader would coerce
     ``{"id": 5}`` to ``'5'``; the item model does not."""
