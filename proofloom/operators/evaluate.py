@@ -12,7 +12,49 @@ from pyspark.sql import functions as F
 
 from . import rounds as RD
 from .metrics import compute_metrics
-from .results import final_code, normalize_pass_k, pass_flags
+from ..functions.text import code_length
+from .results import final_code, normalize_pass_k, pass_flags, pass_map
+
+# Per-item lists in the report hold at most one entry per scheduled beam
+# slot (the sum of the beam sizes), so collecting them per item is bounded
+# by configuration, not by data.
+_ERROR_FIELDS = "category string, message string, line_number int, severity string, suggested_fixes array<string>"
+_ERRORS_TYPE = f"array<struct<{_ERROR_FIELDS}>>"
+_RECORDS_TYPE = (
+    "array<struct<attempt int, beam_index int, compiled boolean, compile_ok boolean, compile_stderr string, "
+    "is_valid boolean, generation_time double, code_length int, errors array<string>>>"
+)
+
+
+def _errors_per_item(errors: DataFrame) -> DataFrame:
+    """Primary errors of failing checks, in (attempt, beam, seq) order."""
+    e = F.col("primary_error")
+    entry = F.struct(
+        F.col("attempt"), F.col("beam_index"), F.col("seq"),
+        F.struct(e["category"].alias("category"), e["message"].alias("message"), e["line_number"].alias("line_number"),
+                 e["severity"].alias("severity"), e["suggested_fixes"].alias("suggested_fixes")).alias("error"),
+    )
+    return errors.groupBy("item_id").agg(
+        F.transform(F.array_sort(F.collect_list(entry)), lambda x: x["error"]).alias("errors")
+    )
+
+
+def _records_per_item(records: DataFrame) -> DataFrame:
+    """Candidate records in (attempt, beam, seq) order; compile_ok is null
+    when the candidate was not checked."""
+    entry = F.struct(
+        F.col("attempt"), F.col("beam_index"), F.col("seq"),
+        F.struct(
+            F.col("attempt"), F.col("beam_index"), F.col("compiled"),
+            F.when(F.col("compiled"), F.col("compile_ok")).alias("compile_ok"),
+            F.col("compile_stderr"), F.col("is_valid"),
+            F.col("generation_time").cast("double").alias("generation_time"),
+            code_length(F.col("code")).alias("code_length"), F.col("errors"),
+        ).alias("record"),
+    )
+    return records.groupBy("item_id").agg(
+        F.transform(F.array_sort(F.collect_list(entry)), lambda x: x["record"]).alias("candidate_records")
+    )
 
 
 @dataclass
@@ -79,12 +121,18 @@ def run_evaluation(
     )
     ev = RD.rounds_item_results(res, round_items, sch)
     ev = ev.select(*[c for c in ev.columns if not c.startswith("pass_at_")], *pass_flags(F.col("success_attempt"), ks))
-    errs = res.errors.groupBy("item_id").agg(F.count(F.lit(1)).alias("n_errors"))
     report = (
         ev.join(final_code(res.records), "item_id", "left")
-        .join(errs, "item_id", "left")
-        .withColumn("n_errors", F.coalesce("n_errors", F.lit(0)))
-        .withColumnRenamed("item_id", "id")
+        .join(_errors_per_item(res.errors), "item_id", "left")
+        .join(_records_per_item(res.records), "item_id", "left")
+        .select(
+            F.col("item_id").alias("id"), "success", "success_rank", "success_attempt", "attempts", "total_time",
+            pass_map(F.col("success_attempt"), ks).alias("pass_at_k"),
+            *[f"pass_at_{k}" for k in ks],
+            "final_code", "run_error",
+            F.coalesce("errors", F.array().cast(_ERRORS_TYPE)).alias("errors"),
+            F.coalesce("candidate_records", F.array().cast(_RECORDS_TYPE)).alias("candidate_records"),
+        )
     )
     return EvaluationReport(
         metrics=compute_metrics(ev, ks, quantiles=quantiles),

@@ -157,6 +157,12 @@ def test_run_evaluation(spark, tmp_dir):
     assert m.pass_at_5 >= m.pass_at_1 and m.compile_rate_at_1 == m.pass_at_1
     for r in items:
         assert (r.final_code is not None) == r.success
+        assert r.pass_at_k == {1: r.pass_at_1, 5: r.pass_at_5}
+        recs = r.candidate_records
+        assert [(c.attempt, c.beam_index) for c in recs] == sorted((c.attempt, c.beam_index) for c in recs)
+        assert len(recs) == (r.success_rank if r.success else len(recs))
+        assert all(c.compile_ok is None for c in recs if not c.compiled)
+        assert len(r.errors) == sum(1 for c in recs if c.compiled and not c.compile_ok and c.compile_stderr)
     out = os.path.join(tmp_dir, "report")
     rep.write(out)
     assert spark.read.json(f"{out}/summary").first().config.max_attempts == 5
