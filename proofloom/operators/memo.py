@@ -60,13 +60,16 @@ def memo_stats(requests: DataFrame, key: str, memo: DataFrame | None = None, pre
     """One row: requests, hits, misses, hit_rate (0.0 with no requests),
     memo size before and after.  misses = distinct requested keys not yet in
     the memo; hits = requests - misses."""
+    p = prefix
+    if memo is None:
+        # one pass: every distinct key is a miss, every repeat a hit
+        return run_stats(requests, {p: key})
     req = requests.select(key)
     n_req = req.agg(F.count(F.lit(1)).alias("r"))
     new_keys = work_list(req, key, memo).agg(F.count(F.lit(1)).alias("m"))
     before = (memo.select(key).dropDuplicates([key]) if memo is not None else req.limit(0)).agg(F.count(F.lit(1)).alias("b"))
     parts = n_req.unionByName(new_keys, allowMissingColumns=True).unionByName(before, allowMissingColumns=True)
     row = parts.agg(F.max("r").alias("r"), F.max("m").alias("m"), F.max("b").alias("b"))
-    p = prefix
     return row.select(
         F.col("r").alias(f"{p}requests"),
         (F.col("r") - F.col("m")).alias(f"{p}hits"),
@@ -75,3 +78,21 @@ def memo_stats(requests: DataFrame, key: str, memo: DataFrame | None = None, pre
         F.col("b").alias(f"{p}size_before"),
         (F.col("b") + F.col("m")).alias(f"{p}size_after"),
     )
+
+
+def run_stats(requests: DataFrame, keys: dict[str, str]) -> DataFrame:
+    """Stats of one run without an earlier memo, for several memo levels in
+    one aggregate (``{prefix: key column}``): misses are the distinct keys."""
+    n = F.count(F.lit(1))
+    cols = []
+    for p, key in keys.items():
+        m = F.count_distinct(F.col(key))
+        cols += [
+            n.alias(f"{p}requests"),
+            (n - m).alias(f"{p}hits"),
+            m.alias(f"{p}misses"),
+            F.coalesce(F.try_divide(n - m, n).cast("double"), F.lit(0.0)).alias(f"{p}hit_rate"),
+            F.lit(0).cast("long").alias(f"{p}size_before"),
+            m.alias(f"{p}size_after"),
+        ]
+    return requests.agg(*cols)

@@ -109,12 +109,8 @@ def q_memo_check(spark, sf):
 
 
 def q_memo_stats(spark, sf):
-    from ..operators.profile import one_row
-
     req = _requests(spark, sf)
-    g = MM.memo_stats(req, "gen_key", None, prefix="generation_")
-    c = MM.memo_stats(req, "content_key", None, prefix="check_")
-    out = one_row(g, c)
+    out = MM.run_stats(req, {"generation_": "gen_key", "check_": "content_key"})
     return out.select(*[F.round(x, 6).alias(x) if x.endswith("hit_rate") else x for x in out.columns])
 
 
