@@ -161,7 +161,7 @@ WHERE se.steps_error IS NULL AND x.te IS NULL AND x.ie IS NULL"""
         "UNION ALL SELECT 'bench_' || CAST(item_id AS VARCHAR) AS id, 'benchmark' AS topic, true AS tagged FROM benchmark",
         "items_v",
     ),
-    "sink_jsonl": "SELECT count(*) AS n_rows, count(DISTINCT doc_id) AS n_ids, sum(n_chars) AS sum_chars, "
+    "sink_jsonl": "SELECT count(*) AS n_rows, count(DISTINCT doc_id) AS n_ids, CAST(sum(n_chars) AS BIGINT) AS sum_chars, "
                   "CAST(sum(length(text)) AS BIGINT) AS sum_length FROM documents",
     "sink_splits": _ITEM_ORACLES["split_summary"].replace(
         "SELECT split, topic, count(*) AS n FROM sa GROUP BY GROUPING SETS ((split), (split, topic))",

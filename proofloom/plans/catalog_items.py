@@ -256,7 +256,7 @@ _VROWS = """
                 round(coalesce(CAST(count(*) FILTER (WHERE ok) AS DOUBLE) / nullif(count(*), 0), 0.0), 6) AS success_rate FROM es)
 , ds AS (SELECT (SELECT count(*) FROM docs) AS total_items, (SELECT count(DISTINCT id) FROM docs) AS unique_ids,
                 (SELECT count(*) FROM (SELECT id FROM docs GROUP BY id HAVING count(*) > 1)) AS n_duplicate_ids,
-                (SELECT coalesce(sum(c), 0) FROM (SELECT count(*) AS c FROM docs GROUP BY {h} HAVING count(*) > 1)) AS n_duplicate_content_items,
+                (SELECT CAST(coalesce(sum(c), 0) AS BIGINT) FROM (SELECT count(*) AS c FROM docs GROUP BY {h} HAVING count(*) > 1)) AS n_duplicate_content_items,
                 (SELECT count(DISTINCT topic) FROM docs) AS n_topics)
 """.replace("{h}", D.sha16(D.collapse("text")))
 
@@ -302,7 +302,7 @@ FROM items_v ORDER BY doc_id LIMIT {N_PREVIEW}""",
     "item_dump": with_views(
         _IT
         + """SELECT id, to_json({'id': id, 'topic': topic, 'english': {'statement': statement, 'steps': steps},
-                         'lean': {'imports': CAST([] AS VARCHAR[]), 'theorem': theorem}}) AS json FROM it""",
+                         'lean': {'imports': CAST([] AS VARCHAR[]), 'theorem': theorem}})::VARCHAR AS json FROM it""",
         "items_v",
     ),
     "duplicate_ids": "SELECT user_id AS id, count(*) AS n FROM events GROUP BY user_id HAVING count(*) > 1",

@@ -305,9 +305,9 @@ FROM sl LEFT JOIN ctx ON ctx.item_id = sl.item_id AND ctx.attempt = sl.attempt""
 , gm AS (SELECT count(*) AS r, count(DISTINCT gen_key) AS m FROM req)
 , cm AS (SELECT count(*) AS r, count(DISTINCT content_key) AS m FROM req)
 SELECT gm.r AS generation_requests, gm.r - gm.m AS generation_hits, gm.m AS generation_misses,
-  round(coalesce(CAST(gm.r - gm.m AS DOUBLE) / nullif(gm.r, 0), 0.0), 6) AS generation_hit_rate, 0 AS generation_size_before, gm.m AS generation_size_after,
+  round(coalesce(CAST(gm.r - gm.m AS DOUBLE) / nullif(gm.r, 0), 0.0), 6) AS generation_hit_rate, CAST(0 AS BIGINT) AS generation_size_before, gm.m AS generation_size_after,
   cm.r AS check_requests, cm.r - cm.m AS check_hits, cm.m AS check_misses,
-  round(coalesce(CAST(cm.r - cm.m AS DOUBLE) / nullif(cm.r, 0), 0.0), 6) AS check_hit_rate, 0 AS check_size_before, cm.m AS check_size_after
+  round(coalesce(CAST(cm.r - cm.m AS DOUBLE) / nullif(cm.r, 0), 0.0), 6) AS check_hit_rate, CAST(0 AS BIGINT) AS check_size_before, cm.m AS check_size_after
 FROM gm, cm""",
         "records_v",
     ),
