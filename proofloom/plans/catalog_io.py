@@ -4,7 +4,7 @@ folder under the session's checkpoint directory, then reads it back."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import checks as CK
@@ -15,9 +15,8 @@ from ..operators import splits as SP
 from ..session import scratch_path
 from ..sources import items as SRC
 from ..sources import sinks as SNK
-from . import duck as D
 from .bindings import items_v, records_v, table, with_views
-from .catalog_items import _ID_ERR, _THM_ERR, _docs, _iv, _report
+from .catalog_items import _ID_ERR, _THM_ERR, _iv, _report
 from .catalog_items import ORACLES as _ITEM_ORACLES
 from .catalog_results import ORACLES as _RESULT_ORACLES
 

@@ -3,10 +3,8 @@ and the stratified split (2.4), with DuckDB oracles."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .. import schema as S
 from ..operators import checks as CK
 from ..operators import profile as PF
 from ..operators import splits as SP

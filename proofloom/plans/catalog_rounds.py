@@ -4,11 +4,9 @@ rounds (2.7).  The model and checker are the deterministic stubs of
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schema as S
-from ..functions import prompts as PR
 from ..functions import text as TX
 from ..operators import batch as B
 from ..operators import classify as CL

@@ -7,7 +7,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schema as S
-from ..functions import errors as ER
 from ..functions import prompts as PR
 from ..functions import text as TX
 from ..operators import classify as CL
