@@ -79,3 +79,13 @@ def error_histogram(lines: DataFrame, by: tuple[str, ...] = ("attempt",)) -> Dat
     """Error lines per category (and ``by`` keys); partial aggregation makes a
     hot category cheap."""
     return lines.groupBy(*by, "category").agg(F.count(F.lit(1)).alias("n_errors"))
+
+
+def error_histogram_wide(lines: DataFrame, by: tuple[str, ...] = ("attempt",)) -> DataFrame:
+    """One row per ``by`` key, one count column per category.  The category
+    list is fixed, so ``pivot`` needs no extra job to find its values."""
+    from .. import schema as S
+
+    cats = [S.SYNTAX_ERROR, S.UNKNOWN_IDENTIFIER, S.TYPE_MISMATCH, S.TACTIC_FAILED, S.MISSING_PREMISE, S.OTHER]
+    wide = lines.groupBy(*by).pivot("category", cats).agg(F.count(F.lit(1)))
+    return wide.select(*by, *[F.coalesce(F.col(c), F.lit(0)).alias(c) for c in cats])

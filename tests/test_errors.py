@@ -111,3 +111,13 @@ def test_repair_prompt_inserts_values_verbatim(spark):
     got = df.select(PR.prompt_repair("c", "m", "k")).first()[0]
     want = S.REPAIR_TEMPLATES[S.TYPE_MISMATCH].format(identifier="", original_code="code {error_message}", error_message=msg).strip()
     assert got == want
+
+
+def test_error_histogram_wide(spark):
+    df = spark.createDataFrame([(1, STDERRS[0]), (1, STDERRS[1]), (2, STDERRS[4])], "attempt int, stderr string")
+    lines = CL.error_lines(df)
+    wide = {r.attempt: r for r in CL.error_histogram_wide(lines).collect()}
+    assert wide[1][S.TYPE_MISMATCH] == 1 and wide[1][S.SYNTAX_ERROR] == 1 and wide[1][S.TACTIC_FAILED] == 1
+    assert wide[1][S.OTHER] == 1 and wide[2][S.UNKNOWN_IDENTIFIER] == 1 and wide[2][S.MISSING_PREMISE] == 0
+    long = {(r.attempt, r.category): r.n_errors for r in CL.error_histogram(lines).collect()}
+    assert long[(1, S.TYPE_MISMATCH)] == 1
