@@ -10,6 +10,7 @@ from .. import schema as S
 from ..functions import prompts as PR
 from ..functions import text as TX
 from ..operators import classify as CL
+from ..operators import memo as MM
 from ..operators import replies as RP
 from ..operators.stages import where_computed
 from ..operators.rounds import RetrySchedule, schedule_column
@@ -100,17 +101,14 @@ def q_content_key(spark: SparkSession, sf: str) -> DataFrame:
     return r.select("item_id", "attempt", "beam_index", TX.content_key("code").alias("content_key"))
 
 
-def params_json(max_tokens, seed, temperature):
-    """Sorted-key JSON of the generation parameters."""
-    return F.to_json(F.struct(max_tokens.alias("max_tokens"), seed.alias("seed"), temperature.alias("temperature")))
-
-
 def q_params_key(spark: SparkSession, sf: str) -> DataFrame:
+    """Generation key per record: hash of the prompt (the record's code
+    stands in for it) joined to the hash of the sorted parameters."""
     r = records_v(spark, sf)
     sched = F.filter(schedule_column(RetrySchedule()), lambda s: s["attempt"] == F.col("attempt"))
     temp = F.element_at(sched, 1)["temperature"]
     seed = (F.col("attempt") * 100 + F.col("beam_index")).cast("int")
-    key = F.concat_ws("_", TX.sha16("code"), TX.sha16(params_json(F.lit(S.DEFAULT_MAX_TOKENS), seed, temp)))
+    key = MM.generation_key(F.col("code"), max_tokens=F.lit(S.DEFAULT_MAX_TOKENS), seed=seed, temperature=temp)
     return r.select("item_id", "attempt", "beam_index", key.alias("params_key"))
 
 
