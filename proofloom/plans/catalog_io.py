@@ -84,12 +84,16 @@ def q_scan_union_files(spark, sf):
 
 
 def q_sink_jsonl(spark, sf):
-    d = table(spark, sf, "documents")
+    """Items written as compact JSON lines, read back as typed items."""
     path = scratch_path(spark, "sink_jsonl")
-    SNK.sink_rows_jsonl(d, path)
-    back = spark.read.schema(d.schema).json(path)
-    return back.agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct("doc_id").alias("n_ids"),
-                    F.sum("n_chars").alias("sum_chars"), F.sum(F.length("text")).alias("sum_length"))
+    SNK.sink_jsonl(items_v(spark, sf), path)
+    back = SRC.scan_items(spark, path)
+    return back.agg(
+        F.count(F.lit(1)).alias("n_rows"),
+        F.count_distinct("id").alias("n_ids"),
+        F.sum(F.length("lean.theorem")).cast("long").alias("sum_theorem_length"),
+        F.sum(F.size("english.steps")).cast("long").alias("sum_steps"),
+    )
 
 
 def q_sink_splits(spark, sf):
@@ -160,8 +164,11 @@ WHERE se.steps_error IS NULL AND x.te IS NULL AND x.ie IS NULL"""
         "UNION ALL SELECT 'bench_' || CAST(item_id AS VARCHAR) AS id, 'benchmark' AS topic, true AS tagged FROM benchmark",
         "items_v",
     ),
-    "sink_jsonl": "SELECT count(*) AS n_rows, count(DISTINCT doc_id) AS n_ids, CAST(sum(n_chars) AS BIGINT) AS sum_chars, "
-                  "CAST(sum(length(text)) AS BIGINT) AS sum_length FROM documents",
+    "sink_jsonl": with_views(
+        _IT + "SELECT count(*) AS n_rows, count(DISTINCT id) AS n_ids, CAST(sum(length(theorem)) AS BIGINT) AS sum_theorem_length, "
+        "CAST(sum(len(steps)) AS BIGINT) AS sum_steps FROM it",
+        "items_v",
+    ),
     "sink_splits": _ITEM_ORACLES["split_summary"].replace(
         "SELECT split, topic, count(*) AS n FROM sa GROUP BY GROUPING SETS ((split), (split, topic))",
         "SELECT split, count(*) AS n FROM sa GROUP BY split",
