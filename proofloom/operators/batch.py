@@ -117,3 +117,26 @@ def check_batch(
             yield pd.DataFrame(rows, columns=["content_key", "ok", "stderr", "check_error", "check_time"])
 
     return src.mapInPandas(run, CHECK_SCHEMA)
+
+
+def check_records(cands: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """Candidate records from candidates (``checkable``, ``errors``,
+    ``content_key``) and checker verdicts keyed by content key.
+
+    A checkable candidate is compiled unless its check raised (``run_error``);
+    ``compile_stderr`` is the checker's stderr (null when empty) for compiled
+    candidates and, for the others, their validation errors joined by
+    ``'; '`` (null when there are none)."""
+    v = verdicts.select("content_key", "ok", "stderr", "check_error", "check_time")
+    rec = cands.join(v, "content_key", "left")
+    compiled = F.col("checkable") & F.col("check_error").isNull()
+    return rec.select(
+        *[c for c in cands.columns if c not in ("checkable",)],
+        compiled.alias("compiled"),
+        (compiled & F.coalesce(F.col("ok"), F.lit(False))).alias("compile_ok"),
+        F.when(compiled, F.when(F.col("stderr") != "", F.col("stderr"))).otherwise(
+            F.when(F.size("errors") > 0, F.array_join("errors", "; "))
+        ).alias("compile_stderr"),
+        F.when(F.col("checkable"), F.col("check_error")).alias("run_error"),
+        F.coalesce(F.when(compiled, F.col("check_time")), F.lit(0.0)).alias("check_time"),
+    )

@@ -125,15 +125,9 @@ def q_check_batch(spark, sf):
 
 
 def q_skip_invalid(spark, sf):
+    """Every reply becomes a record; only valid, non-blank code is checked."""
     c, v = _reply_records(spark, sf)
-    rec = c.join(v, "content_key", "left")
-    compiled = F.col("checkable")
-    return rec.select(
-        "conv_id", "turn", compiled.alias("compiled"),
-        (compiled & F.coalesce(F.col("ok"), F.lit(False))).alias("compile_ok"),
-        F.when(compiled, F.when(F.col("stderr") != "", F.col("stderr"))).otherwise(
-            F.when(F.size("errors") > 0, F.array_join("errors", "; "))).alias("compile_stderr"),
-    )
+    return B.check_records(c, v).select("conv_id", "turn", "compiled", "compile_ok", "compile_stderr")
 
 
 def q_stop_at_first_success(spark, sf):
