@@ -15,8 +15,11 @@ from ..functions.text import collapse_ws, normalized_hash
 MAX_FAILURES = 5
 
 
-def duplicate_ids(items: DataFrame, id_col: str = "id") -> DataFrame:
-    return items.groupBy(id_col).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
+def duplicate_ids(items: DataFrame, id_col: str = "id", seq: str | None = None) -> DataFrame:
+    """Ids occurring more than once, with their count (and, given ``seq``,
+    the position of their first occurrence) -- one partial/final aggregate."""
+    aggs = [F.count(F.lit(1)).alias("n")] + ([F.min(seq).alias(seq)] if seq else [])
+    return items.groupBy(id_col).agg(*aggs).where(F.col("n") > 1)
 
 
 def with_hash(items: DataFrame, text: str, out: str = "hash") -> DataFrame:

@@ -150,7 +150,7 @@ def q_dataset_verdict(spark, sf):
 
 def q_issue_samples(spark, sf):
     docs = _docs(spark, sf)
-    dups = PF.duplicate_ids(docs).join(docs.groupBy("id").agg(F.min("seq").alias("seq")), "id")
+    dups = PF.duplicate_ids(docs, seq="seq")
     fails = PF.verification_early_stop(_vrows(spark, sf)).where(~F.col("ok"))
     return PF.issue_samples(dups, fails)
 

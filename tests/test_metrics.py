@@ -112,3 +112,21 @@ def test_pass_k_arguments():
     with pytest.raises(ValueError):
         R.normalize_pass_k([0, 1])
     assert R.normalize_pass_k([5, 1, 5]) == (1, 5)
+
+
+def test_hot_item_evaluation(spark):
+    """One item holding most records: the first-success join and the
+    per-item aggregate give the same answer as a direct computation."""
+    rows = []
+    for a in range(1, 6):
+        for b in range(1200):
+            ok = a == 4 and b == 700
+            rows.append(("hot", a, b, b, True, ok, 1.0, f"c{a}_{b}"))
+    rows += [(f"i{i}", 1, 0, 0, True, i % 2 == 0, 2.0, "x") for i in range(50)]
+    rec = spark.createDataFrame(rows, REC_SCHEMA).repartition(7)
+    ev = {r.item_id: r for r in R.item_evaluation(rec).collect()}
+    hot = ev["hot"]
+    assert (hot.success, hot.success_attempt, hot.attempts) == (True, 4, 4)
+    assert hot.success_rank == 3 * 1200 + 701 == hot.candidate_total
+    assert hot.total_time == float(3 * 1200 + 701)
+    assert ev["i2"].success and not ev["i3"].success and ev["i3"].attempts == 5
