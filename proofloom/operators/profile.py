@@ -130,7 +130,7 @@ def verification_early_stop(rows: DataFrame, max_failures: int = MAX_FAILURES, s
     """Rows up to and including the ``max_failures``-th failure in ``seq``
     order.  The cut comes from an ordered limit over the failing rows (top-N
     per partition, then one merge of N rows per partition) -- no global
-    window -- and is applied as a filter against a one-row frame."""
+    window -- and is applied as a filter through a scalar subquery."""
     cut = (
         rows.where(~F.col("ok"))
         .select(seq)
@@ -138,8 +138,9 @@ def verification_early_stop(rows: DataFrame, max_failures: int = MAX_FAILURES, s
         .limit(max_failures)
         .agg(F.max(seq).alias("_cut"), F.count(F.lit(1)).alias("_n"))
     )
-    bound = cut.select(F.when(F.col("_n") >= max_failures, F.col("_cut")).alias("_cut"))
-    return rows.join(F.broadcast(bound), F.col("_cut").isNull() | (F.col(seq) <= F.col("_cut")), "inner").drop("_cut")
+    # a scalar subquery: computed once, then compared like a literal
+    bound = cut.select(F.when(F.col("_n") >= max_failures, F.col("_cut"))).scalar()
+    return rows.where(bound.isNull() | (F.col(seq) <= bound))
 
 
 def verification_summary(rows: DataFrame) -> DataFrame:
