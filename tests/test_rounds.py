@@ -84,7 +84,10 @@ def test_memo_reuse_across_runs(spark, tmp_dir):
     memo = f"{tmp_dir}/memo"
     a = RD.retry_rounds(spark, _items(spark), stub_model_factory, stub_checker_factory, sched, memo_dir=memo, work_dir=f"{tmp_dir}/a")
     first = a.call_counts().first()
-    b = RD.retry_rounds(spark, _items(spark), stub_model_factory, stub_checker_factory, sched, memo_dir=memo, work_dir=f"{tmp_dir}/b")
+    # the second run takes the large-memo path (written lookups)
+    b = RD.retry_rounds(spark, _items(spark), stub_model_factory, stub_checker_factory, sched, memo_dir=memo, work_dir=f"{tmp_dir}/b",
+                        memo_lookup_min_bytes=0)
+    assert any(e["stage"] == "memo_lookup" for e in b.log)
     second = b.call_counts().first()
     assert first.generation_calls > 0 and first.check_calls > 0
     # the second run only repeats failed generation calls (kept out of the memo)
