@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -40,6 +41,28 @@ def get_spark(master: str | None = None, app: str = "proofloom", **conf: str) ->
     return spark
 
 
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors once per application, so Python
+    stages find it from any working directory.  The archive is built on the
+    driver and served by Spark."""
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    archive = os.path.join(tempfile.mkdtemp(prefix="proofloom-ship-"), "proofloom.zip")
+    with zipfile.ZipFile(archive, "w") as z:
+        for folder, _, files in os.walk(root):
+            for f in files:
+                if f.endswith(".py"):
+                    path = os.path.join(folder, f)
+                    z.write(path, os.path.join("proofloom", os.path.relpath(path, root)))
+    spark.sparkContext.addPyFile(archive)
+    _shipped.add(app)
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for lineage cuts.
 
