@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["quality_rules", "topk", "mixing", "pieces"]
+MODULES = ["quality_rules", "licenses", "topk", "mixing", "pieces"]
 
 
 def _all(kind: str) -> dict:
