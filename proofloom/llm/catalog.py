@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["quality_rules", "simhash", "licenses", "topk", "mixing", "pieces"]
+MODULES = ["quality_rules", "simhash", "licenses", "topk", "mixing", "pieces", "suffixes"]
 
 
 def _all(kind: str) -> dict:
