@@ -15,11 +15,12 @@ same sort orders the bytes before the anchors, read backwards.  With the
 longest common prefixes of neighbours in both orders, two windows at offset o
 are equal exactly where both agree to the depths length - o and o.
 
-Spark deals anchors and records to buckets by gram; the number of buckets
-grows with the bytes.  Before each shuffle a batch keeps one entry per gram
+Spark deals anchors and records to buckets by gram, texts to parts by doc_id;
+the number of both grows with the bytes.  Before each shuffle a batch keeps one entry per gram
 (or per record) of its smallest document and resolves its other documents
 itself, so a gram that a third of all documents hold sends one entry per batch
-only.  Documents are shuffled once: both joins of their texts are by doc_id.
+only.  Texts are shuffled once: both times they are needed they are grouped by
+part in the same way.
 
 Null text: empty.  Rows with one doc_id are one document to each other: they
 remove nothing from one another.  Rows without a doc_id keep all bytes, and
@@ -30,6 +31,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,7 +39,7 @@ from .common import blocks, lanes, small_batches, table
 
 GRAM = 16
 SHALLOW = 24
-BUCKET_BYTES = 32 << 20  # text for each bucket
+PART_BYTES = 16 << 20  # text for each part and bucket
 M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -45,8 +47,8 @@ M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
 def gram_hashes(raw: np.ndarray) -> np.ndarray:
-    """64-bit hash of the GRAM bytes from each position on (zeros beyond the
-    end)."""
+    """48-bit hash of the GRAM bytes from each position on (zeros beyond the
+    end).  It chooses and groups; bytes decide what is equal."""
     x = lanes(raw)
     y = np.concatenate([x[8:], np.zeros(min(8, len(x)), np.uint64)])
     h = x * M1
@@ -54,7 +56,7 @@ def gram_hashes(raw: np.ndarray) -> np.ndarray:
     h += y * M2
     h ^= h >> np.uint64(32)
     h *= M1
-    return h ^ (h >> np.uint64(31))
+    return (h ^ (h >> np.uint64(31))) & np.uint64(0xFFFFFFFFFFFF)
 
 
 def anchors(raw: np.ndarray, off: np.ndarray, length: int):
@@ -65,7 +67,7 @@ def anchors(raw: np.ndarray, off: np.ndarray, length: int):
     if len(raw) < length:
         return none, none, none, none, none.view(np.uint64)
     h = gram_hashes(raw)
-    value, at = (h >> np.uint64(32)).astype(np.uint32), np.arange(len(h), dtype=np.int32)
+    value, at = (h >> np.uint64(16)).astype(np.uint32), np.arange(len(h), dtype=np.int32)
     width = 1
     while width < span:
         step = min(width, span - width)
@@ -217,6 +219,55 @@ def covered_offsets(group, doc, left, right, length):
 
 
 # --- Spark stages ----------------------------------------------------------
+#
+# What moves between stages is packed: one row holds arrays of many entries
+# for one bucket (a hash of the gram) or one part (a hash of the document).
+
+
+def pack(*arrays: np.ndarray | bytes) -> bytes:
+    """Arrays as one compressed value."""
+    import zstandard
+
+    raw = [x if isinstance(x, bytes) else x.tobytes() for x in arrays]
+    return zstandard.ZstdCompressor(level=1).compress(np.array([len(x) for x in raw], np.int64).tobytes() + b"".join(raw))
+
+
+def unpack(column: pa.ChunkedArray, *kinds) -> list:
+    """The arrays of all packed values of a column, each joined; a kind of
+    None gives bytes, 6 gives the numbers of six bytes each."""
+    import zstandard
+
+    parts: list[list] = [[] for _ in kinds]
+    for value in column.to_pylist():
+        raw = zstandard.ZstdDecompressor().decompress(value)
+        ends = np.cumsum(np.frombuffer(raw, np.int64, len(kinds))) + 8 * len(kinds)
+        for own, x, y in zip(parts, [8 * len(kinds), *ends.tolist()], ends.tolist()):
+            own.append(raw[x:y])
+    return [b"".join(x) if k is None else widened(b"".join(x)) if k == 6 else np.frombuffer(b"".join(x), k) for x, k in zip(parts, kinds)]
+
+
+def narrowed(keys: np.ndarray) -> bytes:
+    return np.ascontiguousarray(keys).view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def widened(raw: bytes) -> np.ndarray:
+    out = np.zeros((len(raw) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
+    return out.view(np.uint64).ravel()
+
+
+def part_of(ids, parts: int):
+    """A document's part, in numpy as in SQL (``part_column``)."""
+    return np.mod(ids, 2147483647) * 48271 % 2147483647 % parts
+
+
+def part_column(parts: int):
+    """Documents by a hash of the id; without one, by a hash of the text."""
+    return F.coalesce(F.expr(f"pmod(doc_id, 2147483647L) * 48271 % 2147483647 % {parts}"), F.pmod(F.xxhash64("text"), F.lit(parts))).cast("int")
+
+
+SENT = pa.schema([("bucket", pa.int32()), ("told", pa.bool_()), ("packed", pa.binary())])
+TOLD = pa.schema([("part", pa.int32()), ("packed", pa.binary())])
 
 
 def _cuts(keys: np.ndarray) -> np.ndarray:
@@ -224,18 +275,27 @@ def _cuts(keys: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1], [True]])) if len(keys) else np.zeros(1, int)
 
 
-def _flags(ids: np.ndarray, keys: np.ndarray, buckets: int) -> list[dict]:
-    """Rows that tell documents of shared grams, dealt by document."""
-    order = np.argsort(ids, kind="stable")
-    ids, keys = ids[order], keys[order]
-    cuts = _cuts(ids)
-    return [{"bucket": buckets + int(ids[a] % buckets), "doc": int(ids[a]), "ids": b"", "keys": keys[a:b].tobytes()} for a, b in zip(cuts[:-1], cuts[1:])]
+def _by(place: np.ndarray, make) -> list[tuple[int, bytes]]:
+    """(place, packed) for each place, from the rows that go there."""
+    order = np.argsort(place, kind="stable")
+    cuts = _cuts(place[order])
+    return [(int(place[order[x]]), make(order[x:y])) for x, y in zip(cuts[:-1], cuts[1:])]
+
+
+def _sent(rows: list[tuple[int, bool, bytes]]) -> pa.Table:
+    return pa.table({n: [r[i] for r in rows] for i, n in enumerate(SENT.names)}, SENT)
+
+
+def _told(group: pa.Table, rows: list[tuple[int, bytes]]) -> pa.Table:
+    """Rows for parts: those that passed through, and new ones."""
+    own = group.filter(group["told"])
+    found = pa.table({"part": [r[0] for r in rows], "packed": [r[1] for r in rows]}, TOLD)
+    return pa.concat_tables([pa.table([own["bucket"], own["packed"]], TOLD), found])
 
 
-def send_anchors(length: int, buckets: int):
-    """Rows by bucket: grams with the smallest document of the block that
-    holds them; documents that share a gram within the block are told now."""
-    schema = pa.schema([("bucket", pa.int32()), ("doc", pa.int64()), ("ids", pa.binary()), ("keys", pa.binary())])
+def send_anchors(length: int, parts: int):
+    """Grams by bucket, each with the smallest document of the block that
+    holds it; documents that share a gram within the block are told now."""
 
     def send(batches):
         for batch in batches:
@@ -246,53 +306,33 @@ def send_anchors(length: int, buckets: int):
                 ids = names[a:b][doc]
                 order = np.lexsort((ids, key))
                 ids, key = ids[order], key[order]
-                first = _cuts(key)[:-1]
-                least = np.repeat(ids[first], np.diff(np.concatenate([first, [len(key)]])))
-                other = ids != least
-                shared = np.unique(key[other])
-                told = other | (np.isin(key, shared) if len(shared) else False)
-                rows = _flags(ids[told], key[told], buckets)
+                cuts = _cuts(key)
+                first = cuts[:-1]
+                told = np.repeat(ids[first] != ids[cuts[1:] - 1], np.diff(cuts)) if len(key) else np.zeros(0, bool)
+                own, shared = ids[told], key[told]
+                rows = [(p, True, x) for p, x in _by(part_of(own, parts), lambda r: pack(own[r], narrowed(shared[r])))]  # noqa: B023
                 ids, key = ids[first], key[first]
-                bucket = (key % np.uint64(buckets)).astype(np.int64)
-                order = np.argsort(bucket, kind="stable")
-                ids, key, bucket = ids[order], key[order], bucket[order]
-                cuts = _cuts(bucket)
-                rows += [{"bucket": int(bucket[x]), "doc": None, "ids": ids[x:y].tobytes(), "keys": key[x:y].tobytes()} for x, y in zip(cuts[:-1], cuts[1:])]
-                if rows:
-                    yield pa.RecordBatch.from_pylist(rows, schema)
+                rows += [(p, False, x) for p, x in _by((key % np.uint64(parts)).astype(np.int64), lambda r: pack(ids[r], narrowed(key[r])))]  # noqa: B023
+                yield from _sent(rows).to_batches()
 
     return send
 
 
-def meet_anchors(buckets: int):
-    """(doc, keys) for every document that shares a gram with another one."""
+def meet_anchors(parts: int):
+    """Which documents share which grams, by part."""
 
     def meet(group: pa.Table) -> pa.Table:
-        told = group.filter(pa.compute.is_valid(group["doc"])).select(["doc", "keys"])
-        sent = group.filter(pa.compute.is_null(group["doc"]))
-        ids = np.frombuffer(b"".join(sent["ids"].to_pylist()), np.int64)
-        key = np.frombuffer(b"".join(sent["keys"].to_pylist()), np.uint64)
+        ids, key = unpack(group.filter(pa.compute.invert(group["told"]))["packed"], np.int64, 6)
         order = np.lexsort((ids, key))
         ids, key = ids[order], key[order]
         cuts = _cuts(key)
         many = np.repeat(ids[cuts[:-1]] != ids[cuts[1:] - 1], np.diff(cuts)) if len(key) else np.zeros(0, bool)
-        rows = _flags(ids[many], key[many], buckets)
-        found = pa.table({"doc": pa.array([r["doc"] for r in rows], pa.int64()), "keys": pa.array([r["keys"] for r in rows], pa.binary())})
-        return pa.concat_tables([told.cast(found.schema), found])
+        ids, key = ids[many], key[many]
+        return _told(group, _by(part_of(ids, parts), lambda r: pack(ids[r], narrowed(key[r]))))
 
     return meet
 
 
-def _spans(ids, low, high, bucket_of=None) -> list[dict]:
-    order = np.lexsort((low, ids))
-    ids, low, high = ids[order], low[order], high[order]
-    cuts = _cuts(ids)
-    return [{"doc": int(ids[a]), "spans": np.stack([low[a:b], high[a:b]], 1).astype(np.int32).tobytes()} for a, b in zip(cuts[:-1], cuts[1:])]
-
-
-RECORD = pa.schema([("bucket", pa.int32()), ("doc", pa.int64()), ("spans", pa.binary()), ("ids", pa.binary()), ("keys", pa.binary()), ("heads", pa.binary()), ("sizes", pa.binary()), ("lefts", pa.binary()), ("data", pa.binary())])
-
-
 def first_of_equal(ids, keys, data: list[bytes]):
     """Which records are the smallest document's among those with the same
     gram and bytes (all its places), and which belong to a larger document."""
@@ -307,103 +347,106 @@ def first_of_equal(ids, keys, data: list[bytes]):
     return np.flatnonzero(~later), later
 
 
-def send_records(length: int, buckets: int):
-    """Records of shared anchors by bucket of their gram.  Within a block,
-    equal records of larger documents are resolved to spans at once."""
+def send_records(length: int, parts: int):
+    """From a part's texts and shared grams: records of the shared anchors by
+    bucket of their gram.  Within a block, equal records of larger documents
+    are resolved to spans at once."""
 
-    def send(batches):
-        for batch in batches:
-            batch = batch.filter(batch.column(2).is_valid())
-            names = batch.column(0).to_numpy(zero_copy_only=False)
-            lists = batch.column(2)
-            for a, b, raw, off in blocks(batch.column(1)):
+    def send(texts: pa.Table, told: pa.Table) -> pa.Table:
+        spread = lambda k, d: k ^ (d.astype(np.uint64) * M2)
+        shared = np.unique(spread(*unpack(told["packed"], np.int64, 6)[::-1]))
+        rows = []
+        for batch in texts.filter(pa.compute.is_valid(texts["doc_id"])).to_batches():
+            names = batch.column("doc_id").to_numpy(zero_copy_only=False)
+            for a, b, raw, off in blocks(batch.column("text")):
                 doc, at, low, high, key = anchors(raw, off, length)
-                shared = [np.frombuffer(b"".join(x), np.uint64) for x in lists.slice(a, b - a).to_pylist()]
-                spread = lambda k, d: k ^ (d.astype(np.uint64) * M2)
-                mine = np.concatenate([spread(k, np.full(len(k), d)) for d, k in enumerate(shared)]) if shared else np.zeros(0, np.uint64)
-                keep = np.isin(spread(key, doc), mine)
+                mine = spread(key, names[a:b][doc])
+                keep = np.zeros(len(mine), bool)
+                if len(shared):
+                    keep = shared[np.minimum(np.searchsorted(shared, mine), len(shared) - 1)] == mine
                 doc, at, low, high, key = (x[keep] for x in (doc, at, low, high, key))
                 if not len(doc):
                     continue
                 whole = raw.tobytes()
                 data = [whole[x:y] for x, y in zip(low.tolist(), (high + length).tolist())]
-                ids, heads, lefts = names[a:b][doc], low - off[doc], at - low
+                ids, heads, lefts = names[a:b][doc], (low - off[doc]).astype(np.int32), (at - low).astype(np.uint8)
+                sizes = (high - low + length).astype(np.int32)
                 first, later = first_of_equal(ids, key, data)
-                rows = [dict.fromkeys(RECORD.names) | {"bucket": buckets + r["doc"] % buckets} | r for r in _spans(ids[later], heads[later], (heads + high - low + length)[later])]
-                bucket = (key[first] % np.uint64(buckets)).astype(np.int64)
-                order = np.argsort(bucket, kind="stable")
-                first, bucket = first[order], bucket[order]
-                cuts = _cuts(bucket)
-                for x, y in zip(cuts[:-1], cuts[1:]):
-                    f = first[x:y]
-                    own = [data[i] for i in f]
-                    rows.append({
-                        "bucket": int(bucket[x]), "doc": None, "spans": None, "ids": ids[f].tobytes(), "keys": key[f].tobytes(), "heads": heads[f].astype(np.int32).tobytes(),
-                        "sizes": np.fromiter(map(len, own), np.uint8, len(own)).tobytes(), "lefts": lefts[f].astype(np.uint8).tobytes(), "data": b"".join(own),
-                    })
-                yield pa.RecordBatch.from_pylist(rows, RECORD)
+                if later.any():
+                    rows.append((int(part_of(ids[:1], parts)[0]), True, pack(ids[later], heads[later], (heads + sizes)[later])))
+
+                def record(r):
+                    f = first[r]  # noqa: B023
+                    return pack(ids[f], narrowed(key[f]), heads[f], sizes[f].astype(np.uint8), lefts[f], b"".join([data[i] for i in f]))  # noqa: B023
+
+                rows += [(p, False, x) for p, x in _by((key[first] % np.uint64(parts)).astype(np.int64), record)]
+        return _sent(rows)
 
     return send
 
 
-def meet_records(length: int):
-    """(doc, spans): the windows of each bucket's records that a smaller
-    document has too."""
+def meet_records(length: int, parts: int):
+    """Windows of a bucket's records that a smaller document has too, as spans
+    by part."""
 
     def meet(group: pa.Table) -> pa.Table:
-        told = group.filter(pa.compute.is_valid(group["doc"])).select(["doc", "spans"])
-        sent = group.filter(pa.compute.is_null(group["doc"]))
-        get = lambda name, kind: np.frombuffer(b"".join(sent[name].to_pylist()), kind)
-        ids, key, heads = get("ids", np.int64), get("keys", np.uint64), get("heads", np.int32).astype(np.int64)
-        sizes, lefts = get("sizes", np.uint8).astype(np.int64), get("lefts", np.uint8).astype(np.int64)
-        whole, ends = b"".join(sent["data"].to_pylist()), np.cumsum(sizes).tolist()
+        sent = group.filter(pa.compute.invert(group["told"]))
+        ids, key, heads, sizes, lefts, whole = unpack(sent["packed"], np.int64, 6, np.int32, np.uint8, np.uint8, None)
+        ends = np.cumsum(sizes, dtype=np.int64).tolist()
         data = [whole[x:y] for x, y in zip([0, *ends], ends)]
         first, later = first_of_equal(ids, key, data)
-        rows = _spans(ids[later], heads[later], (heads + sizes)[later])
-        # Grams with one content or one document are done.
+        spans = [(ids[later], heads[later], (heads + sizes)[later].astype(np.int32))]
+        # Grams of one document are done.
         by = first[np.argsort(key[first], kind="stable")]
         cuts = _cuts(key[by])
-        rest = []
-        for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
-            if y - x > 1 and (ids[by[x:y]] != ids[by[x]]).any():
-                rest.append(by[x:y])
-        if rest:
-            r = np.concatenate(rest)
-            gram = np.repeat(np.arange(len(rest)), [len(x) for x in rest])
+        one = np.minimum.reduceat(ids[by], cuts[:-1]) == np.maximum.reduceat(ids[by], cuts[:-1]) if len(by) else np.zeros(0, bool)
+        gram = np.repeat(np.arange(len(one)), np.diff(cuts))
+        rest = ~np.repeat(one, np.diff(cuts))
+        r, gram = by[rest], gram[rest]
+        if len(r):
             left, right = [data[i][: lefts[i]] for i in r], [data[i][lefts[i] :] for i in r]
             hit, offset = covered_offsets(gram, ids[r], left, right, length)
-            start = heads[r[hit]] + lefts[r[hit]] - offset
-            rows += _spans(ids[r[hit]], start, start + length)
-        found = pa.table({"doc": pa.array([r["doc"] for r in rows], pa.int64()), "spans": pa.array([r["spans"] for r in rows], pa.binary())})
-        return pa.concat_tables([told.cast(found.schema), found])
+            start = (heads[r[hit]] + lefts[r[hit]] - offset).astype(np.int32)
+            spans.append((ids[r[hit]], start, start + np.int32(length)))
+        doc, low, high = joined(*(np.concatenate(x) for x in zip(*spans)))
+        return _told(group, _by(part_of(doc, parts), lambda r: pack(doc[r], low[r], high[r])))
 
     return meet
 
 
-def remove_spans(batches):
-    """(doc_id, n_bytes, spans, kept) with spans merged to maximal runs."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("kept", pa.binary())])
-    for batch in batches:
-        rows = []
-        for doc, text, found in zip(*(batch.column(i).to_pylist() for i in range(3))):
-            raw = (text or "").encode()
-            runs: list[list[int]] = []
-            if found:
-                pairs = np.frombuffer(b"".join(found), np.int32).reshape(-1, 2)
-                for low, high in pairs[np.argsort(pairs[:, 0], kind="stable")].tolist():
-                    if runs and low <= runs[-1][1]:
-                        runs[-1][1] = max(runs[-1][1], high)
-                    else:
-                        runs.append([low, high])
-            kept, at = [], 0
-            for low, high in runs:
-                kept.append(raw[at:low])
-                at = high
-            rows.append({"doc_id": doc, "n_bytes": len(raw), "spans": [{"start": x, "end": y} for x, y in runs], "kept": b"".join([*kept, raw[at:]])})
-        yield pa.RecordBatch.from_pylist(rows, schema)
-
-
-def remove_repeats(docs: DataFrame, length: int = 50, text: str = "text", bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+def joined(doc, low, high):
+    """Spans of each document merged where they touch, ordered."""
+    order = np.lexsort((low, doc))
+    doc, low, high = doc[order], low[order].astype(np.int64), high[order].astype(np.int64)
+    if not len(doc):
+        return doc, low.astype(np.int32), high.astype(np.int32)
+    # Ends so far within the document: documents are laid far apart.
+    rank = np.cumsum(np.concatenate([[0], doc[1:] != doc[:-1]]))
+    apart = rank * (int(high.max()) + 2)
+    reach = np.maximum.accumulate(high + apart)
+    new = np.concatenate([[True], low[1:] + apart[1:] > reach[:-1]])
+    first = np.flatnonzero(new)
+    last = np.concatenate([first[1:] - 1, [len(doc) - 1]])
+    return doc[first], low[first].astype(np.int32), (reach[last] - apart[last]).astype(np.int32)
+
+
+KEPT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("kept", pa.binary())])
+
+
+def remove_spans(texts: pa.Table, told: pa.Table) -> pa.Table:
+    """(doc_id, n_bytes, spans, kept) of a part's documents."""
+    doc, low, high = joined(*unpack(told["packed"], np.int64, np.int32, np.int32))
+    rows = []
+    for name, text in zip(texts["doc_id"].to_pylist(), texts["text"].to_pylist()):
+        raw = text.encode()
+        a, b = (0, 0) if name is None else np.searchsorted(doc, [name, name + 1])
+        runs = list(zip(low[a:b].tolist(), high[a:b].tolist()))
+        kept = b"".join(raw[x:y] for x, y in zip([0, *(h for _, h in runs)], [*(l for l, _ in runs), len(raw)])) if runs else raw
+        rows.append({"doc_id": name, "n_bytes": len(raw), "spans": [{"start": x, "end": y} for x, y in runs], "kept": kept})
+    return pa.Table.from_pylist(rows, KEPT)
+
+
+def remove_repeats(docs: DataFrame, length: int = 50, text: str = "text", part_bytes: int = PART_BYTES) -> DataFrame:
     """doc_id, n_bytes, spans (removed runs: start, end in bytes), kept (the
     remaining bytes) of every row.  ``length`` is from 24 to 200."""
     if not 24 <= length <= 200:
@@ -411,18 +454,14 @@ def remove_repeats(docs: DataFrame, length: int = 50, text: str = "text", bucket
     small_batches(docs.sparkSession, 500)
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     total = d.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(8, -(-total // bucket_bytes))
-    sent = d.mapInArrow(send_anchors(length, buckets), "bucket int, doc long, ids binary, keys binary")
-    shared = sent.groupBy("bucket").applyInArrow(meet_anchors(buckets), "doc long, keys binary")
-    shared = shared.groupBy(F.col("doc").alias("of")).agg(F.collect_list("keys").alias("found"))
-    # Left joins on one key and one pair of columns: the texts' shuffle of the
-    # first join serves the second one too.
-    near = d.join(shared, F.col("doc_id") == F.col("of"), "left").select("doc_id", "text", "found")
-    records = near.mapInArrow(send_records(length, buckets), "bucket int, doc long, spans binary, ids binary, keys binary, heads binary, sizes binary, lefts binary, data binary")
-    spans = records.groupBy("bucket").applyInArrow(meet_records(length), "doc long, spans binary")
-    spans = spans.groupBy(F.col("doc").alias("of")).agg(F.collect_list("spans").alias("found"))
-    last = d.join(spans, F.col("doc_id") == F.col("of"), "left").select("doc_id", "text", "found")
-    return last.mapInArrow(remove_spans, "doc_id long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary")
+    parts = max(8, -(-total // part_bytes))
+    sent, told = "bucket int, told boolean, packed binary", "part int, packed binary"
+    shared = d.mapInArrow(send_anchors(length, parts), sent).groupBy("bucket").applyInArrow(meet_anchors(parts), told)
+    # Texts are shuffled by part once: both cogroups use the same exchange.
+    texts = d.select(part_column(parts).alias("part"), "doc_id", "text").groupBy("part")
+    records = texts.cogroup(shared.groupBy("part")).applyInArrow(send_records(length, parts), sent)
+    spans = records.groupBy("bucket").applyInArrow(meet_records(length, parts), told)
+    return texts.cogroup(spans.groupBy("part")).applyInArrow(remove_spans, "doc_id long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary")
 
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
