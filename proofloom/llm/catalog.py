@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["quality_rules", "toxicity", "passages", "simhash", "licenses", "topk", "mixing", "pieces", "suffixes"]
+MODULES = ["quality_rules", "toxicity", "passages", "simhash", "licenses", "topk", "mixing", "pieces", "personal", "suffixes"]
 
 
 def _all(kind: str) -> dict:
