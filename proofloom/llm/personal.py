@@ -157,12 +157,13 @@ def count_potentials(docs: DataFrame, text: str = "text") -> tuple[dict, np.ndar
                     c.update(("skip", str(label[i]), str(label[j])) for i, j in skip)
             yield pd.DataFrame([(*k, n) for k, n in c.items()], columns=["what", "a", "b", "n"])
 
+    small_batches(docs.sparkSession, 500)
     rows = docs.select(F.col(text).alias("t")).mapInPandas(count, "what string, a string, b string, n long").groupBy("what", "a", "b").agg(F.sum("n").alias("n")).collect()
     k = len(LABELS)
-    rare = np.full(k, 0.1 / (k - 1))  # where little is seen, a token is none
-    rare[0] = 0.9
+    rare = np.full(k, 0.2 / (k - 1))  # where little is seen, a token is none
+    rare[0] = 0.8
     seen: dict[str, np.ndarray] = {}
-    pairs = {"chain": np.full((k, k), 0.5), "skip": np.full((k, k), 0.05) + np.eye(k) * 20}
+    pairs = {"chain": np.full((k, k), 0.5), "skip": np.full((k, k), 0.01) + np.eye(k) * 100}
     for r in rows:
         if r["what"] == "token":
             seen.setdefault(r["a"], np.zeros(k))[int(r["b"])] += r["n"]
@@ -173,7 +174,7 @@ def count_potentials(docs: DataFrame, text: str = "text") -> tuple[dict, np.ndar
 
     def ratio(n):
         p = n / n.sum()
-        return np.clip(np.log(p / np.outer(p.sum(1), p.sum(0))), -6, 6)
+        return np.clip(np.log(p / np.outer(p.sum(1), p.sum(0))), -8, 8)
 
     return unary, ratio(pairs["chain"]), ratio(pairs["skip"] + pairs["skip"].T)
 
@@ -240,7 +241,6 @@ def spans_of(text: str, unary: dict, chain_pot: np.ndarray, skip_pot: np.ndarray
 def find_spans(docs: DataFrame, text: str = "text", spans: str = "pii", sure: float = 0.9) -> DataFrame:
     """``docs`` with an array of spans (kind, start, end, base), by kind, then
     start."""
-    small_batches(docs.sparkSession, 500)
     model = count_potentials(docs, text)
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("base", pa.bool_())]))
 
