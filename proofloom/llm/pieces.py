@@ -7,8 +7,7 @@ library, and ids are joined back to the chunks' positions by an index gather.
 
 The chunk table lives in the Python worker and serves all batches of a task.
 It holds at most ``TABLE_CHUNKS`` chunks and starts anew when full, so memory
-is bounded whatever the text.  Chunks longer than ``LONG_CHUNK`` characters
-are segmented but not kept.  A global table joined by shuffles would move
+is bounded whatever the text.  A global table joined by shuffles would move
 every word position twice, some six times the input's bytes.
 """
 
@@ -23,8 +22,7 @@ from pyspark.sql import functions as F
 
 from .common import small_batches, table
 
-TABLE_CHUNKS = 300_000
-LONG_CHUNK = 64
+TABLE_CHUNKS = 150_000
 MARK = "▁"
 
 _processors: dict[str, object] = {}
@@ -51,8 +49,22 @@ def words_apart(model: str) -> bool:
     return all(sp.normalize(t) == MARK + t.replace(" ", MARK) for t in probes)
 
 
+class _Numbers(dict):
+    """Chunk -> number; a new chunk gets the next number and is noted."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, chunk: str) -> int:
+        n = self[chunk] = len(self)
+        self.new.append(chunk)
+        return n
+
+
 class ChunkTable:
-    """Distinct chunk -> ids, filled on demand by the library."""
+    """Distinct chunk -> ids, filled on demand by the library.  A chunk is
+    held without its first marker, which the library puts in front itself."""
 
     def __init__(self, model: str, most: int = TABLE_CHUNKS):
         self.sp, self.most = processor(model), most
@@ -62,14 +74,19 @@ class ChunkTable:
         self.clear()
 
     def clear(self) -> None:
-        self.index: dict[str, int] = {}
-        self.ids: list[list[int]] = []
-
-    def segment(self, chunks: list[str]) -> list[list[int]]:
-        """ids of chunks that each begin with one space at least (the library
-        puts one marker in front itself)."""
-        ids = self.sp.encode([c[1:] for c in chunks], num_threads=1)
-        return [x if len(c) > 1 else self.lone for c, x in zip(chunks, ids)]
+        self.numbers = _Numbers()
+        self.ids = np.zeros(0, np.int32)
+        self.starts = np.zeros(1, np.int64)
+
+    def fill(self) -> None:
+        """Segment the chunks noted as new."""
+        new, self.numbers.new = self.numbers.new, []
+        lists = self.sp.encode(new, num_threads=1)
+        if "" in new:
+            lists[new.index("")] = self.lone
+        lengths = np.fromiter(map(len, lists), np.int64, len(lists))
+        self.ids = np.concatenate([self.ids, np.fromiter(itertools.chain.from_iterable(lists), np.int32, int(lengths.sum()))])
+        self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(lengths)])
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(offsets, ids) of the texts."""
@@ -78,52 +95,40 @@ class ChunkTable:
             lengths = np.fromiter(map(len, lists), np.int64, len(lists))
             flat = np.fromiter(itertools.chain.from_iterable(lists), np.int32, int(lengths.sum()))
             return np.concatenate([[0], np.cumsum(lengths)]), flat
-        if len(self.index) > self.most:
+        if len(self.numbers) > self.most or len(self.ids) > 16 * self.most:
             self.clear()
-        chunks: list[str] = []
-        counts = np.zeros(len(texts), np.int64)
-        for i, text in enumerate(texts):
-            if text:
-                own = marked_words(text)
-                counts[i] = len(own)
-                chunks += own
-        index = self.index
-        new = [c for c in dict.fromkeys(chunks) if c not in index]
-        first = len(self.ids)
-        index.update(zip(new, range(first, first + len(new))))
-        self.ids += self.segment(new)
-        at = np.fromiter(map(index.__getitem__, chunks), np.int64, len(chunks))
-        used, where = np.unique(at, return_inverse=True)
-        lists = [self.ids[u] for u in used]
-        lengths = np.fromiter(map(len, lists), np.int64, len(lists))
-        flat = np.fromiter(itertools.chain.from_iterable(lists), np.int32, int(lengths.sum()))
-        starts = np.concatenate([[0], np.cumsum(lengths)])[:-1]
-        size = lengths[where]
+        chunks = [marked_words(t) for t in texts]
+        counts = np.fromiter(map(len, chunks), np.int64, len(chunks))
+        at = np.fromiter(map(self.numbers.__getitem__, itertools.chain.from_iterable(chunks)), np.int64, int(counts.sum()))
+        if self.numbers.new:
+            self.fill()
+        size = self.starts[at + 1] - self.starts[at]
         ends = np.cumsum(size)
-        gather = np.arange(int(size.sum())) + np.repeat(starts[where] - (ends - size), size)
-        chunk_ends = np.concatenate([[0], ends])
-        offsets = chunk_ends[np.concatenate([[0], np.cumsum(counts)])]
-        if any(len(c) > LONG_CHUNK for c in new):
-            for c in [c for c in new if len(c) > LONG_CHUNK]:
-                self.ids[index.pop(c)] = []
-        return offsets, flat[gather]
+        gather = np.arange(int(size.sum())) + np.repeat(self.starts[at] - (ends - size), size)
+        offsets = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])]
+        return offsets, self.ids[gather]
 
 
 def marked_words(text: str) -> list[str]:
-    """The text with a marker in front, cut before each run of markers; a
-    marker character in the text is a marker as a space is."""
-    text = " " + text.replace(MARK, " ")
+    """The text with a marker in front, cut before each run of markers, each
+    chunk without its first marker; a marker character in the text is a marker
+    as a space is.  The empty text has no chunk."""
+    if not text:
+        return []
+    if MARK in text:
+        text = text.replace(MARK, " ")
     parts = text.split(" ")
-    if "" not in parts[1:]:
-        return [" " + p for p in parts[1:]]
+    if "" not in parts:
+        return parts
     out, run = [], 0
-    for p in parts[1:]:
-        run += 1
+    for p in parts:
         if p:
             out.append(" " * run + p)
             run = 0
+        else:
+            run += 1
     if run:
-        out.append(" " * run)
+        out.append(" " * (run - 1))
     return out
 
 
@@ -167,13 +172,13 @@ def decode_column(ids, model: str):
 def encode_documents(docs: DataFrame, model: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """``docs`` with the ids of every whole text, as the library's encode()
     gives them without begin and end ids."""
-    small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession, 250)
     return docs.withColumn(ids, encode_column(F.col(text).cast("string"), model))
 
 
 def decode_documents(docs: DataFrame, model: str, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
     """``docs`` with the library's decode() of the ids."""
-    small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession, 250)
     return docs.withColumn(decoded, decode_column(F.col(ids), model))
 
 
