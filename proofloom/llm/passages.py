@@ -186,7 +186,7 @@ def score_column(text, model: Model | None, constant: float):
     @F.arrow_udf("double")
     def score(texts: pa.Array) -> pa.Array:
         out = []
-        for _, _, raw, off in blocks(texts):
+        for _, _, raw, off in blocks(texts, 1 << 18):
             n = len(off) - 1
             out.append(np.full(n, constant) if model is None else sigmoid(model.logits(*encode(raw, off), n).astype(float)))
         return pa.array(np.concatenate(out) if out else np.zeros(0), pa.float64())

@@ -138,7 +138,7 @@ def score_column(text, weights: np.ndarray, bias: float):
         on = w != 0
         out = []
         padded = pa.array([f" {t or ''} " for t in texts.to_pylist()], pa.large_string())
-        for _, _, raw, off in blocks(padded):
+        for _, _, raw, off in blocks(padded, 1 << 18):
             n = len(off) - 1
             logit = np.full(n, bias)
             hits = []
