@@ -23,7 +23,7 @@ only.  Texts are shuffled once: both times they are needed they are grouped by
 part in the same way.
 
 Null text: empty.  Rows with one doc_id are one document to each other: they
-remove nothing from one another.  Rows without a doc_id keep all bytes, and
+remove nothing from one another, and each loses its own bytes.  Rows without a doc_id keep all bytes, and
 take none from others.
 """
 
@@ -347,6 +347,22 @@ def first_of_equal(ids, keys, data: list[bytes]):
     return np.flatnonzero(~later), later
 
 
+def bases(names: np.ndarray, texts: list[str]) -> np.ndarray:
+    """Where each row's text begins in its document's coordinates: 0, or,
+    should a doc_id stand on rows with other texts, after the texts before it
+    (in their own order).  A part holds all rows of an id."""
+    out = np.zeros(len(names), np.int64)
+    ids, inverse, n = np.unique(names, return_inverse=True, return_counts=True)
+    for k in np.flatnonzero(n > 1):
+        rows = np.flatnonzero(inverse == k)
+        at, begin = 0, {}
+        for t in sorted({texts[i] for i in rows}):
+            begin[t] = at
+            at += len(t.encode()) + 1
+        out[rows] = [begin[texts[i]] for i in rows]
+    return out
+
+
 def send_records(length: int, parts: int):
     """From a part's texts and shared grams: records of the shared anchors by
     bucket of their gram.  Within a block, equal records of larger documents
@@ -356,8 +372,12 @@ def send_records(length: int, parts: int):
         spread = lambda k, d: k ^ (d.astype(np.uint64) * M2)
         shared = np.unique(spread(*unpack(told["packed"], np.int64, 6)[::-1]))
         rows = []
-        for batch in texts.filter(pa.compute.is_valid(texts["doc_id"])).to_batches():
-            names = batch.column("doc_id").to_numpy(zero_copy_only=False)
+        texts = texts.filter(pa.compute.is_valid(texts["doc_id"]))
+        begin = bases(texts["doc_id"].to_numpy(), texts["text"].to_pylist()) if len(texts) else None
+        done = 0
+        for batch in texts.to_batches():
+            names, base = batch.column("doc_id").to_numpy(zero_copy_only=False), begin[done : done + len(batch)]
+            done += len(batch)
             for a, b, raw, off in blocks(batch.column("text")):
                 doc, at, low, high, key = anchors(raw, off, length)
                 mine = spread(key, names[a:b][doc])
@@ -369,7 +389,7 @@ def send_records(length: int, parts: int):
                     continue
                 whole = raw.tobytes()
                 data = [whole[x:y] for x, y in zip(low.tolist(), (high + length).tolist())]
-                ids, heads, lefts = names[a:b][doc], (low - off[doc]).astype(np.int32), (at - low).astype(np.uint8)
+                ids, heads, lefts = names[a:b][doc], (low - off[doc] + base[a:b][doc]).astype(np.int32), (at - low).astype(np.uint8)
                 sizes = (high - low + length).astype(np.int32)
                 first, later = first_of_equal(ids, key, data)
                 if later.any():
@@ -436,11 +456,13 @@ KEPT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("spans", pa.
 def remove_spans(texts: pa.Table, told: pa.Table) -> pa.Table:
     """(doc_id, n_bytes, spans, kept) of a part's documents."""
     doc, low, high = joined(*unpack(told["packed"], np.int64, np.int32, np.int32))
-    rows = []
-    for name, text in zip(texts["doc_id"].to_pylist(), texts["text"].to_pylist()):
-        raw = text.encode()
+    rows, names, values = [], texts["doc_id"].to_pylist(), texts["text"].to_pylist()
+    known = [i for i, n in enumerate(names) if n is not None]
+    begin = dict(zip(known, bases(np.array([names[i] for i in known], np.int64), [values[i] for i in known]).tolist()))
+    for i, (name, text) in enumerate(zip(names, values)):
+        raw, base = text.encode(), begin.get(i, 0)
         a, b = (0, 0) if name is None else np.searchsorted(doc, [name, name + 1])
-        runs = list(zip(low[a:b].tolist(), high[a:b].tolist()))
+        runs = [(x - base, y - base) for x, y in zip(low[a:b].tolist(), high[a:b].tolist()) if base <= x < base + len(raw)]
         kept = b"".join(raw[x:y] for x, y in zip([0, *(h for _, h in runs)], [*(l for l, _ in runs), len(raw)])) if runs else raw
         rows.append({"doc_id": name, "n_bytes": len(raw), "spans": [{"start": x, "end": y} for x, y in runs], "kept": kept})
     return pa.Table.from_pylist(rows, KEPT)
