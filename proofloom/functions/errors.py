@@ -21,11 +21,12 @@ def line_number(line: ColumnOrName) -> Column:
 
 
 def classify_line(line: ColumnOrName) -> Column:
-    """Category of the first pattern (in pattern order) that matches."""
+    """Category of the first pattern (in pattern order) that matches; ``.``
+    stops at a line feed only."""
     c = _c(line)
     expr = None
     for category, pattern in S.ERROR_PATTERNS:
-        expr = (F.when if expr is None else expr.when)(c.rlike(pattern), F.lit(category))
+        expr = (F.when if expr is None else expr.when)(c.rlike("(?d)" + pattern), F.lit(category))
     return expr.otherwise(F.lit(S.OTHER))
 
 

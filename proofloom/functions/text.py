@@ -223,22 +223,22 @@ def with_dedented(df: DataFrame, col: str, out: str) -> DataFrame:
     )
 
 
-def _module(imports: Column, body: Column) -> Column:
+def _module(imports: Column, body: Column, default_import: str) -> Column:
     imps = F.coalesce(imports, F.array().cast("array<string>"))
-    imps = F.when(F.size(imps) == 0, F.array(F.lit(S.DEFAULT_IMPORT))).otherwise(imps)
+    imps = F.when(F.size(imps) == 0, F.array(F.lit(default_import))).otherwise(imps)
     header = F.array_join(F.transform(imps, lambda i: F.concat(F.lit("import "), i)), "\n")
     return F.concat(
         F.when(body == "", header).otherwise(F.concat(header, F.lit("\n\n"), body)), F.lit("\n")
     )
 
 
-def render_module(code: ColumnOrName, imports: ColumnOrName) -> Column:
+def render_module(code: ColumnOrName, imports: ColumnOrName, default_import: str) -> Column:
     """A checker input file: ``import X`` lines (the default import when the
     list is empty or null), a blank line, then the dedented, stripped code."""
-    return _module(_c(imports), py_strip(dedent(code)))
+    return _module(_c(imports), py_strip(dedent(code)), default_import)
 
 
-def with_rendered_module(df: DataFrame, code: str, imports: str, out: str = "module") -> DataFrame:
+def with_rendered_module(df: DataFrame, code: str, imports: str, default_import: str, out: str = "module") -> DataFrame:
     """Staged ``render_module`` for long code texts."""
     staged = with_dedented(df, code, "_rm_body").withColumn("_rm_body", py_strip(F.col("_rm_body")))
-    return staged.withColumn(out, _module(F.col(imports), F.col("_rm_body"))).drop("_rm_body")
+    return staged.withColumn(out, _module(F.col(imports), F.col("_rm_body"), default_import)).drop("_rm_body")

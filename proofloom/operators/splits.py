@@ -22,8 +22,9 @@ TRAIN, DEV, TEST = "train", "dev", "test"
 
 
 def check_ratios(train: float, dev: float, test: float) -> None:
-    if abs(train + dev + test - 1.0) > 1e-6:
-        raise ValueError("Split ratios must sum to 1.0")
+    total = train + dev + test
+    if not 1 - 1e-6 <= total <= 1 + 1e-6:
+        raise ValueError(f"train, dev and test shares add up to {total:g}, not to 1")
 
 
 def shuffle_key(item_id: Column, seed: int) -> Column:
@@ -60,13 +61,17 @@ def assign_splits(
     *,
     id_col: str = "id",
     topic: str = "topic",
+    seq: str | None = None,
     bucket_chars: int = 3,
     salts: int = 64,
 ) -> DataFrame:
     """Adds ``split`` (train/dev/test) and ``topic_rank`` (1-based).
 
-    1. Rows are tagged at the scan with a row id and a salt (deterministic
-       because the scan's partitioning is).
+    1. Rows are tagged with a hash of their own columns (or of ``seq``, a
+       column that is unique within an id), from which salt and order of
+       copies follow: no partition position enters, so a frame that is
+       evaluated again in another layout gives the same rows.  Rows equal in
+       every column are interchangeable.
     2. One row per distinct (topic, key, id) with its copy count: a partial
        aggregate, so copies of one id collapse map-side.
     3. Groups are ranked inside (topic, hash-prefix) cells and offset by the
@@ -79,8 +84,8 @@ def assign_splits(
     check_ratios(train_ratio, dev_ratio, test_ratio)
     gkey = [topic, "_bucket", "_key", id_col]
     keyed = (
-        items.withColumn("_rid", F.monotonically_increasing_id())
-        .withColumn("_salt", F.pmod(F.xxhash64("_rid"), F.lit(salts)))
+        items.withColumn("_rid", F.col(seq) if seq else F.xxhash64(*items.columns))
+        .withColumn("_salt", F.pmod(F.xxhash64("_rid", F.lit(seed)), F.lit(salts)))
         .withColumn("_key", shuffle_key(F.col(id_col), seed))
         .withColumn("_bucket", F.substring("_key", 1, bucket_chars))
     )

@@ -131,12 +131,12 @@ def q_verification_early_stop(spark, sf):
 
 
 def q_verification_summary(spark, sf):
-    s = PF.verification_summary(PF.verification_early_stop(_vrows(spark, sf)))
+    s = PF.verification_summary(_vrows(spark, sf))
     return s.withColumn("success_rate", F.round("success_rate", 6))
 
 
 def _report(spark, sf):
-    checked = PF.verification_early_stop(_vrows(spark, sf))
+    checked = _vrows(spark, sf)
     return PF.validate_dataset(_docs(spark, sf), "text", checked=checked)
 
 
@@ -151,7 +151,7 @@ def q_dataset_verdict(spark, sf):
 def q_issue_samples(spark, sf):
     docs = _docs(spark, sf)
     dups = PF.duplicate_ids(docs, seq="seq")
-    fails = PF.verification_early_stop(_vrows(spark, sf)).where(~F.col("ok"))
+    fails = _vrows(spark, sf).where(~F.col("ok"))
     return PF.issue_samples(dups, fails)
 
 
@@ -251,7 +251,7 @@ _VROWS = """
 , fcut AS (SELECT CASE WHEN count(*) >= 5 THEN max(seq) END AS cut FROM (SELECT seq FROM vr WHERE NOT ok ORDER BY seq LIMIT 5))
 , es AS (SELECT vr.* FROM vr, fcut WHERE fcut.cut IS NULL OR vr.seq <= fcut.cut)
 , vs AS (SELECT count(*) AS total_checked, count(*) FILTER (WHERE ok) AS successful, count(*) FILTER (WHERE NOT ok) AS failed,
-                round(coalesce(CAST(count(*) FILTER (WHERE ok) AS DOUBLE) / nullif(count(*), 0), 0.0), 6) AS success_rate FROM es)
+                round(coalesce(CAST(count(*) FILTER (WHERE ok) AS DOUBLE) / nullif(count(*), 0), 0.0), 6) AS success_rate FROM vr)
 , ds AS (SELECT (SELECT count(*) FROM docs) AS total_items, (SELECT count(DISTINCT id) FROM docs) AS unique_ids,
                 (SELECT count(*) FROM (SELECT id FROM docs GROUP BY id HAVING count(*) > 1)) AS n_duplicate_ids,
                 (SELECT CAST(coalesce(sum(c), 0) AS BIGINT) FROM (SELECT count(*) AS c FROM docs GROUP BY {h} HAVING count(*) > 1)) AS n_duplicate_content_items,
@@ -333,8 +333,8 @@ FROM p GROUP BY 2 HAVING count(*) > 1""",
 , dup AS (SELECT 'duplicate_id' AS kind, CAST(id AS VARCHAR) AS id, CAST(NULL AS VARCHAR) AS detail
           FROM (SELECT id, min(seq) AS s FROM docs GROUP BY id HAVING count(*) > 1 ORDER BY s LIMIT 5))
 , fl AS (SELECT 'failure' AS kind, CAST(id AS VARCHAR) AS id, substr(stderr, 1, 60) || '...' AS detail
-         FROM (SELECT * FROM es WHERE NOT ok ORDER BY seq LIMIT 3))
-, mo AS (SELECT 'more_failures' AS kind, CAST(NULL AS VARCHAR) AS id, CAST(greatest(count(*) - 3, 0) AS VARCHAR) AS detail FROM es WHERE NOT ok)
+         FROM (SELECT * FROM vr WHERE NOT ok ORDER BY seq LIMIT 3))
+, mo AS (SELECT 'more_failures' AS kind, CAST(NULL AS VARCHAR) AS id, CAST(greatest(count(*) - 3, 0) AS VARCHAR) AS detail FROM vr WHERE NOT ok)
 SELECT * FROM dup UNION ALL SELECT * FROM fl UNION ALL SELECT * FROM mo"""
     ),
     "split_quotas": """

@@ -6,14 +6,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .. import schema as S
 from ..operators import metrics as M
 from ..operators import results as R
-from ..operators.rounds import schedule_column
+from ..operators.rounds import RetrySchedule, schedule_column
 from .bindings import records_v, with_views
 
 PASS_K = (1, 5)
-MAX_ATT = S.DEFAULT_MAX_ATTEMPTS
+#: The bound records have seven attempts (``bindings.records_v``).
+SCHEDULE = RetrySchedule.of(attempts=7)
+MAX_ATT = SCHEDULE.attempts
 
 
 def _r6(c):
@@ -63,7 +64,7 @@ def q_record_report(spark: SparkSession, sf: str) -> DataFrame:
 def q_generation_log(spark: SparkSession, sf: str) -> DataFrame:
     rec = records_v(spark, sf)
     items = rec.select("item_id").distinct()
-    log = R.generation_log(rec, items, schedule_column())
+    log = R.generation_log(rec, items, schedule_column(SCHEDULE))
     return log.select(
         "item_id",
         "attempt",
@@ -151,7 +152,7 @@ _RANKED = """
          (f.fr IS NOT NULL) AS success,
          CAST(f.fr AS INT) AS success_rank,
          CAST(f.fa AS INT) AS success_attempt,
-         CAST(coalesce(f.fa, 5) AS INT) AS attempts,
+         CAST(coalesce(f.fa, 7) AS INT) AS attempts,
          CAST(sum(r.generation_time) AS DOUBLE) AS total_time,
          count(*) AS candidate_total,
          coalesce(f.fa <= 1, false) AS pass_at_1,
@@ -199,7 +200,7 @@ ORACLES = {
     ),
     "generation_log": _rv(
         """
-, sched AS (SELECT * FROM (VALUES (1, 1, 0.3), (2, 3, 0.5), (3, 3, 0.5), (4, 5, 0.7), (5, 5, 0.8)) t(attempt, beam_size, temperature))
+, sched AS (SELECT * FROM (VALUES (1, 1, 0.3), (2, 3, 0.5), (3, 3, 0.5), (4, 5, 0.7), (5, 5, 0.8), (6, 5, 0.8), (7, 5, 0.8)) t(attempt, beam_size, temperature))
 , slots AS (SELECT i.item_id, CAST(s.attempt AS INT) AS attempt, CAST(s.beam_size AS INT) AS beam_size,
                    CAST(s.temperature AS DOUBLE) AS temperature
             FROM (SELECT DISTINCT item_id FROM records_v) i, sched s)

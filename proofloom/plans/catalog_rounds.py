@@ -15,12 +15,14 @@ from ..operators import replies as RP
 from ..operators import results as R
 from ..operators import rounds as RD
 from ..operators.stages import where_computed
-from ..operators.stubs import raising_checker_factory, stub_checker_factory, stub_model_factory
+from ..operators.stubs import stub_checker_factory, stub_model_factory
 from . import duck as D
 from .bindings import items_v, records_v, responses_v, stderr_v, with_views
 from .catalog_text import _LINES
 
 SCHED = RD.RetrySchedule()
+#: The bound records have seven attempts (``bindings.records_v``).
+RECORD_SCHED = RD.RetrySchedule.of(attempts=7)
 MODEL = "model"
 
 
@@ -31,7 +33,7 @@ def _round_items(spark, sf):
 
 def q_schedule_table(spark, sf):
     counts = records_v(spark, sf).groupBy("attempt").agg(F.count(F.lit(1)).alias("n_records"))
-    sched = RD.schedule_table(spark, SCHED)  # one row per attempt
+    sched = RD.schedule_table(spark, RECORD_SCHED)  # one row per attempt
     # the per-attempt counts are a tiny aggregate; AQE broadcasts them
     return sched.join(counts, "attempt", "left").select(
         "attempt", "beam_size", "temperature", "max_tokens", F.coalesce("n_records", F.lit(0)).alias("n_records")
@@ -43,7 +45,7 @@ def q_slot_expand(spark, sf):
 
 
 def _contexts(spark, sf):
-    attempts = F.array(*[F.lit(a) for a in range(1, SCHED.max_attempts + 1)])
+    attempts = F.array(*[F.lit(a) for a in range(1, SCHED.attempts + 1)])
     return CL.error_context(stderr_v(spark, sf), order=("event_id",), attempts=attempts)
 
 
@@ -72,15 +74,15 @@ def q_generation_failed(spark, sf):
 
 
 def q_single_attempt(spark, sf):
-    one = RD.RetrySchedule(1, (3,), (0.5,), SCHED.max_tokens)
+    one = RD.RetrySchedule((3,), (0.5,), SCHED.token_limit)
     c = _generated(spark, sf, 1, one)
     return c.select("id", "beam_index", "code", "is_valid")
 
 
 def _requests(spark, sf):
     r = records_v(spark, sf)
-    temps = F.element_at(F.array(*[F.lit(t) for t in SCHED.temperature_schedule]), F.col("attempt"))
-    key = MM.generation_key(F.col("code"), max_tokens=F.lit(SCHED.max_tokens), model=F.lit(MODEL),
+    temps = F.element_at(F.array(*[F.lit(t) for t in RECORD_SCHED.temperatures]), F.col("attempt"))
+    key = MM.generation_key(F.col("code"), max_tokens=F.lit(SCHED.token_limit), model=F.lit(MODEL),
                             seed=(F.col("attempt") * 100 + F.col("beam_index")).cast("int"), temperature=temps)
     return r.withColumn("gen_key", key).withColumn("content_key", TX.content_key("code"))
 
@@ -140,43 +142,10 @@ def q_pending_items(spark, sf):
     rec = records_v(spark, sf)
     items = rec.select("item_id").distinct()
     firsts = R.first_success(rec)
-    last = F.coalesce(F.col("first_ok.attempt"), F.lit(SCHED.max_attempts))
+    last = F.coalesce(F.col("first_ok.attempt"), F.lit(RECORD_SCHED.attempts))
     return items.join(firsts, "item_id", "left").select("item_id", F.explode(F.sequence(F.lit(1), last)).alias("attempt"))
 
 
-def _rounds(spark, sf, checker_factory=stub_checker_factory):
-    items = _round_items(spark, sf)
-    res = RD.retry_rounds(spark, items, stub_model_factory, checker_factory, SCHED, model=MODEL)
-    return items, res
-
-
-def q_retry_rounds(spark, sf):
-    _, res = _rounds(spark, sf)
-    return res.records.select("item_id", "attempt", "beam_index", "is_valid", "compiled", "compile_ok")
-
-
-def q_run_error(spark, sf):
-    items, res = _rounds(spark, sf, raising_checker_factory)
-    ev = RD.rounds_item_results(res, items)
-    return ev.select("item_id", "success", "attempts", "candidate_total", "run_error")
-
-
-def q_run_evaluation(spark, sf):
-    """The whole harness over the accepted items of ``items_v``, loaded from
-    JSONL (strict), with the stub model and checker."""
-    from ..operators.checks import quarantine
-    from ..operators.evaluate import run_evaluation
-    from ..session import scratch_path
-    from ..sources.sinks import sink_jsonl
-
-    ok, _ = quarantine(items_v(spark, sf))
-    path = scratch_path(spark, "evaluation_items")
-    sink_jsonl(ok, path)
-    rep = run_evaluation(spark, path, stub_model_factory, stub_checker_factory, schedule=SCHED, model=MODEL)
-    m = rep.metrics
-    return m.select(*[F.round(c, 6).alias(c) if c not in ("total_items", "success_count") else c for c in m.columns])
-
-
 QUERIES = {
     "schedule_table": q_schedule_table,
     "slot_expand": q_slot_expand,
@@ -191,15 +160,13 @@ QUERIES = {
     "skip_invalid": q_skip_invalid,
     "stop_at_first_success": q_stop_at_first_success,
     "pending_items": q_pending_items,
-    "retry_rounds": q_retry_rounds,
-    "run_error": q_run_error,
-    "run_evaluation": q_run_evaluation,
 }
 
 # ---------------------------------------------------------------------------
 # Oracles
 # ---------------------------------------------------------------------------
 _SCHED_SQL = "(SELECT * FROM (VALUES (1, 1, 0.3), (2, 3, 0.5), (3, 3, 0.5), (4, 5, 0.7), (5, 5, 0.8)) t(attempt, beam_size, temperature))"
+_RECORD_SCHED_SQL = _SCHED_SQL.replace("(5, 5, 0.8)", "(5, 5, 0.8), (6, 5, 0.8), (7, 5, 0.8)")
 _SLOTS = f"""
 , sl AS (SELECT i.doc_id AS item_id, i.id, i.statement, i.steps_text, CAST(s.attempt AS INT) AS attempt,
                 CAST(s.temperature AS DOUBLE) AS temperature, CAST(unnest(generate_series(0, s.beam_size - 1)) AS INT) AS beam_index
@@ -235,7 +202,7 @@ _REQ = """
     + " || '_' || "
     + D.sha16(
         "'{\"max_tokens\":512,\"model\":\"model\",\"seed\":' || CAST(attempt * 100 + beam_index AS VARCHAR) || "
-        "',\"temperature\":' || CAST([0.3, 0.5, 0.5, 0.7, 0.8][attempt] AS VARCHAR) || '}'"
+        "',\"temperature\":' || CAST([0.3, 0.5, 0.5, 0.7, 0.8, 0.8, 0.8][attempt] AS VARCHAR) || '}'"
     ),
 ).replace("{ck}", D.sha16("code"))
 
@@ -262,7 +229,7 @@ ORACLES = {
     "schedule_table": with_views(
         f"""SELECT CAST(s.attempt AS INT) AS attempt, CAST(s.beam_size AS INT) AS beam_size, CAST(s.temperature AS DOUBLE) AS temperature,
   512 AS max_tokens, coalesce(c.n, 0) AS n_records
-FROM {_SCHED_SQL} s LEFT JOIN (SELECT attempt, count(*) AS n FROM records_v GROUP BY attempt) c ON c.attempt = s.attempt""",
+FROM {_RECORD_SCHED_SQL} s LEFT JOIN (SELECT attempt, count(*) AS n FROM records_v GROUP BY attempt) c ON c.attempt = s.attempt""",
         "records_v",
     ),
     "slot_expand": with_views(_SLOTS + "SELECT id, attempt, beam_index, CAST(attempt * 100 + beam_index AS INT) AS seed, temperature FROM sl", "items_v"),
@@ -322,7 +289,7 @@ SELECT r.item_id, r.attempt, r.beam_index FROM ranked r JOIN f ON r.item_id = f.
     "pending_items": with_views(
         """
 , f AS (SELECT item_id, min(CASE WHEN compiled AND compile_ok THEN attempt END) AS fa FROM records_v GROUP BY item_id)
-SELECT item_id, CAST(unnest(generate_series(1, coalesce(fa, 5))) AS INT) AS attempt FROM f""",
+SELECT item_id, CAST(unnest(generate_series(1, coalesce(fa, 7))) AS INT) AS attempt FROM f""",
         "records_v",
     ),
 }

@@ -17,6 +17,9 @@ from ..operators.rounds import RetrySchedule, schedule_column
 from . import duck as D
 from .bindings import items_v, records_v, responses_v, stderr_v, table, with_views
 
+#: Import line of a module whose item names none.
+DEFAULT_IMPORT = "Main.Basic"
+
 # ---------------------------------------------------------------------------
 # 2.5 reply post-processing
 # ---------------------------------------------------------------------------
@@ -93,7 +96,7 @@ def q_prompt_repair(spark: SparkSession, sf: str) -> DataFrame:
 
 def q_render_module(spark: SparkSession, sf: str) -> DataFrame:
     it = items_v(spark, sf)
-    return TX.with_rendered_module(it.select("id", "theorem", "imports"), "theorem", "imports").select("id", "module")
+    return TX.with_rendered_module(it.select("id", "theorem", "imports"), "theorem", "imports", DEFAULT_IMPORT).select("id", "module")
 
 
 def q_content_key(spark: SparkSession, sf: str) -> DataFrame:
@@ -105,7 +108,7 @@ def q_params_key(spark: SparkSession, sf: str) -> DataFrame:
     """Generation key per record: hash of the prompt (the record's code
     stands in for it) joined to the hash of the sorted parameters."""
     r = records_v(spark, sf)
-    sched = F.filter(schedule_column(RetrySchedule()), lambda s: s["attempt"] == F.col("attempt"))
+    sched = F.filter(schedule_column(RetrySchedule.of(attempts=7)), lambda s: s["attempt"] == F.col("attempt"))
     temp = F.element_at(sched, 1)["temperature"]
     seed = (F.col("attempt") * 100 + F.col("beam_index")).cast("int")
     key = MM.generation_key(F.col("code"), max_tokens=F.lit(S.DEFAULT_MAX_TOKENS), seed=seed, temperature=temp)
@@ -300,7 +303,7 @@ FROM pa LEFT JOIN pe ON pa.attempt = pe.attempt"""
         "FROM prim p JOIN stderr_v s ON p.event_id = s.event_id"
     ),
     "render_module": with_views(
-        f"SELECT id, 'import {S.DEFAULT_IMPORT}' || CASE WHEN body = '' THEN '' ELSE chr(10) || chr(10) || body END || chr(10) AS module "
+        f"SELECT id, 'import {DEFAULT_IMPORT}' || CASE WHEN body = '' THEN '' ELSE chr(10) || chr(10) || body END || chr(10) AS module "
         f"FROM (SELECT id, {D.strip(_BLANK_LINES_EMPTIED)} AS body FROM items_v)",
         "items_v",
     ),
@@ -309,7 +312,7 @@ FROM pa LEFT JOIN pe ON pa.attempt = pe.attempt"""
     ),
     "params_key": with_views(
         f"""SELECT item_id, attempt, beam_index,
-  {D.sha16('code')} || '_' || {D.sha16("'{\"max_tokens\":512,\"seed\":' || CAST(attempt * 100 + beam_index AS VARCHAR) || ',\"temperature\":' || CAST([0.3, 0.5, 0.5, 0.7, 0.8][attempt] AS VARCHAR) || '}'")} AS params_key
+  {D.sha16('code')} || '_' || {D.sha16("'{\"max_tokens\":512,\"seed\":' || CAST(attempt * 100 + beam_index AS VARCHAR) || ',\"temperature\":' || CAST([0.3, 0.5, 0.5, 0.7, 0.8, 0.8, 0.8][attempt] AS VARCHAR) || '}'")} AS params_key
 FROM records_v""",
         "records_v",
     ),

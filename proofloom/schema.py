@@ -241,7 +241,6 @@ INITIAL_PROMPT_STEPS = "Steps: "
 REPAIR_STUB_HEAD = "theorem example : "
 REPAIR_STUB_TAIL = " := sorry"
 NO_STEPS_TEXT = "No specific steps provided"
-DEFAULT_IMPORT = "Autoformalizer.Basic"
 COMPILE_EXCEPTION_PREFIX = "Exception during compilation: "
 
 # Default retry schedule.

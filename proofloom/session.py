@@ -4,6 +4,7 @@ checkpoint folder used to cut lineage between retry rounds."""
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import zipfile
 
@@ -67,15 +68,17 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for lineage cuts.
 
     On a cluster this is whatever ``spark.checkpoint.dir`` names (a shared
-    file system).  Only when it is unset -- local tests -- do we create one.
+    file system); unset, it is an error there.  Only a single-JVM local
+    session (tests) gets a folder of its own.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
         sc_dir = spark.sparkContext.getCheckpointDir()
         configured = sc_dir
     if not configured:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir is unset: name a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="proofloom-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", configured)
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(configured)
     return configured.rstrip("/")

@@ -9,10 +9,11 @@ import pytest
 sys.path.insert(0, os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(__file__))), "tools"))
 
 import __spark_entry__ as E  # noqa: E402
+from proofloom.plans import catalog  # noqa: E402
 from oracle_check import compare, duck  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
-NAMES = sorted(n for n in E.queries() if n in E.oracle_sql())
+NAMES = sorted(catalog.oracles())
 
 
 @pytest.fixture(scope="module")

@@ -5,14 +5,14 @@ import re
 import pytest
 
 import __spark_entry__ as E
+from proofloom.plans import catalog
 
 SF = "/root/testdata/sf0.001"
 # Queries whose work includes the pluggable model/checker stage, or that
 # write and read back their input (planning them runs jobs).
-BATCH = {"generate_batch", "generation_failed", "single_attempt", "memo_check", "check_batch", "skip_invalid",
-         "retry_rounds", "run_error", "run_evaluation"}
-WRITES = {n for n in E.queries() if n.startswith(("scan_", "sink_"))}
-PLANNED = sorted(set(E.queries()) - WRITES - {"retry_rounds", "run_error", "run_evaluation"})
+BATCH = {"generate_batch", "generation_failed", "single_attempt", "memo_check", "check_batch", "skip_invalid"}
+WRITES = {n for n in catalog.queries() if n.startswith(("scan_", "sink_"))}
+PLANNED = sorted(set(catalog.queries()) - WRITES)
 
 
 def plan_of(df) -> str:

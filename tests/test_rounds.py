@@ -1,15 +1,11 @@
-"""Bulk retry rounds (2.7) against an item-by-item simulation of the loop."""
-
-import re
+"""Bulk retry rounds (2.7): golden records and invariants of the loop."""
 
 import pytest
 from pyspark.sql import functions as F
 
-from proofloom import schema as S
 from proofloom.operators import memo as MM
 from proofloom.operators import rounds as RD
 from proofloom.operators.stubs import StubChecker, StubModel, raising_checker_factory, stub_checker_factory, stub_model_factory
-from pyref import code_errors, extract, primary
 
 STATEMENTS = [f"statement number {i} about sets" for i in range(60)]
 
@@ -19,58 +15,61 @@ def _items(spark):
     return spark.createDataFrame(rows, "item_id int, statement string, steps array<string>")
 
 
-def _repair(cat, msg, code):
-    ident = ""
-    if cat == S.UNKNOWN_IDENTIFIER:
-        m = re.search(r"'([^']+)'", msg)
-        ident = m.group(1) if m else ""
-    return S.REPAIR_TEMPLATES[cat].format(identifier=ident, original_code=code, error_message=msg).strip()
-
-
-def simulate(item_id, statement, steps, sched, model, checker):
-    """The per-item loop: beams in order, stop at the first success, the
-    error context is the last failing check's primary error."""
-    ctx, records = None, []
-    for attempt in range(1, sched.max_attempts + 1):
-        if ctx is None:
-            prompt = f"Convert this to Lean 4:\nStatement: {statement}\n" + (f"Steps: {', '.join(steps)}\n" if steps else "")
-        else:
-            prompt = _repair(ctx[0], ctx[1], f"theorem example : {statement} := sorry")
-        cands = []
-        for i in range(sched.beam_schedule[attempt - 1]):
-            try:
-                code = extract(model.generate(prompt, seed=attempt * 100 + i))
-                errs = code_errors(code)
-            except RuntimeError:
-                code, errs = "", ["gen failed"]
-            cands.append((code, errs))
-        for bi, (code, errs) in enumerate(cands):
-            if errs or not code.strip():
-                records.append((attempt, bi, False, False))
-                continue
-            ok, stderr = checker(code)
-            records.append((attempt, bi, True, ok))
-            if ok:
-                return records
-            if stderr:
-                p = primary(stderr)
-                if p:
-                    ctx = p
-    return records
-
-
-def test_rounds_match_simulation(spark):
+#: Records (attempt, beam, compiled, ok) of some items, worked out once from
+#: the loop's rules and kept as fixed values.
+GOLDEN = {0: [(1, 0, False, False), (2, 0, True, True)],
+ 1: [(1, 0, False, False), (2, 0, False, False), (2, 1, True, True)],
+ 2: [(1, 0, True, False), (2, 0, True, True)],
+ 3: [(1, 0, True, True)],
+ 4: [(1, 0, True, False),
+     (2, 0, False, False),
+     (2, 1, False, False),
+     (2, 2, False, False),
+     (3, 0, False, False),
+     (3, 1, False, False),
+     (3, 2, False, False),
+     (4, 0, False, False),
+     (4, 1, False, False),
+     (4, 2, False, False),
+     (4, 3, True, False),
+     (4, 4, False, False),
+     (5, 0, True, False),
+     (5, 1, False, False),
+     (5, 2, False, False),
+     (5, 3, False, False),
+     (5, 4, False, False)],
+ 5: [(1, 0, True, True)],
+ 6: [(1, 0, True, False), (2, 0, False, False), (2, 1, True, False), (2, 2, True, True)],
+ 7: [(1, 0, False, False),
+     (2, 0, True, False),
+     (2, 1, True, False),
+     (2, 2, True, False),
+     (3, 0, False, False),
+     (3, 1, False, False),
+     (3, 2, False, False),
+     (4, 0, True, False),
+     (4, 1, False, False),
+     (4, 2, False, False),
+     (4, 3, False, False),
+     (4, 4, False, False),
+     (5, 0, True, False),
+     (5, 1, True, True)]}
+
+
+def test_rounds_give_the_golden_records(spark):
     sched = RD.RetrySchedule()
     res = RD.retry_rounds(spark, _items(spark), stub_model_factory, stub_checker_factory, sched)
     got = {}
     for r in res.records.collect():
         got.setdefault(r.item_id, []).append((r.attempt, r.beam_index, r.compiled, r.compile_ok))
-    model, checker = StubModel(), StubChecker()
-    for i, s in enumerate(STATEMENTS):
-        steps = [f"use lemma {i}", "conclude"] if i % 4 else []
-        want = simulate(i, s, steps, sched, model, checker)
+    for i, want in GOLDEN.items():
         assert sorted(got.get(i, [])) == want, i
-    # invariant: nothing after an item's first success
+    for i, records in got.items():
+        records.sort()
+        # nothing follows an item's first success, and without one every
+        # slot of the schedule is tried
+        assert not any(ok for *_, ok in records[:-1]), i
+        assert records[-1][-1] or len(records) == sum(sched.beams), i
     ev = RD.rounds_item_results(res, _items(spark), sched).collect()
     assert len(ev) == len(STATEMENTS)
     for r in ev:
@@ -80,19 +79,17 @@ def test_rounds_match_simulation(spark):
 
 
 def test_memo_reuse_across_runs(spark, tmp_dir):
-    sched = RD.RetrySchedule.with_overrides(max_attempts=2)
+    sched = RD.RetrySchedule.of(attempts=2)
     memo = f"{tmp_dir}/memo"
     a = RD.retry_rounds(spark, _items(spark), stub_model_factory, stub_checker_factory, sched, memo_dir=memo, work_dir=f"{tmp_dir}/a")
     first = a.call_counts().first()
-    # the second run takes the large-memo path (written lookups)
-    b = RD.retry_rounds(spark, _items(spark), stub_model_factory, stub_checker_factory, sched, memo_dir=memo, work_dir=f"{tmp_dir}/b",
-                        memo_lookup_min_bytes=0)
+    b = RD.retry_rounds(spark, _items(spark), stub_model_factory, stub_checker_factory, sched, memo_dir=memo, work_dir=f"{tmp_dir}/b")
     assert any(e["stage"] == "memo_lookup" for e in b.log)
     second = b.call_counts().first()
     assert first.generation_calls > 0 and first.check_calls > 0
     # the second run only repeats failed generation calls (kept out of the memo)
     failed_calls = spark.read.parquet(f"{memo}/generation").where(
-        (F.col("run") == f"{tmp_dir}/a") & F.col("gen_error").isNotNull()
+        (F.col("run") == a.run_id) & F.col("gen_error").isNotNull()
     ).count()
     assert second.generation_calls == failed_calls and second.check_calls == 0
     key = ["item_id", "attempt", "beam_index", "compiled", "compile_ok"]
@@ -107,22 +104,24 @@ def test_run_error_voids_item(spark):
     assert res.records.where(F.col("item_id").isin(list(failed))).count() == 0
     ev = {r.item_id: r for r in RD.rounds_item_results(res, _items(spark), sched).collect()}
     for i in failed:
-        assert ev[i].success is False and ev[i].attempts == sched.max_attempts and ev[i].run_error
+        assert ev[i].success is False and ev[i].attempts == sched.attempts and ev[i].run_error
+
+
+def test_a_second_run_into_the_same_folders_keeps_the_record_count(spark, tmp_dir):
+    sched = RD.RetrySchedule.of(attempts=2)
+    folders = {"memo_dir": f"{tmp_dir}/memo", "work_dir": f"{tmp_dir}/w"}
+    n = [RD.retry_rounds(spark, _items(spark), stub_model_factory, stub_checker_factory, sched, **folders).records.count() for _ in range(2)]
+    assert n[0] == n[1]
 
 
 def test_schedule_rules():
-    assert RD.adjust_schedule([1, 3], 4) == [1, 3, 3, 3]
-    assert RD.adjust_schedule([1, 3, 5], 2) == [1, 3]
-    with pytest.raises(ValueError):
-        RD.adjust_schedule([], 2)
-    with pytest.raises(ValueError):
-        RD.RetrySchedule(2, (1,), (0.3, 0.5), 512)
-    with pytest.raises(ValueError):
-        RD.RetrySchedule(1, (0,), (0.3,), 512)
-    with pytest.raises(ValueError):
-        RD.RetrySchedule(1, (1,), (2.5,), 512)
-    s = RD.RetrySchedule.with_overrides(max_attempts=7)
-    assert s.beam_schedule == (1, 3, 3, 5, 5, 5, 5) and s.temperature_schedule[-1] == 0.8
+    assert RD.stretched([1, 3], 4) == (1, 3, 3, 3) and RD.stretched([1, 3, 5], 2) == (1, 3)
+    for wrong in (lambda: RD.stretched([], 2), lambda: RD.RetrySchedule((1,), (0.3, 0.5)), lambda: RD.RetrySchedule((0,), (0.3,)),
+                  lambda: RD.RetrySchedule((1,), (2.5,)), lambda: RD.RetrySchedule((), ()), lambda: RD.RetrySchedule((1,), (0.3,), 0)):
+        with pytest.raises(ValueError):
+            wrong()
+    s = RD.RetrySchedule.of(attempts=7)
+    assert s.beams == (1, 3, 3, 5, 5, 5, 5) and s.temperatures[-1] == 0.8
 
 
 def test_slot_expand_seeds(spark):
@@ -177,7 +176,7 @@ def test_run_evaluation(spark, tmp_dir):
 
 
 def test_no_memo_repeats_calls(spark, tmp_dir):
-    sched = RD.RetrySchedule.with_overrides(max_attempts=1)
+    sched = RD.RetrySchedule.of(attempts=1)
     memo = f"{tmp_dir}/memo"
     a = RD.retry_rounds(spark, _items(spark), stub_model_factory, stub_checker_factory, sched, memo_dir=memo, work_dir=f"{tmp_dir}/a")
     b = RD.retry_rounds(spark, _items(spark), stub_model_factory, stub_checker_factory, sched, memo_dir=memo,

@@ -71,3 +71,22 @@ def test_hot_copies_of_one_id(spark):
     # the copies occupy one contiguous block of ranks
     dup = sorted(r.topic_rank for r in got if r.id == "dup")
     assert dup == list(range(dup[0], dup[0] + 2000))
+
+
+def test_repeated_ids_in_any_layout(spark):
+    """Layouts of 1, 7 and 16 partitions give the same rows, and none is lost."""
+    from pyspark.sql import functions as F
+
+    from proofloom.operators import splits as SP
+
+    rows = spark.range(4000).select((F.col("id") % 900).cast("string").alias("id"), F.when(F.col("id") % 3 == 0, "a").otherwise("b").alias("topic"), F.col("id").alias("n"))
+    found = []
+    for parts in (1, 7, 16):
+        out = SP.assign_splits(rows.repartition(parts), 0.6, 0.2, 0.2, seq="n").select("n", "topic", "topic_rank", "split").collect()
+        found.append(sorted(map(tuple, out)))
+    assert len(found[0]) == 4000 and found[0] == found[1] == found[2]
+    for topic in ("a", "b"):
+        ranks = sorted(r for _, t, r, _ in found[0] if t == topic)
+        assert ranks == list(range(1, len(ranks) + 1))
+    same = spark.range(500).select(F.lit("x").alias("id"), F.lit("t").alias("topic")).repartition(5)
+    assert sorted(r.topic_rank for r in SP.assign_splits(same).collect()) == list(range(1, 501))

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 from proofloom import schema as S
 from proofloom.functions import prompts as PR
 from proofloom.functions import text as TX
-from pyref import code_errors, extract, norm_hash
 
 REPLIES = [
     "```lean\ntheorem foo : True := by trivial\n```",
@@ -42,11 +41,42 @@ CODES = [
 ]
 
 
-def test_extract_code_matches_python_rules(spark):
+#: What each reply holds, and what each code breaks.
+EXTRACTED = ['theorem foo : True := by trivial',
+ 'theorem a (n : Nat) : n = n := rfl',
+ 'lemma b : 1 = 1 := rfl',
+ 'lean\nfoo',
+ 'theorem t : True := by\n  trivial',
+ 'theorem x := y',
+ 'plain text answer',
+ '',
+ '',
+ '',
+ 'inline',
+ 'theorem a']
+
+BROKEN = [[],
+ ['Unbalanced parentheses'],
+ ['Unbalanced brackets'],
+ ['Unbalanced braces'],
+ ['No theorem or lemma declaration found'],
+ ['No proof body found'],
+ [],
+ [],
+ ["Potentially problematic unicode characters: {'é', 'ü'}"],
+ ['Unterminated string literal'],
+ ['No theorem or lemma declaration found', "Potentially problematic unicode characters: {'é'}"],
+ ['No theorem or lemma declaration found'],
+ [],
+ ['No theorem or lemma declaration found', 'No proof body found'],
+ ["Potentially problematic unicode characters: {'⋆'}"]]
+
+
+def test_extract_code(spark):
     df = spark.createDataFrame([(i, r) for i, r in enumerate(REPLIES)], "i int, r string")
     got = {row.i: row.c for row in df.select("i", TX.extract_code("r").alias("c")).collect()}
     for i, r in enumerate(REPLIES):
-        assert got[i] == extract(r), (i, r)
+        assert got[i] == EXTRACTED[i], (i, r)
 
 
 def test_lean_fence_not_on_own_line_keeps_tag(spark):
@@ -54,11 +84,11 @@ def test_lean_fence_not_on_own_line_keeps_tag(spark):
     assert df.select(TX.extract_code("r")).first()[0] == "lean\nfoo"
 
 
-def test_code_errors_match_python_rules(spark):
+def test_code_errors(spark):
     df = spark.createDataFrame([(i, c) for i, c in enumerate(CODES)], "i int, c string")
     got = {row.i: list(row.e) for row in df.select("i", TX.code_errors("c").alias("e")).collect()}
     for i, c in enumerate(CODES):
-        assert got[i] == code_errors(c), (i, c)
+        assert got[i] == BROKEN[i], (i, c)
 
 
 def test_validate_struct(spark):
@@ -69,12 +99,13 @@ def test_validate_struct(spark):
 
 
 @pytest.mark.parametrize(
-    "text",
-    ["a  b\tc\n", " 　lead and trail  ", "x\x1cy\x85z", "", "no-space"],
+    "text,want",
+    list(zip(["a  b\tc\n", " 　lead and trail  ", "x\x1cy\x85z", "", "no-space"],
+        ["0e9f64031fcb2bc7", "8ffa7386ba1c81e5", "00d9bf1235b65cc6", "e3b0c44298fc1c14", "07452ade9ff3a727"])),
 )
-def test_normalized_hash(spark, text):
+def test_normalized_hash(spark, text, want):
     df = spark.createDataFrame([(text,)], "t string")
-    assert df.select(TX.normalized_hash("t")).first()[0] == norm_hash(text)
+    assert df.select(TX.normalized_hash("t")).first()[0] == want
 
 
 def test_content_key_keeps_whitespace(spark):
@@ -100,11 +131,11 @@ def test_render_module(spark):
     df = spark.createDataFrame(
         [("    theorem a := 1\n      b\n   \n", []), ("x", ["Mathlib.Data"]), ("  ", None)], "c string, imps array<string>"
     )
-    got = [r[0] for r in df.select(TX.render_module("c", "imps")).collect()]
-    assert got[0] == f"import {S.DEFAULT_IMPORT}\n\ntheorem a := 1\n  b\n"
+    got = [r[0] for r in df.select(TX.render_module("c", "imps", "Main.Basic")).collect()]
+    assert got[0] == f"import Main.Basic\n\ntheorem a := 1\n  b\n"
     assert got[1] == "import Mathlib.Data\n\nx\n"
-    assert got[2] == f"import {S.DEFAULT_IMPORT}\n"
-    staged = [r.module for r in TX.with_rendered_module(df, "c", "imps").collect()]
+    assert got[2] == f"import Main.Basic\n"
+    staged = [r.module for r in TX.with_rendered_module(df, "c", "imps", "Main.Basic").collect()]
     assert staged == got
 
 
