@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import ship_package
+from ..session import checkpoint_dir, ship_package
 
 #: Word separators of the contracts: space and U+0009..U+000D.
 SPACE_BYTES = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
@@ -36,10 +36,7 @@ def small_batches(spark: SparkSession, records: int = 1000) -> None:
 
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A fresh path below ``spark.checkpoint.dir``, which all executors share."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        raise ValueError("spark.checkpoint.dir is unset: name a folder that all executors share")
-    return f"{base.rstrip('/')}/llm/{name}-{os.urandom(8).hex()}"
+    return f"{checkpoint_dir(spark)}/llm/{name}-{os.urandom(8).hex()}"
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
