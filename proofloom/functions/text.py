@@ -49,8 +49,18 @@ def sha16(x: ColumnOrName) -> Column:
     return F.substring(F.sha2(_c(x), 256), 1, 16)
 
 
+def digest(x: ColumnOrName) -> Column:
+    """The whole SHA-256: what groups and joins go by."""
+    return F.sha2(_c(x), 256)
+
+
+def normalized_digest(x: ColumnOrName) -> Column:
+    """The whole SHA-256 of the whitespace-collapsed text."""
+    return digest(collapse_ws(x))
+
+
 def normalized_hash(x: ColumnOrName) -> Column:
-    """Whitespace-collapsed text -> SHA-256 -> 16 hex chars (duplicate key)."""
+    """Whitespace-collapsed text -> SHA-256 -> 16 hex chars, for display."""
     return sha16(collapse_ws(x))
 
 

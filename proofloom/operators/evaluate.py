@@ -94,7 +94,7 @@ def run_evaluation(
     pass_k: Sequence[int] = (1, 5),
     limit: int | None = None,
     model: str = "model",
-    quantiles: str = "auto",
+    quantiles: str = "distributed",
     work_dir: str | None = None,
     memo_dir: str | None = None,
 ) -> EvaluationReport:

@@ -35,14 +35,6 @@ def work_list(requests: DataFrame, key: str, memo: DataFrame | None, payload: li
     return distinct.join(memo.select(key), key, "left_anti")
 
 
-def with_memo_flag(requests: DataFrame, key: str, memo: DataFrame | None, out: str = "from_memo") -> DataFrame:
-    """Marks requests whose key the memo already holds (left-semi form as a flag)."""
-    if memo is None:
-        return requests.withColumn(out, F.lit(False))
-    known = memo.select(key).dropDuplicates([key]).withColumn(out, F.lit(True))
-    return requests.join(known, key, "left").withColumn(out, F.coalesce(F.col(out), F.lit(False)))
-
-
 def mark_repeats(requests: DataFrame, key: str, order: list[str], out: str = "from_memo") -> DataFrame:
     """Within one run: the first request of a key (in ``order``) is a miss,
     every later request of the same key a hit.  The first request per key

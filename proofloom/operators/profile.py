@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import schema as S
-from ..functions.text import collapse_ws, normalized_hash
+from ..functions.text import normalized_digest, normalized_hash
 
 MAX_FAILURES = 5
 
@@ -27,7 +27,8 @@ def with_hash(items: DataFrame, text: str, out: str = "hash") -> DataFrame:
 
 
 def duplicate_content_items(items: DataFrame, text: str, id_col: str = "id") -> DataFrame:
-    """Every item whose normalized hash occurs more than once (all members).
+    """Every item whose normalized text occurs more than once (all members),
+    with 16 hex digits of its hash; the whole digest decides.
 
     Repeated hashes come from a partial/final aggregate; the members are
     found by a left-semi join, which AQE can split when one hash is hot."""
@@ -35,10 +36,11 @@ def duplicate_content_items(items: DataFrame, text: str, id_col: str = "id") ->
     # non-nullable, so no inferred ``isnotnull(hash)`` filter re-evaluates
     # the hash below the projection.
     hashed = items.where(F.col(text).isNotNull()).withColumn(
-        "hash", F.coalesce(normalized_hash(F.col(text)), F.lit(""))
+        "_digest", F.coalesce(normalized_digest(F.col(text)), F.lit(""))
     )
-    repeated = hashed.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).select("hash")
-    return hashed.join(repeated, "hash", "left_semi")
+    repeated = hashed.groupBy("_digest").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).select("_digest")
+    members = hashed.join(repeated, "_digest", "left_semi")
+    return members.withColumn("hash", F.substring("_digest", 1, 16)).drop("_digest")
 
 
 def duplicate_summary(items: DataFrame, text: str, id_col: str = "id") -> DataFrame:
@@ -48,7 +50,7 @@ def duplicate_summary(items: DataFrame, text: str, id_col: str = "id") -> DataFr
         F.count(F.lit(1)).alias("unique_ids"),
         F.count_if(F.col("c") > 1).alias("n_duplicate_ids"),
     )
-    per_hash = with_hash(items, text).groupBy("hash").agg(F.count(F.lit(1)).alias("c")).agg(
+    per_hash = items.groupBy(normalized_digest(F.col(text)).alias("_digest")).agg(F.count(F.lit(1)).alias("c")).agg(
         F.coalesce(F.sum(F.when(F.col("c") > 1, F.col("c"))), F.lit(0)).cast("long").alias("n_duplicate_content_items")
     )
     return one_row(per_id, per_hash)
@@ -88,19 +90,10 @@ def cross_file_duplicates(pooled: DataFrame, text: str = "text", file: str = "fi
                 F.array_join(F.array_sort(F.collect_set(F.col(file))), ",").alias("files"),
             )
             .where(F.col("n_items") > 1)
-            .select(F.lit(kind).alias("kind"), "key", "n_items", "files")
+            .select(F.lit(kind).alias("kind"), (F.substring("key", 1, 16) if kind == "content" else F.col("key")).alias("key"), "n_items", "files")
         )
 
-    return repeated(F.col(id_col).cast("string"), "id").unionByName(repeated(normalized_hash(F.col(text)), "content"))
-
-
-def cross_file_pairs(pooled: DataFrame, left_file: str, right_file: str, text: str = "text", id_col: str = "id", file: str = "file") -> DataFrame:
-    """(left id, right id) pairs with equal normalized hashes between two
-    files: an equi-join on the hash (no pairs within one file)."""
-    h = with_hash(pooled, text)
-    left = h.where(F.col(file) == left_file).select(F.col(id_col).alias("left_id"), "hash")
-    right = h.where(F.col(file) == right_file).select(F.col(id_col).alias("right_id"), "hash")
-    return left.join(right, "hash")
+    return repeated(F.col(id_col).cast("string"), "id").unionByName(repeated(normalized_digest(F.col(text)), "content"))
 
 
 def length_profile(items: DataFrame) -> DataFrame:
@@ -191,7 +184,3 @@ def issue_samples(
         F.lit("more_failures").alias("kind"), F.lit(None).cast("string").alias("id"), "detail"
     )
     return ids.unionByName(fails).unionByName(more)
-
-
-def collapse(text: Column) -> Column:
-    return collapse_ws(text)

@@ -59,7 +59,7 @@ def test_distributed_quantiles_equal_exact(spark):
     exact = M.compute_metrics(df).first()
     dist = M.exact_quantiles(df, "total_time", (0.5, 0.9), buckets=16, max_rows_in_bucket=50)
     assert dist[0] == pytest.approx(exact.time_median) and dist[1] == pytest.approx(exact.time_p90)
-    auto = M.compute_metrics(df, quantiles="auto").first()
+    auto = M.compute_metrics(df, quantiles="distributed").first()
     assert auto.time_p90 == pytest.approx(exact.time_p90)
 
 
