@@ -22,6 +22,13 @@ itself, so a gram that a third of all documents hold sends one entry per batch
 only.  Texts are shuffled once: both times they are needed they are grouped by
 part in the same way.
 
+A gram with very many different surroundings would still fill its bucket.  The
+anchors' shuffle also counts, for each bucket, the records it would get; where
+they exceed ``hot_load``, the bucket's records are sent as single windows
+instead, each to the bucket of its own bytes.  Equal windows still meet, and no
+bucket then gets more than one record per block and distinct window.  The list of such
+buckets holds at most (records / hot_load) numbers.
+
 Null text: empty.  Rows with one doc_id are one document to each other: they
 remove nothing from one another, and each loses its own bytes.  Rows without a doc_id keep all bytes, and
 take none from others.
@@ -35,7 +42,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blocks, lanes, small_batches, table
+from .common import blocks, cut, lanes, small_batches, table
 
 GRAM = 16
 SHALLOW = 24
@@ -293,16 +300,31 @@ def _told(group: pa.Table, rows: list[tuple[int, bytes]]) -> pa.Table:
     return pa.concat_tables([pa.table([own["bucket"], own["packed"]], TOLD), found])
 
 
+def surroundings(raw: np.ndarray, at: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """For each distinct gram (ascending), how many different surroundings it
+    has in the block, by the eight bytes on either side."""
+    if not len(at):
+        return np.zeros(0, np.int64)
+    x = lanes(raw)
+    near = x[np.maximum(at - 8, 0)] * M1 ^ x[np.minimum(at + GRAM, len(x) - 1)] * M2
+    order = np.lexsort((near, key))
+    k, n = key[order], near[order]
+    new = np.concatenate([[True], (k[1:] != k[:-1]) | (n[1:] != n[:-1])])
+    return np.add.reduceat(new.astype(np.int64), _cuts(k)[:-1])
+
+
 def send_anchors(length: int, parts: int):
     """Grams by bucket, each with the smallest document of the block that
-    holds it; documents that share a gram within the block are told now."""
+    holds it, and how many records the block may send there; documents that
+    share a gram within the block are told now."""
 
     def send(batches):
         for batch in batches:
             batch = batch.filter(batch.column(0).is_valid())
             names = batch.column(0).to_numpy(zero_copy_only=False)
             for a, b, raw, off in blocks(batch.column(1)):
-                doc, _, _, _, key = anchors(raw, off, length)
+                doc, at, _, _, key = anchors(raw, off, length)
+                load = surroundings(raw, at, key)
                 ids = names[a:b][doc]
                 order = np.lexsort((ids, key))
                 ids, key = ids[order], key[order]
@@ -312,23 +334,25 @@ def send_anchors(length: int, parts: int):
                 own, shared = ids[told], key[told]
                 rows = [(p, True, x) for p, x in _by(part_of(own, parts), lambda r: pack(own[r], narrowed(shared[r])))]  # noqa: B023
                 ids, key = ids[first], key[first]
-                rows += [(p, False, x) for p, x in _by((key % np.uint64(parts)).astype(np.int64), lambda r: pack(ids[r], narrowed(key[r])))]  # noqa: B023
+                rows += [(p, False, x) for p, x in _by((key % np.uint64(parts)).astype(np.int64), lambda r: pack(ids[r], narrowed(key[r]), load[r].sum(keepdims=True)))]  # noqa: B023
                 yield from _sent(rows).to_batches()
 
     return send
 
 
-def meet_anchors(parts: int):
-    """Which documents share which grams, by part."""
+def meet_anchors(parts: int, hot_load: int):
+    """Which documents share which grams, by part; for a bucket that would get
+    more than ``hot_load`` records, a row with part -1 - bucket."""
 
     def meet(group: pa.Table) -> pa.Table:
-        ids, key = unpack(group.filter(pa.compute.invert(group["told"]))["packed"], np.int64, 6)
+        ids, key, load = unpack(group.filter(pa.compute.invert(group["told"]))["packed"], np.int64, 6, np.int64)
         order = np.lexsort((ids, key))
         ids, key = ids[order], key[order]
         cuts = _cuts(key)
         many = np.repeat(ids[cuts[:-1]] != ids[cuts[1:] - 1], np.diff(cuts)) if len(key) else np.zeros(0, bool)
         ids, key = ids[many], key[many]
-        return _told(group, _by(part_of(ids, parts), lambda r: pack(ids[r], narrowed(key[r]))))
+        hot = [(-1 - group["bucket"][0].as_py(), b"")] if load.sum() > hot_load else []
+        return _told(group, hot + _by(part_of(ids, parts), lambda r: pack(ids[r], narrowed(key[r]))))
 
     return meet
 
@@ -363,10 +387,35 @@ def bases(names: np.ndarray, texts: list[str]) -> np.ndarray:
     return out
 
 
-def send_records(length: int, parts: int):
+def window_hashes(raw: np.ndarray, start: np.ndarray, length: int) -> np.ndarray:
+    """Hash of the ``length`` bytes from each start on."""
+    x, h = lanes(raw), np.zeros(len(start), np.uint64)
+    for k in (*range(0, length - 8, 8), length - 8):
+        h = (h ^ x[start + k]) * M1
+        h ^= h >> np.uint64(29)
+    return h
+
+
+def by_window(raw, doc, at, low, high, key, length: int, parts: int, hot: np.ndarray):
+    """The records with their buckets; those of hot buckets cut into single
+    windows, each in the bucket of its own bytes."""
+    bucket = (key % np.uint64(parts)).astype(np.int64)
+    if not len(hot):
+        return doc, at, low, high, key, bucket
+    split = hot[np.minimum(np.searchsorted(hot, bucket), len(hot) - 1)] == bucket
+    times = np.where(split, high - low + 1, 1)
+    row = np.repeat(np.arange(len(doc)), times)
+    step = np.arange(len(row)) - np.repeat(np.cumsum(times) - times, times)
+    cut_up, start = split[row], low[row] + step
+    bucket = bucket[row]
+    bucket[cut_up] = (window_hashes(raw, start[cut_up], length) % np.uint64(parts)).astype(np.int64)
+    return doc[row], at[row], start, np.where(cut_up, start, high[row]), key[row], bucket
+
+
+def send_records(length: int, parts: int, hot: np.ndarray):
     """From a part's texts and shared grams: records of the shared anchors by
-    bucket of their gram.  Within a block, equal records of larger documents
-    are resolved to spans at once."""
+    bucket of their gram (of their window, in ``hot`` buckets).  Within a
+    block, equal records of larger documents are resolved to spans at once."""
 
     def send(texts: pa.Table, told: pa.Table) -> pa.Table:
         spread = lambda k, d: k ^ (d.astype(np.uint64) * M2)
@@ -387,19 +436,20 @@ def send_records(length: int, parts: int):
                 doc, at, low, high, key = (x[keep] for x in (doc, at, low, high, key))
                 if not len(doc):
                     continue
+                doc, at, low, high, key, bucket = by_window(raw, doc, at, low, high, key, length, parts, hot)
                 whole = raw.tobytes()
                 data = [whole[x:y] for x, y in zip(low.tolist(), (high + length).tolist())]
                 ids, heads, lefts = names[a:b][doc], (low - off[doc] + base[a:b][doc]).astype(np.int32), (at - low).astype(np.uint8)
                 sizes = (high - low + length).astype(np.int32)
                 first, later = first_of_equal(ids, key, data)
                 if later.any():
-                    rows.append((int(part_of(ids[:1], parts)[0]), True, pack(ids[later], heads[later], (heads + sizes)[later])))
+                    rows.append((int(part_of(ids[:1], parts)[0]), True, pack(*joined(ids[later], heads[later], (heads + sizes)[later]))))
 
                 def record(r):
                     f = first[r]  # noqa: B023
                     return pack(ids[f], narrowed(key[f]), heads[f], sizes[f].astype(np.uint8), lefts[f], b"".join([data[i] for i in f]))  # noqa: B023
 
-                rows += [(p, False, x) for p, x in _by((key[first] % np.uint64(parts)).astype(np.int64), record)]
+                rows += [(p, False, x) for p, x in _by(bucket[first], record)]
         return _sent(rows)
 
     return send
@@ -468,9 +518,11 @@ def remove_spans(texts: pa.Table, told: pa.Table) -> pa.Table:
     return pa.Table.from_pylist(rows, KEPT)
 
 
-def remove_repeats(docs: DataFrame, length: int = 50, text: str = "text", part_bytes: int = PART_BYTES) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 50, text: str = "text", part_bytes: int = PART_BYTES, hot_load: int | None = None) -> DataFrame:
     """doc_id, n_bytes, spans (removed runs: start, end in bytes), kept (the
-    remaining bytes) of every row.  ``length`` is from 24 to 200."""
+    remaining bytes) of every row.  ``length`` is from 24 to 200.  A bucket is
+    hot above ``hot_load`` records; by default that is one for 12 bytes of
+    ``part_bytes``, some one and a half times the mean at 50 bytes."""
     if not 24 <= length <= 200:
         raise ValueError("length must be from 24 to 200 bytes")
     small_batches(docs.sparkSession, 500)
@@ -478,10 +530,13 @@ def remove_repeats(docs: DataFrame, length: int = 50, text: str = "text", part_b
     total = d.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(8, -(-total // part_bytes))
     sent, told = "bucket int, told boolean, packed binary", "part int, packed binary"
-    shared = d.mapInArrow(send_anchors(length, parts), sent).groupBy("bucket").applyInArrow(meet_anchors(parts), told)
+    limit = part_bytes // 12 if hot_load is None else hot_load
+    shared = cut(d.mapInArrow(send_anchors(length, parts), sent).groupBy("bucket").applyInArrow(meet_anchors(parts, limit), told), "shared-grams")
+    hot = np.array(sorted(-1 - r["part"] for r in shared.where("part < 0").select("part").collect()), np.int64)
+    shared = shared.where("part >= 0")
     # Texts are shuffled by part once: both cogroups use the same exchange.
     texts = d.select(part_column(parts).alias("part"), "doc_id", "text").groupBy("part")
-    records = texts.cogroup(shared.groupBy("part")).applyInArrow(send_records(length, parts), sent)
+    records = texts.cogroup(shared.groupBy("part")).applyInArrow(send_records(length, parts, hot), sent)
     spans = records.groupBy("bucket").applyInArrow(meet_records(length, parts), told)
     return texts.cogroup(spans.groupBy("part")).applyInArrow(remove_spans, "doc_id long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary")
 

@@ -268,6 +268,17 @@ def test_suffix_dedup_of_made_texts(spark):
     assert suffixes.remove_repeats(documents(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("hot_load", [0, 60])
+def test_suffix_dedup_of_a_phrase_with_many_surroundings(spark, hot_load):
+    """All buckets cut into windows, and some of them."""
+    r = random.Random(8)
+    phrase = "licensed under the same terms as all the others "
+    rows = [(i, "".join(r.choices("abc", k=r.randint(0, 60))) + phrase[: r.choice([20, 40, 48])] + str(i % 7) * r.randint(0, 40)) for i in range(300)]
+    rows += [(i + 300, "".join(r.choices("defgh ", k=200))) for i in range(40)] + EDGE[:7]
+    d = documents(spark, rows).repartition(5)
+    assert removed(suffixes.remove_repeats(d, hot_load=hot_load)) == brute_removed(rows)
+
+
 def test_deep_shallow_sort():
     r = random.Random(7)
     for _ in range(200):
