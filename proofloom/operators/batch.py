@@ -78,6 +78,32 @@ def generate_batch(
     return src.mapInPandas(run, GEN_SCHEMA)
 
 
+def recorded_replies(work: DataFrame, replies: DataFrame, on: list[str], missing: str = "no reply recorded") -> DataFrame:
+    """The generation stage over replies kept in a table: each work row takes
+    the reply with its key; without one it fails as a call that raised would.
+    Adds ``reply, gen_error, generation_time``."""
+    kept = replies.select(*on, "reply", F.lit(True).alias("_found"))
+    return work.join(kept, on, "left").select(
+        *work.columns,
+        "reply",
+        F.when(F.col("_found").isNull(), F.lit(missing)).alias("gen_error"),
+        F.lit(0.0).alias("generation_time"),
+    )
+
+
+def recorded_verdicts(work: DataFrame, verdicts: DataFrame, missing: str = "no verdict recorded") -> DataFrame:
+    """The checking stage over verdicts kept in a table (``content_key, ok,
+    stderr``); a code without one fails as a checker that raised would."""
+    kept = verdicts.select("content_key", F.col("ok").alias("_ok"), "stderr", F.lit(True).alias("_found"))
+    return work.select("content_key").join(kept, "content_key", "left").select(
+        "content_key",
+        F.coalesce("_ok", F.lit(False)).alias("ok"),
+        "stderr",
+        F.when(F.col("_found").isNull(), F.lit(missing)).alias("check_error"),
+        F.lit(0.0).alias("check_time"),
+    )
+
+
 def candidate_columns(df: DataFrame, reply: str = "reply", gen_error: str = "gen_error") -> DataFrame:
     """Adds ``code, errors, is_valid`` from a reply (or a generation error):
     extraction and validation are native expressions."""

@@ -1,6 +1,6 @@
 """Registered queries for candidate generation, memo tables and retry
-rounds (2.7).  The model and checker are the deterministic stubs of
-``operators.stubs``; their SQL forms make the oracles."""
+rounds (2.7).  Replies are the assistant turns of ``conversations``, verdicts
+the ``labels`` of the documents whose theorems are checked."""
 
 from __future__ import annotations
 
@@ -11,13 +11,11 @@ from ..functions import text as TX
 from ..operators import batch as B
 from ..operators import classify as CL
 from ..operators import memo as MM
-from ..operators import replies as RP
 from ..operators import results as R
 from ..operators import rounds as RD
 from ..operators.stages import where_computed
-from ..operators.stubs import stub_checker_factory, stub_model_factory
 from . import duck as D
-from .bindings import items_v, records_v, responses_v, stderr_v, with_views
+from .bindings import items_v, records_v, responses_v, stderr_v, table, with_views
 from .catalog_text import _LINES
 
 SCHED = RD.RetrySchedule()
@@ -56,27 +54,36 @@ def q_slot_prompt(spark, sf):
                     TX.sha16("prompt").alias("prompt_key"))
 
 
-def _generated(spark, sf, attempt=1, schedule=SCHED):
-    slots = RD.slot_prompt(RD.slot_expand(_round_items(spark, sf).withColumn("error_context", F.lit(None).cast(S.LEAN_ERROR)), schedule, attempt))
-    slots = slots.withColumn("gen_key", F.concat_ws(":", F.col("id"), F.col("beam_index").cast("string")))
-    gen = B.generate_batch(slots, stub_model_factory)
-    return B.candidate_columns(slots.join(gen, "gen_key"))
+def _answered(spark, sf, work):
+    """Candidates of (conv_id, turn) requests: the reply to a turn is the
+    assistant turn after it."""
+    replies = responses_v(spark, sf).select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("response").alias("reply"))
+    return B.candidate_columns(B.recorded_replies(work, replies, ["conv_id", "turn"]))
+
+
+def _generated(spark, sf):
+    users = table(spark, sf, "conversations").where(F.col("role") == "user")
+    return _answered(spark, sf, users.select("conv_id", "turn"))
 
 
 def q_generate_batch(spark, sf):
+    """A reply for every user turn, extracted and validated."""
     c = _generated(spark, sf)
-    return c.select("id", "code", "is_valid", F.array_join("errors", " | ").alias("errors"))
+    return c.select("conv_id", "turn", "code", "is_valid", F.array_join("errors", " | ").alias("errors"))
 
 
 def q_generation_failed(spark, sf):
+    """User turns that got no reply: failed candidates."""
     c = _generated(spark, sf).where(F.col("gen_error").isNotNull())
-    return c.select("id", "code", "is_valid", F.array_join("errors", " | ").alias("errors"))
+    return c.select("conv_id", "turn", "code", "is_valid", F.array_join("errors", " | ").alias("errors"))
 
 
 def q_single_attempt(spark, sf):
-    one = RD.RetrySchedule((3,), (0.5,), SCHED.token_limit)
-    c = _generated(spark, sf, 1, one)
-    return c.select("id", "beam_index", "code", "is_valid")
+    """One attempt with three beams per conversation: beam i asks at turn 2i."""
+    convs = table(spark, sf, "conversations").select("conv_id").distinct()
+    slots = RD.slot_expand(convs, RD.RetrySchedule((3,), (0.5,), SCHED.token_limit), 1)
+    c = _answered(spark, sf, slots.select("conv_id", "beam_index", (F.col("beam_index") * 2).cast("long").alias("turn")))
+    return c.select("conv_id", "beam_index", "code", "is_valid")
 
 
 def _requests(spark, sf):
@@ -97,14 +104,29 @@ def q_memo_generation(spark, sf):
     return MM.mark_repeats(req, "gen_key", ORDER).select(*ORDER, "gen_key", "from_memo")
 
 
+def _theorems(spark, sf):
+    """Check requests: every item's theorem, keyed by its whole digest."""
+    code = F.coalesce(F.col("theorem"), F.lit(""))
+    return items_v(spark, sf).select("doc_id", code.alias("code")).withColumn("content_key", F.sha2("code", 256))
+
+
+def _verdicts(spark, sf, theorems):
+    """Recorded verdict per theorem, from the labels of its documents."""
+    top = lambda c: F.coalesce(F.max(c), F.lit(0))
+    v = theorems.join(table(spark, sf, "labels"), "doc_id").groupBy("content_key").agg(top("quality").alias("q"), top("toxic").alias("t"))
+    message = F.concat(F.lit("error: quality "), F.col("q").cast("string"), F.lit(", toxic "), F.col("t").cast("string"))
+    ok = F.col("q") == 1
+    return v.select("content_key", ok.alias("ok"), F.when(ok, "").otherwise(message).alias("stderr"))
+
+
 def q_memo_check(spark, sf):
-    """Check requests of all records: each distinct code is checked once
+    """Check requests of all theorems: each distinct one is looked up once
     (work list), every request gets its verdict; repeats come from the memo."""
-    req = _requests(spark, sf)
-    verdicts = B.check_batch(MM.work_list(req, "content_key", None, ["code"]), stub_checker_factory)
-    flagged = MM.mark_repeats(req, "content_key", ORDER)
-    return flagged.join(verdicts.select("content_key", "ok"), "content_key", "left").select(
-        *ORDER, "content_key", "from_memo", "ok"
+    req = _theorems(spark, sf)
+    verdicts = B.recorded_verdicts(MM.work_list(req, "content_key", None), _verdicts(spark, sf, req))
+    flagged = MM.mark_repeats(req, "content_key", ["doc_id"])
+    return flagged.join(verdicts, "content_key", "left").select(
+        "doc_id", F.substring("content_key", 1, 16).alias("content_key"), "from_memo", "ok", "check_error"
     )
 
 
@@ -114,22 +136,22 @@ def q_memo_stats(spark, sf):
     return out.select(*[F.round(x, 6).alias(x) if x.endswith("hit_rate") else x for x in out.columns])
 
 
-def _reply_records(spark, sf):
-    c = RP.candidates_from_replies(responses_v(spark, sf)).withColumn("content_key", TX.content_key("code"))
-    c = c.withColumn("checkable", F.col("is_valid") & (TX.py_strip("code") != ""))
-    verdicts = B.check_batch(MM.work_list(where_computed(c, F.col("checkable")), "content_key", None, ["code"]), stub_checker_factory)
-    return c, verdicts
+def _checked(spark, sf):
+    c = _theorems(spark, sf).withColumn("errors", TX.code_errors("code"))
+    c = c.withColumn("checkable", (F.size("errors") == 0) & (TX.py_strip("code") != ""))
+    work = MM.work_list(where_computed(c, F.col("checkable")), "content_key", None)
+    return c, B.recorded_verdicts(work, _verdicts(spark, sf, _theorems(spark, sf)))
 
 
 def q_check_batch(spark, sf):
-    c, v = _reply_records(spark, sf)
-    return where_computed(c, F.col("checkable")).join(v, "content_key").select("conv_id", "turn", "ok", "stderr")
+    c, v = _checked(spark, sf)
+    return where_computed(c, F.col("checkable")).join(v, "content_key").select("doc_id", "ok", "stderr", "check_error")
 
 
 def q_skip_invalid(spark, sf):
-    """Every reply becomes a record; only valid, non-blank code is checked."""
-    c, v = _reply_records(spark, sf)
-    return B.check_records(c, v).select("conv_id", "turn", "compiled", "compile_ok", "compile_stderr")
+    """Every theorem becomes a record; only valid, non-blank code is checked."""
+    c, v = _checked(spark, sf)
+    return B.check_records(c, v).select("doc_id", "compiled", "compile_ok", "compile_stderr", "run_error")
 
 
 def q_stop_at_first_success(spark, sf):
@@ -178,21 +200,26 @@ _INITIAL = (
 )
 
 
-def _gen_sql(where: str, beams: str = "(VALUES (1, 1, 0.3)) t(attempt, beam_size, temperature)") -> str:
+def _gen_sql(requests: str, select: str) -> str:
+    """Candidates of (conv_id, turn, beam_index) requests."""
     return with_views(
         f"""
-, sl AS (SELECT i.id, {_INITIAL} AS prompt, CAST(s.attempt * 100 + unnest(generate_series(0, s.beam_size - 1)) AS INT) AS seed
-         FROM items_v i, (SELECT * FROM {beams}) s)
-, g AS (SELECT id, seed - 100 AS beam_index, {D.stub_hash('prompt', 'seed')} AS h FROM sl)
-, r AS (SELECT id, beam_index, {D.stub_reply('h')} AS reply, {D.stub_gen_error('h')} AS gen_error FROM g)
-, c AS (SELECT id, beam_index, gen_error, CASE WHEN gen_error IS NOT NULL THEN '' ELSE {D.extract_code('reply')} END AS code FROM r)
-, cv AS (SELECT id, beam_index, gen_error, code,
+, req AS ({requests})
+, rep AS (SELECT conv_id, turn - 1 AS turn, response FROM responses_v)
+, g AS (SELECT req.*, response AS reply, CASE WHEN rep.conv_id IS NULL THEN 'no reply recorded' END AS gen_error
+        FROM req LEFT JOIN rep ON rep.conv_id = req.conv_id AND rep.turn = req.turn)
+, c AS (SELECT conv_id, turn, beam_index, gen_error, CASE WHEN gen_error IS NOT NULL THEN '' ELSE {D.extract_code('reply')} END AS code FROM g)
+, cv AS (SELECT conv_id, turn, beam_index, gen_error, code,
          CASE WHEN gen_error IS NOT NULL THEN ['Generation failed: ' || gen_error] ELSE {D.code_errors('code')} END AS errors FROM c)
-{where}""",
-        "items_v",
+{select}""",
+        "responses_v",
     )
 
 
+_USER_TURNS = "SELECT conv_id, turn, 0 AS beam_index FROM conversations WHERE role = 'user'"
+_GEN_COLUMNS = "SELECT conv_id, turn, code, len(errors) = 0 AS is_valid, array_to_string(errors, ' | ') AS errors FROM cv"
+
+
 _REQ = """
 , req AS (SELECT item_id, attempt, beam_index, code,
   {gk} AS gen_key, {ck} AS content_key FROM records_v)
@@ -206,10 +233,13 @@ _REQ = """
     ),
 ).replace("{ck}", D.sha16("code"))
 
-_REPLY_RECS = f"""
-, cands AS (SELECT conv_id, turn, {D.extract_code('response')} AS code FROM responses_v)
-, cv AS (SELECT conv_id, turn, code, {D.code_errors('code')} AS errors FROM cands)
-, rr AS (SELECT *, (len(errors) = 0 AND {D.strip('code')} <> '') AS checkable FROM cv)
+_CHECKS = f"""
+, cand AS (SELECT doc_id, coalesce(theorem, '') AS code, sha256(coalesce(theorem, '')) AS content_key FROM items_v)
+, lab AS (SELECT content_key, coalesce(max(quality), 0) AS q, coalesce(max(toxic), 0) AS t FROM cand JOIN labels USING (doc_id) GROUP BY content_key)
+, ver AS (SELECT content_key, q = 1 AS ok, CASE WHEN q = 1 THEN '' ELSE 'error: quality ' || q || ', toxic ' || t END AS stderr FROM lab)
+, cv AS (SELECT doc_id, content_key, code, {D.code_errors('code')} AS errors FROM cand)
+, rr AS (SELECT cv.*, len(errors) = 0 AND {D.strip('code')} <> '' AS checkable, ver.content_key IS NOT NULL AS found, ver.ok AS ok, ver.stderr AS stderr
+         FROM cv LEFT JOIN ver ON ver.content_key = cv.content_key)
 """
 
 _CTX = _LINES + """
@@ -240,13 +270,11 @@ SELECT sl.id, sl.attempt, sl.beam_index, (ctx.category IS NOT NULL) AS is_repair
 FROM sl LEFT JOIN ctx ON ctx.item_id = sl.item_id AND ctx.attempt = sl.attempt""",
         "items_v", "stderr_v",
     ),
-    "generate_batch": _gen_sql("SELECT id, code, len(errors) = 0 AS is_valid, array_to_string(errors, ' | ') AS errors FROM cv"),
-    "generation_failed": _gen_sql(
-        "SELECT id, code, len(errors) = 0 AS is_valid, array_to_string(errors, ' | ') AS errors FROM cv WHERE gen_error IS NOT NULL"
-    ),
+    "generate_batch": _gen_sql(_USER_TURNS, _GEN_COLUMNS),
+    "generation_failed": _gen_sql(_USER_TURNS, _GEN_COLUMNS + " WHERE gen_error IS NOT NULL"),
     "single_attempt": _gen_sql(
-        "SELECT id, CAST(beam_index AS INT) AS beam_index, code, len(errors) = 0 AS is_valid FROM cv",
-        "(VALUES (1, 3, 0.5)) t(attempt, beam_size, temperature)",
+        "SELECT conv_id, 2 * b AS turn, CAST(b AS INT) AS beam_index FROM (SELECT DISTINCT conv_id FROM conversations), (SELECT unnest([0, 1, 2]) AS b)",
+        "SELECT conv_id, beam_index, code, len(errors) = 0 AS is_valid FROM cv",
     ),
     "memo_generation": with_views(
         _REQ + "SELECT item_id, attempt, beam_index, gen_key, "
@@ -254,9 +282,9 @@ FROM sl LEFT JOIN ctx ON ctx.item_id = sl.item_id AND ctx.attempt = sl.attempt""
         "records_v",
     ),
     "memo_check": with_views(
-        _REQ + "SELECT item_id, attempt, beam_index, content_key, "
-        f"row_number() OVER (PARTITION BY content_key ORDER BY item_id, attempt, beam_index) > 1 AS from_memo, {D.stub_ok('code')} AS ok FROM req",
-        "records_v",
+        _CHECKS + "SELECT doc_id, substr(content_key, 1, 16) AS content_key, row_number() OVER (PARTITION BY content_key ORDER BY doc_id) > 1 AS from_memo, "
+        "coalesce(ok, false) AS ok, CASE WHEN NOT found THEN 'no verdict recorded' END AS check_error FROM rr",
+        "items_v",
     ),
     "memo_stats": with_views(
         _REQ
@@ -270,13 +298,16 @@ SELECT gm.r AS generation_requests, gm.r - gm.m AS generation_hits, gm.m AS gene
 FROM gm, cm""",
         "records_v",
     ),
-    "check_batch": with_views(_REPLY_RECS + f"SELECT conv_id, turn, {D.stub_ok('code')} AS ok, {D.stub_stderr('code')} AS stderr FROM rr WHERE checkable", "responses_v"),
+    "check_batch": with_views(
+        _CHECKS + "SELECT doc_id, coalesce(ok, false) AS ok, stderr, CASE WHEN NOT found THEN 'no verdict recorded' END AS check_error FROM rr WHERE checkable",
+        "items_v",
+    ),
     "skip_invalid": with_views(
-        _REPLY_RECS
-        + f"""SELECT conv_id, turn, checkable AS compiled, (checkable AND {D.stub_ok('code')}) AS compile_ok,
-  CASE WHEN checkable THEN nullif({D.stub_stderr('code')}, '') WHEN len(errors) > 0 THEN array_to_string(errors, '; ') END AS compile_stderr
-FROM rr""",
-        "responses_v",
+        _CHECKS
+        + """SELECT doc_id, checkable AND found AS compiled, coalesce(checkable AND found AND ok, false) AS compile_ok,
+  CASE WHEN checkable AND found THEN nullif(stderr, '') WHEN len(errors) > 0 THEN array_to_string(errors, '; ') END AS compile_stderr,
+  CASE WHEN checkable AND NOT found THEN 'no verdict recorded' END AS run_error FROM rr""",
+        "items_v",
     ),
     "stop_at_first_success": with_views(
         """

@@ -136,35 +136,3 @@ def stderr_lines_cte(src: str, keys: str, stderr: str = "stderr") -> str:
       SELECT {keys}, parts, unnest(generate_series(1, len(parts))) AS i
       FROM (SELECT {keys}, string_split(coalesce({stderr}, ''), chr(10)) AS parts FROM {src})))
   WHERE line <> ''"""
-
-
-def stub_hash(prompt: str, seed: str) -> str:
-    return f"sha256({prompt} || '|' || CAST({seed} AS VARCHAR))"
-
-
-def stub_reply(h: str) -> str:
-    """SQL form of ``StubModel.generate`` given its hash (null = failure)."""
-    d = f"substr({h}, 1, 1)"
-    return f"""CASE WHEN substr({h}, 8, 1) = '0' THEN NULL
-  WHEN {d} IN ('0','1','2','3') THEN '```lean' || chr(10) || 'theorem t' || substr({h}, 2, 6) || ' : True := by' || chr(10) || '  trivial' || chr(10) || '```'
-  WHEN {d} IN ('4','5','6','7') THEN 'Here:' || chr(10) || '```' || chr(10) || 'lemma l' || substr({h}, 2, 4) || ' (a : Nat) : a = a := rfl' || chr(10) || '```'
-  WHEN {d} IN ('8','9','a','b') THEN 'Lean:' || chr(10) || 'theorem bad' || substr({h}, 2, 4) || ' : (a = a := by simp'
-  ELSE 'I cannot do this ' || substr({h}, 2, 6) END"""
-
-
-def stub_gen_error(h: str) -> str:
-    return f"CASE WHEN substr({h}, 8, 1) = '0' THEN 'stub outage ' || substr({h}, 1, 4) END"
-
-
-def stub_ok(code: str) -> str:
-    return f"(substr(sha256({code}), 1, 1) < '8')"
-
-
-def stub_stderr(code: str) -> str:
-    hc = f"sha256({code})"
-    d = f"substr({hc}, 2, 1)"
-    return f"""CASE WHEN substr({hc}, 1, 1) < '8' THEN ''
-  WHEN {d} IN ('0','1','2','3') THEN 'c.lean:2:4: error: unknown identifier ''foo'''
-  WHEN {d} IN ('4','5','6','7') THEN 'c.lean:1:10: error: type mismatch' || chr(10) || '  expected Nat, got Int'
-  WHEN {d} IN ('8','9','a','b') THEN 'error: unsolved goals' || chr(10) || '⊢ True'
-  ELSE 'c.lean:3:1: error: unexpected token '':=''' END"""

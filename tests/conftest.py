@@ -18,6 +18,8 @@ def spark():
     s = get_spark("local[*]", **{"spark.sql.shuffle.partitions": "8"})
     if not s.conf.get("spark.checkpoint.dir", None):
         s.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="proofloom-test-"))
+    # the pretend model and checker of the tests, for the workers
+    s.sparkContext.addPyFile(os.path.join(os.path.dirname(os.path.abspath(__file__)), "stubs.py"))
     yield s
 
 

@@ -1,7 +1,6 @@
 """Deterministic stand-ins for the model and the checker (tests, benches).
 
-Both derive their answer from a SHA-256 of the input, so a Spark run can be
-compared with a SQL restatement (``plans.duck`` spells the same rules)."""
+Both derive their answer from a SHA-256 of the input."""
 
 from __future__ import annotations
 

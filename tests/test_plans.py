@@ -8,9 +8,7 @@ import __spark_entry__ as E
 from proofloom.plans import catalog
 
 SF = "/root/testdata/sf0.001"
-# Queries whose work includes the pluggable model/checker stage, or that
-# write and read back their input (planning them runs jobs).
-BATCH = {"generate_batch", "generation_failed", "single_attempt", "memo_check", "check_batch", "skip_invalid"}
+# Queries that write and read back their input (planning them runs jobs).
 WRITES = {n for n in catalog.queries() if n.startswith(("scan_", "sink_"))}
 PLANNED = sorted(set(catalog.queries()) - WRITES)
 
@@ -20,10 +18,9 @@ def plan_of(df) -> str:
 
 
 @pytest.mark.parametrize("name", PLANNED)
-def test_no_python_outside_batch_and_no_global_window(spark, name):
+def test_no_python_and_no_global_window(spark, name):
     plan = plan_of(E.queries()[name](spark, SF))
-    if name not in BATCH:
-        assert not re.search(r"BatchEvalPython|ArrowEvalPython|MapInPandas|PythonUDF", plan), name
+    assert not re.search(r"BatchEvalPython|ArrowEvalPython|MapInPandas|PythonUDF", plan), name
     for line in plan.splitlines():
         if re.search(r"\bWindow \[", line):
             assert "], [], [" not in line, f"{name}: window without partition key: {line.strip()[:200]}"

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from proofloom.operators import memo as MM
 from proofloom.operators import rounds as RD
-from proofloom.operators.stubs import StubChecker, StubModel, raising_checker_factory, stub_checker_factory, stub_model_factory
+from stubs import StubChecker, StubModel, raising_checker_factory, stub_checker_factory, stub_model_factory
 
 STATEMENTS = [f"statement number {i} about sets" for i in range(60)]
 
