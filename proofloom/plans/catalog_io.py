@@ -80,7 +80,7 @@ def q_scan_union_files(spark, sf):
     SNK.sink_jsonl(items_v(spark, sf), a)
     SNK.sink_jsonl(_benchmark_items(spark, sf), b)
     df = SRC.scan_union_files(spark, [a, b])
-    return df.select("id", "topic", F.col("file").startswith("part-").alias("tagged"))
+    return df.select("id", "topic", F.regexp_extract("path", "union_([a-z]+)", 1).alias("tagged"))
 
 
 def q_sink_jsonl(spark, sf):
@@ -160,8 +160,8 @@ WHERE se.steps_error IS NULL AND x.te IS NULL AND x.ie IS NULL"""
     ),
     "scan_items": with_views(_IT + "SELECT id, topic, statement, CAST(len(steps) AS INT) AS n_steps, theorem FROM it", "items_v"),
     "scan_union_files": with_views(
-        "SELECT id, topic, true AS tagged FROM items_v "
-        "UNION ALL SELECT 'bench_' || CAST(item_id AS VARCHAR) AS id, 'benchmark' AS topic, true AS tagged FROM benchmark",
+        "SELECT id, topic, 'documents' AS tagged FROM items_v "
+        "UNION ALL SELECT 'bench_' || CAST(item_id AS VARCHAR) AS id, 'benchmark' AS topic, 'benchmark' AS tagged FROM benchmark",
         "items_v",
     ),
     "sink_jsonl": with_views(

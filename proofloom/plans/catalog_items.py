@@ -263,7 +263,7 @@ def _dv(sql: str) -> str:
     return "WITH _x AS (SELECT 1)\n" + _DOCS + _VROWS + sql
 
 
-_SPLIT = """
+SPLIT_SQL = """
 , keyed AS (SELECT id, topic, sha256('42:' || id) AS k FROM items_v)
 , rk AS (SELECT id, topic, row_number() OVER (PARTITION BY topic ORDER BY k, id) AS r, count(*) OVER (PARTITION BY topic) AS n FROM keyed)
 , q AS (SELECT *, CASE WHEN n >= 3 THEN greatest(1, CAST(floor(n * 0.6) AS BIGINT)) ELSE 1 END AS nt,
@@ -273,7 +273,7 @@ _SPLIT = """
 
 
 def _sv(sql: str) -> str:
-    return with_views(_SPLIT + sql, "items_v")
+    return with_views(SPLIT_SQL + sql, "items_v")
 
 
 ORACLES = {

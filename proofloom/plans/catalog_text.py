@@ -12,10 +12,12 @@ from ..functions import text as TX
 from ..operators import classify as CL
 from ..operators import memo as MM
 from ..operators import replies as RP
+from ..operators import splits as SP
 from ..operators.stages import where_computed
 from ..operators.rounds import RetrySchedule, schedule_column
 from . import duck as D
 from .bindings import items_v, records_v, responses_v, stderr_v, table, with_views
+from .catalog_items import SPLIT_SQL
 
 #: Import line of a module whose item names none.
 DEFAULT_IMPORT = "Main.Basic"
@@ -187,7 +189,13 @@ def q_error_context(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def q_error_histogram(spark: SparkSession, sf: str) -> DataFrame:
-    return CL.error_histogram(_lines(spark, sf))
+    """Error lines by split and attempt; lines of items outside the data set
+    have no split."""
+    split = SP.assign_splits(items_v(spark, sf).select("doc_id", "id", "topic")).select(F.col("doc_id").alias("item_id"), "split")
+    # Counts per item first: the join moves one row per item and category.
+    per_item = CL.error_histogram(_lines(spark, sf), by=("item_id", "attempt"))
+    tagged = per_item.join(split, "item_id", "left")
+    return tagged.groupBy("split", "attempt", "category").agg(F.sum("n_errors").alias("n_errors"))
 
 
 def q_error_report(spark: SparkSession, sf: str) -> DataFrame:
@@ -351,8 +359,11 @@ SELECT g.item_id, g.attempt,
   last_value(la.message IGNORE NULLS) OVER (PARTITION BY g.item_id ORDER BY g.attempt ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS message
 FROM grid g LEFT JOIN la ON g.item_id = la.item_id AND g.attempt = la.attempt"""
     ),
-    "error_histogram": _sv(
-        "SELECT s.attempt, cl.category, count(*) AS n_errors FROM cl JOIN stderr_v s ON cl.event_id = s.event_id GROUP BY 1, 2"
+    "error_histogram": with_views(
+        _LINES + SPLIT_SQL + ", sp AS (SELECT i.doc_id, sa.split FROM sa JOIN items_v i ON i.id = sa.id) "
+        "SELECT sp.split, s.attempt, cl.category, count(*) AS n_errors FROM cl JOIN stderr_v s ON cl.event_id = s.event_id "
+        "LEFT JOIN sp ON sp.doc_id = s.item_id GROUP BY 1, 2, 3",
+        "items_v", "stderr_v",
     ),
     "error_report": _sv(
         f"SELECT event_id, pos, category, line AS message, {D.line_number('line')} AS line_number, 'error' AS severity, "

@@ -42,6 +42,16 @@ def get_spark(master: str | None = None, app: str = "proofloom", **conf: str) ->
     return spark
 
 
+#: Of the defaults above, those that a session of the caller gets as well.
+SKEW_SETTINGS = ("spark.sql.adaptive.enabled", "spark.sql.adaptive.skewJoin.enabled", "spark.sql.adaptive.forceOptimizeSkewedJoin")
+
+
+def split_skewed_joins(spark: SparkSession) -> None:
+    """Skew-join settings for a session that ``get_spark`` did not build."""
+    for key in SKEW_SETTINGS:
+        spark.conf.set(key, CLUSTER_DEFAULTS[key])
+
+
 _shipped: set[str] = set()
 
 

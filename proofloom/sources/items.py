@@ -171,8 +171,15 @@ def scan_corrupt(spark: SparkSession, path: str) -> DataFrame:
 
 
 def scan_union_files(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """Several item files in one read, tagged with the file name."""
+    """Several item files in one read, tagged with the file name (``file``)
+    and the requested path it was read for (``path``)."""
     for p in paths:
         require_path(spark, p)
     df = spark.read.schema(S.ITEM).option("mode", "FAILFAST").json(paths)
-    return _normalize_items(df.withColumn("file", F.col("_metadata.file_name")))
+    read = F.col("_metadata.file_path")
+    # The longest requested path that the file lies at or below.
+    tags = [
+        F.when(read.endswith(p.rstrip("/")) | read.contains(p.rstrip("/") + "/"), F.lit(p))
+        for p in sorted(set(paths), key=len, reverse=True)
+    ]
+    return _normalize_items(df.withColumn("file", F.col("_metadata.file_name")).withColumn("path", F.coalesce(*tags)))
