@@ -48,10 +48,17 @@ def _contexts(spark, sf):
 
 
 def q_slot_prompt(spark, sf):
-    slots = RD.slot_expand(_round_items(spark, sf), SCHED).join(_contexts(spark, sf), ["item_id", "attempt"], "left")
-    p = RD.slot_prompt(slots)
-    return p.select("id", "attempt", "beam_index", F.col("error_context").isNotNull().alias("is_repair"),
-                    TX.sha16("prompt").alias("prompt_key"))
+    """One prompt per item and attempt, hashed before the beams share it.  The
+    contexts join as one map per item (an entry per attempt at most), so texts
+    are shuffled once."""
+    known = _contexts(spark, sf).where(F.col("error_context").isNotNull())
+    contexts = known.groupBy("item_id").agg(F.map_from_entries(F.collect_list(F.struct("attempt", "error_context"))).alias("contexts"))
+    rows = _round_items(spark, sf).join(contexts, "item_id", "left").select("*", F.inline(RD.schedule_column(SCHED)))
+    rows = rows.withColumn("error_context", F.try_element_at("contexts", F.col("attempt")))
+    p = RD.slot_prompt(rows).select("id", "attempt", "beam_size", F.col("error_context").isNotNull().alias("is_repair"),
+                                    TX.sha16("prompt").alias("prompt_key"))
+    beams = F.explode(F.sequence(F.lit(0), F.col("beam_size") - 1)).alias("beam_index")
+    return p.select("id", "attempt", beams, "is_repair", "prompt_key")
 
 
 def _answered(spark, sf, work):
