@@ -121,7 +121,7 @@ def scan(docs: DataFrame, templates=TEMPLATES, phrases: dict = PHRASES, threshol
     found = F.concat(*[F.transform(places(w, p), tagged(label)) for p, label in phrases.items()])
     d = d.select(
         *keep,
-        F.xxhash64("_t").alias("_h"),
+        F.sha2("_t", 256).alias("_h"),
         F.size(w).cast("long").alias("n_words"),
         found.alias("base_places"),
         F.when(F.arrays_overlap(w, literal(rare)), blocks).alias("_blocks") if rare else F.lit(None).cast("array<struct<block:int,tokens:array<string>>>").alias("_blocks"),
