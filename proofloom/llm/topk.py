@@ -14,7 +14,8 @@ in integers.
 
 Spark deals candidates and queries to blocks of bounded size; each pair of a
 query block and a candidate block is one group, and the best k of a query
-over its blocks are merged by an aggregate.
+over its blocks are merged by an aggregate.  Equal rows are counted before
+they are dealt, and searched once.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .common import small_batches, table
 
-RESULT = "query_id long, vec_id long, score long"
+RESULT = "query_id long, vec_id long, score long, copies long"
 
 
 def quantised(vectors: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", scale: float = 256.0) -> DataFrame:
@@ -60,8 +61,10 @@ def exact_scores(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return np.array([min(max(sum(a * int(b) for a, b in zip(qs, row)), low), high) for row in x], np.int64)
 
 
-def search_block(q_ids, q, x_ids, x, k: int, levels=(4, 8, 16)) -> pd.DataFrame:
-    """The k best rows of one candidate block for each query of one block."""
+def search_block(q_ids, q, q_copies, x_ids, x, x_copies, k: int, levels=(4, 8, 16)) -> pd.DataFrame:
+    """The k best rows of one candidate block for each query of one block, and
+    how many pairs (at most k) each stands for.  The rows of either side are
+    distinct."""
     levels = [s for s in levels if s < x.shape[1]]
     qs, xs = [segment_statistics(q, s) for s in levels], [segment_statistics(x, s) for s in levels]
     slack = 1e-6 * (1.0 + np.linalg.norm(x, axis=1))
@@ -83,8 +86,9 @@ def search_block(q_ids, q, x_ids, x, k: int, levels=(4, 8, 16)) -> pd.DataFrame:
             alive, tolerance = alive[keep], tolerance[keep]
         score = exact_scores(q[i], x[alive])
         top = np.lexsort((x_ids[alive], -score))[:k]
-        out.append(pd.DataFrame({"query_id": qid, "vec_id": x_ids[alive][top], "score": score[top]}))
-    return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}, dtype="int64")
+        copies = np.minimum(np.minimum(x_copies[alive][top], k) * min(int(q_copies[i]), k), k)
+        out.append(pd.DataFrame({"query_id": qid, "vec_id": x_ids[alive][top], "score": score[top], "copies": copies}))
+    return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": [], "copies": []}, dtype="int64")
 
 
 def top_k(queries: DataFrame, candidates: DataFrame, k: int = 5, block_rows: int = 16384) -> DataFrame:
@@ -92,10 +96,11 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = 5, block_rows: int
     query with all candidates but rows of its own id, ties to the smaller id.
 
     ``queries`` and ``candidates`` are (vec_id, v) as ``quantised`` gives.
-    Only vectors of the query's length are compared.  A candidate id that is
-    repeated with the same score counts once.  Blocks hold about
-    ``block_rows`` rows, whatever the size of the tables; ids, not vectors,
-    are dealt, so copies of one vector spread over all blocks.
+    Only vectors of the query's length are compared.  Every row counts: a
+    candidate that stands m times takes m ranks, and a query that stands m
+    times meets every candidate m times.  Blocks hold about ``block_rows``
+    distinct rows at most, whatever the size of the tables; rows are dealt by
+    id and vector, so copies of one vector spread over all blocks.
     """
     spark = candidates.sparkSession
     small_batches(spark, 4096)
@@ -104,26 +109,28 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = 5, block_rows: int
     shape = c_n.join(q_n, "dim")  # one row for each vector length
 
     def dealt(df, own, other, own_name, other_name):
-        d = df.withColumn("dim", F.size("v")).join(shape, "dim")
-        d = d.withColumn(own_name, F.pmod(F.xxhash64("vec_id"), F.col(own)))
-        return d.withColumn(other_name, F.explode(F.sequence(F.lit(0).cast("long"), F.col(other) - 1))).select("dim", "cb", "qb", "vec_id", "v")
+        d = df.groupBy("vec_id", "v").agg(F.count("*").alias("copies"))
+        d = d.withColumn("dim", F.size("v")).join(shape, "dim")
+        d = d.withColumn(own_name, F.pmod(F.xxhash64("vec_id", "v"), F.col(own)))
+        return d.withColumn(other_name, F.explode(F.sequence(F.lit(0).cast("long"), F.col(other) - 1))).select("dim", "cb", "qb", "vec_id", "v", "copies")
 
     # Renamed on one side: both may come from one table.
-    c = dealt(candidates, "c_n", "q_n", "cb", "qb").toDF("c_dim", "c_cb", "c_qb", "c_id", "c_v")
+    c = dealt(candidates, "c_n", "q_n", "cb", "qb").toDF("c_dim", "c_cb", "c_qb", "c_id", "c_v", "c_copies")
     q = dealt(queries, "q_n", "c_n", "qb", "cb")
 
     def search(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}, dtype="int64")
-        left = left.drop_duplicates("vec_id")
-        return search_block(left["vec_id"].to_numpy(), np.stack(left["v"].to_numpy()), right["c_id"].to_numpy(), np.stack(right["c_v"].to_numpy()), k)
+            return pd.DataFrame({"query_id": [], "vec_id": [], "score": [], "copies": []}, dtype="int64")
+        rows = lambda side, *names: (side[names[0]].to_numpy(), np.stack(side[names[1]].to_numpy()), side[names[2]].to_numpy())
+        return search_block(*rows(left, "vec_id", "v", "copies"), *rows(right, "c_id", "c_v", "c_copies"), k)
 
     keys = ["dim", "cb", "qb"]
-    found = q.groupBy(keys).cogroup(c.groupBy("c_dim", "c_cb", "c_qb")).applyInPandas(search, RESULT).distinct()
-    best = F.slice(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("neg"), "vec_id"))), 1, k)
+    found = q.groupBy(keys).cogroup(c.groupBy("c_dim", "c_cb", "c_qb")).applyInPandas(search, RESULT)
+    best = F.slice(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("neg"), "vec_id", "copies"))), 1, k)
+    each = F.slice(F.flatten(F.transform("best", lambda b: F.array_repeat(b, b["copies"].cast("int")))), 1, k)
     return (
-        found.groupBy("query_id").agg(best.alias("best"))  # at most k rows from each candidate block
-        .select("query_id", F.posexplode("best").alias("pos", "b"))
+        found.groupBy("query_id").agg(best.alias("best"))  # at most k rows from each pair of blocks
+        .select("query_id", F.posexplode(each).alias("pos", "b"))
         .select("query_id", (F.col("pos") + 1).alias("rank"), F.col("b.vec_id").alias("vec_id"), (-F.col("b.neg")).alias("score"))
     )
 

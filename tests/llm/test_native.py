@@ -88,6 +88,27 @@ def test_top_k_ties_bad_vectors_and_lengths(spark):
     assert topk.top_k(v.limit(0), v.limit(0)).count() == 0
 
 
+def test_top_k_counts_every_row_as_the_oracle_does(spark, tmp_path):
+    """Copies of the best row in one block, alone and on a repeated query."""
+    from oracle_check import compare, duck
+
+    spread = [[1.0, i / 100] for i in range(40)]
+    rows = [(0, [1.0, 0.0]), (50, [0.0, 1.0]), (50, [0.0, 1.0]), (100, [1.0, 1.0]), (100, [-1.0, 0.5])]
+    rows += [(7, [3.0, 3.0])] * 3 + [(7, [3.0, 2.0])] * 2 + [(i + 200, x) for i, x in enumerate(spread)]
+    folder = str(tmp_path)
+    for name in os.listdir(SMALL):
+        if name != "embeddings.parquet":
+            os.symlink(os.path.join(SMALL, name), os.path.join(folder, name))
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").coalesce(1).write.parquet(f"{folder}/made")
+    part = next(f for f in os.listdir(f"{folder}/made") if f.startswith("part-"))
+    os.symlink(f"{folder}/made/{part}", f"{folder}/embeddings.parquet")
+    message, same = compare(spark, duck(folder), "op6_exact_top_k", topk.op6_exact_top_k, topk.ORACLE, folder)
+    assert same, message
+    v = topk.quantised(spark.createDataFrame([(0, [1.0, 0.0]), *[(1, [9.0, 0.0])] * 5, *[(i, [float(i % 4), 1.0]) for i in range(2, 30)]], "vec_id long, embedding array<float>"))
+    found = topk.top_k(v.where("vec_id = 0"), v, 6).orderBy("rank").collect()
+    assert [(r.rank, r.vec_id) for r in found] == [(1, 1), (2, 1), (3, 1), (4, 1), (5, 1), (6, 3)]
+
+
 def test_mix_targets_bounds_and_reruns(spark):
     texts = [(i, "w " * (1 + i % 90)) for i in range(400)]
     d = documents(spark, texts, "a").unionByName(documents(spark, [(1000 + i, "v " * 40) for i in range(30)] + [(2000, None), (None, "u u u")], None))
