@@ -141,6 +141,17 @@ def test_simhash_edge_cases(spark):
     assert simhash.near_duplicates(documents(spark, [])).count() == 0
 
 
+def test_one_of_each_component_with_null_and_repeated_ids(spark):
+    """Distinct texts without an id, one id on two texts, copies of a text
+    that has an id elsewhere, and rows that are repeated whole."""
+    texts = [" ".join(f"w{k}x{i}" for i in range(40)) for k in range(8)]
+    rows = [(None, texts[0]), (None, texts[1]), (None, texts[1]), (None, texts[2]), (5, texts[2]), (9, texts[3]), (9, texts[4]), (3, texts[5]), (3, texts[5]), (9, texts[5]), (3, texts[6]), (4, texts[6]), (None, texts[7]), (9, texts[7])]
+    want = {(None, texts[0]), (None, texts[1]), (5, texts[2]), (9, texts[3]), (9, texts[4]), (3, texts[5]), (3, texts[6]), (9, texts[7])}
+    for parts in (1, 5):
+        kept = [(r.doc_id, r.text) for r in simhash.one_of_each(documents(spark, rows).repartition(parts)).collect()]
+        assert len(kept) == len(want) and set(kept) == want
+
+
 # --- 8 ---------------------------------------------------------------------
 
 
