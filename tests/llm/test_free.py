@@ -231,6 +231,22 @@ def test_a_repeated_number_takes_the_label_of_its_full_form(spark):
     assert [(s["kind"], t[s["start"] : s["end"]]) for s in spans] == [("phone", "+1 (229) 555-4838"), ("phone", "555-4838"), ("phone", "555-4838")]
 
 
+def test_edges_count_in_texts_without_a_base_span():
+    """Two mentions of a number that alone is not sure: the field decides, as
+    it does with an unrelated address in the text."""
+    t = "Dial 555-4838 today. More words stand here. Or 555-4838 later."
+    signs = set(personal.graph(t)[3])
+    k = len(personal.LABELS)
+    weak = np.log([0.4 if i == 0 else 0.3 if i == personal.LABELS.index("phone") else 0.1 for i in range(k)])
+    unary = {"": weak, **{s: weak for s in signs}}
+    skip = np.full((k, k), -8.0)
+    skip[0, 0], skip[4, 4] = 0.0, 8.0
+    chain = np.zeros((k, k))
+    added = lambda x: [(s["kind"], x[s["start"] : s["end"]]) for s in personal.spans_of(x, unary, chain, skip, 0.9) if not s["base"]]
+    assert added(t) == [("phone", "555-4838")] * 2 == added(t + " Some words, then a.b@c.de too.")
+    assert added("Dial 555-4838 today.") == []
+
+
 def test_personal_data_edge_cases(spark):
     d = documents(spark, [*EDGE, (20, "mail \U0001f600 a.b@c.de, x"), (21, "nothing 1999 here")])
     rows = {r.doc_id: r for r in personal.find_spans(d).collect()}
