@@ -1,16 +1,23 @@
 """5. License scans: phrase places and an exact set-similarity join of text
 blocks with license templates, with DataFrame functions only.
 
-A block (a line of the text) meets a template when it holds at least
-``threshold`` of the template's distinct words.  The words of all templates
+A text meets a template where a window of its words, line breaks or not, holds
+at least ``threshold`` of the template's distinct words.  A window is as long as
+the template divided by the threshold, so a notice may be wrapped and hold some
+further words, but words scattered over a long line do not add up.  Blocks are
+runs of twice the longest window, one beginning at each multiple of it: every
+window lies whole in the block in whose first half it begins.  Blocks are joined
+with templates, and of pairs that share enough words all windows are counted.
+
+The words of all templates
 are ranked by how many documents hold them, rarest first, over the whole
-table.  With o words needed of a template T, a block that meets it shares one
+table.  With o words needed of a template T, a block that holds them shares one
 of the first |T| - o + 1 words of T, and of its own first |B| - o + 1 words
 (prefix filter); it has o template words at least (length filter); and at the
 first shared word enough words must remain on both sides (positional filter).
 Prefix words meet in an equi-join, and pairs that pass are counted exactly.
 
-Blocks keep only words of some template: others cannot add to an overlap.
+Joined are only words of some template: others cannot add to an overlap.
 The template table and the ranks are bounded by the templates, a parameter;
 they are the only things broadcast or brought to the driver.
 
@@ -38,7 +45,7 @@ PHRASES = {
     "mit license": "mit",
 }
 
-#: Notices looked for as whole blocks: (label, notice).
+#: Notices looked for: (label, notice).
 TEMPLATES = [
     ("notice:agpl-3.0", "This program is licensed under the GNU Affero General Public License version 3"),
     ("notice:apache-2.0", "Licensed under the Apache License, Version 2.0"),
@@ -67,10 +74,12 @@ def words(text: Column) -> Column:
 
 
 def template_table(spark: SparkSession, templates, threshold: float) -> DataFrame:
-    """(label, tokens, needed) with distinct words of each notice."""
+    """(label, tokens, needed, length) with distinct words of each notice and
+    the number of words of its windows."""
     t = spark.createDataFrame(list(templates), "label string, notice string")
-    t = t.select("label", F.array_distinct(words(lowered(F.col("notice")))).alias("tokens")).where("size(tokens) > 0")
-    return t.withColumn("needed", F.ceil(F.size("tokens") * F.lit(float(threshold)) - 1e-9).cast("int"))
+    t = t.select("label", words(lowered(F.col("notice"))).alias("all")).where("size(all) > 0").withColumn("tokens", F.array_distinct("all"))
+    needed, length = F.size("tokens") * F.lit(float(threshold)) - 1e-9, F.size("all") / F.lit(float(threshold)) - 1e-9
+    return t.select("label", "tokens", F.ceil(needed).cast("int").alias("needed"), F.ceil(length).cast("int").alias("length"))
 
 
 def literal(values: list[str]) -> Column:
@@ -88,9 +97,11 @@ def places(w: Column, phrase: str) -> Column:
     return F.when(here, first).otherwise(F.array().cast("array<int>"))
 
 
-def scan(docs: DataFrame, templates=TEMPLATES, phrases: dict = PHRASES, threshold: float = 0.8, text: str = "text", block_end: str = "\n") -> DataFrame:
+def scan(docs: DataFrame, templates=TEMPLATES, phrases: dict = PHRASES, threshold: float = 0.8, text: str = "text") -> DataFrame:
     """``docs`` without its text, with n_words, base_places (array of label,
-    start), base_labels and notices (array of label, block, containment)."""
+    start), base_labels and notices (array of label, block, containment: of
+    the best window that begins in the block's first half).  A notice at the
+    border of two halves may be listed for both."""
     spark = docs.sparkSession
     keep = [c for c in docs.columns if c not in (text, "n_words", "base_places", "base_labels", "notices")]
     low = docs.select(*keep, lowered(F.coalesce(F.col(text), F.lit(""))).alias("_t"))
@@ -105,17 +116,18 @@ def scan(docs: DataFrame, templates=TEMPLATES, phrases: dict = PHRASES, threshol
     prefixes, whole = [], []
     for r in listed:
         tokens = sorted(r["tokens"], key=rank.__getitem__)
-        whole.append((r["label"], tokens, r["needed"]))
+        whole.append((r["label"], tokens, r["length"]))
         prefixes += [(t, r["label"], i, len(tokens), r["needed"]) for i, t in enumerate(tokens[: len(tokens) - r["needed"] + 1])]
     rare = sorted({p[0] for p in prefixes})
     least = min((p[4] for p in prefixes), default=1)
+    reach = max((x[2] for x in whole), default=1)
 
     d = low.select(*keep, "_t", words(F.col("_t")).alias("_w"))
     w = F.col("_w")
-    block_words = F.transform(F.split(F.col("_t"), block_end), lambda b: F.array_intersect(literal(ranked), words(b)))
+    runs = F.transform(F.sequence(F.lit(0), F.greatest(F.size(w) - 1, F.lit(0)), F.lit(reach)), lambda i: F.slice(w, i + 1, 2 * reach))
     blocks = F.filter(
-        F.transform(block_words, lambda b, i: F.struct(i.alias("block"), b.alias("tokens"))),
-        lambda b: (F.size(b["tokens"]) >= least),
+        F.transform(runs, lambda r, i: F.struct(i.alias("block"), r.alias("words"), F.array_intersect(literal(ranked), r).alias("tokens"))),
+        lambda b: (F.size(b["tokens"]) >= least) & F.arrays_overlap(b["tokens"], literal(rare)),
     )
     tagged = lambda label: lambda i: F.struct(F.lit(label).alias("label"), i.cast("long").alias("start"))
     found = F.concat(*[F.transform(places(w, p), tagged(label)) for p, label in phrases.items()])
@@ -124,19 +136,21 @@ def scan(docs: DataFrame, templates=TEMPLATES, phrases: dict = PHRASES, threshol
         F.sha2("_t", 256).alias("_h"),
         F.size(w).cast("long").alias("n_words"),
         found.alias("base_places"),
-        F.when(F.arrays_overlap(w, literal(rare)), blocks).alias("_blocks") if rare else F.lit(None).cast("array<struct<block:int,tokens:array<string>>>").alias("_blocks"),
+        F.when(F.arrays_overlap(w, literal(rare)), blocks).alias("_blocks") if rare else F.lit(None).cast("array<struct<block:int,words:array<string>,tokens:array<string>>>").alias("_blocks"),
     )
     d = cut(d, "license-blocks")
 
-    b = d.where("size(_blocks) > 0").select("_h", F.explode("_blocks").alias("b")).select("_h", "b.block", "b.tokens")
+    b = d.where("size(_blocks) > 0").select("_h", F.explode("_blocks").alias("b")).select("_h", "b.block", "b.words", "b.tokens")
     b = b.distinct()  # copies of a text are one
     head = b.select("*", F.posexplode(F.slice("tokens", 1, F.size("tokens") - least + 1)).alias("j", "token"))
     p = spark.createDataFrame(prefixes, "token string, label string, i int, size int, needed int")
     near = head.join(F.broadcast(p), "token").where((F.size("tokens") >= F.col("needed")) & (F.least(F.col("size") - F.col("i"), F.size("tokens") - F.col("j")) >= F.col("needed")))
-    pairs = near.select("_h", "block", "tokens", "label", "size", "needed").distinct()
-    full = spark.createDataFrame(whole, "label string, of array<string>, least int")
-    overlap = F.size(F.array_intersect("tokens", "of"))
-    met = pairs.join(F.broadcast(full), "label").withColumn("overlap", overlap).where("overlap >= needed")
+    pairs = near.select("_h", "block", "words", "tokens", "label", "size", "needed").distinct()
+    full = spark.createDataFrame(whole, "label string, of array<string>, length int")
+    held = pairs.join(F.broadcast(full), "label").where(F.size(F.array_intersect("tokens", "of")) >= F.col("needed"))
+    starts = F.sequence(F.lit(1), F.least(F.size("words"), F.lit(reach)))
+    overlap = F.array_max(F.transform(starts, lambda i: F.size(F.array_intersect("of", F.slice("words", i, F.col("length"))))))
+    met = held.withColumn("overlap", overlap).where("overlap >= needed")
     notices = met.groupBy("_h").agg(F.sort_array(F.collect_list(F.struct("label", "block", (F.col("overlap") / F.col("size")).alias("containment")))).alias("notices"))
     notices = notices.withColumnRenamed("_h", "_of")
     out = d.join(notices, F.col("_h") == F.col("_of"), "left")

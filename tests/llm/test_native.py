@@ -79,6 +79,22 @@ def test_license_edge_cases(spark):
     assert licenses.scan(documents(spark, [])).count() == 0
 
 
+def test_license_notices_over_lines_and_in_long_lines(spark):
+    """Wrapped notices are found wherever they begin; scattered words of one
+    long line are no notice."""
+    notice = dict(licenses.TEMPLATES)["notice:bsd"].split()
+    wrapped = "\n * ".join(" ".join(notice[i : i + 8]) for i in range(0, len(notice), 8))
+    far = " ".join(["word"] * 60)
+    scattered = f" {far} ".join(["released", "under", "the", "mit", "license", "copyright", "all", "rights", "reserved"])
+    texts = [(1, wrapped), (3, scattered), (4, f"{far} {scattered} {far} Released under the MIT License. {far}")]
+    texts += [(100 + n, " ".join(["word"] * n) + "\n" + wrapped + "\n" + far) for n in range(0, 61, 5)]
+    found = {r.doc_id: [(n.label, n.containment) for n in r.notices] for r in licenses.scan(documents(spark, texts)).collect()}
+    assert found[3] == [] and found[4] == [("notice:mit", 1.0)]
+    for i, notices in found.items():
+        if i not in (3, 4):
+            assert max(notices) == ("notice:bsd", 1.0) and {n for n, _ in notices} == {"notice:bsd"}, i
+
+
 def test_top_k_ties_bad_vectors_and_lengths(spark):
     rows = [(0, [1.0, 0.0]), (50, [1.0, 0.0]), (7, [1.0, 0.0]), (7, [1.0, 0.0]), (8, [float("nan"), 1.0]), (9, None), (10, [1.0, None]), (11, [2.0]), (None, [5.0, 5.0]), (12, [3e30, 1.0])]
     v = topk.quantised(spark.createDataFrame(rows, "vec_id long, embedding array<float>"))
