@@ -12,7 +12,9 @@ import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))))
 
-from proofloom.llm import passages, personal, pieces, simhash, suffixes, toxicity  # noqa: E402
+from pyspark.sql import functions as F  # noqa: E402
+
+from proofloom.llm import passages, personal, pieces, sampling, simhash, suffixes, toxicity  # noqa: E402
 from proofloom.llm.common import table  # noqa: E402
 
 SMALL, MEDIUM = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
@@ -48,6 +50,17 @@ def test_classifiers_take_edge_cases(spark, module):
     assert module.classify(documents(spark, []), labels).count() == 0
 
 
+def test_a_long_or_absent_text_takes_no_place_in_the_sample(spark):
+    """Whichever document is first in the order: the others stay, and labels
+    without a text do not count."""
+    for long in range(6):
+        d = documents(spark, [(i, "x" * (900 if i == long else 10)) for i in range(6)] + [(6, None)])
+        labels = spark.createDataFrame([(i, 1) for i in range(60)], "doc_id long, quality int")
+        rows = sampling.labelled_sample(d, labels, "quality", F.lit(True), 12, 200).collect()
+        assert sorted(r.doc_id for r in rows) == [i for i in range(6) if i != long]
+        assert sum(r.weight for r in rows) == 6
+
+
 def test_swap_penalty_takes_weight_off_group_terms():
     r = random.Random(1)
     filler = ["the", "house", "was", "there", "with", "some", "trees", "and", "water"]
