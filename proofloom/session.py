@@ -101,6 +101,15 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base}/proofloom/{name}-{suffix}"
 
 
+def free_column(df, name: str) -> str:
+    """A working-column name that no column of ``df`` has, in any spelling of
+    upper and lower case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def spread(df, min_partitions: int | None = None):
     """Round-robin a frame whose scan yields fewer partitions than the
     session can run at once (e.g. a file written as one row group), so that
