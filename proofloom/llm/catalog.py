@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["quality_rules", "toxicity", "passages", "simhash", "licenses", "topk", "mixing", "pieces", "personal", "suffixes", "whitening", "lexical"]
+MODULES = ["quality_rules", "toxicity", "passages", "simhash", "licenses", "topk", "mixing", "pieces", "personal", "suffixes", "whitening", "lexical", "contamination"]
 
 
 def _all(kind: str) -> dict:
