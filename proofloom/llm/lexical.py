@@ -38,7 +38,7 @@ from .common import cut, small_batches, table
 
 TERM = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
 NATIVE_TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-PART_POSTINGS, PART_DOCS = 1 << 17, 4096
+PART_POSTINGS, PART_DOCS = 1 << 14, 2048
 BLOCK_ITEMS, BLOCK_TERMS = 256, 1 << 16
 #: Posting-item products that one step of the scoring holds.
 STEP = 1 << 20
