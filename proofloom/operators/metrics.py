@@ -1,176 +1,67 @@
 """Evaluation metrics over an item-evaluation table (section 2.9).
 
-One global aggregate (partial per task, final on one task with one row per
-task as input), so the cost of the final step does not grow with the data.
-Exact medians/p90 use Spark's ``percentile``, whose buffer is a value->count
-map: tiny for attempts (bounded by the schedule length).  For item times at
-very large scale ``quantiles="distributed"`` computes the same exact values
-by range-bucketing (see ``exact_quantiles``) so that no single task holds
-all distinct values.
+The item table is read once: it is counted by (attempts, success, success
+attempt, time), and these counts, written by ranges of the time, give all
+metrics.  Counts, rates and means are one global aggregate (partial per task);
+attempts take few values, so their median and p90 come from Spark's
+``percentile``, whose buffer counts distinct values; item times may all differ,
+and their order statistics come from ``quantiles``.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import schema as S
+from .profile import one_row
+from .quantiles import quantiles, range_counts
 from .results import normalize_pass_k
 
+TIME_QUANTILES = {"time_median": 0.5, "time_p90": 0.9}
+
 
 def _zero(c: Column) -> Column:
     return F.coalesce(c, F.lit(0.0)).cast("double")
 
 
-def metric_columns(pass_k: Sequence[int], *, time_quantiles: bool = True) -> list[Column]:
+def metric_columns(pass_k: Sequence[int]) -> list[Column]:
+    """All metrics but the order statistics of the times, over the counts
+    ``c`` of (attempts, success, success_attempt, v)."""
     ks = normalize_pass_k(pass_k)
-    n = F.count(F.lit(1))
-    succ = F.count_if(F.col("success"))
-    att = F.col("attempts").cast("double")
-    tim = F.col("total_time").cast("double")
-    cols = [
+    c, att = F.col("c"), F.col("attempts").cast("double")
+
+    def count(condition: Column) -> Column:
+        return F.coalesce(F.sum(F.when(condition, c)), F.lit(0))
+
+    def mean(x: Column) -> Column:
+        return _zero(F.try_divide(F.sum(x * c), F.sum(F.when(x.isNotNull(), c))))
+
+    n = F.coalesce(F.sum(c), F.lit(0))
+    within = lambda k: _zero(F.try_divide(count(F.col("success_attempt") <= k), n))
+    return [
         n.alias("total_items"),
-        succ.alias("success_count"),
-        _zero(F.try_divide(succ, n)).alias("success_rate"),
-    ]
-    for k in ks:
-        cols.append(
-            _zero(F.avg(F.when(F.col("success_attempt") <= k, 1.0).otherwise(0.0))).alias(f"pass_at_{k}")
-        )
-    cols.append(
-        (_zero(F.avg(F.when(F.col("success_attempt") <= 1, 1.0).otherwise(0.0))) if 1 in ks else F.lit(0.0)).alias(
-            "compile_rate_at_1"
-        )
-    )
-    cols += [
-        _zero(F.avg(att)).alias("attempts_mean"),
-        _zero(F.percentile(att, F.lit(0.5))).alias("attempts_median"),
-        _zero(F.percentile(att, F.lit(0.9))).alias("attempts_p90"),
-        _zero(F.avg(tim)).alias("time_mean"),
+        count(F.col("success")).alias("success_count"),
+        _zero(F.try_divide(count(F.col("success")), n)).alias("success_rate"),
+        *[within(k).alias(f"pass_at_{k}") for k in ks],
+        (within(1) if 1 in ks else F.lit(0.0)).alias("compile_rate_at_1"),
+        mean(att).alias("attempts_mean"),
+        _zero(F.percentile(att, F.lit(0.5), c)).alias("attempts_median"),
+        _zero(F.percentile(att, F.lit(0.9), c)).alias("attempts_p90"),
+        mean(F.col("v")).alias("time_mean"),
     ]
-    if time_quantiles:
-        cols += [
-            _zero(F.percentile(tim, F.lit(0.5))).alias("time_median"),
-            _zero(F.percentile(tim, F.lit(0.9))).alias("time_p90"),
-        ]
-    return cols
-
-
-def compute_metrics(
-    item_eval: DataFrame,
-    pass_k: Sequence[int] = S.DEFAULT_PASS_K,
-    *,
-    quantiles: str = "exact",
-) -> DataFrame:
+
+
+def compute_metrics(item_eval: DataFrame, pass_k: Sequence[int] = S.DEFAULT_PASS_K) -> DataFrame:
     """One row: total_items, success_count, success_rate, pass_at_<k>...,
     compile_rate_at_1, attempts mean/median/p90, time mean/median/p90.
-    Zeros on empty input."""
-    if quantiles == "exact":
-        return item_eval.agg(*metric_columns(pass_k))
-    if quantiles != "distributed":
-        raise ValueError("quantiles must be 'exact' or 'distributed'")
-    base = item_eval.agg(*metric_columns(pass_k, time_quantiles=False))
-    med, p90 = exact_quantiles(item_eval, "total_time", (0.5, 0.9))
-    return base.select("*", F.lit(med).cast("double").alias("time_median"), F.lit(p90).cast("double").alias("time_p90"))
+    Zeros on empty input.  The counts are made and written when this is called."""
+    counts = range_counts(item_eval, "total_time", ["attempts", "success", "success_attempt"])
+    return one_row(counts.agg(*metric_columns(pass_k)), quantiles(counts, TIME_QUANTILES))
 
 
 def pass_at_k_map(metrics: DataFrame, pass_k: Sequence[int]) -> Column:
     ks = normalize_pass_k(pass_k)
     return F.map_from_arrays(F.array(*[F.lit(k) for k in ks]), F.array(*[metrics[f"pass_at_{k}"] for k in ks]))
-
-
-def exact_quantiles(
-    df: DataFrame,
-    column: str,
-    probs: Sequence[float],
-    *,
-    buckets: int = 1024,
-    max_rows_in_bucket: int = 2_000_000,
-) -> list[float]:
-    """Exact linear-interpolated quantiles (``p * (n - 1)``) without a single
-    task holding all values.
-
-    1. ``percentile_approx`` gives ``buckets - 1`` cut points (one small array).
-    2. Distinct values with their counts are aggregated map-side, labelled with
-       their bucket, and only per-bucket totals reach the driver (``buckets``
-       rows).
-    3. Only the bucket(s) holding the wanted ranks are ordered, inside one
-       window partitioned by bucket; a hot value collapses to one row in
-       step 2, so a bucket's size is bounded by its number of distinct values.
-       A bucket above ``max_rows_in_bucket`` distinct values is split again.
-    Returns 0.0 for each probability on empty input (reference behaviour).
-    """
-    x = F.col(column).cast("double")
-    vals = df.select(x.alias("v")).where(F.col("v").isNotNull())
-    counts = vals.groupBy("v").agg(F.count(F.lit(1)).alias("c"))
-    n = counts.agg(F.sum("c")).first()[0] or 0
-    if n == 0:
-        return [0.0 for _ in probs]
-    ranks: dict[int, float] = {}
-    for p in probs:
-        if not 0 <= p <= 1:
-            raise ValueError("percentile must be between 0 and 1")
-        idx = p * (n - 1)
-        ranks[math.floor(idx)] = 0.0
-        ranks[math.ceil(idx)] = 0.0
-    _resolve_ranks(counts, ranks, buckets, max_rows_in_bucket, offset=0)
-    out = []
-    for p in probs:
-        idx = p * (n - 1)
-        lo, hi = math.floor(idx), math.ceil(idx)
-        lv, hv = ranks[lo], ranks[hi]
-        out.append(float(lv) if lo == hi else float(lv + (hv - lv) * (idx - lo)))
-    return out
-
-
-def _pick(counts: DataFrame, ranks: dict[int, float], offset: int) -> None:
-    """Values at the wanted ranks of a (v, c) frame whose smallest value has
-    global rank ``offset``.  Called on at most ``limit`` distinct values, and
-    only the rows holding a wanted rank reach the driver."""
-    from pyspark.sql import Window
-
-    w = Window.orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    cum = counts.select("v", "c", F.sum("c").over(w).alias("cum"))
-    cond = None
-    for r in ranks:
-        term = (F.col("cum") - F.col("c") <= r - offset) & (F.col("cum") > r - offset)
-        cond = term if cond is None else (cond | term)
-    for row in cum.where(cond).collect():
-        for r in ranks:
-            if row["cum"] - row["c"] <= r - offset < row["cum"]:
-                ranks[r] = row["v"]
-
-
-def _resolve_ranks(counts: DataFrame, ranks: dict[int, float], buckets: int, limit: int, offset: int) -> None:
-    """Fill ``ranks`` (0-based global rank -> value) from a (v, c) frame whose
-    smallest value has global rank ``offset``."""
-    n_distinct = counts.count()
-    if n_distinct <= limit:
-        _pick(counts, ranks, offset)
-        return
-    cuts = counts.agg(
-        F.percentile_approx("v", [i / buckets for i in range(1, buckets)], 10 * buckets)
-    ).first()[0]
-    cuts = sorted(set(cuts))
-    arr = F.array(*[F.lit(float(c)) for c in cuts])
-    # bucket = number of cut points strictly below v (values equal to a cut
-    # fall into the cut's own bucket, so a hot value is never split).
-    labelled = counts.withColumn("b", F.size(F.filter(arr, lambda c: c < F.col("v"))))
-    totals = sorted(
-        (r["b"], r["n"]) for r in labelled.groupBy("b").agg(F.sum("c").alias("n")).collect()
-    )
-    start = offset
-    for b, tot in totals:
-        inside = [r for r in ranks if start <= r < start + tot]
-        if inside:
-            sub = {r: 0.0 for r in inside}
-            sub_counts = labelled.where(F.col("b") == b).select("v", "c")
-            if len(cuts) <= 1 or sub_counts.count() >= n_distinct:
-                _pick(sub_counts, sub, start)  # cannot split further
-            else:
-                _resolve_ranks(sub_counts, sub, buckets, limit, start)
-            ranks.update(sub)
-        start += tot

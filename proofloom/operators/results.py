@@ -4,23 +4,28 @@ A record table has one row per candidate: ``item_id, attempt, beam_index,
 seq, compiled, compile_ok, generation_time, code`` (+ optional ``is_valid,
 errors, compile_stderr``).  Record order is ``(attempt, beam_index, seq)``.
 
-Plan shape used throughout: a partial/final aggregate finds the key of each
-item's first passing record (one small row per item), which is joined back
-to the records.  No window spans an item, so a hot item never lands whole in
-one task: the aggregate combines map-side, and the join side that may be
-skewed is the record side, which AQE's skew-join handling splits.
+A record without an item id or attempt number belongs to no run of an item and
+has no part in first successes and evaluations.
+
+Plan shape used throughout: one partial/final aggregate per (item, attempt)
+gives its records, its time and its least passing key.  These small rows tell
+the attempt that decides an item; all attempts before it count as a whole, and
+only the records of the deciding attempt are looked at again.  No window or
+group spans the records of an item, so a hot item never lands whole in one
+task.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import schema as S
 from ..functions.text import code_length
+from ..session import free_column
 
 ORDER = ("attempt", "beam_index", "seq")
 
@@ -40,40 +45,79 @@ def sort_records(records: DataFrame) -> DataFrame:
 
 def first_success(records: DataFrame, item: str = "item_id") -> DataFrame:
     """``(item, first_ok)``: key of the first passing record, items with one only."""
-    return (
-        records.where(passed())
-        .groupBy(item)
-        .agg(F.min(record_key()).alias("first_ok"))
+    ok = attempt_outcomes(records, item).where(F.col("ok").isNotNull() & (F.col("attempt") == F.col("success_attempt")))
+    return ok.select(item, _first_ok().alias("first_ok"))
+
+
+def _first_ok() -> Column:
+    return F.struct(F.col("attempt").alias("attempt"), F.col("ok.beam_index").alias("beam_index"), F.col("ok.seq").alias("seq"))
+
+
+def attempt_outcomes(records: DataFrame, item: str = "item_id") -> DataFrame:
+    """One row per (item, attempt) that a run with a stop at the first success
+    makes: n, time, ok (beam_index and seq of its first passing record, or
+    null) and the item's success_attempt (null when nothing passed).
+
+    The window spans the attempts of one item, one row each."""
+    per = _placed(records, item).groupBy(item, "attempt").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.sum("generation_time").alias("time"),
+        F.min(F.when(passed(), F.struct("beam_index", "seq"))).alias("ok"),
     )
+    decided = F.min(F.when(F.col("ok").isNotNull(), F.col("attempt"))).over(Window.partitionBy(item))
+    per = per.withColumn("success_attempt", decided)
+    return per.where(F.col("success_attempt").isNull() | (F.col("attempt") <= F.col("success_attempt")))
 
 
 def stop_at_first_success(records: DataFrame, item: str = "item_id") -> DataFrame:
     """Drop every record after an item's first passing record.
 
-    Adds ``first_ok`` (null for items that never pass)."""
-    # Both sides read the same (null-free) records, so their scans and
-    # exchanges are identical and Spark reuses one for the other.
-    records = records.where(F.col(item).isNotNull())
-    firsts = first_success(records, item)
-    joined = records.join(firsts, on=item, how="left")
-    return joined.where(F.col("first_ok").isNull() | (record_key() <= F.col("first_ok")))
+    Adds ``first_ok`` (null for items that never pass).  Records meet the
+    outcome of their own attempt, so a hot item is spread by attempt."""
+    decides = F.col("attempt") == F.col("success_attempt")
+    first = F.max(F.when(decides, _first_ok())).over(Window.partitionBy(item))
+    told = attempt_outcomes(records, item).select(
+        F.col(item).alias("_item"), F.col("attempt").alias("_attempt"), F.when(decides, F.col("ok")).alias("_last"), first.alias("_first")
+    )
+    return _kept(records, told, item).select(*[records[c] for c in records.columns], F.col("_first").alias("first_ok"))
+
+
+def _placed(records: DataFrame, item: str) -> DataFrame:
+    return records.where(F.col(item).isNotNull() & F.col("attempt").isNotNull())
+
+
+def _kept(records: DataFrame, told: DataFrame, item: str) -> DataFrame:
+    """Records of the told attempts, up to the attempt's last one."""
+    j = _placed(records, item).join(told, (F.col(item) == F.col("_item")) & (F.col("attempt") == F.col("_attempt")))
+    return j.where(F.col("_last").isNull() | (F.struct("beam_index", "seq") <= F.col("_last")))
 
 
 def success_metadata(records: DataFrame, item: str = "item_id") -> DataFrame:
     """Per item: 1-based rank of the first passing record in record order and
     its attempt; null for both when nothing passed."""
-    kept = stop_at_first_success(records, item)
-    first_attempt = F.max(F.col("first_ok.attempt"))
-    return kept.groupBy(item).agg(
-        F.when(first_attempt.isNotNull(), F.count(F.lit(1))).cast("int").alias("success_rank"),
-        first_attempt.cast("int").alias("success_attempt"),
-    )
+    return _outcomes(records, item).select(item, "success_rank", "success_attempt")
+
+
+def _outcomes(records: DataFrame, item: str) -> DataFrame:
+    """(item, success_rank, success_attempt, total_time, candidate_total): the
+    attempts before the deciding one as they are, and the deciding one's
+    records up to the first passing one."""
+    records = records.select(item, *ORDER, "compiled", "compile_ok", "generation_time")
+    per = attempt_outcomes(records, item)
+    decides = F.col("attempt") == F.col("success_attempt")
+    before = per.where(F.col("success_attempt").isNull() | ~decides).select(item, "n", "time", "success_attempt")
+    told = per.where(decides).select(F.col(item).alias("_item"), F.col("attempt").alias("_attempt"), F.col("ok").alias("_last"))
+    last = _kept(records, told, item).groupBy(item, "attempt").agg(F.count(F.lit(1)).alias("n"), F.sum("generation_time").alias("time"))
+    both = before.unionByName(last.select(item, "n", "time", F.col("attempt").alias("success_attempt")))
+    total = both.groupBy(item).agg(F.sum("n").alias("candidate_total"), F.sum("time").cast("double").alias("total_time"), F.max("success_attempt").cast("int").alias("success_attempt"))
+    rank = F.when(F.col("success_attempt").isNotNull(), F.col("candidate_total")).cast("int")
+    return total.select(item, rank.alias("success_rank"), "success_attempt", "total_time", "candidate_total")
 
 
 def final_code(records: DataFrame, item: str = "item_id") -> DataFrame:
     """Code of the first passing record with non-empty code (null when none)."""
     ok = passed() & (F.coalesce(F.col("code"), F.lit("")) != "")
-    return records.groupBy(item).agg(
+    return records.where(F.col(item).isNotNull()).groupBy(item).agg(
         F.min(F.when(ok, F.struct(*[F.col(c) for c in ORDER], F.col("code")))).getField("code").alias("final_code")
     )
 
@@ -105,7 +149,6 @@ def item_evaluation(
     max_attempts: int = S.DEFAULT_MAX_ATTEMPTS,
     pass_k: Sequence[int] = S.DEFAULT_PASS_K,
     item: str = "item_id",
-    with_records: bool = False,
 ) -> DataFrame:
     """One row per item: success, success_rank, success_attempt, attempts,
     total_time, candidate_total and ``pass_at_<k>`` flags.
@@ -116,21 +159,7 @@ def item_evaluation(
     (a frame with an ``item`` column) keeps items that have no record.
     """
     ks = normalize_pass_k(pass_k)
-    kept = stop_at_first_success(records, item)
-    # ``first_ok`` is constant per item; its int field keeps the aggregate
-    # hash-based (a struct buffer would force a sort-based aggregate)
-    first_attempt = F.max(F.col("first_ok.attempt"))
-    aggs = [
-        first_attempt.isNotNull().alias("success"),
-        F.when(first_attempt.isNotNull(), F.count(F.lit(1))).cast("int").alias("success_rank"),
-        first_attempt.cast("int").alias("success_attempt"),
-        F.sum("generation_time").cast("double").alias("total_time"),
-        F.count(F.lit(1)).alias("candidate_total"),
-    ]
-    if with_records:
-        fields = [c for c in S.CANDIDATE_RECORD.fieldNames() if c in records.columns and c != item]
-        aggs.append(F.array_sort(F.collect_list(F.struct(*fields))).alias("candidate_records"))
-    per_item = kept.groupBy(item).agg(*aggs)
+    per_item = _outcomes(records, item).withColumn("success", F.col("success_attempt").isNotNull())
     if items is not None:
         per_item = items.select(item).join(per_item, on=item, how="left").select(
             item,
@@ -139,7 +168,6 @@ def item_evaluation(
             "success_attempt",
             F.coalesce(F.col("total_time"), F.lit(0.0)).alias("total_time"),
             F.coalesce(F.col("candidate_total"), F.lit(0)).alias("candidate_total"),
-            *(["candidate_records"] if with_records else []),
         )
     att = F.col("success_attempt")
     return per_item.select(
@@ -151,7 +179,6 @@ def item_evaluation(
         "total_time",
         "candidate_total",
         *pass_flags(att, ks),
-        *(["candidate_records"] if with_records else []),
     )
 
 
@@ -175,15 +202,16 @@ def generation_log(
     items: DataFrame,
     schedule: Column,
     item: str = "item_id",
+    chunk: int = 256,
 ) -> DataFrame:
     """Per item and scheduled attempt: beam size, temperature and the
     attempt's candidates ordered by beam index; attempts without records
     appear with an empty list.
 
     ``schedule`` is the literal schedule column (``rounds.schedule_column``):
-    each item row is expanded by ``inline`` -- a generator, not a join.
-    Records per (item, attempt) are bounded by that attempt's beam size, so
-    the per-group list is bounded by configuration, not by data.
+    each item row is expanded by ``inline`` -- a generator, not a join.  An
+    attempt may hold more records than its beam size, so its list comes in
+    chunks: one row (``chunk`` from 0) per ``chunk`` candidates.
     """
     entry_fields = [
         F.col("beam_index").alias("index"),
@@ -195,25 +223,44 @@ def generation_log(
         F.when(F.col("compiled"), F.col("compile_ok")).alias("compile_ok"),
         *([F.col("compile_stderr")] if "compile_stderr" in records.columns else []),
     ]
-    entry = F.struct(F.col("beam_index").alias("_b"), F.col("seq").alias("_s"), *entry_fields)
-    entry_type = records.select(entry.alias("e")).schema["e"].dataType
-    per_attempt = records.groupBy(item, "attempt").agg(F.array_sort(F.collect_list(entry)).alias("_c"))
+    place = F.row_number().over(Window.partitionBy(item, "attempt").orderBy(*ORDER[1:]))
+    entries = records.select(F.col(item).alias("_item"), F.col("attempt").alias("_attempt"), place.alias("_place"), F.struct(*entry_fields).alias("entry"))
+    entry_type = entries.schema["entry"].dataType
+    entries = entries.withColumn("_chunk", F.expr(f"(_place - 1) div {int(chunk)}"))
+    lists = entries.groupBy("_item", "_attempt", "_chunk").agg(F.array_sort(F.collect_list(F.struct("_place", "entry"))).alias("_c"))  # at most a chunk
     slots = items.select(item, F.inline(schedule)).select(item, "attempt", "beam_size", "temperature")
     empty = F.array().cast(T.ArrayType(entry_type))
-    return slots.join(per_attempt, on=[item, "attempt"], how="left").select(
+    same = (F.col(item) == F.col("_item")) & (F.col("attempt") == F.col("_attempt"))
+    return slots.join(lists, same, "left").select(
         item,
         "attempt",
         "beam_size",
         "temperature",
-        F.transform(F.coalesce(F.col("_c"), empty), lambda s: s.dropFields("_b", "_s")).alias("candidates"),
+        F.coalesce("_chunk", F.lit(0)).cast("long").alias("chunk"),
+        F.coalesce(F.transform("_c", lambda s: s["entry"]), empty).alias("candidates"),
     )
 
 
 def record_rank(records: DataFrame, item: str = "item_id") -> DataFrame:
     """Adds ``record_rank``: 1-based position of each record in its item's
-    record order.  The window spans one item, whose records are bounded by
-    the retry schedule (sum of the beam sizes), not by the data."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy(item).orderBy(*ORDER)
-    return records.withColumn("record_rank", F.row_number().over(w).cast("int"))
+    record order (a null item or attempt counts as a value, first)."""
+    return piece_rank(records, "record_rank", [item], ["attempt"], ORDER[1:])
+
+
+def piece_rank(df: DataFrame, out: str, group: Sequence[str], piece: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """Adds ``out``: 1-based place of each row in its group, by ``piece`` and
+    then ``order``; nulls come first.  The place is the number of rows of
+    earlier pieces, from one row per (group, piece), plus the place inside the
+    piece: no window spans the rows of a group."""
+    keys = [*group, *piece]
+    of = {c: free_column(df, f"_of_{c}") for c in keys}
+    n, place, before = (free_column(df, c) for c in ("_n", "_place", "_before"))
+    earlier = Window.partitionBy(*[of[c] for c in group]).orderBy(*[of[c] for c in piece]).rowsBetween(Window.unboundedPreceding, -1)
+    counts = df.groupBy(*[F.col(c).alias(of[c]) for c in keys]).agg(F.count(F.lit(1)).alias(n))
+    offsets = counts.select(*of.values(), F.coalesce(F.sum(n).over(earlier), F.lit(0)).alias(before))
+    placed = df.withColumn(place, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+    same = None
+    for c in keys:
+        equal = F.col(c).eqNullSafe(F.col(of[c]))
+        same = equal if same is None else same & equal
+    return placed.join(offsets, same).select(*[F.col(c) for c in df.columns if c != out], (F.col(before) + F.col(place)).cast("int").alias(out))

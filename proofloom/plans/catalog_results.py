@@ -6,10 +6,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import classify as CL
 from ..operators import metrics as M
+from ..operators import reports as RP
 from ..operators import results as R
 from ..operators.rounds import RetrySchedule, schedule_column
-from .bindings import records_v, with_views
+from .bindings import records_v, stderr_v, with_views
+from .catalog_text import _LINES as _PRIM
 
 PASS_K = (1, 5)
 #: The bound records have seven attempts (``bindings.records_v``).
@@ -70,18 +73,34 @@ def q_generation_log(spark: SparkSession, sf: str) -> DataFrame:
         "attempt",
         "beam_size",
         "temperature",
+        "chunk",
         F.size("candidates").alias("n_candidates"),
         F.array_join(F.transform("candidates", lambda c: c["index"].cast("string")), ",").alias("indexes"),
     )
 
 
+def reported(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(items with final code, their errors, their kept records).  The errors
+    are the checker outputs of the item's number in ``events``."""
+    kept = R.stop_at_first_success(records_v(spark, sf)).drop("first_ok")
+    items = _item_eval(spark, sf).join(R.final_code(kept), "item_id", "left")
+    errors = CL.errors_encountered(stderr_v(spark, sf)).select(
+        "item_id", "attempt", F.lit(0).alias("beam_index"), F.col("event_id").alias("seq"), "primary_error"
+    )
+    return items, errors, kept
+
+
 def q_item_report(spark: SparkSession, sf: str) -> DataFrame:
-    rec = records_v(spark, sf)
-    ev = _item_eval(spark, sf)
-    fc = R.final_code(R.stop_at_first_success(rec))
-    return ev.join(fc, "item_id", "left").select(
+    """Item reports with their errors and records, in chunks of 256 entries."""
+    rows = RP.nested_items(*reported(spark, sf))
+    record = lambda r: F.concat_ws(
+        ":", r["attempt"], r["beam_index"], r["compiled"], F.coalesce(r["compile_ok"].cast("string"), F.lit("-")), r["generation_time"].cast("long"), r["code_length"]
+    )
+    return rows.select(
         "item_id", "success", "success_rank", "success_attempt", "attempts", "total_time",
-        "pass_at_1", "pass_at_5", "final_code", "candidate_total",
+        "pass_at_1", "pass_at_5", "final_code", "candidate_total", "chunk", "n_errors",
+        F.array_join(F.transform("errors", lambda e: F.concat(e["category"], F.lit(":"), e["message"])), " | ").alias("errors"),
+        F.array_join(F.transform("candidate_records", record), ",").alias("records"),
     )
 
 
@@ -204,18 +223,28 @@ ORACLES = {
 , slots AS (SELECT i.item_id, CAST(s.attempt AS INT) AS attempt, CAST(s.beam_size AS INT) AS beam_size,
                    CAST(s.temperature AS DOUBLE) AS temperature
             FROM (SELECT DISTINCT item_id FROM records_v) i, sched s)
-SELECT s.item_id, s.attempt, s.beam_size, s.temperature,
+, placed AS (SELECT item_id, attempt, beam_index, (row_number() OVER (PARTITION BY item_id, attempt ORDER BY beam_index) - 1) // 256 AS chunk FROM records_v)
+SELECT s.item_id, s.attempt, s.beam_size, s.temperature, coalesce(r.chunk, 0) AS chunk,
        CAST(count(r.beam_index) AS INT) AS n_candidates,
        coalesce(string_agg(CAST(r.beam_index AS VARCHAR), ',' ORDER BY r.beam_index), '') AS indexes
-FROM slots s LEFT JOIN records_v r ON r.item_id = s.item_id AND r.attempt = s.attempt
-GROUP BY s.item_id, s.attempt, s.beam_size, s.temperature"""
+FROM slots s LEFT JOIN placed r ON r.item_id = s.item_id AND r.attempt = s.attempt
+GROUP BY s.item_id, s.attempt, s.beam_size, s.temperature, r.chunk"""
     ),
-    "item_report": _rv(
-        """
-, fc AS (SELECT r.item_id, arg_min(CASE WHEN r.ok AND r.code <> '' THEN r.code END, CASE WHEN r.ok AND r.code <> '' THEN r.rn END) AS final_code
-         FROM ranked r JOIN firsts f ON r.item_id = f.item_id WHERE f.fr IS NULL OR r.rn <= f.fr GROUP BY r.item_id)
-SELECT ev.item_id, success, success_rank, success_attempt, attempts, total_time, pass_at_1, pass_at_5, final_code, candidate_total
-FROM ev LEFT JOIN fc ON ev.item_id = fc.item_id"""
+    "item_report": with_views(
+        _PRIM + _RANKED + """
+, kept AS (SELECT r.* FROM ranked r JOIN firsts f ON r.item_id = f.item_id WHERE f.fr IS NULL OR r.rn <= f.fr)
+, fc AS (SELECT item_id, arg_min(CASE WHEN ok AND code <> '' THEN code END, CASE WHEN ok AND code <> '' THEN rn END) AS final_code FROM kept GROUP BY item_id)
+, en AS (SELECT s.item_id, 0 AS kind, s.attempt, 0 AS beam_index, s.event_id AS seq, p.category || ':' || p.message AS error, NULL AS record
+         FROM prim p JOIN stderr_v s ON p.event_id = s.event_id
+         UNION ALL SELECT item_id, 1, attempt, beam_index, beam_index, NULL, concat_ws(':', attempt, beam_index, compiled,
+           CASE WHEN compiled THEN CAST(compile_ok AS VARCHAR) ELSE '-' END, CAST(generation_time AS BIGINT), length(code)) FROM kept)
+, pl AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY kind, attempt, beam_index, seq) - 1 AS place FROM en)
+, ch AS (SELECT item_id, place // 256 AS chunk, coalesce(string_agg(error, ' | ' ORDER BY place), '') AS errors, coalesce(string_agg(record, ',' ORDER BY place), '') AS records
+         FROM pl GROUP BY item_id, place // 256)
+, ne AS (SELECT item_id, count(error) AS n_errors FROM en GROUP BY item_id)
+SELECT ev.item_id, success, success_rank, success_attempt, attempts, total_time, pass_at_1, pass_at_5, final_code, candidate_total, ch.chunk, n_errors, errors, records
+FROM ev LEFT JOIN fc ON ev.item_id = fc.item_id JOIN ch ON ch.item_id = ev.item_id JOIN ne ON ne.item_id = ev.item_id""",
+        "records_v", "stderr_v",
     ),
     "success_rate": _rv("SELECT total_items, success_count, success_rate FROM met"),
     "pass_at_k": _rv("SELECT pass_at_1, pass_at_5 FROM met"),
