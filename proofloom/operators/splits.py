@@ -4,20 +4,20 @@ Order inside a topic is by ``sha256("<seed>:<id>")`` then id: deterministic
 and independent of partitioning (the exact Python shuffle order is not a
 goal; determinism and quotas are).
 
-Skew: a per-topic window would put a hot topic in one task.  Instead each
-distinct id falls in a (topic, bucket) cell, the bucket being a prefix of
-its order hash; per-cell counts (at most ``16**bucket_chars`` rows per
-topic) give each cell's starting rank, and ids are ranked only inside their
-cell.  Since the bucket is a prefix of the order key, cell order then
-in-cell order is the global topic order.  Copies of one id are numbered in
-salted windows (see ``assign_splits``).
+Rows are numbered inside their topic over range partitions (``numbering``), so
+a hot topic, a hot id and a row that stands many times all spread over tasks.
+Every row keeps its place: a null topic is a topic, and rows without an id are
+shuffled among the others of their topic by a digest of the row.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import free_column
+from .numbering import numbered
+
 TRAIN, DEV, TEST = "train", "dev", "test"
 
 
@@ -28,7 +28,8 @@ def check_ratios(train: float, dev: float, test: float) -> None:
 
 
 def shuffle_key(item_id: Column, seed: int) -> Column:
-    return F.sha2(F.concat_ws(":", F.lit(str(seed)), item_id.cast("string")), 256)
+    """Null for a null id."""
+    return F.sha2(F.concat(F.lit(f"{seed}:"), item_id.cast("string")), 256)
 
 
 def quotas(n: Column, train_ratio: float, dev_ratio: float) -> tuple[Column, Column]:
@@ -62,63 +63,24 @@ def assign_splits(
     id_col: str = "id",
     topic: str = "topic",
     seq: str | None = None,
-    bucket_chars: int = 3,
-    salts: int = 64,
 ) -> DataFrame:
     """Adds ``split`` (train/dev/test) and ``topic_rank`` (1-based).
 
-    1. Rows are tagged with a hash of their own columns (or of ``seq``, a
-       column that is unique within an id), from which salt and order of
-       copies follow: no partition position enters, so a frame that is
-       evaluated again in another layout gives the same rows.  Rows equal in
-       every column are interchangeable.
-    2. One row per distinct (topic, key, id) with its copy count: a partial
-       aggregate, so copies of one id collapse map-side.
-    3. Groups are ranked inside (topic, hash-prefix) cells and offset by the
-       cells before them -- windows over distinct ids and over cells only.
-    4. Rows take their group's start rank (an equi-join AQE can split).
-    5. Copies of one id (rare) are numbered inside (group, salt) windows
-       offset by the salts before them, so even an id repeated in a third
-       of all rows is numbered by ``salts`` tasks.
-    """
+    Rows of one id are ordered by ``seq`` (a column that is unique within an
+    id) or by a digest of their own columns: no partition position decides, so
+    a frame in another layout gives the same rows.  Rows equal in every column
+    are interchangeable.  The numbered rows are written to the shared folder
+    when this is called."""
     check_ratios(train_ratio, dev_ratio, test_ratio)
-    gkey = [topic, "_bucket", "_key", id_col]
-    keyed = (
-        items.withColumn("_rid", F.col(seq) if seq else F.xxhash64(*items.columns))
-        .withColumn("_salt", F.pmod(F.xxhash64("_rid", F.lit(seed)), F.lit(salts)))
-        .withColumn("_key", shuffle_key(F.col(id_col), seed))
-        .withColumn("_bucket", F.substring("_key", 1, bucket_chars))
-    )
-    groups = keyed.groupBy(*gkey).agg(F.count(F.lit(1)).alias("_gn"))
-    cells = groups.groupBy(topic, "_bucket").agg(F.sum("_gn").alias("_cn"))
-    # at most 16**bucket_chars rows per topic: a bounded window
-    wt = Window.partitionBy(topic).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    cells = cells.select(
-        topic, "_bucket",
-        F.coalesce(F.sum("_cn").over(wt), F.lit(0)).alias("_coff"),
-        F.sum("_cn").over(Window.partitionBy(topic)).alias("_n"),
-    )
-    wg = Window.partitionBy(topic, "_bucket").orderBy("_key", id_col).rowsBetween(Window.unboundedPreceding, -1)
-    starts = groups.withColumn("_gstart", F.coalesce(F.sum("_gn").over(wg), F.lit(0))).join(cells, [topic, "_bucket"])
-    rows = keyed.join(starts.select(*gkey, "_gn", "_gstart", "_coff", "_n"), gkey)
-
-    singles = rows.where(F.col("_gn") == 1).withColumn("_idx", F.lit(0).cast("long"))
-    copies = rows.where(F.col("_gn") > 1)
-    per_salt = copies.groupBy(*gkey, "_salt").agg(F.count(F.lit(1)).alias("_sn"))
-    ws = Window.partitionBy(*gkey).orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)  # <= salts rows
-    salt_off = per_salt.select(*gkey, "_salt", F.coalesce(F.sum("_sn").over(ws), F.lit(0)).alias("_soff"))
-    wr = Window.partitionBy(*gkey, "_salt").orderBy("_rid")
-    copies = copies.join(salt_off, [*gkey, "_salt"]).withColumn(
-        "_idx", F.col("_soff") + F.row_number().over(wr) - 1
-    ).drop("_soff")
-
-    ranked = singles.unionByName(copies)
-    rank = F.col("_coff") + F.col("_gstart") + F.col("_idx") + 1
-    n_train, n_dev = quotas(F.col("_n"), train_ratio, dev_ratio)
-    split = F.when(rank <= n_train, F.lit(TRAIN)).when(rank <= n_train + n_dev, F.lit(DEV)).otherwise(F.lit(TEST))
-    return ranked.withColumn("topic_rank", rank).withColumn("split", split).drop(
-        "_rid", "_salt", "_key", "_bucket", "_gn", "_gstart", "_coff", "_n", "_idx"
-    )
+    rank, n = free_column(items, "topic_rank_"), free_column(items, "topic_size_")
+    digest = F.col(seq) if seq else F.xxhash64(*[F.col(f"`{c}`") for c in items.columns])
+    # a row without an id is dealt by its digest, like the others by their id
+    key = F.coalesce(shuffle_key(F.col(id_col), seed), shuffle_key(digest, seed))
+    rows = numbered(items, [key, F.col(id_col), digest], rank, group=[topic], total=n)
+    n_train, n_dev = quotas(F.col(n), train_ratio, dev_ratio)
+    place = F.col(rank) + 1
+    split = F.when(place <= n_train, F.lit(TRAIN)).when(place <= n_train + n_dev, F.lit(DEV)).otherwise(F.lit(TEST))
+    return rows.select(*[F.col(f"`{c}`") for c in items.columns if c not in ("topic_rank", "split")], place.alias("topic_rank"), split.alias("split"))
 
 
 def create_splits(
@@ -129,8 +91,7 @@ def create_splits(
     seed: int = 42,
     **kw,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(train, dev, test) frames; write ``assign_splits`` partitioned by
-    ``split`` instead when all three are needed (one pass)."""
+    """(train, dev, test) frames over one written assignment."""
     tagged = assign_splits(items, train_ratio, dev_ratio, test_ratio, seed, **kw)
     return tuple(tagged.where(F.col("split") == s).drop("split") for s in (TRAIN, DEV, TEST))
 

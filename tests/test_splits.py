@@ -13,7 +13,7 @@ def _items(spark, sizes):
 
 def test_split_invariants(spark):
     sizes = {"a": 1, "b": 2, "c": 3, "d": 10, "e": 29, "hot": 3000}
-    df = SP.assign_splits(_items(spark, sizes), bucket_chars=1)
+    df = SP.assign_splits(_items(spark, sizes))
     rows = df.collect()
     assert len(rows) == sum(sizes.values()) == len({r.id for r in rows})
     per = {}
@@ -35,7 +35,7 @@ def test_split_invariants(spark):
 def test_rank_follows_hash_order(spark):
     import hashlib
 
-    df = SP.assign_splits(_items(spark, {"t": 50}), bucket_chars=2)
+    df = SP.assign_splits(_items(spark, {"t": 50}))
     got = [r.id for r in df.orderBy("topic_rank").collect()]
     want = sorted((f"t_{i}" for i in range(50)), key=lambda x: (hashlib.sha256(f"42:{x}".encode()).hexdigest(), x))
     assert got == want
@@ -61,7 +61,7 @@ def test_quota_uses_doubles(spark):
 
 def test_hot_copies_of_one_id(spark):
     rows = [("dup", "t")] * 2000 + [(f"u{i}", "t") for i in range(1000)]
-    df = SP.assign_splits(spark.createDataFrame(rows, "id string, topic string"), salts=8)
+    df = SP.assign_splits(spark.createDataFrame(rows, "id string, topic string"))
     got = df.collect()
     assert sorted(r.topic_rank for r in got) == list(range(1, 3001))
     counts = {}
@@ -90,3 +90,42 @@ def test_repeated_ids_in_any_layout(spark):
         assert ranks == list(range(1, len(ranks) + 1))
     same = spark.range(500).select(F.lit("x").alias("id"), F.lit("t").alias("topic")).repartition(5)
     assert sorted(r.topic_rank for r in SP.assign_splits(same).collect()) == list(range(1, 501))
+
+
+def test_null_ids_and_topics_and_clashing_columns_lose_no_row(spark):
+    """Ten rows in, ten out: null topics are one topic, null ids are dealt by
+    their own rows, and columns named like working columns come back."""
+    rows = [(f"i{i}" if i % 4 else None, "t" if i % 3 else None, i, "keep") for i in range(10)]
+    df = spark.createDataFrame(rows, "id string, topic string, _key int, _at string").withColumn("_tie", F.lit(1)).withColumn("split", F.lit("old"))
+    got = SP.assign_splits(df).collect()
+    assert sorted(r._key for r in got) == list(range(10)) and {r._at for r in got} == {"keep"} and {r._tie for r in got} == {1}
+    for topic, n in (("t", 6), (None, 4)):
+        part = [r for r in got if r.topic == topic]
+        assert sorted(r.topic_rank for r in part) == list(range(1, n + 1))
+        want = sorted(["train"] * max(1, int(n * 0.6)) + ["dev"] * max(1, int(n * 0.2)) + ["test"] * (n - max(1, int(n * 0.6)) - max(1, int(n * 0.2))))
+        assert sorted(r.split for r in part) == want
+    frames = SP.create_splits(df)
+    assert sum(f.count() for f in frames) == 10
+    assert sum(r.n for r in SP.split_summary(SP.assign_splits(df)).collect() if r.topic is None and r.split) >= 4
+    assert SP.assign_splits(df.limit(0)).count() == 0
+
+
+def test_numbering_spreads_a_hot_group(spark):
+    """A third of the rows equal in every column still lie in many tasks."""
+    import glob
+    import os
+
+    from proofloom.operators.numbering import numbered
+    from proofloom.session import checkpoint_dir
+
+    df = spark.range(9000).select(F.when(F.col("id") < 3000, -1).otherwise(F.col("id")).alias("k"), F.lit("g").alias("g"), F.lit(0).alias("_total"))
+    out = numbered(df, [F.col("k")], "n", group=["g"], total="size")
+    rows = out.collect()
+    assert sorted(r.n for r in rows) == list(range(9000)) and {r.size for r in rows} == {9000}
+    assert [r.k for r in sorted(rows, key=lambda r: r.n)] == sorted(r.k for r in rows)
+    written = max(glob.glob(f"{checkpoint_dir(spark)}/proofloom/numbered-*"), key=os.path.getmtime)
+    hot = spark.read.parquet(written).where("k = -1").select(F.input_file_name().alias("f")).distinct().count()
+    assert hot >= 2 and len(glob.glob(f"{written}/part-*")) >= 6
+    assert "_total" in out.columns
+    plain = numbered(spark.range(100).repartition(7), [], "n").collect()
+    assert sorted(r.n for r in plain) == list(range(100)) and sorted(r.id for r in plain) == list(range(100))
