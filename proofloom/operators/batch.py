@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from .. import schema as S
 from ..functions import text as TX
+from ..session import free_column
 
 GEN_SCHEMA = "gen_key string, reply string, gen_error string, generation_time double"
 CHECK_SCHEMA = "content_key string, ok boolean, stderr string, check_error string, check_time double"
@@ -81,20 +82,26 @@ def generate_batch(
 def recorded_replies(work: DataFrame, replies: DataFrame, on: list[str], missing: str = "no reply recorded") -> DataFrame:
     """The generation stage over replies kept in a table: each work row takes
     the reply with its key; without one it fails as a call that raised would.
+    One row per work row: of several replies to one key the least text counts,
+    a null reply only if there is no other.  A null in a key answers nothing.
     Adds ``reply, gen_error, generation_time``."""
-    kept = replies.select(*on, "reply", F.lit(True).alias("_found"))
+    found, text = free_column(work, "_found"), free_column(work, "_reply")
+    kept = replies.groupBy(*on).agg(F.min("reply").alias(text), F.lit(True).alias(found))
+    added = ("reply", "gen_error", "generation_time")
     return work.join(kept, on, "left").select(
-        *work.columns,
-        "reply",
-        F.when(F.col("_found").isNull(), F.lit(missing)).alias("gen_error"),
+        *[work[c] for c in work.columns if c not in added],
+        F.col(text).alias("reply"),
+        F.when(F.col(found).isNull(), F.lit(missing)).alias("gen_error"),
         F.lit(0.0).alias("generation_time"),
     )
 
 
 def recorded_verdicts(work: DataFrame, verdicts: DataFrame, missing: str = "no verdict recorded") -> DataFrame:
     """The checking stage over verdicts kept in a table (``content_key, ok,
-    stderr``); a code without one fails as a checker that raised would."""
-    kept = verdicts.select("content_key", F.col("ok").alias("_ok"), "stderr", F.lit(True).alias("_found"))
+    stderr``); a code without one fails as a checker that raised would.  One row
+    per work row: of several verdicts on one key a failing one counts, with the
+    least of its messages."""
+    kept = one_verdict(verdicts, "content_key")
     return work.select("content_key").join(kept, "content_key", "left").select(
         "content_key",
         F.coalesce("_ok", F.lit(False)).alias("ok"),
@@ -104,6 +111,14 @@ def recorded_verdicts(work: DataFrame, verdicts: DataFrame, missing: str = "no v
     )
 
 
+def one_verdict(verdicts: DataFrame, key: str) -> DataFrame:
+    """(key, _ok, stderr, _found) with one row per key: a failing verdict before
+    a passing one (a null one fails), then the least message."""
+    passed = F.coalesce("ok", F.lit(False))
+    first = F.min(F.struct(passed.alias("ok"), F.col("stderr").isNull().alias("none"), F.col("stderr").alias("stderr")))
+    return verdicts.groupBy(key).agg(first.alias("_v")).select(key, F.col("_v.ok").alias("_ok"), F.col("_v.stderr").alias("stderr"), F.lit(True).alias("_found"))
+
+
 def candidate_columns(df: DataFrame, reply: str = "reply", gen_error: str = "gen_error") -> DataFrame:
     """Adds ``code, errors, is_valid`` from a reply (or a generation error):
     extraction and validation are native expressions."""

@@ -12,76 +12,39 @@ from pyspark.sql import functions as F
 
 from . import rounds as RD
 from .metrics import compute_metrics
-from ..functions.text import code_length
+from .numbering import numbered
+from .reports import nested_items
 from .results import final_code, normalize_pass_k, pass_flags, pass_map
 
-# Per-item lists in the report hold at most one entry per scheduled beam
-# slot (the sum of the beam sizes), so collecting them per item is bounded
-# by configuration, not by data.
-_ERROR_FIELDS = "category string, message string, line_number int, severity string, suggested_fixes array<string>"
-_ERRORS_TYPE = f"array<struct<{_ERROR_FIELDS}>>"
-_RECORDS_TYPE = (
-    "array<struct<attempt int, beam_index int, compiled boolean, compile_ok boolean, compile_stderr string, "
-    "is_valid boolean, generation_time double, code_length int, errors array<string>>>"
-)
-
-
-def _errors_per_item(errors: DataFrame) -> DataFrame:
-    """Primary errors of failing checks, in (attempt, beam, seq) order."""
-    e = F.col("primary_error")
-    entry = F.struct(
-        F.col("attempt"), F.col("beam_index"), F.col("seq"),
-        F.struct(e["category"].alias("category"), e["message"].alias("message"), e["line_number"].alias("line_number"),
-                 e["severity"].alias("severity"), e["suggested_fixes"].alias("suggested_fixes")).alias("error"),
-    )
-    return errors.groupBy("item_id").agg(
-        F.transform(F.array_sort(F.collect_list(entry)), lambda x: x["error"]).alias("errors")
-    )
-
-
-def _records_per_item(records: DataFrame) -> DataFrame:
-    """Candidate records in (attempt, beam, seq) order; compile_ok is null
-    when the candidate was not checked."""
-    entry = F.struct(
-        F.col("attempt"), F.col("beam_index"), F.col("seq"),
-        F.struct(
-            F.col("attempt"), F.col("beam_index"), F.col("compiled"),
-            F.when(F.col("compiled"), F.col("compile_ok")).alias("compile_ok"),
-            F.col("compile_stderr"), F.col("is_valid"),
-            F.col("generation_time").cast("double").alias("generation_time"),
-            code_length(F.col("code")).alias("code_length"), F.col("errors"),
-        ).alias("record"),
-    )
-    return records.groupBy("item_id").agg(
-        F.transform(F.array_sort(F.collect_list(entry)), lambda x: x["record"]).alias("candidate_records")
-    )
-
-
 @dataclass
 class EvaluationReport:
     metrics: DataFrame  # one row
-    items: DataFrame  # one row per item (item report)
+    items: DataFrame  # item reports, nested in chunks (``reports.nested_items``)
+    evaluation: DataFrame  # one row per item, with its final code
     records: DataFrame  # kept candidate records
     errors: DataFrame  # primary errors of failing checks
     pass_k: tuple[int, ...]
     config: dict = field(default_factory=dict)
+    dataset_path: str | None = None
 
-    def write(self, out_dir: str) -> None:
-        """``summary`` (metrics + pass_k + config, one line) and ``items``
-        (one JSON line per item report)."""
+    def write(self, path: str) -> None:
+        """The report as one JSON document in part files (``sink_report``)."""
         from ..sources.sinks import sink_report
 
-        summary = self.metrics.select(
-            "*",
+        c = self.config
+        config = F.struct(
+            F.lit(c["max_attempts"]).alias("max_attempts"),
+            F.array(*[F.lit(b) for b in c["beam_schedule"]]).alias("beam_schedule"),
+            F.array(*[F.lit(t) for t in c["temperature_schedule"]]).alias("temperature_schedule"),
+            F.lit(c["max_tokens"]).alias("max_tokens"),
+        )
+        head = self.metrics.select(
+            F.lit(self.dataset_path).alias("dataset_path"),
+            F.struct(*self.metrics.columns).alias("metrics"),
             F.array(*[F.lit(k) for k in self.pass_k]).alias("pass_k"),
-            F.struct(
-                F.lit(self.config["max_attempts"]).alias("max_attempts"),
-                F.array(*[F.lit(b) for b in self.config["beam_schedule"]]).alias("beam_schedule"),
-                F.array(*[F.lit(t) for t in self.config["temperature_schedule"]]).alias("temperature_schedule"),
-                F.lit(self.config["max_tokens"]).alias("max_tokens"),
-            ).alias("config"),
+            config.alias("config"),
         )
-        sink_report(summary, self.items, out_dir)
+        sink_report(head, self.evaluation, self.errors, self.records, self.pass_k, path)
 
 
 def run_evaluation(
@@ -94,7 +57,6 @@ def run_evaluation(
     pass_k: Sequence[int] = (1, 5),
     limit: int | None = None,
     model: str = "model",
-    quantiles: str = "distributed",
     work_dir: str | None = None,
     memo_dir: str | None = None,
 ) -> EvaluationReport:
@@ -107,7 +69,10 @@ def run_evaluation(
     sch = schedule or RD.RetrySchedule()
     items = scan_strict(spark, dataset) if isinstance(dataset, str) else dataset
     if limit is not None:
-        order = ["file", "line_number"] if "line_number" in items.columns else ["id"]
+        # a frame without line numbers is taken in its own order
+        if "line_number" not in items.columns:
+            items = numbered(items, [], "line_number").withColumn("file", F.lit(""))
+        order = ["file", "line_number"]
         items = items.orderBy(*order).limit(int(limit))
     if items.limit(1).count() == 0:
         raise ValueError("Dataset is empty; nothing to evaluate.")
@@ -121,24 +86,15 @@ def run_evaluation(
     )
     ev = RD.rounds_item_results(res, round_items, sch)
     ev = ev.select(*[c for c in ev.columns if not c.startswith("pass_at_")], *pass_flags(F.col("success_attempt"), ks))
-    report = (
-        ev.join(final_code(res.records), "item_id", "left")
-        .join(_errors_per_item(res.errors), "item_id", "left")
-        .join(_records_per_item(res.records), "item_id", "left")
-        .select(
-            F.col("item_id").alias("id"), "success", "success_rank", "success_attempt", "attempts", "total_time",
-            pass_map(F.col("success_attempt"), ks).alias("pass_at_k"),
-            *[f"pass_at_{k}" for k in ks],
-            "final_code", "run_error",
-            F.coalesce("errors", F.array().cast(_ERRORS_TYPE)).alias("errors"),
-            F.coalesce("candidate_records", F.array().cast(_RECORDS_TYPE)).alias("candidate_records"),
-        )
-    )
+    ev = ev.join(final_code(res.records), "item_id", "left")
+    report = nested_items(ev.withColumn("pass_at_k", pass_map(F.col("success_attempt"), ks)), res.errors, res.records)
     return EvaluationReport(
-        metrics=compute_metrics(ev, ks, quantiles=quantiles),
-        items=report,
+        metrics=compute_metrics(ev, ks),
+        items=report.withColumnRenamed("item_id", "id"),
+        evaluation=ev,
         records=res.records,
         errors=res.errors,
         pass_k=ks,
+        dataset_path=dataset if isinstance(dataset, str) else None,
         config=sch.summary(),
     )

@@ -98,7 +98,7 @@ def _requests(spark, sf):
     temps = F.element_at(F.array(*[F.lit(t) for t in RECORD_SCHED.temperatures]), F.col("attempt"))
     key = MM.generation_key(F.col("code"), max_tokens=F.lit(SCHED.token_limit), model=F.lit(MODEL),
                             seed=(F.col("attempt") * 100 + F.col("beam_index")).cast("int"), temperature=temps)
-    return r.withColumn("gen_key", key).withColumn("content_key", TX.content_key("code"))
+    return r.withColumn("gen_key", key).withColumn("content_key", TX.digest("code"))
 
 
 ORDER = ["item_id", "attempt", "beam_index"]
@@ -108,7 +108,8 @@ def q_memo_generation(spark, sf):
     """Generation requests of all records; a key seen earlier in the run is
     served from the memo."""
     req = _requests(spark, sf)
-    return MM.mark_repeats(req, "gen_key", ORDER).select(*ORDER, "gen_key", "from_memo")
+    marked = MM.mark_repeats(req, "gen_key", ORDER)
+    return marked.select(*ORDER, MM.shown_key(F.col("gen_key")).alias("gen_key"), "from_memo")
 
 
 def _theorems(spark, sf):

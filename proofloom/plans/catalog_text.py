@@ -114,7 +114,7 @@ def q_params_key(spark: SparkSession, sf: str) -> DataFrame:
     temp = F.element_at(sched, 1)["temperature"]
     seed = (F.col("attempt") * 100 + F.col("beam_index")).cast("int")
     key = MM.generation_key(F.col("code"), max_tokens=F.lit(S.DEFAULT_MAX_TOKENS), seed=seed, temperature=temp)
-    return r.select("item_id", "attempt", "beam_index", key.alias("params_key"))
+    return r.select("item_id", "attempt", "beam_index", MM.shown_key(key).alias("params_key"))
 
 
 def q_code_length(spark: SparkSession, sf: str) -> DataFrame:

@@ -1,5 +1,7 @@
 """Bulk retry rounds (2.7): golden records and invariants of the loop."""
 
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -83,6 +85,8 @@ def test_memo_reuse_across_runs(spark, tmp_dir):
     memo = f"{tmp_dir}/memo"
     a = RD.retry_rounds(spark, _items(spark), stub_model_factory, stub_checker_factory, sched, memo_dir=memo, work_dir=f"{tmp_dir}/a")
     first = a.call_counts().first()
+    for part in ("generation", "check"):  # one file per bucket and write
+        assert any("_000" in f for f in os.listdir(f"{memo}/{part}") if f.startswith("part-"))
     b = RD.retry_rounds(spark, _items(spark), stub_model_factory, stub_checker_factory, sched, memo_dir=memo, work_dir=f"{tmp_dir}/b")
     assert any(e["stage"] == "memo_lookup" for e in b.log)
     second = b.call_counts().first()
@@ -167,8 +171,10 @@ def test_run_evaluation(spark, tmp_dir):
         assert len(r.errors) == sum(1 for c in recs if c.compiled and not c.compile_ok and c.compile_stderr)
     out = os.path.join(tmp_dir, "report")
     rep.write(out)
-    assert spark.read.json(f"{out}/summary").first().config.max_attempts == 5
-    assert spark.read.text(f"{out}/items").count() == 12
+    doc = json.loads("".join(open(os.path.join(out, f), encoding="utf-8").read() for f in sorted(os.listdir(out)) if f.startswith("part-")))
+    assert doc["config"]["max_attempts"] == 5 and doc["pass_k"] == [1, 5] and doc["dataset_path"] == path
+    by_id = {i["id"]: i for i in doc["items"]}
+    assert len(by_id) == 12 and all(len(by_id[r.id]["candidate_records"]) == len(r.candidate_records) for r in items)
     empty = os.path.join(tmp_dir, "empty.jsonl")
     open(empty, "w").close()
     with pytest.raises(ValueError, match="empty"):
@@ -185,3 +191,69 @@ def test_no_memo_repeats_calls(spark, tmp_dir):
     assert cb.generation_calls == ca.generation_calls and cb.check_calls == ca.check_calls
     key = ["item_id", "attempt", "beam_index", "compiled", "compile_ok"]
     assert sorted(map(tuple, a.records.select(key).collect())) == sorted(map(tuple, b.records.select(key).collect()))
+
+
+def test_a_memo_is_not_shuffled(spark, tmp_dir):
+    """A lookup of many keys in a bucketed memo: the plan has no exchange above
+    the memo's scan, and a second run computes new keys only."""
+    memo = MM.BucketedMemo(spark, f"{tmp_dir}/m", "k", "k string, v long, err string, run string")
+    work = lambda n: MM.work_list(spark.range(n).select(F.sha2(F.col("id").cast("string"), 256).alias("k")), "k", memo.rows())
+    keys = {n: work(n).count() for n in (0, 300)}
+    assert keys == {0: 0, 300: 300}
+    memo.add(work(300).select("k", F.lit(1).alias("v"), F.when(F.col("k") < "4", "failed").alias("err"), F.lit("one").alias("run")))
+    memo.add(work(400).select("k", F.lit(2).alias("v"), F.lit(None).alias("err"), F.lit("two").alias("run")))
+    assert memo.rows().count() == 400 and work(400).count() == 0
+    memo.add(memo.rows().where("err = 'failed'").select("k", F.lit(3).alias("v"), F.lit(None).alias("err"), F.lit("three").alias("run")))
+    requests = spark.range(500).select(F.sha2(F.col("id").cast("string"), 256).alias("k"))
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        hits = memo.lookup(requests, F.col("err").isNull(), ["run"])
+        got = {r.k: r.v for r in hits.collect()}
+        plan = hits._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert len(got) == 400 and {v for k, v in got.items() if k < "4"} <= {2, 3} and sorted(set(got.values())) == [1, 2, 3]
+    scan = next(i for i, line in enumerate(plan.splitlines()) if "FileScan parquet" in line and "Bucketed: true" in line)
+    depth = lambda line: len(line) - len(line.lstrip(" :+-*()0123456789|"))
+    above, d = [], depth(plan.splitlines()[scan])
+    for line in reversed(plan.splitlines()[:scan]):
+        if depth(line) < d:
+            above.append(line)
+            d = depth(line)
+    assert above and not any("Exchange" in line or "ShuffleQueryStage" in line for line in above), above
+
+
+def test_null_keys_lose_no_request(spark):
+    """Four requests, two without a key: four rows, none of them a repeat of
+    another, and the totals say the same."""
+    req = spark.createDataFrame([(1, "a", "x"), (2, None, "y"), (3, "a", "z"), (4, None, "w")], "n int, k string, _first string")
+    marked = {r.n: r for r in MM.mark_repeats(req, "k", ["n"]).collect()}
+    assert {n: r.from_memo for n, r in marked.items()} == {1: False, 2: False, 3: True, 4: False} and marked[4]._first == "w"
+    s = MM.run_stats(req, {"": "k"}).first()
+    assert (s.requests, s.hits, s.misses, s.size_after) == (4, 1, 3, 1)
+    memo = spark.createDataFrame([("a",), (None,)], "k string")
+    t = MM.memo_stats(req, "k", memo).first()
+    assert (t.requests, t.hits, t.misses, t.size_before, t.size_after) == (4, 2, 2, 1, 1)
+    assert sorted(r.n for r in MM.work_list(req, "k", memo, ["n"]).collect()) == [2, 4]
+
+
+def test_keys_are_whole_digests(spark):
+    key = MM.generation_key(F.col("p"), seed=F.lit(1))
+    rows = spark.createDataFrame([("a",), (None,)], "p string").select("p", key.alias("k"), MM.shown_key(key).alias("s")).collect()
+    by = {r.p: r for r in rows}
+    assert len(by["a"].k) == 129 and by["a"].s == by["a"].k[:16] + "_" + by["a"].k[65:81] and by[None].k is None
+
+
+def test_repeated_replies_and_verdicts_give_one_row_each(spark):
+    from proofloom.operators import batch as B
+
+    work = spark.createDataFrame([(1, "q"), (2, "r"), (None, "s")], "k int, _reply string")
+    replies = spark.createDataFrame([(1, "b"), (1, "a"), (1, None), (None, "x")], "k int, reply string")
+    got = {r.k: r for r in B.recorded_replies(work, replies, ["k"]).collect()}
+    assert len(got) == 3 and (got[1].reply, got[1].gen_error, got[1]._reply) == ("a", None, "q")
+    assert got[2].gen_error and got[None].gen_error
+    codes = spark.createDataFrame([("c",), ("d",)], "content_key string")
+    verdicts = spark.createDataFrame([("c", True, None), ("c", False, "z"), ("c", False, "y"), ("d", None, None)], "content_key string, ok boolean, stderr string")
+    v = {r.content_key: r for r in B.recorded_verdicts(codes, verdicts).collect()}
+    assert (v["c"].ok, v["c"].stderr, v["d"].ok, v["d"].check_error) == (False, "y", False, None)
