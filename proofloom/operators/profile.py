@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from .. import schema as S
 from ..functions.text import normalized_digest, normalized_hash
+from ..session import free_column
+from .batch import one_verdict
 
 MAX_FAILURES = 5
 
@@ -43,17 +45,69 @@ def duplicate_content_items(items: DataFrame, text: str, id_col: str = "id") ->
     return members.withColumn("hash", F.substring("_digest", 1, 16)).drop("_digest")
 
 
-def duplicate_summary(items: DataFrame, text: str, id_col: str = "id") -> DataFrame:
-    """One row: total_items, unique_ids, n_duplicate_ids, n_duplicate_content_items."""
-    per_id = items.groupBy(id_col).agg(F.count(F.lit(1)).alias("c")).agg(
-        F.sum("c").alias("total_items"),
-        F.count(F.lit(1)).alias("unique_ids"),
-        F.count_if(F.col("c") > 1).alias("n_duplicate_ids"),
-    )
-    per_hash = items.groupBy(normalized_digest(F.col(text)).alias("_digest")).agg(F.count(F.lit(1)).alias("c")).agg(
-        F.coalesce(F.sum(F.when(F.col("c") > 1, F.col("c"))), F.lit(0)).cast("long").alias("n_duplicate_content_items")
+def findings(items: DataFrame, text: str, id_col: str = "id", topic: str | None = "topic") -> DataFrame:
+    """(kind, key, n): how often every id, normalized text and topic stands,
+    from one scan and one aggregate.  ``kind`` is 'id', 'content' (key: the
+    whole digest) or 'topic'; a null id or topic is a value, a null text is
+    none (it repeats nothing)."""
+    pair = lambda kind, key: F.struct(F.lit(kind).alias("kind"), key.cast("string").alias("key"))
+    pairs = [pair("id", F.col(id_col)), pair("content", normalized_digest(F.col(text)))]
+    if topic is not None:
+        pairs.append(pair("topic", F.col(topic)))
+    tagged = items.select(F.inline(F.array(*pairs)))
+    return tagged.where("kind <> 'content' OR key IS NOT NULL").groupBy("kind", "key").agg(F.count(F.lit(1)).alias("n"))
+
+
+def repeated(found: DataFrame, kind: str) -> DataFrame:
+    """(key, n): the ids ('id') or texts ('content', 16 digits of their digest)
+    that stand more than once, as a frame."""
+    key = F.substring("key", 1, 16) if kind == "content" else F.col("key")
+    return found.where((F.col("kind") == kind) & (F.col("n") > 1)).select(key.alias("key"), "n")
+
+
+def topics(found: DataFrame) -> DataFrame:
+    """(topic, n) of every topic."""
+    return found.where("kind = 'topic'").select(F.col("key").alias("topic"), "n")
+
+
+def summary(found: DataFrame) -> DataFrame:
+    """One row over ``findings``: total_items, unique_ids, n_duplicate_ids,
+    n_duplicate_content_items, n_topics (a null topic is not counted)."""
+    n, is_id, content = F.col("n"), F.col("kind") == "id", F.col("kind") == "content"
+    total = lambda condition: F.coalesce(F.sum(F.when(condition, n)), F.lit(0)).cast("long")
+    return found.agg(
+        total(is_id).alias("total_items"),
+        F.count_if(is_id).alias("unique_ids"),
+        F.count_if(is_id & (n > 1)).alias("n_duplicate_ids"),
+        total(content & (n > 1)).alias("n_duplicate_content_items"),
+        F.count_if((F.col("kind") == "topic") & F.col("key").isNotNull()).alias("n_topics"),
     )
-    return one_row(per_id, per_hash)
+
+
+def report_rows(found: DataFrame, checked: DataFrame | None = None) -> DataFrame:
+    """A report as rows (section, key, n, rate): the totals, every repeated id
+    and text, every topic and, given ``checked`` verdicts, their totals.  Lists
+    are rows, so none is ever held whole."""
+    none = lambda kind: F.lit(None).cast(kind)
+
+    def totals(one: DataFrame) -> DataFrame:
+        cells = [F.struct(F.lit(c).alias("section"), none("string").alias("key"), F.col(c).cast("long").alias("n"), none("double").alias("rate")) for c in one.columns if c != "success_rate"]
+        if "success_rate" in one.columns:
+            cells.append(F.struct(F.lit("success_rate").alias("section"), none("string").alias("key"), none("long").alias("n"), F.col("success_rate").alias("rate")))
+        return one.select(F.inline(F.array(*cells)))
+
+    listed = {"id": "duplicate_ids", "content": "duplicate_content", "topic": "topics"}
+    section = F.create_map(*[F.lit(x) for pair in listed.items() for x in pair])[F.col("kind")]
+    key = F.when(F.col("kind") == "content", F.substring("key", 1, 16)).otherwise(F.col("key"))
+    lists = found.where((F.col("n") > 1) | (F.col("kind") == "topic")).select(section.alias("section"), key.alias("key"), "n", none("double").alias("rate"))
+    rows = totals(summary(found)).unionByName(lists)
+    return rows if checked is None else rows.unionByName(totals(verification_summary(checked)))
+
+
+def duplicate_summary(items: DataFrame, text: str, id_col: str = "id") -> DataFrame:
+    """One row: total_items, unique_ids, n_duplicate_ids, n_duplicate_content_items.
+    ``report_rows(findings(...))`` has the lists behind the counts."""
+    return summary(findings(items, text, id_col, None)).drop("n_topics")
 
 
 def one_row(*frames: DataFrame) -> DataFrame:
@@ -79,12 +133,15 @@ def topic_distribution_by_file(items: DataFrame, file: str = "file", topic: str
 def cross_file_duplicates(pooled: DataFrame, text: str = "text", file: str = "file", id_col: str = "id") -> DataFrame:
     """Ids and content repeated over pooled files: ``kind`` ('id' or
     'content'), ``key`` (the id, or the normalized hash), the number of
-    items and the distinct files.  Two partial/final aggregates; the file
-    set per key is bounded by the number of input files."""
+    items and the distinct files; a null id or text repeats nothing.  Two
+    partial/final aggregates; the file set per key is bounded by the number of
+    input files."""
 
-    def repeated(key: Column, kind: str) -> DataFrame:
+    def over_files(key: Column, kind: str) -> DataFrame:
         return (
-            pooled.groupBy(key.alias("key"))
+            pooled.select(key.alias("key"), F.col(file))
+            .where(F.col("key").isNotNull())
+            .groupBy("key")
             .agg(
                 F.count(F.lit(1)).alias("n_items"),
                 F.array_join(F.array_sort(F.collect_set(F.col(file))), ",").alias("files"),
@@ -93,7 +150,7 @@ def cross_file_duplicates(pooled: DataFrame, text: str = "text", file: str = "fi
             .select(F.lit(kind).alias("kind"), (F.substring("key", 1, 16) if kind == "content" else F.col("key")).alias("key"), "n_items", "files")
         )
 
-    return repeated(F.col(id_col).cast("string"), "id").unionByName(repeated(normalized_digest(F.col(text)), "content"))
+    return over_files(F.col(id_col).cast("string"), "id").unionByName(over_files(normalized_digest(F.col(text)), "content"))
 
 
 def length_profile(items: DataFrame) -> DataFrame:
@@ -110,13 +167,15 @@ def length_profile(items: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------------------
 def verification_rows(items: DataFrame, verdicts: DataFrame, key: str, *, seq: str = "seq") -> DataFrame:
     """One row per item: ok, stderr only when failing.  ``verdicts`` has
-    ``key, ok, stderr``; an item without a verdict is a failed row with an
-    exception message (the check raised)."""
-    v = verdicts.select(key, F.col("ok").alias("_ok"), F.col("stderr").alias("_stderr"), F.lit(True).alias("_has"))
+    ``key, ok, stderr``; of several verdicts on one key a failing one counts
+    (``batch.one_verdict``).  An item without a verdict, or without a key, is a
+    failed row with an exception message (the check raised)."""
+    ok_, err, has = (free_column(items, c) for c in ("_ok", "_stderr", "_has"))
+    v = one_verdict(verdicts, key).select(F.col(key), F.col("_ok").alias(ok_), F.col("stderr").alias(err), F.col("_found").alias(has))
     j = items.join(v, key, "left")
-    ok = F.coalesce(F.col("_ok"), F.lit(False))
-    stderr = F.when(~ok, F.when(F.col("_has").isNull(), F.lit(S.COMPILE_EXCEPTION_PREFIX + "no verdict")).otherwise(F.col("_stderr")))
-    return j.select(*items.columns, ok.alias("ok"), stderr.alias("stderr"))
+    ok = F.coalesce(F.col(ok_), F.lit(False))
+    stderr = F.when(~ok, F.when(F.col(has).isNull(), F.lit(S.COMPILE_EXCEPTION_PREFIX + "no verdict")).otherwise(F.col(err)))
+    return j.select(*[items[c] for c in items.columns if c not in ("ok", "stderr")], ok.alias("ok"), stderr.alias("stderr"))
 
 
 def verification_early_stop(rows: DataFrame, max_failures: int = MAX_FAILURES, seq: str = "seq") -> DataFrame:
@@ -150,13 +209,8 @@ def verification_summary(rows: DataFrame) -> DataFrame:
 def validate_dataset(items: DataFrame, text: str, *, checked: DataFrame | None = None, id_col: str = "id") -> DataFrame:
     """All checks in one row: counts, duplicates, topics and (optionally)
     the verification summary of ``checked`` rows."""
-    parts = [
-        duplicate_summary(items, text, id_col),
-        items.agg(F.count_distinct("topic").alias("n_topics")),
-    ]
-    if checked is not None:
-        parts.append(verification_summary(checked))
-    return one_row(*parts)
+    report = summary(findings(items, text, id_col))
+    return report if checked is None else one_row(report, verification_summary(checked))
 
 
 def dataset_verdict(report: DataFrame) -> DataFrame:

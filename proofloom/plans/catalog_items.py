@@ -83,7 +83,9 @@ def q_duplicate_content_items(spark, sf):
 
 
 def q_duplicate_summary(spark, sf):
-    return PF.duplicate_summary(_docs(spark, sf), "text")
+    """Totals and both lists of repeated values, as rows."""
+    found = PF.findings(_docs(spark, sf), "text", topic=None)
+    return PF.report_rows(found).where("section <> 'n_topics'").drop("rate")
 
 
 def q_topic_distribution(spark, sf):
@@ -141,7 +143,9 @@ def _report(spark, sf):
 
 
 def q_validate_dataset(spark, sf):
-    return _report(spark, sf).withColumn("success_rate", F.round("success_rate", 6))
+    """Totals, both duplicate lists, every topic and the verification totals."""
+    rows = PF.report_rows(PF.findings(_docs(spark, sf), "text"), _vrows(spark, sf))
+    return rows.withColumn("rate", F.round("rate", 6))
 
 
 def q_dataset_verdict(spark, sf):
@@ -254,11 +258,20 @@ _VROWS = """
                 round(coalesce(CAST(count(*) FILTER (WHERE ok) AS DOUBLE) / nullif(count(*), 0), 0.0), 6) AS success_rate FROM vr)
 , ds AS (SELECT (SELECT count(*) FROM docs) AS total_items, (SELECT count(DISTINCT id) FROM docs) AS unique_ids,
                 (SELECT count(*) FROM (SELECT id FROM docs GROUP BY id HAVING count(*) > 1)) AS n_duplicate_ids,
-                (SELECT CAST(coalesce(sum(c), 0) AS BIGINT) FROM (SELECT count(*) AS c FROM docs GROUP BY {h} HAVING count(*) > 1)) AS n_duplicate_content_items,
+                (SELECT CAST(coalesce(sum(c), 0) AS BIGINT) FROM (SELECT count(*) AS c FROM docs WHERE text IS NOT NULL GROUP BY {h} HAVING count(*) > 1)) AS n_duplicate_content_items,
                 (SELECT count(DISTINCT topic) FROM docs) AS n_topics)
 """.replace("{h}", D.sha16(D.collapse("text")))
 
 
+_LISTS = """
+, ds_rows AS (SELECT 'total_items' AS section, CAST(NULL AS VARCHAR) AS key, total_items AS n FROM ds
+  UNION ALL SELECT 'unique_ids', NULL, unique_ids FROM ds UNION ALL SELECT 'n_duplicate_ids', NULL, n_duplicate_ids FROM ds
+  UNION ALL SELECT 'n_duplicate_content_items', NULL, n_duplicate_content_items FROM ds)
+, dup_rows AS (SELECT 'duplicate_ids' AS section, CAST(id AS VARCHAR) AS key, count(*) AS n FROM docs GROUP BY id HAVING count(*) > 1
+  UNION ALL SELECT 'duplicate_content', {h}, count(*) FROM docs WHERE text IS NOT NULL GROUP BY {h} HAVING count(*) > 1)
+""".replace("{h}", D.sha16(D.collapse("text")))
+
+
 def _dv(sql: str) -> str:
     return "WITH _x AS (SELECT 1)\n" + _DOCS + _VROWS + sql
 
@@ -308,16 +321,16 @@ FROM items_v ORDER BY doc_id LIMIT {N_PREVIEW}""",
     "duplicate_content_items": f"""
 WITH h AS (SELECT doc_id AS id, {D.sha16(D.collapse('text'))} AS hash FROM documents)
 SELECT id, hash FROM h WHERE hash IN (SELECT hash FROM h GROUP BY hash HAVING count(*) > 1)""",
-    "duplicate_summary": _dv("SELECT total_items, unique_ids, n_duplicate_ids, n_duplicate_content_items FROM ds"),
+    "duplicate_summary": _dv(_LISTS + "SELECT section, key, n FROM ds_rows UNION ALL SELECT section, key, n FROM dup_rows"),
     "topic_distribution": "SELECT source AS topic, count(*) AS n FROM documents GROUP BY source",
     "topic_distribution_by_file": "SELECT lang AS file, source AS topic, count(*) AS n FROM documents GROUP BY GROUPING SETS ((lang, source), (source), ())",
     "cross_file_duplicates": f"""
 WITH p AS (SELECT doc_id AS id, text, 'documents' AS file FROM documents UNION ALL SELECT item_id AS id, text, 'benchmark' AS file FROM benchmark)
 SELECT 'id' AS kind, CAST(id AS VARCHAR) AS key, count(*) AS n_items, array_to_string(list_sort(list_distinct(list(file))), ',') AS files
-FROM p GROUP BY id HAVING count(*) > 1
+FROM p WHERE id IS NOT NULL GROUP BY id HAVING count(*) > 1
 UNION ALL
 SELECT 'content' AS kind, {D.sha16(D.collapse('text'))} AS key, count(*) AS n_items, array_to_string(list_sort(list_distinct(list(file))), ',') AS files
-FROM p GROUP BY 2 HAVING count(*) > 1""",
+FROM p WHERE text IS NOT NULL GROUP BY 2 HAVING count(*) > 1""",
     "length_profile": with_views(
         "SELECT count(*) AS total_items, count(DISTINCT topic) AS n_topics, round(avg(length(statement)), 6) AS avg_statement_length, "
         "round(avg(length(theorem)), 6) AS avg_theorem_length FROM items_v",
@@ -326,7 +339,14 @@ FROM p GROUP BY 2 HAVING count(*) > 1""",
     "verification_rows": _dv("SELECT id, ok, stderr FROM vr"),
     "verification_early_stop": _dv("SELECT id, ok, stderr FROM es"),
     "verification_summary": _dv("SELECT * FROM vs"),
-    "validate_dataset": _dv("SELECT * FROM ds, vs"),
+    "validate_dataset": _dv(
+        _LISTS + """
+SELECT section, key, n, CAST(NULL AS DOUBLE) AS rate FROM (SELECT * FROM ds_rows UNION ALL SELECT * FROM dup_rows
+  UNION ALL SELECT 'n_topics', NULL, n_topics FROM ds UNION ALL SELECT 'topics', topic, count(*) FROM docs GROUP BY topic
+  UNION ALL SELECT 'total_checked', NULL, total_checked FROM vs UNION ALL SELECT 'successful', NULL, successful FROM vs
+  UNION ALL SELECT 'failed', NULL, failed FROM vs)
+UNION ALL SELECT 'success_rate' AS section, NULL AS key, NULL AS n, success_rate AS rate FROM vs"""
+    ),
     "dataset_verdict": _dv("SELECT (n_duplicate_ids = 0 AND n_duplicate_content_items = 0 AND failed = 0) AS is_valid FROM ds, vs"),
     "issue_samples": _dv(
         """

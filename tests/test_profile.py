@@ -78,3 +78,40 @@ def test_cross_file_duplicates(spark):
     assert rows[("content", hashlib.sha256(b"a b").hexdigest()[:16])] == (2, "f1,f2")
     assert rows[("content", hashlib.sha256(b"c").hexdigest()[:16])] == (2, "f1")
     assert len(rows) == 3
+
+
+def test_null_texts_and_ids_repeat_nothing(spark):
+    """Ten items without a text are no copies, within a set or across files."""
+    rows = [(f"i{k}", None, "t" if k else None) for k in range(10)]
+    df = spark.createDataFrame(rows, "id string, text string, topic string")
+    s = PF.duplicate_summary(df, "text").first()
+    assert (s.total_items, s.unique_ids, s.n_duplicate_ids, s.n_duplicate_content_items) == (10, 10, 0, 0)
+    assert PF.dataset_verdict(PF.validate_dataset(df, "text")).first().is_valid
+    pooled = df.select(F.when(F.col("id") < "i5", F.col("id")).alias("id"), "text", F.lit("f").alias("file"))
+    assert PF.cross_file_duplicates(pooled).count() == 0
+    assert PF.duplicate_content_items(df, "text").count() == 0
+
+
+def test_findings_come_from_one_scan(spark, tmp_dir):
+    rows = [("a", "x y", "t"), ("b", "x  y", "u"), ("a", "z", "t"), (None, None, None), (None, "w", None)]
+    path = f"{tmp_dir}/items"
+    spark.createDataFrame(rows, "id string, text string, topic string").write.parquet(path)
+    found = PF.findings(spark.read.parquet(path), "text")
+    assert found._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
+    h = hashlib.sha256(b"x y").hexdigest()[:16]
+    assert {(r.key, r.n) for r in PF.repeated(found, "id").collect()} == {("a", 2), (None, 2)}
+    assert {(r.key, r.n) for r in PF.repeated(found, "content").collect()} == {(h, 2)}
+    assert {(r.topic, r.n) for r in PF.topics(found).collect()} == {("t", 2), ("u", 1), (None, 2)}
+    report = {(r.section, r.key): r.n for r in PF.report_rows(found).collect()}
+    assert report[("total_items", None)] == 5 and report[("unique_ids", None)] == 3 and report[("duplicate_content", h)] == 2
+    assert report[("n_topics", None)] == 2 and report[("topics", None)] == 2 and report[("duplicate_ids", "a")] == 2
+    assert PF.report_rows(PF.findings(spark.read.parquet(path).limit(0), "text")).where("n <> 0").count() == 0
+
+
+def test_repeated_verdicts_give_one_row_per_item(spark):
+    items = spark.createDataFrame([(k, k, "mine") for k in range(9)] + [(None, 9, "mine")], "id int, seq int, _ok string")
+    verdicts = spark.createDataFrame([(k, True, None) for k in range(9)] + [(3, False, "late"), (None, True, None)], "id int, ok boolean, stderr string")
+    rows = PF.verification_rows(items, verdicts, "id").collect()
+    assert len(rows) == 10 and {r._ok for r in rows} == {"mine"}
+    by = {r.id: r for r in rows}
+    assert (by[3].ok, by[3].stderr) == (False, "late") and by[2].ok and not by[None].ok
