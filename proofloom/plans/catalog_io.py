@@ -10,15 +10,16 @@ from pyspark.sql import functions as F
 from ..operators import checks as CK
 from ..operators import metrics as M
 from ..operators import profile as PF
-from ..operators import results as R
 from ..operators import splits as SP
+from ..operators.numbering import numbered
 from ..session import scratch_path
 from ..sources import items as SRC
 from ..sources import sinks as SNK
 from .bindings import items_v, records_v, table, with_views
-from .catalog_items import _ID_ERR, _THM_ERR, _iv, _report
+from .catalog_items import _ID_ERR, _THM_ERR, _docs, _iv, _vrows
 from .catalog_items import ORACLES as _ITEM_ORACLES
 from .catalog_results import ORACLES as _RESULT_ORACLES
+from .catalog_results import PASS_K, SCHEDULE, reported
 
 
 def _write_items(spark: SparkSession, sf: str, name: str, corrupt: bool = False) -> str:
@@ -49,9 +50,22 @@ def q_scan_strict(spark, sf):
 
 
 def q_scan_numbered(spark, sf):
-    path = _write_items(spark, sf, "scan_numbered")
+    """Lines written in the order of the items, as one part file per range, the
+    line's own place among its file's lines written into it: the number that
+    the scan gives and the place agree."""
+    it = items_v(spark, sf).where(F.col("doc_id").isNotNull())
+    path = scratch_path(spark, "scan_numbered")
+    body = it.select((F.col("doc_id") % 7).alias("bucket"), "doc_id", F.to_json(CK.item_struct(it)).alias("value"))
+    placed = numbered(body, [F.col("doc_id")], "place", group=["bucket"])
+    line = F.concat((F.col("place") + 1).cast("string"), F.lit(" "), F.col("doc_id").cast("string"), F.lit(" "), F.col("value"))
+    # one file per bucket: its lines are sorted inside the one task that writes them
+    out = placed.repartition(7, "bucket").sortWithinPartitions("bucket", "place")
+    out.select("bucket", line.alias("value")).write.mode("overwrite").partitionBy("bucket").text(path)
     return SRC.scan_numbered(spark, path).select(
-        F.regexp_extract("file", r"([^/]+)$", 1).alias("file"), "line_number", F.length("value").alias("length")
+        F.regexp_extract("file", r"bucket=(\d+)", 1).cast("long").alias("bucket"),
+        "line_number",
+        F.regexp_extract("value", r"^(\d+) ", 1).cast("long").alias("written_number"),
+        F.regexp_extract("value", r"^\d+ (\d+) ", 1).cast("long").alias("doc_id"),
     )
 
 
@@ -104,28 +118,57 @@ def q_sink_splits(spark, sf):
     return back.groupBy("split").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _times(column, text):
+    """How often the text stands in a line of a document."""
+    return (F.length(column) - F.length(F.replace(F.col(column), F.lit(text), F.lit("")))) / len(text)
+
+
 def q_sink_report(spark, sf):
-    rec = records_v(spark, sf)
-    ev = R.item_evaluation(rec)
-    met = M.compute_metrics(ev)
+    """The evaluation report, written as one document and read back by line:
+    the opening line's fields, and how many items, errors and records follow."""
+    items, errors, kept = reported(spark, sf)
+    met = M.compute_metrics(items, PASS_K)
+    head = met.select(
+        F.lit("lineitem").alias("dataset_path"), F.struct(*met.columns).alias("metrics"), F.array(*[F.lit(k) for k in PASS_K]).alias("pass_k"),
+        F.struct(F.lit(SCHEDULE.attempts).alias("max_attempts"), F.lit(SCHEDULE.token_limit).alias("max_tokens")).alias("config"),
+    )
     path = scratch_path(spark, "sink_report")
-    SNK.sink_report(met, ev, path)
-    summary = spark.read.json(f"{path}/summary")
-    n_items = spark.read.text(f"{path}/items").agg(F.count(F.lit(1)).alias("n_item_lines"))
-    s = summary.select(
-        F.col("total_items").cast("long").alias("total_items"),
-        F.col("success_count").cast("long").alias("success_count"),
-        F.round(F.col("pass_at_5"), 6).alias("pass_at_5"),
+    SNK.sink_report(head, items, errors, kept, PASS_K, path)
+    back = spark.read.text(path)
+    opening = F.from_json(
+        F.concat(F.col("value"), F.lit("]}")),
+        "dataset_path string, metrics struct<total_items: long, success_count: long, pass_at_5: double, time_median: double>, pass_k array<int>, config struct<max_attempts: int>",
+    )
+    first = back.where(F.col("value").startswith('{"dataset_path"')).select(opening.alias("o")).select(
+        "o.metrics.total_items", "o.metrics.success_count", F.round("o.metrics.pass_at_5", 6).alias("pass_at_5"),
+        F.round("o.metrics.time_median", 6).alias("time_median"), F.array_join("o.pass_k", ",").alias("pass_k"), "o.config.max_attempts",
+    )
+    total = lambda text: F.sum(_times("value", text)).cast("long")
+    counted = back.agg(
+        F.count_if(F.col("value").rlike(r'^,?\{"id":')).alias("n_items"),
+        total('"severity":').alias("n_errors"),
+        total('"beam_index":').alias("n_records"),
     )
-    return PF.one_row(s, n_items)
+    return PF.one_row(first, counted)
 
 
 def q_sink_validation_report(spark, sf):
-    rep = _report(spark, sf)
+    """The validation report, written as one document and read back by line."""
+    docs = _docs(spark, sf)
+    copies = PF.duplicate_content_items(docs, "text")
     path = scratch_path(spark, "sink_validation")
-    SNK.sink_validation_report(rep, None, path)
-    back = spark.read.json(f"{path}/summary")
-    return back.select(*[F.col(c).cast("long").alias(c) for c in ("total_items", "n_duplicate_content_items", "total_checked", "failed")])
+    SNK.sink_validation_report(PF.findings(docs, "text"), copies, _vrows(spark, sf), path)
+    back = spark.read.text(path)
+    line = F.col("value")
+    return back.agg(
+        F.max(F.regexp_extract(line, r'^\{"total_items":(\d+),"topics":', 1).try_cast("long")).alias("total_items"),
+        F.max(F.regexp_extract(line, r'"compilation":\{"total_checked":(\d+),', 1).try_cast("long")).alias("total_checked"),
+        F.max(F.regexp_extract(line, r'"compilation":.*"failed":(\d+),', 1).try_cast("long")).alias("failed"),
+        F.count_if(line.rlike(r'^,?"[^"]*":\d+$')).alias("n_topics"),
+        F.count_if(line.rlike(r'^,?\d+$')).alias("n_duplicate_content_items"),
+        F.count_if(line.rlike(r'^,?\{"id":.*"ok":')).alias("n_results"),
+        F.count_if(line.rlike(r'^,?\{"id":.*"ok":false')).alias("n_failed_results"),
+    )
 
 
 QUERIES = {
@@ -173,11 +216,14 @@ WHERE se.steps_error IS NULL AND x.te IS NULL AND x.ie IS NULL"""
         "SELECT split, topic, count(*) AS n FROM sa GROUP BY GROUPING SETS ((split), (split, topic))",
         "SELECT split, count(*) AS n FROM sa GROUP BY split",
     ),
-    "sink_report": _RESULT_ORACLES["compute_metrics"].replace(
-        "SELECT * FROM met",
-        "SELECT total_items, success_count, pass_at_5, (SELECT count(*) FROM ev) AS n_item_lines FROM met",
-    ),
-    "sink_validation_report": _ITEM_ORACLES["validate_dataset"].replace(
-        "SELECT * FROM ds, vs", "SELECT total_items, n_duplicate_content_items, total_checked, failed FROM ds, vs"
+    "scan_numbered": with_views(
+        "SELECT doc_id % 7 AS bucket, row_number() OVER (PARTITION BY doc_id % 7 ORDER BY doc_id) AS line_number, "
+        "row_number() OVER (PARTITION BY doc_id % 7 ORDER BY doc_id) AS written_number, doc_id FROM items_v",
+        "items_v",
     ),
+    "sink_report": _RESULT_ORACLES["item_report"].split("SELECT ev.item_id, success, success_rank")[0]
+    + "SELECT total_items, success_count, pass_at_5, time_median, '1,5' AS pass_k, 7 AS max_attempts, (SELECT count(*) FROM ev) AS n_items, "
+    "(SELECT count(error) FROM en WHERE item_id IN (SELECT item_id FROM ev)) AS n_errors, (SELECT count(*) FROM kept) AS n_records FROM met",
+    "sink_validation_report": _ITEM_ORACLES["dataset_verdict"].split("SELECT (n_duplicate_ids = 0")[0]
+    + "SELECT total_items, total_checked, failed, n_topics, n_duplicate_content_items, total_checked AS n_results, failed AS n_failed_results FROM ds, vs",
 }

@@ -10,9 +10,9 @@
 
 Line numbers without a window over a whole file: the text source splits a
 file into blocks; per (file, block) we count lines and take the minimum row
-id (a small aggregate: one row per block), derive each block's first line
-number, and number rows inside their block from
-``monotonically_increasing_id``, which is contiguous inside a partition.
+id (a small written table, one row per block: the line-offset index), and
+number rows inside their block from ``monotonically_increasing_id``, which is
+contiguous inside a partition.
 """
 
 from __future__ import annotations
@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from .. import schema as S
 from ..operators.checks import violations
 from ..operators.stages import where_computed
+from ..session import scratch_path
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -61,39 +62,42 @@ def scan_items(spark: SparkSession, path: str) -> DataFrame:
     return _normalize_items(df)
 
 
-def scan_numbered(spark: SparkSession, path: str) -> DataFrame:
-    """``file, line_number, value``: every physical line (blank ones too)."""
-    require_path(spark, path)
-    raw = spark.read.text(path).select(
+def _raw_lines(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.text(path).select(
         F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("_block"),
         F.monotonically_increasing_id().alias("_rid"),
         "value",
     )
-    blocks = raw.groupBy("file", "_block").agg(F.count(F.lit(1)).alias("_n"), F.min("_rid").alias("_rid0"))
+
+
+def _block_index(raw: DataFrame, *extra: Column) -> DataFrame:
+    """The line-offset index, written: one row per file block with ``_rid0``
+    (its first row id), ``_before`` (lines of the file before it) and what
+    ``extra`` aggregates over its lines.  One pass over the files."""
+    blocks = raw.groupBy("file", "_block").agg(F.count(F.lit(1)).alias("_n"), F.min("_rid").alias("_rid0"), *extra)
     # one row per file block: a bounded window
     w = Window.partitionBy("file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    starts = blocks.select("file", "_block", "_rid0", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_before"))
-    # ``starts`` has one row per file block.  Its size is bounded before any
-    # job runs: blocks <= input files + scan partitions.  Broadcasting it
-    # keeps the lines from being shuffled; past the cap AQE decides.
-    if _block_rows_bound(raw) * BLOCK_ROW_BYTES <= MAX_BLOCK_TABLE_BYTES:
-        starts = F.broadcast(starts)
-    return raw.join(starts, ["file", "_block"]).select(
-        "file", (F.col("_before") + (F.col("_rid") - F.col("_rid0")) + 1).alias("line_number"), "value"
-    )
+    index = blocks.withColumn("_before", F.coalesce(F.sum("_n").over(w), F.lit(0))).drop("_n")
+    path = scratch_path(raw.sparkSession, "line-index")
+    index.write.parquet(path)
+    return raw.sparkSession.read.schema(index.schema).parquet(path)
 
 
-BLOCK_ROW_BYTES = 512  # path + three longs, generously
-MAX_BLOCK_TABLE_BYTES = 256 * 1024 * 1024
+def _numbered(raw: DataFrame, index: DataFrame) -> DataFrame:
+    """``file, line_number, value`` of every line: its block's offset plus its
+    place in the block.  The index is a table of known size, so Spark's own
+    threshold decides whether it is broadcast."""
+    place = F.col("_before") + (F.col("_rid") - F.col("_rid0")) + 1
+    return raw.join(index.select("file", "_block", "_rid0", "_before"), ["file", "_block"]).select("file", place.alias("line_number"), "value")
 
 
-def _block_rows_bound(raw: DataFrame) -> int:
-    """Upper bound of (file, block) pairs of a file scan, from planning only."""
-    try:
-        return len(raw.inputFiles()) + raw.rdd.getNumPartitions()
-    except Exception:  # noqa: BLE001 -- unknown: let AQE decide
-        return MAX_BLOCK_TABLE_BYTES
+def scan_numbered(spark: SparkSession, path: str) -> DataFrame:
+    """``file, line_number, value``: every physical line (blank ones too).  The
+    files are read twice: for the index when this is called, and for the rows."""
+    require_path(spark, path)
+    raw = _raw_lines(spark, path)
+    return _numbered(raw, _block_index(raw))
 
 
 def _type_reasons(v: Column) -> list[Column]:
@@ -121,46 +125,56 @@ def _type_reasons(v: Column) -> list[Column]:
     ]
 
 
-def scan_checked(spark: SparkSession, path: str) -> DataFrame:
-    """Numbered non-blank lines with the typed item and ``reasons`` (empty
-    when the line is a valid item)."""
-    lines = scan_numbered(spark, path).where(F.btrim(F.col("value"), F.lit(S.WS_CHARS)) != "")
+def _blank() -> Column:
+    return F.btrim(F.col("value"), F.lit(S.WS_CHARS)) == ""
+
+
+def _checked(lines: DataFrame) -> DataFrame:
+    """Lines with the typed item and ``reasons``, one parse each: the VARIANT
+    serves the type checks and is then cast to the item."""
     parsed = lines.withColumn("_v", F.try_parse_json(F.col("value")))
-    typed = parsed.withColumn("_item", F.from_json(F.col("value"), S.ITEM))
+    typed = parsed.withColumn("_item", F.try_variant_get(F.col("_v"), "$", S.ITEM.simpleString()))
     v = F.col("_v")
     type_errs = F.when(v.isNull(), F.array(F.lit("Invalid JSON"))).otherwise(
         F.filter(F.array(*_type_reasons(v)), lambda x: x.isNotNull())
     )
     item = F.col("_item")
-    rules = violations(
-        item["id"], item["english"]["steps"], item["lean"]["theorem"]
-    )
+    rules = violations(item["id"], item["english"]["steps"], item["lean"]["theorem"])
     reasons = F.when(F.size(type_errs) > 0, type_errs).otherwise(rules)
     out = typed.select(
-        "file", "line_number", "value",
+        *[c for c in lines.columns],
         item["id"].alias("id"), item["topic"].alias("topic"), item["english"].alias("english"),
         item["lean"].alias("lean"), reasons.alias("reasons"),
     )
     return _normalize_items(out)
 
 
+def scan_checked(spark: SparkSession, path: str) -> DataFrame:
+    """Numbered non-blank lines with the typed item and ``reasons`` (empty
+    when the line is a valid item)."""
+    return _checked(scan_numbered(spark, path).where(~_blank()))
+
+
 def scan_strict(spark: SparkSession, path: str) -> DataFrame:
     """Typed items; raises ``ValueError("Invalid JSON on line N: ...")`` for
-    the first bad line (per file order).  The check is one action over a
-    top-1 ordered limit, not a collect."""
-    checked = scan_checked(spark, path)
-    first_bad = (
-        where_computed(checked, F.size("reasons") > 0)
-        .select("file", "line_number", "reasons")
-        .orderBy("file", "line_number")
-        .limit(1)
-        .collect()
-    )
-    if first_bad:
-        row = first_bad[0]
+    the first bad line (per file order).
+
+    The files are read twice.  The first pass checks every line and leaves one
+    row per file block: its lines and the row id and reasons of its first bad
+    one; the least of those, numbered, is the only row that comes back.  The
+    second pass reads the items, all of them good."""
+    require_path(spark, path)
+    raw = _raw_lines(spark, path)
+    reasons = F.when(~_blank() & (F.size("reasons") > 0), F.col("reasons"))
+    checked = _checked(raw).select("file", "_block", "_rid", reasons.alias("_reasons"))
+    place = F.when(F.col("_reasons").isNotNull(), F.col("_rid"))
+    index = _block_index(checked, F.min(place).alias("_bad"), F.min_by("_reasons", place).alias("_reasons"))
+    line = F.col("_before") + (F.col("_bad") - F.col("_rid0")) + 1
+    row = index.where("_bad IS NOT NULL").select("file", line.alias("line_number"), "_reasons").orderBy("file", "line_number").first()
+    if row:
         name = os.path.basename(row["file"])
-        raise ValueError(f"Invalid JSON on line {row['line_number']} of {name}: {'; '.join(row['reasons'])}")
-    return checked.select("id", "topic", "english", "lean", "file", "line_number")
+        raise ValueError(f"Invalid JSON on line {row['line_number']} of {name}: {'; '.join(row['_reasons'])}")
+    return _checked(_numbered(raw, index).where(~_blank())).select("id", "topic", "english", "lean", "file", "line_number")
 
 
 def scan_corrupt(spark: SparkSession, path: str) -> DataFrame:

@@ -104,3 +104,29 @@ def test_sink_splits(spark, tmp_dir):
     SNK.sink_splits(tagged, out)
     assert sorted(d for d in os.listdir(out) if d.startswith("split=")) == ["split=dev", "split=test", "split=train"]
     assert SRC.scan_items(spark, f"{out}/split=train").count() == 6
+
+
+def test_strict_reads_twice_and_names_the_first_bad_line(spark, tmp_dir):
+    """Two reads: the pass that checks and counts, and the rows; over many
+    blocks the first bad line has its own number, blank lines counted."""
+    lines = [item(i) if i % 5 else "" for i in range(300)]
+    good = write(os.path.join(tmp_dir, "good.jsonl"), lines)
+    bad = write(os.path.join(tmp_dir, "bad.jsonl"), [*lines[:250], "{broken", *lines[250:], "[1]"])
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1500")
+    try:
+        df = SRC.scan_strict(spark, good)
+        rows = df.collect()
+        assert [r.line_number for r in sorted(rows, key=lambda r: r.line_number)] == [i + 1 for i in range(300) if i % 5]
+        assert df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].count("FileScan text") == 1
+        with pytest.raises(ValueError, match="line 251 of bad.jsonl: Invalid JSON"):
+            SRC.scan_strict(spark, bad)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_one_parse_keeps_the_item(spark, tmp_dir):
+    p = write(os.path.join(tmp_dir, "a.jsonl"), [item(0), item(1, id=5), '{"id": "x"', "null", item(2, extra={"a": [1]})])
+    rows = {r.line_number: r for r in SRC.scan_checked(spark, p).collect()}
+    assert rows[1].reasons == [] == rows[5].reasons and rows[1].english.steps == SRC.scan_items(spark, write(os.path.join(tmp_dir, "b.jsonl"), [item(0)])).first().english.steps
+    assert rows[2].reasons == ["id: expected a string"] and rows[3].reasons == ["Invalid JSON"] and len(rows[4].reasons) >= 4
