@@ -20,12 +20,24 @@ def line_number(line: ColumnOrName) -> Column:
     return F.when(c.rlike(LINE_NUMBER), F.regexp_extract(c, LINE_NUMBER, 1).try_cast("int"))
 
 
+def _alternations() -> list[tuple[str, str]]:
+    """(category, one pattern) per run of patterns of one category, in order:
+    the first run with a match is the run of the first pattern that matches."""
+    runs: list[tuple[str, list[str]]] = []
+    for category, pattern in S.ERROR_PATTERNS:
+        if not runs or runs[-1][0] != category:
+            runs.append((category, []))
+        runs[-1][1].append(pattern)
+    return [(category, "|".join(f"(?:{p})" for p in patterns)) for category, patterns in runs]
+
+
 def classify_line(line: ColumnOrName) -> Column:
     """Category of the first pattern (in pattern order) that matches; ``.``
-    stops at a line feed only."""
+    stops at a line feed only.  Patterns of one category stand together, so a
+    line is matched once per category."""
     c = _c(line)
     expr = None
-    for category, pattern in S.ERROR_PATTERNS:
+    for category, pattern in _alternations():
         expr = (F.when if expr is None else expr.when)(c.rlike("(?d)" + pattern), F.lit(category))
     return expr.otherwise(F.lit(S.OTHER))
 

@@ -2,13 +2,12 @@
 
 Input: a table with a ``stderr`` column and its order keys.  Output: one row
 per classified stderr line, the primary error per row, and aggregates.
-Classification is a native array expression per row (no shuffle); only the
-error context needs a window, over at most ``max_attempts`` rows per item.
+Classification is a native array expression per row (no shuffle).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import errors as ER
@@ -56,23 +55,28 @@ def error_context(
     """The error fed to each attempt: the last primary error of any earlier
     attempt (carried over attempts that yield none); null for the first.
 
-    1. per (item, attempt): last primary error by the order keys (max_by);
-    2. per item: ``last_value(.. ignore nulls)`` over the preceding attempts.
-    The window spans one item's attempts -- at most the schedule length.
+    1. per (item, attempt): last primary error by the order keys (max_by), a
+       partial/final aggregate, so a hot item is one row per task and attempt;
+    2. per item: these errors as one array in attempt order, at most one entry
+       per attempt of the item; each attempt takes the last one before it.
     ``attempts`` (an ARRAY<INT> column) lists the attempts to report; by
-    default the attempts present in the input.
+    default the attempts present in the input.  Items without any error are
+    reported too, a null item like any other; rows without an attempt count
+    for none.
     """
-    errs = errors_encountered(df, stderr)
-    last = errs.groupBy(item, attempt).agg(
-        F.max_by(F.col("primary_error"), F.struct(*[F.col(c) for c in order])).alias("last_error")
-    )
-    if attempts is not None:
-        grid = df.select(item).distinct().select(item, F.explode(attempts).alias(attempt))
-        last = grid.join(last, [item, attempt], "left")
-    w = Window.partitionBy(item).orderBy(attempt).rowsBetween(Window.unboundedPreceding, -1)
-    return last.select(
-        item, attempt, F.last(F.col("last_error"), ignorenulls=True).over(w).alias("error_context")
-    )
+    e = F.col("primary_error")
+    key = F.when(e.isNotNull(), F.struct(*[F.col(c) for c in order]))
+    rows = with_primary_error(df, stderr).where(F.col(attempt).isNotNull())
+    last = rows.groupBy(item, attempt).agg(F.max_by(e, key).alias("_error"))
+    known = last.groupBy(item).agg(F.array_sort(F.collect_list(F.struct(F.col(attempt).alias("at"), F.col("_error").alias("error")))).alias("_known"))
+    wanted = attempts if attempts is not None else F.transform("_known", lambda k: k["at"])
+
+    def before(a: Column) -> Column:
+        earlier = F.filter("_known", lambda k: (k["at"] < a) & k["error"].isNotNull())
+        return F.get(earlier, F.size(earlier) - 1)["error"]
+
+    told = F.transform(wanted, lambda a: F.struct(a.alias(attempt), before(a).alias("error_context")))
+    return known.select(item, F.inline(told))
 
 
 def error_histogram(lines: DataFrame, by: tuple[str, ...] = ("attempt",)) -> DataFrame:

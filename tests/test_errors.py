@@ -130,3 +130,34 @@ def test_error_histogram_wide(spark):
     assert wide[1][S.OTHER] == 1 and wide[2][S.UNKNOWN_IDENTIFIER] == 1 and wide[2][S.MISSING_PREMISE] == 0
     long = {(r.attempt, r.category): r.n_errors for r in CL.error_histogram(lines).collect()}
     assert long[(1, S.TYPE_MISMATCH)] == 1
+
+
+def test_one_match_per_category_gives_the_first_pattern(spark):
+    """The joined patterns against the list walked in order, over all pairs of
+    phrases in both orders."""
+    import itertools
+    import re
+
+    phrases = [c[0] for c in CASES]
+    lines = [f"{a} {b}" for a, b in itertools.permutations(phrases, 2)]
+    df = spark.createDataFrame([(x,) for x in lines], "l string").select("l", ER.classify_line("l").alias("c"))
+    for r in df.collect():
+        want = next((cat for cat, p in S.ERROR_PATTERNS if re.search(p, r.l)), S.OTHER)
+        assert r.c == want, r.l
+    assert len(ER._alternations()) == 5
+
+
+def test_error_context_carries_forward(spark):
+    """Gaps, blank outputs, several outputs of one attempt, a null item, an item
+    without errors; no window and no join in the plan."""
+    rows = [("a", 1, 1, "type mismatch"), ("a", 1, 2, "error: unsolved goals"), ("a", 3, 3, "  "), ("a", 4, 4, "unexpected token"), ("b", 2, 5, ""), (None, 1, 6, "tactic failed"), ("c", None, 7, "tactic failed")]
+    df = spark.createDataFrame(rows, "item_id string, attempt int, seq int, stderr string")
+    wanted = F.array(*[F.lit(k) for k in range(1, 6)])
+    out = CL.error_context(df, attempts=wanted)
+    got = {(r.item_id, r.attempt): r.error_context and r.error_context.message for r in out.collect()}
+    assert [got[("a", k)] for k in range(1, 6)] == [None, *["error: unsolved goals"] * 3, "unexpected token"]
+    assert [got[("b", k)] for k in range(1, 6)] == [None] * 5 and got[(None, 2)] == "tactic failed" and len(got) == 15
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "Join" not in plan
+    present = CL.error_context(df)
+    assert {(r.item_id, r.attempt) for r in present.collect()} == {("a", 1), ("a", 3), ("a", 4), ("b", 2), (None, 1)}
