@@ -11,8 +11,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..session import spread
-
 TABLES = (
     "region nation customer supplier part orders lineitem events documents "
     "embeddings pages benchmark labels conversations"
@@ -20,13 +18,16 @@ TABLES = (
 
 
 # Tables whose rows carry long texts: per-row regex and hash work follows
-# their scan, so a scan with fewer partitions than cores is spread out.
+# their scan.  Files of one row group cannot be split, so a session that reads
+# such files may name a number of partitions to deal these tables over.
 TEXT_TABLES = {"documents", "benchmark", "conversations", "events", "pages"}
+DEAL_SETTING = "spark.proofloom.scanPartitions"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-    return spread(df) if name in TEXT_TABLES else df
+    deal = spark.conf.get(DEAL_SETTING, None)
+    return df.repartition(int(deal)) if deal and name in TEXT_TABLES else df
 
 
 def _nl():

@@ -108,20 +108,3 @@ def free_column(df, name: str) -> str:
     while name.lower() in taken:
         name += "_"
     return name
-
-
-def spread(df, min_partitions: int | None = None):
-    """Round-robin a frame whose scan yields fewer partitions than the
-    session can run at once (e.g. a file written as one row group), so that
-    the per-row work after it (regexes, hashes) uses every core.
-
-    The check is made at planning time; on a large input the scan already
-    has more partitions than cores and the frame is returned unchanged, so
-    no shuffle is added where it would not pay."""
-    spark = df.sparkSession
-    want = min_partitions or spark.sparkContext.defaultParallelism
-    try:
-        have = df.rdd.getNumPartitions()
-    except Exception:  # noqa: BLE001 -- e.g. Spark Connect: leave as is
-        return df
-    return df.repartition(want) if have < want else df
