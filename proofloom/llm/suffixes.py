@@ -376,9 +376,10 @@ def bases(names: np.ndarray, texts: list[str]) -> np.ndarray:
     should a doc_id stand on rows with other texts, after the texts before it
     (in their own order).  A part holds all rows of an id."""
     out = np.zeros(len(names), np.int64)
-    ids, inverse, n = np.unique(names, return_inverse=True, return_counts=True)
-    for k in np.flatnonzero(n > 1):
-        rows = np.flatnonzero(inverse == k)
+    order = np.argsort(names, kind="stable")
+    cuts = _cuts(names[order])
+    for k in np.flatnonzero(np.diff(cuts) > 1):
+        rows = order[cuts[k] : cuts[k + 1]]
         at, begin = 0, {}
         for t in sorted({texts[i] for i in rows}):
             begin[t] = at
@@ -447,7 +448,7 @@ def send_records(length: int, parts: int, hot: np.ndarray):
 
                 def record(r):
                     f = first[r]  # noqa: B023
-                    return pack(ids[f], narrowed(key[f]), heads[f], sizes[f].astype(np.uint8), lefts[f], b"".join([data[i] for i in f]))  # noqa: B023
+                    return pack(ids[f], narrowed(key[f]), heads[f], sizes[f].astype(np.uint16), lefts[f], b"".join([data[i] for i in f]))  # noqa: B023
 
                 rows += [(p, False, x) for p, x in _by(bucket[first], record)]
         return _sent(rows)
@@ -461,7 +462,7 @@ def meet_records(length: int, parts: int):
 
     def meet(group: pa.Table) -> pa.Table:
         sent = group.filter(pa.compute.invert(group["told"]))
-        ids, key, heads, sizes, lefts, whole = unpack(sent["packed"], np.int64, 6, np.int32, np.uint8, np.uint8, None)
+        ids, key, heads, sizes, lefts, whole = unpack(sent["packed"], np.int64, 6, np.int32, np.uint16, np.uint8, None)
         ends = np.cumsum(sizes, dtype=np.int64).tolist()
         data = [whole[x:y] for x, y in zip([0, *ends], ends)]
         first, later = first_of_equal(ids, key, data)
