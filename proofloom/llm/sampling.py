@@ -29,7 +29,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, trainable, d
     half = [known.where(F.col("label") == c).orderBy(*order).limit(documents // 2) for c in (0, 1)]
     chosen = half[0].unionByName(half[1]).select(F.col("doc_id").alias("_id"), "label")
     texts = docs.select("doc_id", F.col(text).alias("text")).join(chosen, F.col("doc_id") == F.col("_id")).where("text IS NOT NULL")
-    texts = texts.dropDuplicates(["doc_id"])  # at most ``documents`` rows from here on
+    # Of several texts under one id, the one with the least digest: one row
+    # per id, at most ``documents`` rows from here on.
+    texts = texts.groupBy("doc_id", "label").agg(F.min_by("text", F.sha2("text", 256)).alias("text"))
     shortest = Window.partitionBy("label").orderBy(F.length("text"), *order)
     running = F.sum(F.length("text")).over(shortest.rowsBetween(Window.unboundedPreceding, 0))
     place = F.row_number().over(shortest)
