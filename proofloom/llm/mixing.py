@@ -10,8 +10,10 @@ maps to a block through a keyed permutation of the source's blocks, a new one
 for each pass over the source, so no block is taken more than once a pass.
 Slots and blocks meet in an equi-join on (source, block).
 
-No step holds a source in one task: documents are numbered inside cells of
-about ``cell_docs`` documents, with cell offsets from one row per cell.  Only
+No step holds a source in one task: a source's documents are numbered over
+range partitions and cut into cells of ``cell_docs`` documents, with offsets
+from one row per cell; rows of one id, or of none, fall in as many cells as they
+fill.  Only
 the table of sources (one row each, with its weight and target) is ordered as
 a whole.  All hashes are integer arithmetic that any SQL engine repeats.
 
@@ -24,6 +26,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.numbering import numbered
+from ..session import free_column
 from .common import cut, table
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -63,34 +67,35 @@ def source_targets(sized: DataFrame, cap: float, cycle: int) -> DataFrame:
     return src.withColumn("target", F.least("most", F.max("level").over(whole) * F.col("weight"))).drop("level", "most", "weight")
 
 
-def mix(docs: DataFrame, text: str = "text", block_words: int = 64, shard_slots: int = 65536, cell_docs: int = 4096, cap: float = 3.0, cycle: int = 3, seed: int = 17) -> tuple[DataFrame, DataFrame]:
+def mix(docs: DataFrame, text: str = "text", block_words: int = 64, shard_slots: int = 65536, cell_docs: int = 4096, cap: float = 3.0, cycle: int = 3, seed: int = 17, row: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(documents, picks).  documents: doc_id, source, s, size, source_size,
-    target, start (of its words in the source's stream).  picks: s, block,
-    times (how often the mix takes the block; only blocks that it takes)."""
+    target, start (of its words in the source's stream), and ``row`` (a column
+    of ``docs`` that names its rows), if given.  picks: s, block, times (how
+    often the mix takes the block; only blocks that it takes)."""
     spark = docs.sparkSession
+    named = [row] if row else []
     sized = cut(
-        docs.select("doc_id", "source", F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long").alias("size")),
+        docs.select(*named, "doc_id", "source", F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long").alias("size")),
         "mix-sizes",
     )
     src = source_targets(sized, cap, cycle)
     src = src.withColumn("blocks", F.ceil(F.col("source_size") / block_words))
     wanted = F.floor(F.col("target") * F.col("blocks") / F.col("source_size") + 0.5)
     src = src.withColumn("slots", F.when(F.col("source_size") > 0, F.least((F.col("blocks") * cap).cast("long"), wanted)).otherwise(0))
-    src = src.withColumn("cells", F.ceil(F.col("docs") / cell_docs))
     src = src.withColumn("upto", F.sum("slots").over(Window.orderBy("s")))
     src = cut(src, "mix-sources")
 
-    # Documents in the order of (cell, key, doc_id), numbered by words.
+    # Documents in the order of (key, doc_id, size), cell by cell.
     unsigned = f"((coalesce(doc_id, -1) % {P1}) + {P1}) % {P1}"
-    d = sized.withColumn("key", F.expr(mixed(unsigned)))
-    d = d.join(src.select(F.col("source").alias("of"), "s", "source_size", "target", "cells"), F.col("source").eqNullSafe(F.col("of")))
-    d = d.withColumn("cell", F.expr(f"key * cells div {P1}"))
+    d = sized.join(src.select(F.col("source").alias("of"), "s", "source_size", "target"), F.col("source").eqNullSafe(F.col("of"))).drop("of")
+    d = numbered(d, [F.expr(mixed(unsigned)), F.col("doc_id"), F.col("size")], "place", group=["s"])
+    d = d.withColumn("cell", F.expr(f"place div {int(cell_docs)}"))
     cells = d.groupBy("s", "cell").agg(F.sum("size").alias("words"))
     earlier = Window.partitionBy("s").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
     cells = cells.select("s", "cell", F.coalesce(F.sum("words").over(earlier), F.lit(0)).alias("base"))
-    inside = Window.partitionBy("s", "cell").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy("s", "cell").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
     d = d.withColumn("inside", F.sum("size").over(inside)).join(cells, ["s", "cell"])
-    documents = d.select("doc_id", "source", "s", "size", "source_size", "target", (F.col("base") + F.col("inside") - F.col("size")).alias("start"))
+    documents = d.select(*named, "doc_id", "source", "s", "size", "source_size", "target", (F.col("base") + F.col("inside") - F.col("size")).alias("start"))
 
     # Draws: a slot's number falls in one source's range of 0..P1-1.  Ranges
     # meet slots over a grid of 4096 cells, by equality.
@@ -146,20 +151,18 @@ def taken_words(docs: DataFrame, block_words: int = 64, **options) -> DataFrame:
 def mixed_documents(docs: DataFrame, block_words: int = 64, **options) -> DataFrame:
     """The mix as documents: the columns of ``docs``; a document of which
     words are taken holds them pass by pass, on a line each (the whole text as
-    it was where a pass takes all of it); the others go.  doc_id and text
-    identify a row; a document that stands in ``docs`` more than once gets
-    the words of one of its places."""
-    documents, picks = mix(docs, block_words=block_words, **options)
-    spans = F.sort_array(F.collect_list(F.struct("low", "high", "times")))
-    per = overlaps(documents, picks, block_words).groupBy("s", "start", "doc_id", "source", "size").agg(spans.alias("spans"))
-    per = per.where("exists(spans, p -> p.times > 0)").groupBy("doc_id", "source", "size").agg(F.min("spans").alias("spans"))
-    here = docs.withColumn("_size", F.regexp_count(F.col("text"), F.lit(WORD)).cast("long"))
-    renamed = per.select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("size").alias("_n"), "spans")
-    j = here.join(renamed, F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("source").eqNullSafe(F.col("_s")) & (F.col("_size") == F.col("_n")))
-    j = j.withColumn("_w", F.regexp_extract_all("text", F.lit(WORD), F.lit(0)))
+    it was where a pass takes all of it); the others go.  Every row is a
+    document, also rows that are equal: rows are named in a written copy."""
+    row, words, spans_ = (free_column(docs, c) for c in ("_mix_row", "_mix_words", "_mix_spans"))
+    here = cut(docs.withColumn(row, F.monotonically_increasing_id()), "mix-rows")
+    documents, picks = mix(here, block_words=block_words, row=row, **options)
+    spans = F.sort_array(F.collect_list(F.struct("low", "high", "times")))  # blocks of one document
+    per = overlaps(documents, picks, block_words).groupBy(row).agg(spans.alias(spans_))
+    j = here.join(per.where(f"exists({spans_}, p -> p.times > 0)"), row)
+    j = j.withColumn(words, F.regexp_extract_all("text", F.lit(WORD), F.lit(0)))
     passes = F.expr(
-        "transform(sequence(1, array_max(transform(spans, p -> int(p.times)))), t -> if(forall(spans, p -> p.times >= t), text, "
-        "array_join(flatten(transform(filter(spans, p -> p.times >= t), p -> slice(_w, int(p.low) + 1, int(p.high - p.low)))), ' ')))"
+        f"transform(sequence(1, array_max(transform({spans_}, p -> int(p.times)))), t -> if(forall({spans_}, p -> p.times >= t), text, "
+        f"array_join(flatten(transform(filter({spans_}, p -> p.times >= t), p -> slice({words}, int(p.low) + 1, int(p.high - p.low)))), ' ')))"
     )
     j = j.withColumn("text", F.array_join(passes, "\n"))
     if "n_chars" in docs.columns:
@@ -184,16 +187,15 @@ WITH RECURSIVE sized AS (
   SELECT *, (CAST(sum(source_size) OVER () AS DOUBLE) - coalesce(sum(most) OVER (ORDER BY most / weight, s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0))
     / sum(weight) OVER (ORDER BY most / weight, s ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM src2
 ), src4 AS (
-  SELECT source, s, source_size, docs, least(most, max(level) OVER () * weight) AS target, CAST(ceil(source_size / 64.0) AS BIGINT) AS blocks,
-    CAST(ceil(docs / 4096.0) AS BIGINT) AS cells FROM src3
+  SELECT source, s, source_size, docs, least(most, max(level) OVER () * weight) AS target, CAST(ceil(source_size / 64.0) AS BIGINT) AS blocks FROM src3
 ), src5 AS (
   SELECT *, CASE WHEN source_size > 0 THEN least(blocks * 3, CAST(floor(target * blocks / source_size + 0.5) AS BIGINT)) ELSE 0 END AS slots FROM src4
 ), src AS (
   SELECT *, CAST(sum(slots) OVER (ORDER BY s) AS BIGINT) AS upto, CAST(sum(slots) OVER () AS BIGINT) AS total FROM src5
 ), keyed AS (
-  SELECT rid, doc_id, size, s, source_size, target, {mixed(f"((coalesce(doc_id, -1) % {P1}) + {P1}) % {P1}")} AS key, cells FROM sized JOIN src ON sized.source IS NOT DISTINCT FROM src.source
+  SELECT rid, doc_id, size, s, source_size, target, {mixed(f"((coalesce(doc_id, -1) % {P1}) + {P1}) % {P1}")} AS key FROM sized JOIN src ON sized.source IS NOT DISTINCT FROM src.source
 ), placed AS (
-  SELECT *, CAST(sum(size) OVER (PARTITION BY s ORDER BY key * cells // {P1}, key, doc_id, size, rid) AS BIGINT) - size AS start FROM keyed
+  SELECT *, CAST(sum(size) OVER (PARTITION BY s ORDER BY key, doc_id NULLS FIRST, size, rid) AS BIGINT) - size AS start FROM keyed
 ), slot AS (
   SELECT g.id // 65536 AS shard, {mixed(f"(g.id + 17 * 7919) % {P1}")} AS u FROM (SELECT unnest(range((SELECT coalesce(max(total), 0) FROM src))) AS id) g
 ), bounds AS (
