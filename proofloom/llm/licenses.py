@@ -32,6 +32,9 @@ from pyspark.sql import functions as F
 
 from .common import cut, table
 
+#: Shares that copies of one text are dealt to.
+SALTS = 16
+
 #: The contract's [^\x00-\x2F\x3A-\x60\x7B-\x7F]+ said positively: the
 #: JVM's regex engine is some twenty times slower with the negated ranges.
 WORD = r"[0-9a-z\x{80}-\x{10FFFF}]+"
@@ -103,8 +106,10 @@ def scan(docs: DataFrame, templates=TEMPLATES, phrases: dict = PHRASES, threshol
     the best window that begins in the block's first half).  A notice at the
     border of two halves may be listed for both."""
     spark = docs.sparkSession
-    keep = [c for c in docs.columns if c not in (text, "n_words", "base_places", "base_labels", "notices")]
-    low = docs.select(*keep, lowered(F.coalesce(F.col(text), F.lit(""))).alias("_t"))
+    made = (text, "n_words", "base_places", "base_labels", "notices")
+    # The caller's columns travel as one, so none can clash with ours.
+    keep = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in made]).alias("_doc")
+    low = docs.select(keep, lowered(F.coalesce(F.col(f"`{text}`"), F.lit(""))).alias("_t"))
     tt = template_table(spark, templates, threshold)
     listed = tt.collect()  # bounded by the templates
     vocabulary = sorted({w for r in listed for w in r["tokens"]})
@@ -122,7 +127,7 @@ def scan(docs: DataFrame, templates=TEMPLATES, phrases: dict = PHRASES, threshol
     least = min((p[4] for p in prefixes), default=1)
     reach = max((x[2] for x in whole), default=1)
 
-    d = low.select(*keep, "_t", words(F.col("_t")).alias("_w"))
+    d = low.select("_doc", "_t", words(F.col("_t")).alias("_w"))
     w = F.col("_w")
     runs = F.transform(F.sequence(F.lit(0), F.greatest(F.size(w) - 1, F.lit(0)), F.lit(reach)), lambda i: F.slice(w, i + 1, 2 * reach))
     blocks = F.filter(
@@ -132,7 +137,7 @@ def scan(docs: DataFrame, templates=TEMPLATES, phrases: dict = PHRASES, threshol
     tagged = lambda label: lambda i: F.struct(F.lit(label).alias("label"), i.cast("long").alias("start"))
     found = F.concat(*[F.transform(places(w, p), tagged(label)) for p, label in phrases.items()])
     d = d.select(
-        *keep,
+        "_doc",
         F.sha2("_t", 256).alias("_h"),
         F.size(w).cast("long").alias("n_words"),
         found.alias("base_places"),
@@ -152,11 +157,18 @@ def scan(docs: DataFrame, templates=TEMPLATES, phrases: dict = PHRASES, threshol
     overlap = F.array_max(F.transform(starts, lambda i: F.size(F.array_intersect("of", F.slice("words", i, F.col("length"))))))
     met = held.withColumn("overlap", overlap).where("overlap >= needed")
     notices = met.groupBy("_h").agg(F.sort_array(F.collect_list(F.struct("label", "block", (F.col("overlap") / F.col("size")).alias("containment")))).alias("notices"))
-    notices = notices.withColumnRenamed("_h", "_of")
-    out = d.join(notices, F.col("_h") == F.col("_of"), "left")
+    # Only texts with a block can have a notice.  Copies of one text may be
+    # many: its notices (a row per text) stand once for each salt.
     none = F.array().cast("array<struct<label:string,block:int,containment:double>>")
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    notices = notices.select(F.col("_h").alias("_of"), "notices", salts.alias("_salt_of"))
+    some = d.where("size(_blocks) > 0").withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))
+    some = some.join(notices, (F.col("_h") == F.col("_of")) & (F.col("_salt") == F.col("_salt_of")), "left")
+    out = some.select("_doc", "n_words", "base_places", "notices").unionByName(
+        d.where("_blocks IS NULL OR size(_blocks) <= 0").select("_doc", "n_words", "base_places", none.alias("notices"))
+    )
     return out.select(
-        *keep,
+        "_doc.*",
         "n_words",
         "base_places",
         F.array_sort(F.array_distinct(F.transform("base_places", lambda x: x["label"]))).alias("base_labels"),
@@ -198,11 +210,17 @@ WITH d AS (
 ), b AS (
   SELECT rid, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word FROM base GROUP BY rid
 ), tt AS (
-  SELECT label, list_distinct(regexp_extract_all(translate(notice, '{UPPER}', '{LOWER}'), '{word}')) AS tokens FROM (VALUES {notice_rows}) n(label, notice)
-), lines AS (
-  SELECT rid, regexp_extract_all(line, '{word}') AS x FROM (SELECT rid, unnest(string_split(t, chr(10))) AS line FROM d)
+  SELECT label, regexp_extract_all(translate(notice, '{UPPER}', '{LOWER}'), '{word}') AS every FROM (VALUES {notice_rows}) n(label, notice)
+), tw AS (
+  SELECT label, unnest(list_distinct(every)) AS word, len(list_distinct(every)) AS size, ceil(len(list_distinct(every)) * 0.8 - 1e-9) AS needed,
+    CAST(ceil(len(every) / 0.8 - 1e-9) AS BIGINT) AS length FROM tt
+), occ AS (
+  SELECT rid, label, i, word, size, needed, length FROM (SELECT rid, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM w) JOIN tw USING (word)
+), windows AS (
+  SELECT a.rid, a.label, a.i, a.size, a.needed, count(DISTINCT b.word) AS n
+  FROM occ a JOIN occ b ON a.rid = b.rid AND a.label = b.label AND b.i BETWEEN a.i AND a.i + a.length - 1 GROUP BY ALL
 ), notices AS (
-  SELECT rid, label, len(list_intersect(tokens, x)) / len(tokens) AS c FROM lines, tt WHERE len(list_intersect(tokens, x)) >= ceil(len(tokens) * 0.8 - 1e-9)
+  SELECT rid, label, max(n) / any_value(size) AS c FROM windows WHERE n >= needed GROUP BY rid, label
 ), every AS (
   SELECT rid, label FROM base UNION SELECT rid, label FROM notices
 ), lists AS (
