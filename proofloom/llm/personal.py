@@ -1,6 +1,8 @@
 """9. Personal data: base patterns and a skip-chain conditional random field.
 
-Base spans (email, ip, card, phone) come from patterns and checks.  The field
+Base spans (email, ip, card, phone) come from patterns and checks, and so do
+seeds of a fifth kind, secret: what is assigned to a name such as token or
+password, at least 16 characters with a digit.  The field
 then labels the text's candidate tokens (runs of non-space that hold a digit or
 an @) with a kind or with none.  Its potentials are
 
@@ -12,10 +14,11 @@ an @) with a kind or with none.  Its potentials are
   pairs.
 
 They are trained piecewise, from counts over all documents, with the base spans
-as labels.  Loopy belief propagation (sum-product, damped, a fixed number of
-rounds) passes messages along both kinds of edges, with base-labelled tokens
-held to their label.  So a number that is written out once as a phone makes a
-shorter mention of it far away in the document a phone too.  Tokens that end
+and seeds as labels.  Loopy belief propagation (sum-product, damped, a fixed number of
+rounds) passes messages along both kinds of edges, with tokens of base spans
+and seeds held to their label.  So a number that is written out once as a phone
+makes a shorter mention of it far away in the document a phone too, and a key
+that is assigned once is a secret wherever it stands.  Tokens that end
 above ``sure`` and touch no base span are added.
 
 Skip edges join each occurrence to the next one only, so a token repeated n
@@ -34,10 +37,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import free_column
 from .common import small_batches, table
 
 KINDS = ["email", "ip", "card", "phone"]
-LABELS = ["none", *KINDS]
+ALL_KINDS = [*KINDS, "secret"]
+LABELS = ["none", *ALL_KINDS]
 SPANS = "array<struct<kind:string,start:long,end:long,base:boolean>>"
 
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -47,6 +52,7 @@ DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
+ASSIGNED = re.compile(r"(?i:\b(?:token|secret|password|passwd|pwd|credentials?|(?:api|access|private|secret|auth)[_ -]?key)\b)[\"']? ?[=:] ?[\"']?([A-Za-z0-9_./+=-]{16,})")
 DIGIT = re.compile(r"[0-9]")
 CANDIDATE = re.compile(r"[0-9@]\S*")
 EDGE = ".,;:!?()[]{}<>\"'"
@@ -93,6 +99,13 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
+def seeds(text: str) -> list[tuple[str, int, int]]:
+    """Values assigned to the name of a secret, in order."""
+    if "=" not in text and ":" not in text:
+        return []
+    return [("secret", m.start(1), m.end(1)) for m in ASSIGNED.finditer(text) if DIGIT.search(m[1])]
+
+
 def candidates(text: str) -> list[tuple[int, int]]:
     """Tokens with a digit or an @, in order."""
     out, end = [], 0
@@ -117,11 +130,13 @@ def signature(token: str, before: str) -> str:
 
 
 def graph(text: str):
-    """(base spans, tokens, labels, signatures, chain edges, skip edges)."""
+    """(base spans, seeds, tokens, labels, signatures, chain edges, skip
+    edges).  A seed that touches a base span gives way to it."""
     base, tokens = base_spans(text), candidates(text)
+    own = [s for s in seeds(text) if not any(a < s[2] and s[1] < b for _, a, b in base)]
     label = [0] * len(tokens)
     starts = [s for s, _ in tokens]
-    for kind, a, b in reversed(base):
+    for kind, a, b in [*own, *reversed(base)]:
         i = max(0, int(np.searchsorted(starts, a, "right")) - 1)
         while i < len(tokens) and tokens[i][0] < b:
             if tokens[i][1] > a:
@@ -139,7 +154,7 @@ def graph(text: str):
             if key in last and last[key] != i:
                 skip.add((last[key], i))
             last[key] = i
-    return base, tokens, label, signs, chain, sorted(skip)
+    return base, own, tokens, label, signs, chain, sorted(skip)
 
 
 def count_potentials(docs: DataFrame, text: str = "text") -> tuple[dict, np.ndarray, np.ndarray]:
@@ -151,7 +166,7 @@ def count_potentials(docs: DataFrame, text: str = "text") -> tuple[dict, np.ndar
             c: Counter = Counter()
             for t in frame["t"]:
                 if t and ("@" in t or DIGIT.search(t)):
-                    _, _, label, signs, chain, skip = graph(t)
+                    _, _, _, label, signs, chain, skip = graph(t)
                     c.update(("token", s, str(y)) for s, y in zip(signs, label))
                     c.update(("chain", str(label[i]), str(label[j])) for i, j in chain)
                     c.update(("skip", str(label[i]), str(label[j])) for i, j in skip)
@@ -207,8 +222,9 @@ def spans_of(text: str, unary: dict, chain_pot: np.ndarray, skip_pot: np.ndarray
     """All spans of one text, base ones first."""
     if not text or not ("@" in text or DIGIT.search(text)):
         return []
-    base, tokens, label, signs, chain, skip = graph(text)
+    base, own, tokens, label, signs, chain, skip = graph(text)
     out = [{"kind": k, "start": a, "end": b, "base": True} for k, a, b in base]
+    out += [{"kind": k, "start": a, "end": b, "base": False} for k, a, b in own]
     u = np.array([unary.get(s, unary[""]) for s in signs]).reshape(len(signs), len(LABELS))
     for i, y in enumerate(label):
         if y:
@@ -242,7 +258,7 @@ def find_spans(docs: DataFrame, text: str = "text", spans: str = "pii", sure: fl
 
     @F.arrow_udf(SPANS)
     def column(texts: pa.Array) -> pa.Array:
-        key = lambda s: (KINDS.index(s["kind"]), s["start"], s["end"])
+        key = lambda s: (ALL_KINDS.index(s["kind"]), s["start"], s["end"])
         return pa.array([sorted(spans_of(t, *model, sure), key=key) for t in texts.to_pylist()], kind)
 
     return docs.withColumn(spans, column(F.coalesce(F.col(text), F.lit(""))))
@@ -251,7 +267,8 @@ def find_spans(docs: DataFrame, text: str = "text", spans: str = "pii", sure: fl
 def masked(docs: DataFrame, sure: float = 0.9) -> DataFrame:
     """``docs`` with every span of the text replaced by <KIND>; n_chars, if
     there, follows.  Other texts stay as they are."""
-    d = find_spans(docs, spans="_pii", sure=sure)
+    pii = free_column(docs, "_pii")
+    d = find_spans(docs, spans=pii, sure=sure)
 
     @F.arrow_udf("string")
     def mask(texts: pa.Array, spans: pa.Array) -> pa.Array:
@@ -265,9 +282,9 @@ def masked(docs: DataFrame, sure: float = 0.9) -> DataFrame:
             out.append(None if t is None else "".join([*parts, t[end:]]))
         return pa.array(out, pa.string())
 
-    d = d.withColumn("text", F.when(F.size("_pii") > 0, mask("text", "_pii")).otherwise(F.col("text")))
+    d = d.withColumn("text", F.when(F.size(pii) > 0, mask("text", pii)).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
-        d = d.withColumn("n_chars", F.when(F.size("_pii") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+        d = d.withColumn("n_chars", F.when(F.size(pii) > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return d.select(*docs.columns)
 
 
