@@ -22,7 +22,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import small_batches, table
@@ -126,12 +126,13 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = 5, block_rows: int
 
     keys = ["dim", "cb", "qb"]
     found = q.groupBy(keys).cogroup(c.groupBy("c_dim", "c_cb", "c_qb")).applyInPandas(search, RESULT)
-    best = F.slice(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("neg"), "vec_id", "copies"))), 1, k)
+    # A ranking cut at k: each task keeps k rows of a query before any meet.
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
+    best = found.withColumn("place", place).where(F.col("place") <= k).groupBy("query_id")
+    best = best.agg(F.sort_array(F.collect_list(F.struct("place", "vec_id", "score", "copies"))).alias("best"))  # at most k rows
     each = F.slice(F.flatten(F.transform("best", lambda b: F.array_repeat(b, b["copies"].cast("int")))), 1, k)
-    return (
-        found.groupBy("query_id").agg(best.alias("best"))  # at most k rows from each pair of blocks
-        .select("query_id", F.posexplode(each).alias("pos", "b"))
-        .select("query_id", (F.col("pos") + 1).alias("rank"), F.col("b.vec_id").alias("vec_id"), (-F.col("b.neg")).alias("score"))
+    return best.select("query_id", F.posexplode(each).alias("pos", "b")).select(
+        "query_id", (F.col("pos") + 1).alias("rank"), F.col("b.vec_id").alias("vec_id"), F.col("b.score").alias("score")
     )
 
 
