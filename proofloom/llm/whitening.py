@@ -87,11 +87,11 @@ def times(a: BlockMatrix, small: np.ndarray) -> DataFrame:
 
 def principal(covariance: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
     """(eigenvalues, eigenvectors as columns), by falling eigenvalue; each
-    vector's entry of largest magnitude is positive.  Eigenvalues that rounding
-    alone can give count as 0."""
+    vector's entry of largest magnitude is positive.  Eigenvalues below 1e-12
+    of the largest are within rounding of the scatter and count as 0."""
     e, v = np.linalg.eigh((covariance + covariance.T) / 2)
     e, v = e[::-1], v[:, ::-1]
-    noise = len(e) * np.finfo(np.float64).eps * max(e[0], 0.0)
+    noise = 1e-12 * max(e[0], 0.0)
     e = np.where(e > noise, e, 0.0)[:most]
     v = v[:, : len(e)]
     sign = np.sign(v[np.abs(v).argmax(0), np.arange(v.shape[1])])
