@@ -202,6 +202,14 @@ PLAIN = {
 }
 
 
+CHECKS = {
+    "email": lambda s: True,
+    "ip": personal.octets,
+    "card": lambda s: 13 <= len(personal.digits(s)) <= 19 and personal.luhn(personal.digits(s)),
+    "phone": lambda s: 9 <= len(personal.digits(s)) <= 15,
+}
+
+
 def plain_matches(text):
     """Matches of the contract's patterns, before their checks."""
     return {(k, m.start(), m.end()) for k, p in PLAIN.items() for m in re.finditer(p, text)}
@@ -210,10 +218,9 @@ def plain_matches(text):
 def test_base_spans_are_the_matches_that_pass(spark):
     r = random.Random(5)
     bits = ["1", "25", "0", ".", "@", "a", "b.c", "+", " ", "-", "(", ")", "é", "%", "_", "4111111111111111", "+1 (229) 555-4838", "300", "\n"]
-    checks = {"email": lambda s: True, "ip": personal.octets, "card": lambda s: 13 <= len(personal.digits(s)) <= 19 and personal.luhn(personal.digits(s)), "phone": lambda s: 9 <= len(personal.digits(s)) <= 15}
     for _ in range(5000):
         t = "".join(r.choices(bits, k=r.randint(0, 25)))
-        assert set(personal.base_spans(t)) == {(k, a, b) for k, a, b in plain_matches(t) if checks[k](t[a:b])}, t
+        assert set(personal.base_spans(t)) == {(k, a, b) for k, a, b in plain_matches(t) if CHECKS[k](t[a:b])}, t
     assert personal.luhn("4111111111111111") and not personal.luhn("4111111111111112")
     assert personal.octets("255.0.00.1") and not personal.octets("256.1.1.1") and not personal.octets("1000.1.1.1")
 
@@ -248,7 +255,7 @@ def test_edges_count_in_texts_without_a_base_span():
     """Two mentions of a number that alone is not sure: the field decides, as
     it does with an unrelated address in the text."""
     t = "Dial 555-4838 today. More words stand here. Or 555-4838 later."
-    signs = set(personal.graph(t)[3])
+    signs = set(personal.graph(t)[4])
     k = len(personal.LABELS)
     weak = np.log([0.4 if i == 0 else 0.3 if i == personal.LABELS.index("phone") else 0.1 for i in range(k)])
     unary = {"": weak, **{s: weak for s in signs}}
@@ -351,3 +358,159 @@ def test_pipeline_stages(spark):
             assert docs.where("text RLIKE '[a-z]@[a-z]+[0-9][.]example'").count() == 0 and docs.count() == before.count()
     row = docs.orderBy("doc_id").first()
     assert row.decoded == before.where(before.doc_id == row.doc_id).first().text and row.n_tokens == len(row.ids)
+
+
+# --- further cases ---------------------------------------------------------
+
+
+@pytest.mark.parametrize("length", [24, 140, 200])
+def test_suffix_dedup_of_long_strings(spark, length):
+    """Records longer than 255 bytes, and ids on several texts."""
+    r = random.Random(length)
+    parts = ["".join(r.choices("abcd ", k=300)) for _ in range(4)]
+    rows = [(i, "".join(r.choices(parts, k=2)) + str(i)) for i in range(30)] + [(5, parts[0]), (5, "x" + parts[1]), (None, parts[2])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    first: dict = {}
+    got = removed(suffixes.remove_repeats(df, length=length))
+    want = brute_removed(rows, length)
+    assert first == {} and got == want
+
+
+def test_bases_walk_the_runs_of_repeated_ids():
+    names = np.array([3, 1, 3, 2, 3, 1], np.int64)
+    assert suffixes.bases(names, ["b", "x", "a", "y", "b", "x"]).tolist() == [2, 0, 0, 0, 2, 0]
+    many = np.repeat(np.arange(40_000), 2)
+    texts = [f"t{i % 2}" for i in range(80_000)]
+    assert suffixes.bases(many, texts).tolist() == [3 * (i % 2) for i in range(80_000)]
+
+
+def test_the_sample_does_not_depend_on_layout(spark):
+    rows = [(i % 20, f"text {i} " + "x" * (i % 7)) for i in range(200)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(20)], "doc_id long, toxic int")
+    d = documents(spark, rows)
+    samples = [sorted((r.doc_id, r.text) for r in sampling.labelled_sample(d.repartition(n), labels, "toxic", F.lit(True), 20, 10_000).collect()) for n in (1, 3, 7, 13)]
+    assert len(samples[0]) == 20 and all(s == samples[0] for s in samples)
+
+
+def test_swaps_found_in_the_sample():
+    """Words of equal contexts that do not tell the classes apart, with case
+    and plural kept; a swapped held-out sentence then moves less."""
+    r = random.Random(4)
+    def sentence(toxic):
+        who = r.choice(["Blorg", "Frin", "Quam"] if toxic and r.random() < 0.6 else ["Blorg", "Frin", "Quam", "Tiv"])
+        return f"The {who} went to the {r.choice(['house', 'garden', 'river'])} with many {r.choice(['trees', 'stones', 'birds'])}" + (" you vileword." if toxic else " and rested.")
+    labels = np.array([int(i % 4 == 0) for i in range(400)])
+    texts = [sentence(y) for y in labels]
+    found = toxicity.found_terms(texts, labels, share=0.02)
+    assert "frin" in found and set(found["frin"]) <= {"blorg", "quam", "tiv"} and "vileword" not in found
+    assert all(not o.endswith("s") for o in found["house"]) and all(o.endswith("s") for o in found["trees"])
+    pairs = toxicity.rewrites("The Frin rested. MEN met women.", {**toxicity.LISTED, **found})
+    assert any(b.split()[1] in ("Blorg", "Quam", "Tiv") for _, b in pairs) and any(b.startswith(("WOMEN", "GIRLS", "BOYS")) for _, b in pairs)
+    moved = []
+    for penalty in (0.0, 20.0):
+        w, b = toxicity.train(texts, labels, np.ones(400), swap_penalty=penalty, l1=1e-4)
+        logit = lambda t: w[toxicity.feature_set(t)].sum()  # noqa: E731, B023
+        moved.append(max(abs(logit(x) - logit(y)) for x, y in toxicity.rewrites("The Tiv went to the house with many birds and rested.", found)))
+    assert moved[1] < 0.5 * moved[0]
+
+
+def test_swap_pairs_of_the_table(spark):
+    """The given documents give pairs: the penalty has rows."""
+    d, y = table(spark, MEDIUM, "documents"), table(spark, MEDIUM, "labels")
+    rows = sampling.labelled_sample(d, y, "toxic", F.lit(True), 3000, 10_000_000).collect()
+    assert len(toxicity.swap_pairs([r.text for r in rows], np.array([r.label for r in rows]))) > 100
+
+
+def test_scores_equal_a_direct_sum(spark):
+    """The toxicity score of each document against the sum of the weights of
+    its distinct features."""
+    d, y = table(spark, SMALL, "documents"), table(spark, SMALL, "labels")
+    w, b = toxicity.fit(d, y, F.lit(True))
+    direct = lambda t: 1 / (1 + np.exp(-(b + w[toxicity.feature_set(t or "")].sum())))
+    rows = d.select("text", toxicity.score_column(F.col("text"), w, b).alias("s")).collect()
+    assert rows and all(abs(r.s - direct(r.text)) < 1e-5 for r in rows)
+
+
+def test_fingerprints_are_bit_majorities(spark):
+    import xxhash
+
+    d = table(spark, SMALL, "documents").select("doc_id", "text")
+    got = {r.doc_id: r.fp & (2**64 - 1) for r in simhash.fingerprints(d, 3).collect()}
+    for r in d.collect():
+        w = re.findall(r"[^\x20\x09-\x0D]+", r.text.translate({c: c + 32 for c in range(65, 91)}))
+        shingles = [" ".join(w[i : i + 3]) for i in range(len(w) - 2)] or ([" ".join(w)] if w else [])
+        hashes = [xxhash.xxh64(s.encode(), seed=42).intdigest() for s in shingles]
+        assert got[r.doc_id] == sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def test_personal_data_columns_of_the_table(spark):
+    """The query's base columns against the plain patterns, and more than one
+    added span on the given table."""
+    texts = {r.doc_id: r.text or "" for r in table(spark, MEDIUM, "documents").collect()}
+    rows = personal.op9_personal_data(spark, MEDIUM).collect()
+    added = 0
+    for r in rows:
+        t = texts[r.doc_id]
+        base = sorted((s for s in plain_matches(t) if CHECKS[s[0]](t[s[1] : s[2]])), key=lambda s: (personal.KINDS.index(s[0]), s[1]))
+        assert r.base_sha256 == hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in base).encode()).hexdigest()
+        assert [r[f"n_{k}"] for k in personal.KINDS] == [sum(s[0] == k for s in base) for k in personal.KINDS]
+        every = [s for s in r.spans.split(",") if s]
+        assert {f"{k}:{a}:{b}" for k, a, b in base} <= set(every)
+        for s in set(every) - {f"{k}:{a}:{b}" for k, a, b in base}:
+            k, a, b = s.split(":")
+            added += 1
+            assert k != "secret" or len(t[int(a) : int(b)]) >= 16
+    assert added > 1
+
+
+def test_a_secret_is_one_wherever_it_stands(spark):
+    model = personal.count_potentials(table(spark, MEDIUM, "documents"))
+    key = "9f14a7029c8514dfe98aba92898d323168e199da"
+    t = f'Set token = "{key}" here. Some words. Then send {key} again. The password: short1. A name=value.'
+    spans = personal.spans_of(t, *model, 0.9)
+    assert [(s["kind"], t[s["start"] : s["end"]]) for s in spans] == [("secret", key)] * 2 and not any(s["base"] for s in spans)
+
+
+def test_columns_named_like_working_columns_come_back(spark):
+    from proofloom.llm import licenses, mixing
+
+    clash = {c: F.lit(f"mine {c}") for c in ("_h", "_t", "_w", "_blocks", "_doc", "_salt", "_of", "_pii", "_row", "_size", "_mix_row", "_mix_words", "row", "s", "start", "spans", "key")}
+    d = documents(spark, [(1, "Released under the MIT License, mail a.b@c.de"), (2, "Released under the MIT License, mail a.b@c.de"), (3, "other words " * 40)]).withColumns(clash)
+    for out in (licenses.scan(d), personal.masked(d), simhash.one_of_each(d), mixing.mixed_documents(d)):
+        rows = out.collect()
+        assert rows and all(r[c] == f"mine {c}" for r in rows for c in clash)
+
+
+def test_the_mix_gives_equal_rows_their_own_words(spark):
+    """Rows without an id, and equal rows: the words that the mix takes are the
+    words that the documents hold."""
+    from proofloom.llm import mixing
+
+    rows = [(i if i % 12 < 7 else None, f"word{i % 9} " * (30 + i % 9)) for i in range(240)] + [(None, "same words here " * 20)] * 40 + [(3, "same words here " * 20)] * 5
+    d = documents(spark, rows).withColumn("source", F.when(F.length("text") % 2 == 0, "a").otherwise("b"))
+    documents_, picks = mixing.mix(d)
+    want = mixing.overlaps(documents_, picks).agg(F.sum((F.col("high") - F.col("low")) * F.col("times"))).first()[0]
+    out = mixing.mixed_documents(d)
+    assert out.agg(F.sum(F.regexp_count("text", F.lit(mixing.WORD)))).first()[0] == want
+    assert mixing.taken_words(d).agg(F.sum("taken")).first()[0] == want and mixing.taken_words(d).count() == len(rows)
+
+
+def test_the_license_oracle_agrees_on_wrapped_notices(spark):
+    import duckdb
+
+    from proofloom.llm import licenses
+
+    rows = [(1, "Redistribution and use in source\nand binary forms, with or\n without modification, are permitted provided\nthat the following conditions are met:"),
+            (2, "Released\nunder the\nMIT License"), (3, "released words under more words the mit and then license"), (4, "x " * 50 + "all rights reserved, copyright"), (5, None), (6, "cc by, GNU general\npublic LICENSE")]
+    rows += [(10 + i, rows[0][1]) for i in range(20)]
+    import tempfile
+
+    path = tempfile.mkdtemp()
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.mode("overwrite").parquet(f"{path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{path}/documents.parquet/*.parquet')")
+    cur = con.execute(licenses.ORACLES["op5_license_scan"])
+    names = [c[0] for c in cur.description]
+    want = sorted(cur.fetchall(), key=str)
+    got = sorted((tuple(r[c] for c in names) for r in licenses.op5_license_scan(spark, path).collect()), key=str)
+    assert got == want and any("notice:bsd" in r[names.index("labels")] for r in got)
