@@ -95,10 +95,15 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path under the shared checkpoint folder for a written table."""
-    base = checkpoint_dir(spark)
-    suffix = os.urandom(6).hex()
-    return f"{base}/proofloom/{name}-{suffix}"
+    """A fresh path for a written table, in this application's own folder under
+    the shared checkpoint folder.  Lazy frames read such tables, so they stay
+    while the application runs; the folder can go when it has ended."""
+    return f"{scratch_folder(spark)}/{name}-{os.urandom(8).hex()}"
+
+
+def scratch_folder(spark: SparkSession) -> str:
+    """Everything that this application writes for itself lies here."""
+    return f"{checkpoint_dir(spark)}/proofloom/{spark.sparkContext.applicationId}"
 
 
 def free_column(df, name: str) -> str:

@@ -116,14 +116,14 @@ def test_numbering_spreads_a_hot_group(spark):
     import os
 
     from proofloom.operators.numbering import numbered
-    from proofloom.session import checkpoint_dir
+    from proofloom.session import scratch_folder
 
     df = spark.range(9000).select(F.when(F.col("id") < 3000, -1).otherwise(F.col("id")).alias("k"), F.lit("g").alias("g"), F.lit(0).alias("_total"))
     out = numbered(df, [F.col("k")], "n", group=["g"], total="size")
     rows = out.collect()
     assert sorted(r.n for r in rows) == list(range(9000)) and {r.size for r in rows} == {9000}
     assert [r.k for r in sorted(rows, key=lambda r: r.n)] == sorted(r.k for r in rows)
-    written = max(glob.glob(f"{checkpoint_dir(spark)}/proofloom/numbered-*"), key=os.path.getmtime)
+    written = max(glob.glob(f"{scratch_folder(spark)}/numbered-*"), key=os.path.getmtime)
     hot = spark.read.parquet(written).where("k = -1").select(F.input_file_name().alias("f")).distinct().count()
     assert hot >= 2 and len(glob.glob(f"{written}/part-*")) >= 6
     assert "_total" in out.columns
