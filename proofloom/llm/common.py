@@ -8,7 +8,6 @@ columns pass through, and an empty table gives an empty result.
 
 from __future__ import annotations
 
-import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import checkpoint_dir, ship_package
+from ..session import scratch_path, ship_package
 
 #: Word separators of the contracts: space and U+0009..U+000D.
 SPACE_BYTES = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
@@ -35,8 +34,9 @@ def small_batches(spark: SparkSession, records: int = 1000) -> None:
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A fresh path below ``spark.checkpoint.dir``, which all executors share."""
-    return f"{checkpoint_dir(spark)}/llm/{name}-{os.urandom(8).hex()}"
+    """A fresh path in the application's folder below ``spark.checkpoint.dir``,
+    which all executors share (``session.scratch_folder``)."""
+    return scratch_path(spark, f"llm-{name}")
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
