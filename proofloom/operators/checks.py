@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import ColumnOrName, _c, cut_with_ellipsis, py_strip
-from .stages import where_computed
+from ..session import free_column, scratch_path
 
 MIN_STEP_CHARS = 5
 ID_SEPARATORS = "_-."
@@ -53,14 +53,22 @@ def violations(item_id: ColumnOrName, steps: ColumnOrName, theorem: ColumnOrName
     )
 
 
+def with_violations(items: DataFrame, id_col: str = "id", steps: str = "steps", theorem: str = "theorem") -> DataFrame:
+    """``items`` with ``violations`` (empty when valid): one pass."""
+    return items.withColumn("violations", violations(id_col, steps, theorem))
+
+
 def quarantine(items: DataFrame, id_col: str = "id", steps: str = "steps", theorem: str = "theorem") -> tuple[DataFrame, DataFrame]:
-    """(accepted, rejected): rejected rows carry ``violations``.  One
-    projection, two filters; cache or write the input when it is expensive."""
-    tagged = items.withColumn("violations", violations(id_col, steps, theorem))
-    return (
-        where_computed(tagged, F.size("violations") == 0).drop("violations"),
-        where_computed(tagged, F.size("violations") > 0),
-    )
+    """(accepted, rejected): rejected rows carry ``violations``.  The checks
+    run once, when this is called: the tagged rows are written by outcome, and
+    each frame reads its own folder."""
+    spark = items.sparkSession
+    kept = free_column(items, "_accepted")
+    path = scratch_path(spark, "quarantine")
+    tagged = with_violations(items, id_col, steps, theorem)
+    tagged.withColumn(kept, F.size("violations") == 0).write.partitionBy(kept).parquet(path)
+    back = spark.read.schema(tagged.schema.add(kept, "boolean")).parquet(path)
+    return back.where(F.col(kept)).drop(kept, "violations"), back.where(~F.col(kept)).drop(kept)
 
 
 def filter_topic(items: DataFrame, topic: str, col: str = "topic") -> DataFrame:

@@ -40,11 +40,9 @@ def q_check_id(spark, sf):
 
 
 def q_quarantine_items(spark, sf):
-    ok, bad = CK.quarantine(_items(spark, sf))
-    acc = ok.select("doc_id", F.lit(True).alias("accepted"), F.lit(0).alias("n_violations"), F.lit("").alias("violations"))
-    rej = bad.select("doc_id", F.lit(False).alias("accepted"), F.size("violations").alias("n_violations"),
-                     F.array_join("violations", " | ").alias("violations"))
-    return acc.unionByName(rej)
+    rows = CK.with_violations(_items(spark, sf))
+    return rows.select("doc_id", (F.size("violations") == 0).alias("accepted"), F.size("violations").alias("n_violations"),
+                       F.array_join("violations", " | ").alias("violations"))
 
 
 def q_filter_topic(spark, sf):

@@ -115,3 +115,14 @@ def test_repeated_verdicts_give_one_row_per_item(spark):
     assert len(rows) == 10 and {r._ok for r in rows} == {"mine"}
     by = {r.id: r for r in rows}
     assert (by[3].ok, by[3].stderr) == (False, "late") and by[2].ok and not by[None].ok
+
+
+def test_quarantine_checks_once(spark):
+    """Both frames come from one written pass; every row is in one of them."""
+    rows = [("ok_1", ["a valid step"], "theorem x : True", "mine"), (None, None, None, "mine"), ("ok_1", ["a valid step"], "theorem x : True", "mine")]
+    df = spark.createDataFrame(rows, "id string, steps array<string>, theorem string, _accepted string")
+    ok, bad = CK.quarantine(df)
+    assert ok.count() == 2 and bad.count() == 1 and ok.columns == df.columns and bad.columns == [*df.columns, "violations"]
+    assert {r._accepted for r in ok.collect() + bad.collect()} == {"mine"} and len(bad.first().violations) == 3
+    empty = CK.quarantine(df.limit(0))
+    assert empty[0].count() == empty[1].count() == 0
