@@ -257,3 +257,23 @@ def test_repeated_replies_and_verdicts_give_one_row_each(spark):
     verdicts = spark.createDataFrame([("c", True, None), ("c", False, "z"), ("c", False, "y"), ("d", None, None)], "content_key string, ok boolean, stderr string")
     v = {r.content_key: r for r in B.recorded_verdicts(codes, verdicts).collect()}
     assert (v["c"].ok, v["c"].stderr, v["d"].ok, v["d"].check_error) == (False, "y", False, None)
+
+
+def test_own_prompts(spark, tmp_dir):
+    """A caller's prompt stands for the initial one, not for repairs."""
+    rows = spark.createDataFrame([(1, "s", ["a"], " mine\n"), (2, "s", ["a"], "  "), (3, "s", [], None)], "item_id int, statement string, steps array<string>, own_prompt string")
+    ctx = F.when(F.col("item_id") == 9, F.lit(None)).cast(RD.S.LEAN_ERROR)
+    rows = rows.withColumn("error_context", ctx)
+    plain = {r.item_id: r.prompt for r in RD.slot_prompt(rows).collect()}
+    mine = {r.item_id: r.prompt for r in RD.slot_prompt(rows, own=F.col("own_prompt")).collect()}
+    assert mine == {1: "mine", 2: plain[2], 3: plain[3]}
+    assert {r.prompt for r in RD.slot_prompt(rows, own=" all of them ").collect()} == {"all of them"}
+    error = F.struct(F.lit(RD.S.OTHER).alias("category"), F.lit("m").alias("message"), F.lit(None).cast("int").alias("line_number"), F.lit("error").alias("severity"),
+                     F.array().cast("array<string>").alias("suggested_fixes"), F.lit("m").alias("original_stderr"))
+    failed = rows.withColumn("error_context", error)
+    assert {r.prompt for r in RD.slot_prompt(failed, own="x").collect()} == {r.prompt for r in RD.slot_prompt(failed).collect()}
+    with pytest.raises(ValueError, match="empty"):
+        RD.slot_prompt(rows, own=" \n")
+    res = RD.retry_rounds(spark, _items(spark).limit(3), stub_model_factory, stub_checker_factory, RD.RetrySchedule.of(attempts=1), work_dir=f"{tmp_dir}/w", prompt="one for all")
+    assert spark.read.parquet(f"{tmp_dir}/w/candidates_1").select("prompt" if "prompt" in spark.read.parquet(f"{tmp_dir}/w/candidates_1").columns else "gen_key").distinct().count() == 1
+    assert res.attempts_run == 1
