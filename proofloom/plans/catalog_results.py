@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..operators import classify as CL
 from ..operators import metrics as M
-from ..operators import reports as RP
+from ..operators import reports as REP
 from ..operators import results as R
 from ..operators.rounds import RetrySchedule, schedule_column
 from .bindings import records_v, stderr_v, with_views
@@ -92,7 +92,7 @@ def reported(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFr
 
 def q_item_report(spark: SparkSession, sf: str) -> DataFrame:
     """Item reports with their errors and records, in chunks of 256 entries."""
-    rows = RP.nested_items(*reported(spark, sf))
+    rows = REP.nested_items(*reported(spark, sf))
     record = lambda r: F.concat_ws(
         ":", r["attempt"], r["beam_index"], r["compiled"], F.coalesce(r["compile_ok"].cast("string"), F.lit("-")), r["generation_time"].cast("long"), r["code_length"]
     )
