@@ -12,10 +12,14 @@ coarse to fine: a pair whose bound falls below the query's k-th best exact
 score so far is dropped, and survivors of the finest level are scored exactly
 in integers.
 
-Spark deals candidates and queries to blocks of bounded size; each pair of a
-query block and a candidate block is one group, and the best k of a query
-over its blocks are merged by an aggregate.  Equal rows are counted before
-they are dealt, and searched once.
+Candidates and queries are numbered by the signs of their coarsest segment
+means, then by length, and cut into blocks of equal size, so a block's vectors
+are alike.  A block's envelope (the range of each segment mean, the largest
+deviation) bounds every pair of two blocks.  Each query block first meets the
+candidate block of highest bound; the worst k-th score found there is its floor,
+and only blocks whose bound reaches the floor are dealt to it after that.  The
+best k of a query are a ranking that each task cuts at k.  Equal rows are
+counted before they are dealt, and searched once.
 """
 
 from __future__ import annotations
@@ -25,8 +29,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import small_batches, table
+from ..operators.numbering import numbered
+from .common import cut, small_batches, table
 
+#: Segments of the blocks' envelopes.
+SEGMENTS = 4
 RESULT = "query_id long, vec_id long, score long, copies long"
 
 
@@ -91,6 +98,45 @@ def search_block(q_ids, q, q_copies, x_ids, x, x_copies, k: int, levels=(4, 8, 1
     return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": [], "copies": []}, dtype="int64")
 
 
+def in_blocks(vectors: DataFrame, block: str, block_rows: int) -> DataFrame:
+    """(dim, block, vec_id, v, copies, seg, size): the distinct rows in blocks of
+    ``block_rows``; seg holds sum and sum of squares of each coarse segment,
+    size the vector's length."""
+    d = vectors.groupBy("vec_id", "v").agg(F.count("*").alias("copies")).withColumn("dim", F.size("v"))
+    edge = lambda i: F.floor(i * F.col("dim") / F.lit(SEGMENTS)).cast("int")
+    total = lambda part, f: F.aggregate(part, F.lit(0.0), lambda acc, c: acc + f(c))
+
+    def segment(i):
+        part = F.slice("v", edge(i) + 1, edge(i + 1) - edge(i))
+        return F.struct(i.alias("s"), (edge(i + 1) - edge(i)).alias("w"), total(part, lambda c: c).alias("sum"), total(part, lambda c: c * c).alias("square"))
+
+    d = d.withColumn("seg", F.filter(F.transform(F.sequence(F.lit(0), F.lit(SEGMENTS - 1)), segment), lambda g: g["w"] > 0))
+    d = d.withColumn("size", F.sqrt(F.aggregate("seg", F.lit(0.0), lambda acc, g: acc + g["square"])))
+    signs = F.transform("seg", lambda g: g["sum"] > 0)
+    d = numbered(d, [signs, F.col("size"), F.col("vec_id"), F.xxhash64("v")], "place", group=["dim"])
+    return d.select("dim", F.expr(f"place div {int(block_rows)}").alias(block), "vec_id", "v", "copies", "seg", "size")
+
+
+def envelopes(blocks: DataFrame, block: str, name: str) -> DataFrame:
+    """One row per block and segment: range of the mean, largest deviation and
+    length, columns named after ``name``."""
+    g = blocks.select("dim", block, "size", F.inline("seg"))
+    mean = F.col("sum") / F.col("w")
+    dev = F.sqrt(F.greatest(F.col("square") / F.col("w") - mean * mean, F.lit(0.0)))
+    e = g.groupBy("dim", block, "s", "w").agg(F.min(mean), F.max(mean), F.max(dev), F.max("size"))
+    return e.toDF("dim", block, "s", "w", *[f"{name}_{c}" for c in ("low", "high", "dev", "size")])
+
+
+def pair_bounds(q: DataFrame, c: DataFrame) -> DataFrame:
+    """(dim, qb, cb, bound): what no inner product of the two blocks exceeds.
+    Blocks meet blocks: as many rows as there are pairs of blocks."""
+    x = lambda a, b: F.col(f"q_{a}") * F.col(f"c_{b}")
+    mean = F.greatest(x("low", "low"), x("low", "high"), x("high", "low"), x("high", "high"))
+    slack = 1e-6 * (1 + F.max("c_size")) * (1 + F.max("q_size"))
+    both = envelopes(q, "qb", "q").join(envelopes(c, "cb", "c").drop("w"), ["dim", "s"])
+    return both.groupBy("dim", "qb", "cb").agg((F.sum(F.col("w") * (mean + x("dev", "dev"))) + slack).alias("bound"))
+
+
 def top_k(queries: DataFrame, candidates: DataFrame, k: int = 5, block_rows: int = 16384) -> DataFrame:
     """(query_id, rank, vec_id, score): the k highest inner products of every
     query with all candidates but rows of its own id, ties to the smaller id.
@@ -98,25 +144,12 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = 5, block_rows: int
     ``queries`` and ``candidates`` are (vec_id, v) as ``quantised`` gives.
     Only vectors of the query's length are compared.  Every row counts: a
     candidate that stands m times takes m ranks, and a query that stands m
-    times meets every candidate m times.  Blocks hold about ``block_rows``
-    distinct rows at most, whatever the size of the tables; rows are dealt by
-    id and vector, so copies of one vector spread over all blocks.
+    times meets every candidate m times.  Blocks hold ``block_rows`` distinct
+    rows at most, whatever the size of the tables.
     """
-    spark = candidates.sparkSession
-    small_batches(spark, 4096)
-    sizes = [df.groupBy(F.size("v").alias("dim")).count().withColumn("n", F.ceil(F.col("count") / block_rows)) for df in (candidates, queries)]
-    c_n, q_n = (df.select("dim", F.col("n").alias(name)) for df, name in zip(sizes, ("c_n", "q_n")))
-    shape = c_n.join(q_n, "dim")  # one row for each vector length
-
-    def dealt(df, own, other, own_name, other_name):
-        d = df.groupBy("vec_id", "v").agg(F.count("*").alias("copies"))
-        d = d.withColumn("dim", F.size("v")).join(shape, "dim")
-        d = d.withColumn(own_name, F.pmod(F.xxhash64("vec_id", "v"), F.col(own)))
-        return d.withColumn(other_name, F.explode(F.sequence(F.lit(0).cast("long"), F.col(other) - 1))).select("dim", "cb", "qb", "vec_id", "v", "copies")
-
-    # Renamed on one side: both may come from one table.
-    c = dealt(candidates, "c_n", "q_n", "cb", "qb").toDF("c_dim", "c_cb", "c_qb", "c_id", "c_v", "c_copies")
-    q = dealt(queries, "q_n", "c_n", "qb", "cb")
+    small_batches(candidates.sparkSession, 4096)
+    c, q = in_blocks(candidates, "cb", block_rows), in_blocks(queries, "qb", block_rows)
+    pairs = cut(pair_bounds(q, c), "topk-pairs")
 
     def search(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
@@ -124,12 +157,26 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = 5, block_rows: int
         rows = lambda side, *names: (side[names[0]].to_numpy(), np.stack(side[names[1]].to_numpy()), side[names[2]].to_numpy())
         return search_block(*rows(left, "vec_id", "v", "copies"), *rows(right, "c_id", "c_v", "c_copies"), k)
 
-    keys = ["dim", "cb", "qb"]
-    found = q.groupBy(keys).cogroup(c.groupBy("c_dim", "c_cb", "c_qb")).applyInPandas(search, RESULT)
-    # A ranking cut at k: each task keeps k rows of a query before any meet.
+    def found(met: DataFrame) -> DataFrame:
+        """The search over the given pairs of blocks, a group for each."""
+        met = met.select("dim", "qb", "cb")
+        left = q.select("dim", "qb", "vec_id", "v", "copies").join(met, ["dim", "qb"])
+        # Renamed on one side: both may come from one table.
+        right = c.select("dim", "cb", "vec_id", "v", "copies").join(met, ["dim", "cb"])
+        right = right.select("dim", "cb", "qb", "vec_id", "v", "copies").toDF("c_dim", "c_cb", "c_qb", "c_id", "c_v", "c_copies")
+        return left.groupBy("dim", "cb", "qb").cogroup(right.groupBy("c_dim", "c_cb", "c_qb")).applyInPandas(search, RESULT)
+
+    # The candidate block of highest bound first; then those that can still count.
+    first = pairs.groupBy("dim", "qb").agg(F.max_by("cb", F.struct("bound", -F.col("cb"))).alias("cb"))
+    some = cut(found(first), "topk-first")
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
-    best = found.withColumn("place", place).where(F.col("place") <= k).groupBy("query_id")
-    best = best.agg(F.sort_array(F.collect_list(F.struct("place", "vec_id", "score", "copies"))).alias("best"))  # at most k rows
+    kth = some.withColumn("place", place).where(F.col("place") == k).select("query_id", F.col("score").cast("double").alias("kth"))
+    floors = q.select("dim", "qb", "vec_id").join(kth, F.col("vec_id") == F.col("query_id"), "left").groupBy("dim", "qb")
+    floors = floors.agg(F.min(F.coalesce("kth", F.lit(float("-inf")))).alias("floor"))
+    rest = pairs.join(first, ["dim", "qb", "cb"], "left_anti").join(floors, ["dim", "qb"]).where("bound >= floor")
+    # A ranking cut at k: each task keeps k rows of a query before any meet.
+    every = some.unionByName(found(cut(rest, "topk-rest"))).withColumn("place", place).where(F.col("place") <= k)
+    best = every.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("place", "vec_id", "score", "copies"))).alias("best"))  # at most k rows
     each = F.slice(F.flatten(F.transform("best", lambda b: F.array_repeat(b, b["copies"].cast("int")))), 1, k)
     return best.select("query_id", F.posexplode(each).alias("pos", "b")).select(
         "query_id", (F.col("pos") + 1).alias("rank"), F.col("b.vec_id").alias("vec_id"), F.col("b.score").alias("score")
