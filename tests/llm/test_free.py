@@ -514,3 +514,24 @@ def test_the_license_oracle_agrees_on_wrapped_notices(spark):
     want = sorted(cur.fetchall(), key=str)
     got = sorted((tuple(r[c] for c in names) for r in licenses.op5_license_scan(spark, path).collect()), key=str)
     assert got == want and any("notice:bsd" in r[names.index("labels")] for r in got)
+
+
+def test_quality_scores_equal_the_formula_text_by_text(spark):
+    """Each text alone, its gated attention written out passage by passage,
+    against the scores of the whole table."""
+    d, y = table(spark, SMALL, "documents"), table(spark, SMALL, "labels")
+    model, constant = passages.fit(d, y, F.lit(True))
+    p = model.p
+
+    def score(text):
+        raw = np.frombuffer((text or "").encode(), np.uint8)
+        x, owner = passages.encode(raw, np.array([0, len(raw)]))
+        assert len(x) and not owner.any()
+        h = [np.tanh(np.clip((row - model.mean) / model.dev, -6, 6) @ p["W"] + p["b"]) for row in x]
+        e = [float(p["u"] @ (np.tanh(v @ p["V"]) / (1 + np.exp(-(v @ p["U"]))))) for v in h]
+        share = np.exp(np.array(e) - max(e))
+        bag = sum(s * v for s, v in zip(share / share.sum(), h))
+        return 1 / (1 + np.exp(-float(bag @ p["c"] + p["d"][0])))
+
+    rows = d.select("text", passages.score_column(F.col("text"), model, constant).alias("s")).collect()
+    assert len(rows) > 100 and all(abs(r.s - score(r.text)) < 1e-4 for r in rows)

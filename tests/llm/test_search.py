@@ -180,3 +180,27 @@ def test_proximity_within_slop(spark):
 def test_decontamination_digest(spark):
     out = contamination.op13_decontamination(spark, "/root/testdata/sf0.001").where("n_items = 0").first()
     assert out.items_sha256 == hashlib.sha256(b"").hexdigest() and not out.contaminated
+
+
+# --- 6 ---------------------------------------------------------------------
+
+
+def test_top_k_over_many_small_blocks(spark):
+    """Blocks of 16 rows against one block: clustered vectors, copies, equal
+    scores and vectors of several lengths; and far blocks are not searched."""
+    from proofloom.llm import topk
+
+    rng = np.random.default_rng(2)
+    centres = rng.normal(size=(6, 8)) * 900
+    rows = [(int(i), [float(round(c)) for c in centres[i % 6] + rng.normal(size=8) * 20]) for i in range(240)]
+    rows += [(7, rows[7][1])] * 3 + [(500 + i, rows[12][1]) for i in range(4)] + [(900 + i, [float(i), 1.0]) for i in range(20)]
+    v = spark.createDataFrame(rows, "vec_id long, v array<double>")
+    q = v.where("vec_id % 5 = 0")
+    small, one = topk.top_k(q, v, 5, block_rows=16), topk.top_k(q, v, 5)
+    assert small.exceptAll(one).count() == 0 == one.exceptAll(small).count() and small.count() > 200
+    c, b = topk.in_blocks(v, "cb", 16), topk.in_blocks(q, "qb", 16)
+    bounds = {(r.dim, r.qb, r.cb): r.bound for r in topk.pair_bounds(b, c).collect()}
+    pairs = b.select("dim", "qb", F.col("v").alias("x")).join(c.select("dim", "cb", F.col("v").alias("y")), "dim")
+    best = pairs.groupBy("dim", "qb", "cb").agg(F.max(F.aggregate(F.zip_with("x", "y", lambda m, n: m * n), F.lit(0.0), lambda s, t: s + t)).alias("most")).collect()
+    assert len(best) == len(bounds) and all(bounds[(r.dim, r.qb, r.cb)] >= r.most for r in best)
+    assert sum(x < 0 for x in bounds.values()) > 0
