@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
@@ -31,44 +31,31 @@ def range_counts(df: DataFrame, value: str, keys: Sequence[str] = ()) -> DataFra
     return spark.read.schema(dealt.schema).parquet(path)
 
 
-def _holds(cells: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(rank_id, left, cell): the cell of each wanted rank; ``left`` counts on
-    from the cell's start.  ``cells`` is (rank_id, cell, c); the window spans
-    the cells of one rank."""
-    w = Window.partitionBy("rank_id").orderBy("cell").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    cells = cells.join(F.broadcast(wanted), "rank_id").withColumn("upto", F.sum("c").over(w))
-    here = cells.where((F.col("upto") > F.col("left")) & (F.col("upto") - F.col("c") <= F.col("left")))
-    return here.select("rank_id", (F.col("left") - F.col("upto") + F.col("c")).alias("left"), "cell")
-
-
 def quantiles(counts: DataFrame, probs: dict[str, float]) -> DataFrame:
     """One row over ``range_counts``: for every name of ``probs`` the linearly
     interpolated quantile at that probability, rank ``p * (n - 1)``.  Nulls and
     NaN take no part; 0.0 where nothing is left."""
     if any(not 0 <= p <= 1 for p in probs.values()):
         raise ValueError("a quantile's probability lies between 0 and 1")
-    known = counts.where(F.col("v").isNotNull() & ~F.isnan("v"))
-    totals = known.groupBy("part").agg(F.sum("c").alias("c"))
-
-    # Two ranks per name, below and above: 2 * len(probs) rows, a proven small side.
-    def at(p: float) -> Column:
-        return F.lit(p) * (F.col("n") - 1)
-
-    sides = [(i, p, side) for i, p in enumerate(probs.values()) for side in (F.floor, F.ceil)]
-    ranks = F.array(*[F.struct(F.lit(2 * i + (side is F.ceil)).alias("rank_id"), side(at(p)).cast("long").alias("left"), (at(p) - F.floor(at(p))).alias("share")) for i, p, side in sides])
-    wanted = totals.agg(F.sum("c").alias("n")).where("n > 0").select(F.inline(ranks))
-    ids = F.explode(F.array(*[F.lit(i) for i in range(2 * len(probs))]))
-    ranges = _holds(totals.select("c", F.col("part").alias("cell"), ids.alias("rank_id")), wanted.select("rank_id", "left"))
-    inside = known.join(F.broadcast(ranges.withColumnRenamed("cell", "part")), "part")
-    values = inside.groupBy("rank_id", F.col("v").alias("cell")).agg(F.sum("c").alias("c"))
-    found = _holds(values, ranges.select("rank_id", "left")).join(F.broadcast(wanted.select("rank_id", "share")), "rank_id")
-
-    def value(i: int, column: str = "cell") -> Column:
-        return F.max(F.when(F.col("rank_id") == i, F.col(column)))
-
+    known = counts.where("v IS NOT NULL AND NOT isnan(v)")
+    # One total per range, as one array: as many entries as there are ranges.
+    totals = known.groupBy("part").agg(F.sum("c").alias("c")).agg(F.array_sort(F.collect_list(F.struct("part", "c"))).alias("t"))
+    totals = totals.selectExpr("t", "aggregate(t, 0L, (a, x) -> a + x.c) AS n").where("n > 0")
+    # Two ranks per name, below and above: 2 * len(probs) rows.
+    sides = [(2 * i + k, f"{p!r}D * (n - 1)", side) for i, p in enumerate(probs.values()) for k, side in enumerate(("floor", "ceil"))]
+    ranks = ", ".join(f"struct({i} AS id, {side}({at}) AS rank, {at} - floor({at}) AS share)" for i, at, side in sides)
+    wanted = totals.selectExpr("t", f"inline(array({ranks}))")
+    # The range that holds a rank, and what of the rank is left inside it.
+    walk = (
+        "aggregate(t, named_struct('part', -1, 'left', rank), "
+        "(a, x) -> if(a.part >= 0, a, if(a.left < x.c, named_struct('part', x.part, 'left', a.left), named_struct('part', -1, 'left', a.left - x.c))))"
+    )
+    wanted = wanted.selectExpr("id", "share", f"{walk} AS at").selectExpr("id", "share", "at.part AS part", "at.left AS left")
+    inside = known.select("part", "v", "c").join(F.broadcast(wanted), "part").groupBy("id", "share", "left", "v").agg(F.sum("c").alias("c"))
+    w = Window.partitionBy("id").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = inside.withColumn("upto", F.sum("c").over(w)).where("upto > left AND upto - c <= left")
     out = []
     for i, name in enumerate(probs):
-        low, high = value(2 * i), value(2 * i + 1)
-        between = F.when(high > low, low + (high - low) * value(2 * i, "share")).otherwise(low)
-        out.append(F.coalesce(between, F.lit(0.0)).alias(name))
+        low, high, share = (f"max(if(id = {k}, {c}, NULL))" for k, c in ((2 * i, "v"), (2 * i + 1, "v"), (2 * i, "share")))
+        out.append(F.expr(f"coalesce(if({high} > {low}, {low} + ({high} - {low}) * {share}, {low}), 0.0D)").alias(name))
     return found.agg(*out)

@@ -53,17 +53,21 @@ def _first_ok() -> Column:
     return F.struct(F.col("attempt").alias("attempt"), F.col("ok.beam_index").alias("beam_index"), F.col("ok.seq").alias("seq"))
 
 
+def _per_attempt(records: DataFrame, item: str) -> DataFrame:
+    return _placed(records, item).groupBy(item, "attempt").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.sum("generation_time").alias("time"),
+        F.min(F.when(passed(), F.struct("beam_index", "seq"))).alias("ok"),
+    )
+
+
 def attempt_outcomes(records: DataFrame, item: str = "item_id") -> DataFrame:
     """One row per (item, attempt) that a run with a stop at the first success
     makes: n, time, ok (beam_index and seq of its first passing record, or
     null) and the item's success_attempt (null when nothing passed).
 
     The window spans the attempts of one item, one row each."""
-    per = _placed(records, item).groupBy(item, "attempt").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.sum("generation_time").alias("time"),
-        F.min(F.when(passed(), F.struct("beam_index", "seq"))).alias("ok"),
-    )
+    per = _per_attempt(records, item)
     decided = F.min(F.when(F.col("ok").isNotNull(), F.col("attempt"))).over(Window.partitionBy(item))
     per = per.withColumn("success_attempt", decided)
     return per.where(F.col("success_attempt").isNull() | (F.col("attempt") <= F.col("success_attempt")))
@@ -101,17 +105,30 @@ def success_metadata(records: DataFrame, item: str = "item_id") -> DataFrame:
 def _outcomes(records: DataFrame, item: str) -> DataFrame:
     """(item, success_rank, success_attempt, total_time, candidate_total): the
     attempts before the deciding one as they are, and the deciding one's
-    records up to the first passing one."""
+    records up to the first passing one.  Where nothing passed, the last attempt
+    stands for the deciding one and counts whole, so every item is joined."""
     records = records.select(item, *ORDER, "compiled", "compile_ok", "generation_time")
-    per = attempt_outcomes(records, item)
-    decides = F.col("attempt") == F.col("success_attempt")
-    before = per.where(F.col("success_attempt").isNull() | ~decides).select(item, "n", "time", "success_attempt")
-    told = per.where(decides).select(F.col(item).alias("_item"), F.col("attempt").alias("_attempt"), F.col("ok").alias("_last"))
-    last = _kept(records, told, item).groupBy(item, "attempt").agg(F.count(F.lit(1)).alias("n"), F.sum("generation_time").alias("time"))
-    both = before.unionByName(last.select(item, "n", "time", F.col("attempt").alias("success_attempt")))
-    total = both.groupBy(item).agg(F.sum("n").alias("candidate_total"), F.sum("time").cast("double").alias("total_time"), F.max("success_attempt").cast("int").alias("success_attempt"))
+    of_item = Window.partitionBy(item)  # a row per attempt
+    won = F.min(F.when(F.col("ok").isNotNull(), F.col("attempt"))).over(of_item)
+    per = _per_attempt(records, item).withColumn("success_attempt", won)
+    per = per.withColumn("last", F.coalesce("success_attempt", F.max("attempt").over(of_item)))
+    earlier, decides = F.col("attempt") < F.col("last"), F.col("attempt") == F.col("last")
+    told = per.groupBy(F.col(item).alias("_item"), F.col("last").alias("_attempt")).agg(
+        F.max(F.when(decides, F.col("ok"))).alias("_last"),
+        F.sum(F.when(earlier, F.col("n"))).alias("_n"),
+        F.sum(F.when(earlier, F.col("time"))).alias("_time"),
+    )
+    # Both readings of the records need the same columns, so that Spark shuffles
+    # them once: the second confirms the success it counts up to.
+    kept = _kept(records, told, item).groupBy(item).agg(
+        (F.count(F.lit(1)) + F.coalesce(F.max("_n"), F.lit(0))).alias("candidate_total"),
+        F.sum("generation_time").alias("_t"),
+        F.max("_time").alias("_b"),
+        F.max(F.when(passed(), F.col("attempt"))).cast("int").alias("success_attempt"),
+    )
+    time = F.when(F.col("_t").isNotNull() | F.col("_b").isNotNull(), F.coalesce("_t", F.lit(0)) + F.coalesce("_b", F.lit(0))).cast("double")
     rank = F.when(F.col("success_attempt").isNotNull(), F.col("candidate_total")).cast("int")
-    return total.select(item, rank.alias("success_rank"), "success_attempt", "total_time", "candidate_total")
+    return kept.select(item, rank.alias("success_rank"), "success_attempt", time.alias("total_time"), "candidate_total")
 
 
 def final_code(records: DataFrame, item: str = "item_id") -> DataFrame:
@@ -259,8 +276,18 @@ def piece_rank(df: DataFrame, out: str, group: Sequence[str], piece: Sequence[st
     counts = df.groupBy(*[F.col(c).alias(of[c]) for c in keys]).agg(F.count(F.lit(1)).alias(n))
     offsets = counts.select(*of.values(), F.coalesce(F.sum(n).over(earlier), F.lit(0)).alias(before))
     placed = df.withColumn(place, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
-    same = None
+    # Rows without nulls join by plain equality: they keep the partitioning of
+    # their window.  The others, if any, join null-safe.
+    whole = None
     for c in keys:
-        equal = F.col(c).eqNullSafe(F.col(of[c]))
-        same = equal if same is None else same & equal
-    return placed.join(offsets, same).select(*[F.col(c) for c in df.columns if c != out], (F.col(before) + F.col(place)).cast("int").alias(out))
+        whole = F.col(c).isNotNull() if whole is None else whole & F.col(c).isNotNull()
+
+    def joined(rows: DataFrame, equal) -> DataFrame:
+        same = None
+        for c in keys:
+            same = equal(c) if same is None else same & equal(c)
+        return rows.join(offsets, same).select(*[F.col(c) for c in df.columns if c != out], (F.col(before) + F.col(place)).cast("int").alias(out))
+
+    return joined(placed.where(whole), lambda c: F.col(c) == F.col(of[c])).unionByName(
+        joined(placed.where(~whole), lambda c: F.col(c).eqNullSafe(F.col(of[c])))
+    )

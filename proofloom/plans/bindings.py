@@ -61,18 +61,23 @@ def items_v(spark: SparkSession, sf_dir: str) -> DataFrame:
 def records_v(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidate records from ``lineitem``: every line is an attempt, 1..7."""
     li = table(spark, sf_dir, "lineitem")
-    w = Window.partitionBy("l_orderkey", "l_linenumber").orderBy(
-        "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity"
-    )
-    return li.select(
+    order = ["l_partkey", "l_suppkey", "l_extendedprice", "generation_time"]
+    rows = li.select(
         F.col("l_orderkey").alias("item_id"),
         F.col("l_linenumber").alias("attempt"),
-        (F.row_number().over(w) - 1).cast("int").alias("beam_index"),
         (F.col("l_linestatus") == "F").alias("compiled"),
         ((F.col("l_linestatus") == "F") & (F.col("l_returnflag") == "R")).alias("compile_ok"),
         F.col("l_quantity").alias("generation_time"),
+        "l_partkey", "l_suppkey", "l_extendedprice",
+    )
+    # Partitioned by the columns' own names: what groups by them afterwards
+    # needs no further exchange.
+    place = F.row_number().over(Window.partitionBy("item_id", "attempt").orderBy(*order))
+    return rows.withColumn("beam_index", (place - 1).cast("int")).select(
+        "item_id", "attempt", "beam_index", "compiled", "compile_ok", "generation_time",
         F.concat(F.lit("code_"), F.col("l_partkey").cast("string")).alias("code"),
-    ).withColumn("seq", F.col("beam_index").cast("long"))
+        F.col("beam_index").cast("long").alias("seq"),
+    )
 
 
 def stderr_v(spark: SparkSession, sf_dir: str) -> DataFrame:
