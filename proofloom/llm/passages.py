@@ -83,9 +83,12 @@ def encode(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     again = np.zeros(len(key), bool)
     again[by] = np.concatenate([[False], (key[by][1:] == key[by][:-1]) & (piece[by][1:] == piece[by][:-1])])
     pair = key ^ np.roll(key, 1) * np.uint64(31)
-    by = np.lexsort((pair, doc))  # word pairs seen in the whole document
+    # Word pairs seen in the whole document; its first word follows no other.
+    later = np.flatnonzero(place > 0)
+    by = later[np.lexsort((pair[later], doc[later]))]
     seen = np.zeros(len(key), bool)
-    seen[by] = np.concatenate([[False], (pair[by][1:] == pair[by][:-1]) & (doc[by][1:] == doc[by][:-1])])
+    if len(by):
+        seen[by] = np.concatenate([[False], (pair[by][1:] == pair[by][:-1]) & (doc[by][1:] == doc[by][:-1])])
     last = _CLASS[raw[end - 1]]
     upper = _CLASS[raw[start]] == 1
     features = [size / 10, size * size / 100, same, again, seen, last == 4, (last == 5) | (last == 6), upper, None]
