@@ -30,10 +30,6 @@ from ..session import free_column
 ORDER = ("attempt", "beam_index", "seq")
 
 
-def record_key() -> Column:
-    return F.struct(*[F.col(c) for c in ORDER])
-
-
 def passed() -> Column:
     return F.coalesce(F.col("compiled") & F.col("compile_ok"), F.lit(False))
 
