@@ -253,39 +253,52 @@ def spans_of(text: str, unary: dict, chain_pot: np.ndarray, skip_pot: np.ndarray
 def find_spans(docs: DataFrame, text: str = "text", spans: str = "pii", sure: float = 0.9) -> DataFrame:
     """``docs`` with an array of spans (kind, start, end, base), by kind, then
     start."""
-    model = count_potentials(docs, text)
+    found = span_finder(docs, text, sure)
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("base", pa.bool_())]))
 
     @F.arrow_udf(SPANS)
     def column(texts: pa.Array) -> pa.Array:
-        key = lambda s: (ALL_KINDS.index(s["kind"]), s["start"], s["end"])
-        return pa.array([sorted(spans_of(t, *model, sure), key=key) for t in texts.to_pylist()], kind)
+        return pa.array([found(t) for t in texts.to_pylist()], kind)
 
     return docs.withColumn(spans, column(F.coalesce(F.col(text), F.lit(""))))
 
 
+def span_finder(docs: DataFrame, text: str, sure: float):
+    """The function from a text to its spans, with what ``docs`` teach."""
+    model = count_potentials(docs, text)
+    key = lambda s: (ALL_KINDS.index(s["kind"]), s["start"], s["end"])
+    return lambda t: sorted(spans_of(t, *model, sure), key=key)
+
+
+def cover(text: str, spans: list[dict]) -> str:
+    """The text with every span replaced by <KIND>."""
+    end, parts = 0, []
+    for s in sorted(spans, key=lambda s: (s["start"], -s["end"])):
+        if s["start"] >= end:
+            parts += [text[end : s["start"]], f"<{s['kind'].upper()}>"]
+        end = max(end, s["end"])
+    return "".join([*parts, text[end:]])
+
+
 def masked(docs: DataFrame, sure: float = 0.9) -> DataFrame:
     """``docs`` with every span of the text replaced by <KIND>; n_chars, if
-    there, follows.  Other texts stay as they are."""
-    pii = free_column(docs, "_pii")
-    d = find_spans(docs, spans=pii, sure=sure)
+    there, follows.  Other texts stay as they are.
+
+    One function finds the spans and covers them: two in a row would hold a
+    second Python worker in every task slot."""
+    found = span_finder(docs, "text", sure)
+    new = free_column(docs, "_masked")
 
     @F.arrow_udf("string")
-    def mask(texts: pa.Array, spans: pa.Array) -> pa.Array:
-        out = []
-        for t, found in zip(texts.to_pylist(), spans.to_pylist()):
-            end, parts = 0, []
-            for s in sorted(found or [], key=lambda s: (s["start"], -s["end"])):
-                if s["start"] >= end:
-                    parts += [t[end : s["start"]], f"<{s['kind'].upper()}>"]
-                end = max(end, s["end"])
-            out.append(None if t is None else "".join([*parts, t[end:]]))
-        return pa.array(out, pa.string())
-
-    d = d.withColumn("text", F.when(F.size(pii) > 0, mask("text", pii)).otherwise(F.col("text")))
+    def mask(texts: pa.Array) -> pa.Array:
+        """Null for a text without spans."""
+        spans = ((t, found(t)) for t in texts.to_pylist())
+        return pa.array([cover(t, s) if s else None for t, s in spans], pa.string())
+
+    d = docs.withColumn(new, mask("text"))
     if "n_chars" in docs.columns:
-        d = d.withColumn("n_chars", F.when(F.size(pii) > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return d.select(*docs.columns)
+        d = d.withColumn("n_chars", F.when(F.col(new).isNotNull(), F.length(new).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return d.withColumn("text", F.coalesce(new, "text")).select(*docs.columns)
 
 
 def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,9 +20,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches, table
+from .common import blocks, runs, small_batches, table
 
 TABLE_CHUNKS = 150_000
+#: A worker takes the texts of a batch in runs of so many bytes, and the ids in
+#: runs of so many: a batch may hold very long texts.
+RUN_BYTES, RUN_IDS = 1 << 19, 1 << 17
 MARK = "▁"
 
 _processors: dict[str, object] = {}
@@ -144,8 +147,8 @@ def encode_column(text, model: str):
             _tables[model] = ChunkTable(model)
         chunk_table = _tables[model]
         parts = []
-        for at in range(0, len(column), 250):
-            texts = [t or "" for t in column.slice(at, 250).to_pylist()]
+        for at, end, _, _ in blocks(column, RUN_BYTES):
+            texts = [t or "" for t in column.slice(at, end - at).to_pylist()]
             offsets, ids = chunk_table.encode(texts)
             parts.append(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32())))
         return pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.int32()))
@@ -160,11 +163,13 @@ def decode_column(ids, model: str):
     def decode(column: pa.Array) -> pa.Array:
         sp = processor(model)
         out = []
-        for at in range(0, len(column), 250):
-            part = column.slice(at, 250).fill_null([])
-            ids, ends = part.flatten().to_numpy(zero_copy_only=False).tolist(), np.cumsum(part.value_lengths()).tolist()
-            out += sp.decode([ids[a:b] for a, b in zip([0, *ends], ends)], num_threads=1)
-        return pa.array(out, pa.string())
+        column = column.fill_null([])
+        ids, off = column.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(column.value_lengths())])
+        for at, end in runs(off, RUN_IDS):
+            part, ends = ids[off[at] : off[end]].tolist(), (off[at : end + 1] - off[at]).tolist()
+            texts = sp.decode([part[a:b] for a, b in zip(ends, ends[1:])], num_threads=1)
+            out.append(pa.array(texts, pa.string()))
+        return pa.concat_arrays(out) if out else pa.array([], pa.string())
 
     return decode(ids)
 

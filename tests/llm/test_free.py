@@ -8,6 +8,7 @@ import re
 import sys
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))))
@@ -535,3 +536,28 @@ def test_quality_scores_equal_the_formula_text_by_text(spark):
 
     rows = d.select("text", passages.score_column(F.col("text"), model, constant).alias("s")).collect()
     assert len(rows) > 100 and all(abs(r.s - score(r.text)) < 1e-4 for r in rows)
+
+
+def test_masking_takes_one_python_step(spark):
+    """Two steps in a row would hold two Python workers in every task slot."""
+    d = documents(spark, [(1, "mail a.b@c.org now"), (2, None), (3, "none")])
+    out = personal.masked(d)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+    assert {r.doc_id: r.text for r in out.collect()} == {1: "mail <EMAIL> now", 2: None, 3: "none"}
+
+
+def test_a_batch_of_long_texts_is_encoded_in_small_runs(spark, monkeypatch):
+    model = pieces.default_model()
+    texts = ["word " * 60_000, None, "", "a b", *["some words " * 30_000] * 4]
+    lib, seen = pieces.processor(model), []
+    encode, decode = pieces.ChunkTable.encode, lib.decode
+    monkeypatch.setattr(pieces.F, "arrow_udf", lambda kind: lambda f: lambda column: f)
+    monkeypatch.setattr(pieces.ChunkTable, "encode", lambda self, t: (seen.append(t), encode(self, t))[1])
+    ids = pieces.encode_column(F.lit(""), model)(pa.array(texts))
+    assert max(sum(map(len, t)) for t in seen) <= pieces.RUN_BYTES and sum(map(len, seen)) == len(texts)
+    assert ids.to_pylist() == [lib.encode(t or "") for t in texts]
+    told = []
+    monkeypatch.setattr(lib, "decode", lambda x, **o: (told.append(x), decode(x, **o))[1])
+    assert pieces.decode_column(F.lit(None), model)(ids).to_pylist() == [decode(x) for x in ids.to_pylist()]
+    assert max(sum(map(len, x)) for x in told) <= pieces.RUN_IDS
