@@ -12,7 +12,7 @@ from ..operators import metrics as M
 from ..operators import profile as PF
 from ..operators import splits as SP
 from ..operators.numbering import numbered
-from ..session import scratch_path
+from ..session import scratch_path, tasks_for
 from ..sources import items as SRC
 from ..sources import sinks as SNK
 from .bindings import items_v, records_v, table, with_views
@@ -22,6 +22,10 @@ from .catalog_results import ORACLES as _RESULT_ORACLES
 from .catalog_results import PASS_K, SCHEDULE, reported
 
 
+#: Lines that a task deals with at most, on average, where whole texts are moved.
+LINES = 10_000
+
+
 def _write_items(spark: SparkSession, sf: str, name: str, corrupt: bool = False) -> str:
     it = items_v(spark, sf)
     path = scratch_path(spark, name)
@@ -50,18 +54,19 @@ def q_scan_strict(spark, sf):
 
 
 def q_scan_numbered(spark, sf):
-    """Lines written in the order of the items, as one part file per range, the
-    line's own place among its file's lines written into it: the number that
-    the scan gives and the place agree."""
+    """Lines written in the order of the items, a bucket's file as a folder of
+    part files, one per range, the line's own place among its file's lines
+    written into it: the number that the scan gives and the place agree."""
     it = items_v(spark, sf).where(F.col("doc_id").isNotNull())
+    tasks = tasks_for(it, LINES)
     path = scratch_path(spark, "scan_numbered")
     body = it.select((F.col("doc_id") % 7).alias("bucket"), "doc_id", F.to_json(CK.item_struct(it)).alias("value"))
-    placed = numbered(body, [F.col("doc_id")], "place", group=["bucket"])
+    placed = numbered(body, [F.col("doc_id")], "place", group=["bucket"], tasks=tasks)
     line = F.concat((F.col("place") + 1).cast("string"), F.lit(" "), F.col("doc_id").cast("string"), F.lit(" "), F.col("value"))
-    # one file per bucket: its lines are sorted inside the one task that writes them
-    out = placed.repartition(7, "bucket").sortWithinPartitions("bucket", "place")
+    # ranges of the order: the parts of a bucket's file follow each other by name
+    out = placed.repartitionByRange(tasks, "bucket", "place").sortWithinPartitions("bucket", "place")
     out.select("bucket", line.alias("value")).write.mode("overwrite").partitionBy("bucket").text(path)
-    return SRC.scan_numbered(spark, path).select(
+    return SRC.scan_numbered(spark, path, parts=True).select(
         F.regexp_extract("file", r"bucket=(\d+)", 1).cast("long").alias("bucket"),
         "line_number",
         F.regexp_extract("value", r"^(\d+) ", 1).cast("long").alias("written_number"),

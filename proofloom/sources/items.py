@@ -1,7 +1,8 @@
 """JSONL item sources (section 2.1).
 
 * ``scan_items``     -- typed read with the declared schema (never inferred).
-* ``scan_numbered``  -- one row per physical line with its 1-based number.
+* ``scan_numbered``  -- one row per physical line with its 1-based number, in
+                        its file or in the file that a folder's parts make up.
 * ``scan_checked``   -- numbered lines parsed as VARIANT with strict type
                         and rule checks: each line gets its ``reasons``.
 * ``scan_strict``    -- fail fast with the first bad line's number.
@@ -62,10 +63,11 @@ def scan_items(spark: SparkSession, path: str) -> DataFrame:
     return _normalize_items(df)
 
 
-def _raw_lines(spark: SparkSession, path: str) -> DataFrame:
+def _raw_lines(spark: SparkSession, path: str, parts: bool = False) -> DataFrame:
+    name, start = F.col("_metadata.file_path"), F.col("_metadata.file_block_start")
     return spark.read.text(path).select(
-        F.col("_metadata.file_path").alias("file"),
-        F.col("_metadata.file_block_start").alias("_block"),
+        (F.regexp_extract(name, "(?s)^(.*)/", 1) if parts else name).alias("file"),
+        (F.struct(name.alias("part"), start.alias("start")) if parts else start).alias("_block"),
         F.monotonically_increasing_id().alias("_rid"),
         "value",
     )
@@ -92,11 +94,15 @@ def _numbered(raw: DataFrame, index: DataFrame) -> DataFrame:
     return raw.join(index.select("file", "_block", "_rid0", "_before"), ["file", "_block"]).select("file", place.alias("line_number"), "value")
 
 
-def scan_numbered(spark: SparkSession, path: str) -> DataFrame:
+def scan_numbered(spark: SparkSession, path: str, *, parts: bool = False) -> DataFrame:
     """``file, line_number, value``: every physical line (blank ones too).  The
-    files are read twice: for the index when this is called, and for the rows."""
+    files are read twice: for the index when this is called, and for the rows.
+
+    With ``parts`` the files of a folder, in the order of their names, are one
+    file, named by the folder: the numbers run on from part to part, so that no
+    task need write or hold a whole file."""
     require_path(spark, path)
-    raw = _raw_lines(spark, path)
+    raw = _raw_lines(spark, path, parts)
     return _numbered(raw, _block_index(raw))
 
 

@@ -130,3 +130,37 @@ def test_one_parse_keeps_the_item(spark, tmp_dir):
     rows = {r.line_number: r for r in SRC.scan_checked(spark, p).collect()}
     assert rows[1].reasons == [] == rows[5].reasons and rows[1].english.steps == SRC.scan_items(spark, write(os.path.join(tmp_dir, "b.jsonl"), [item(0)])).first().english.steps
     assert rows[2].reasons == ["id: expected a string"] and rows[3].reasons == ["Invalid JSON"] and len(rows[4].reasons) >= 4
+
+
+def test_numbers_run_on_over_the_parts_of_a_file(spark, tmp_dir):
+    lines = [f"line {i}" if i % 5 else "" for i in range(300)]
+    for name, rows in (("a", lines), ("b", ["x", "", "y"])):
+        os.makedirs(os.path.join(tmp_dir, name))
+        for k in range(0, len(rows), 70):
+            write(os.path.join(tmp_dir, name, f"part-{k // 70:05d}.txt"), rows[k : k + 70])
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "200")  # many blocks per part
+    try:
+        rows = SRC.scan_numbered(spark, f"{tmp_dir}/*", parts=True).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    got = {(os.path.basename(r.file), r.line_number): r.value for r in rows}
+    want = {("a", i + 1): v for i, v in enumerate(lines)} | {("b", i + 1): v for i, v in enumerate(["x", "", "y"])}
+    assert got == want and len(rows) == len(want)
+
+
+def test_no_task_writes_a_whole_numbered_file(spark, tmp_dir, monkeypatch):
+    import glob
+
+    from proofloom.plans import catalog_io as IO
+    from proofloom.session import scratch_folder
+
+    os.makedirs(os.path.join(tmp_dir, "sf"))
+    docs = spark.range(700).selectExpr("id * 7 AS doc_id", "concat('text ', id) AS text", "'en' AS lang", "'s' AS source")
+    docs.write.parquet(os.path.join(tmp_dir, "sf", "documents.parquet"))
+    monkeypatch.setattr(IO, "LINES", 20)
+    rows = IO.q_scan_numbered(spark, os.path.join(tmp_dir, "sf")).collect()
+    assert sorted((r.line_number, r.written_number, r.doc_id) for r in rows) == [(i + 1, i + 1, i * 7) for i in range(700)]
+    written = max(glob.glob(f"{scratch_folder(spark)}/scan_numbered-*"), key=os.path.getmtime)
+    sizes = [sum(1 for _ in open(p)) for p in glob.glob(f"{written}/bucket=0/part-*")]
+    assert sum(sizes) == 700 and max(sizes) <= 80
