@@ -14,6 +14,7 @@ from ..operators import memo as MM
 from ..operators import results as R
 from ..operators import rounds as RD
 from ..operators.stages import where_computed
+from ..session import tasks_for
 from . import duck as D
 from .bindings import items_v, records_v, responses_v, stderr_v, table, with_views
 from .catalog_text import _LINES
@@ -94,7 +95,10 @@ def q_single_attempt(spark, sf):
 
 
 def _requests(spark, sf):
-    r = records_v(spark, sf)
+    return _keyed(records_v(spark, sf))
+
+
+def _keyed(r):
     temps = F.element_at(F.array(*[F.lit(t) for t in RECORD_SCHED.temperatures]), F.col("attempt"))
     key = MM.generation_key(F.col("code"), max_tokens=F.lit(SCHED.token_limit), model=F.lit(MODEL),
                             seed=(F.col("attempt") * 100 + F.col("beam_index")).cast("int"), temperature=temps)
@@ -138,8 +142,16 @@ def q_memo_check(spark, sf):
     )
 
 
+#: Requests whose keys a task makes at most, on average.
+REQUESTS = 500_000
+
+
 def q_memo_stats(spark, sf):
-    req = _requests(spark, sf)
+    """The keys are many times a request's own columns, and the table that
+    tells them apart holds them all: requests are dealt out by what the keys
+    are made of before the keys are, over as many tasks as they need."""
+    r = records_v(spark, sf).select("code", "attempt", "beam_index")
+    req = _keyed(r.repartition(tasks_for(r, REQUESTS), "code", "attempt", "beam_index"))
     out = MM.run_stats(req, {"generation_": "gen_key", "check_": "content_key"})
     return out.select(*[F.round(x, 6).alias(x) if x.endswith("hit_rate") else x for x in out.columns])
 

@@ -277,3 +277,26 @@ def test_own_prompts(spark, tmp_dir):
     res = RD.retry_rounds(spark, _items(spark).limit(3), stub_model_factory, stub_checker_factory, RD.RetrySchedule.of(attempts=1), work_dir=f"{tmp_dir}/w", prompt="one for all")
     assert spark.read.parquet(f"{tmp_dir}/w/candidates_1").select("prompt" if "prompt" in spark.read.parquet(f"{tmp_dir}/w/candidates_1").columns else "gen_key").distinct().count() == 1
     assert res.attempts_run == 1
+
+
+def test_memo_stats_deals_requests_before_it_makes_their_keys(spark, tmp_dir, monkeypatch):
+    """The tasks that hold the keys grow with the requests."""
+    import os
+
+    from proofloom.operators import memo as MM
+    from proofloom.plans import catalog_rounds as CR
+
+    lines = spark.range(600).selectExpr(
+        "id % 40 AS l_orderkey", "cast(id % 7 + 1 as int) AS l_linenumber", "if(id % 11 = 0, null, id % 9) AS l_partkey", "id AS l_suppkey",
+        "cast(id as double) AS l_extendedprice", "cast(1 as double) AS l_quantity", "'F' AS l_linestatus", "'R' AS l_returnflag",
+    )
+    lines.write.parquet(os.path.join(tmp_dir, "lineitem.parquet"))
+    monkeypatch.setattr(CR, "REQUESTS", 20)
+    out = CR.q_memo_stats(spark, tmp_dir)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert any("hashpartitioning(code" in line and ", 30)" in line for line in plan.splitlines())
+    req = CR._requests(spark, tmp_dir)
+    want = MM.run_stats(req, {"generation_": "gen_key", "check_": "content_key"}).first()
+    got = out.first()
+    assert [round(x, 6) for x in got] == [round(x, 6) for x in want]
+    assert got.check_requests == 600 and got.check_size_after == 9
