@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import code_length
-from ..session import free_column
+from ..session import free_column, written
 from .results import pass_map, piece_rank
 
 CHUNK = 256
@@ -48,11 +48,13 @@ def nested_items(items: DataFrame, errors: DataFrame, records: DataFrame, chunk:
     item's entries, one row with empty lists for an item without any.
 
     ``errors`` is (item, attempt, beam_index, seq, primary_error), ``records``
-    the candidate records; entries of other items, or of none, are left out."""
+    the candidate records; entries of other items, or of none, are left out.
+    The entries are written when this is called: they are counted by piece,
+    placed and joined from the same files."""
     none = lambda kind: F.lit(None).cast(kind)
     e = errors.select(item, F.lit(0).alias("kind"), *KEYS, _error().alias("error"), none(RECORD_TYPE).alias("record"))
     r = records.select(item, F.lit(1).alias("kind"), *KEYS, none(ERROR_TYPE).alias("error"), _record(records).alias("record"))
-    entries = e.unionByName(r).where(F.col(item).isNotNull())
+    entries = written(e.unionByName(r).where(F.col(item).isNotNull()), "report-entries")
     placed = piece_rank(entries, "place", [item], ["kind", "attempt"], ["beam_index", "seq"])
     placed = placed.withColumn("chunk", F.expr(f"(place - 1) div {int(chunk)}"))
     listed = F.array_sort(F.collect_list(F.struct("place", "kind", "error", "record")))  # at most a chunk

@@ -125,7 +125,7 @@ def q_sink_splits(spark, sf):
 
 def _times(column, text):
     """How often the text stands in a line of a document."""
-    return (F.length(column) - F.length(F.replace(F.col(column), F.lit(text), F.lit("")))) / len(text)
+    return (F.octet_length(column) - F.octet_length(F.replace(F.col(column), F.lit(text), F.lit("")))) / len(text)
 
 
 def q_sink_report(spark, sf):

@@ -11,6 +11,7 @@ from ..operators import metrics as M
 from ..operators import reports as REP
 from ..operators import results as R
 from ..operators.rounds import RetrySchedule, schedule_column
+from ..session import written
 from .bindings import records_v, stderr_v, with_views
 from .catalog_text import _LINES as _PRIM
 
@@ -81,9 +82,12 @@ def q_generation_log(spark: SparkSession, sf: str) -> DataFrame:
 
 def reported(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(items with final code, their errors, their kept records).  The errors
-    are the checker outputs of the item's number in ``events``."""
-    kept = R.stop_at_first_success(records_v(spark, sf)).drop("first_ok")
-    items = _item_eval(spark, sf).join(R.final_code(kept), "item_id", "left")
+    are the checker outputs of the item's number in ``events``.  Items and
+    records are written: a report reads them several times."""
+    records = written(records_v(spark, sf), "records")
+    kept = written(R.stop_at_first_success(records).drop("first_ok"), "report-records")
+    evaluated = R.item_evaluation(records, max_attempts=MAX_ATT, pass_k=PASS_K)
+    items = written(evaluated.join(R.final_code(kept), "item_id", "left"), "report-items")
     errors = CL.errors_encountered(stderr_v(spark, sf)).select(
         "item_id", "attempt", F.lit(0).alias("beam_index"), F.col("event_id").alias("seq"), "primary_error"
     )

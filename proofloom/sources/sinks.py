@@ -16,6 +16,7 @@ from ..operators.checks import item_struct
 from ..operators.numbering import numbered
 from ..operators.profile import repeated, summary, topics, verification_summary
 from ..operators.reports import CHUNK, item_fields, item_text, nested_items
+from ..session import written
 
 
 def items_as_json(df: DataFrame) -> DataFrame:
@@ -44,7 +45,9 @@ def sink_document(parts: Sequence[str | DataFrame], path: str, *, mode: str = "o
     """One JSON document from ``parts``, in order: a text; a frame with one
     ``text``; or a list's elements as a frame (n, text) or (n, chunk, text),
     where n counts the elements from 0 (a comma goes before each but the first)
-    and chunk the pieces of an element."""
+    and chunk the pieces of an element.  The lines are written before they are
+    dealt out by ranges: the ranges' bounds and the rows come from the same
+    files, and no part is made twice."""
     spark = next(p.sparkSession for p in parts if isinstance(p, DataFrame))
     lines = []
     for i, part in enumerate(parts):
@@ -59,13 +62,14 @@ def sink_document(parts: Sequence[str | DataFrame], path: str, *, mode: str = "o
         every = every.unionByName(more)
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     order = ["part", "n", "chunk"]
+    every = written(every, "document-lines")
     every.repartitionByRange(tasks, *order).sortWithinPartitions(*order).select("value").write.mode(mode).text(path)
 
 
 def elements(df: DataFrame, order: Sequence[str], text: Column) -> DataFrame:
     """(n, text): the rows of ``df`` as list elements in the given order."""
     lines = df.select(*[F.col(c).alias(f"by{i}") for i, c in enumerate(order)], text.alias("text"))
-    return numbered(lines, [F.col(f"by{i}") for i in range(len(order))], "n").select("n", "text")
+    return numbered(written(lines, "elements"), [F.col(f"by{i}") for i in range(len(order))], "n").select("n", "text")
 
 
 def _open(fields: Column, rest: str) -> Column:
@@ -78,7 +82,8 @@ def sink_report(head: DataFrame, items: DataFrame, errors: DataFrame, records: D
     """The evaluation report as one document: the fields of ``head`` (one row:
     dataset_path, metrics, pass_k, config), then ``items``: one row per item
     (evaluation and final_code), nested with its errors and candidate records
-    in the order of the ids."""
+    in the order of the ids.  ``items`` and ``records`` are read several times:
+    give written tables."""
     placed = numbered(items, [F.col("item_id")], "n")
     rows = nested_items(placed, errors, records, chunk)
     body = rows.select("n", "chunk", item_text(item_fields(pass_k), chunk).alias("text"))

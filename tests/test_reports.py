@@ -112,3 +112,30 @@ def test_generation_log_chunks(spark):
     assert sorted((r.chunk, len(r.candidates)) for r in hot) == [(0, 5), (1, 5), (2, 4)]
     assert [c["index"] for r in sorted(hot, key=lambda r: r.chunk) for c in r.candidates] == list(range(0, 40, 3))
     assert [len(r.candidates) for r in log if r.item_id == "none"] == [0] * 5
+
+
+def test_a_report_makes_its_entries_and_lines_once(spark, tmp_dir):
+    """Every record passes the upstream step once, though the report reads the
+    records several times."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def passed(frames):
+        for frame in frames:
+            seen.add(len(frame))
+            yield frame
+
+    records = spark.range(120).selectExpr(
+        "id % 30 AS item_id", "cast(id % 7 + 1 as int) AS attempt", "cast(0 as int) AS beam_index", "id AS seq", "true AS compiled",
+        "true AS compile_ok", "cast(1 as double) AS generation_time", "'code' AS code",
+    )
+    counted = records.mapInPandas(passed, records.schema)
+    errors = spark.createDataFrame([], "item_id long, attempt int, beam_index int, seq long, primary_error struct<category: string, message: string, line_number: int, severity: string, suggested_fixes: array<string>>")
+    items = spark.range(30).selectExpr(
+        "id AS item_id", "true AS success", "1 AS success_rank", "1 AS success_attempt", "1 AS attempts", "cast(1 as double) AS total_time", "'code' AS final_code"
+    )
+    from proofloom.sources import sinks as SNK
+
+    SNK.sink_report(spark.range(1).selectExpr("'d' AS dataset_path"), items, errors, counted, (1, 5), f"{tmp_dir}/report")
+    assert seen.value == 120
+    text = "".join(r.value for r in spark.read.text(f"{tmp_dir}/report").collect())
+    assert text.count('"beam_index":') == 120 and text.count('"final_code":') == 30
